@@ -7,7 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from . import sql
 from .bpe import encode_texts
+from .quality import assess
 from .token_counts import count_tokens
 
 
@@ -23,9 +25,13 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), keep_ids=False, digests=True)
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assess(_table(spark, sf_dir, "documents")).drop("clean_text")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_token_counts": op1_token_counts, "op2_bpe": op2_bpe}
+    return {"op1_token_counts": op1_token_counts, "op2_bpe": op2_bpe, "op4_quality": op4_quality}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_quality": sql.quality_sql()}
