@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import sql
 from .bpe import encode_texts
 from .quality import assess
+from .simhash import near_duplicates
 from .token_counts import count_tokens
 
 
@@ -29,8 +30,12 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assess(_table(spark, sf_dir, "documents")).drop("clean_text")
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_token_counts": op1_token_counts, "op2_bpe": op2_bpe, "op4_quality": op4_quality}
+    return {"op1_token_counts": op1_token_counts, "op2_bpe": op2_bpe, "op4_quality": op4_quality, "op8_simhash": op8_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
