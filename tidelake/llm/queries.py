@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import sql
 from .bpe import encode_texts
+from .langid import identify
 from .quality import assess
 from .simhash import near_duplicates
 from .token_counts import count_tokens
@@ -30,12 +32,21 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assess(_table(spark, sf_dir, "documents")).drop("clean_text")
 
 
+def _fold(n: int) -> Column:
+    return F.crc32(F.col("doc_id").cast("string")) % n
+
+
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return identify(docs, _fold(3) != 1).withColumn("held_out", F.coalesce(_fold(3) == 1, F.lit(False)))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_token_counts": op1_token_counts, "op2_bpe": op2_bpe, "op4_quality": op4_quality, "op8_simhash": op8_simhash}
+    return {"op1_token_counts": op1_token_counts, "op2_bpe": op2_bpe, "op4_quality": op4_quality, "op6_language": op6_language, "op8_simhash": op8_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
