@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from . import sql
 from .bpe import encode_texts
 from .langid import identify
+from .lattice import near_vectors
 from .quality import assess
 from .simhash import near_duplicates
 from .token_counts import count_tokens
@@ -41,12 +42,16 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, _fold(3) != 1).withColumn("held_out", F.coalesce(_fold(3) == 1, F.lit(False)))
 
 
+def op7_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_token_counts": op1_token_counts, "op2_bpe": op2_bpe, "op4_quality": op4_quality, "op6_language": op6_language, "op8_simhash": op8_simhash}
+    return {"op1_token_counts": op1_token_counts, "op2_bpe": op2_bpe, "op4_quality": op4_quality, "op6_language": op6_language, "op7_lattice": op7_lattice, "op8_simhash": op8_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
