@@ -12,6 +12,7 @@ from . import sql
 from .bpe import encode_texts
 from .langid import identify
 from .lattice import near_vectors
+from .mixing import mix_counts
 from .quality import assess
 from .simhash import near_duplicates
 from .token_counts import count_tokens
@@ -50,9 +51,13 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_counts(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_token_counts": op1_token_counts, "op2_bpe": op2_bpe, "op4_quality": op4_quality, "op6_language": op6_language, "op7_lattice": op7_lattice, "op8_simhash": op8_simhash}
+    return {"op1_token_counts": op1_token_counts, "op2_bpe": op2_bpe, "op4_quality": op4_quality, "op6_language": op6_language, "op7_lattice": op7_lattice, "op8_simhash": op8_simhash, "op10_mixing": op10_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_quality": sql.quality_sql()}
+    return {"op4_quality": sql.quality_sql(), "op10_mixing": sql.mixing_sql()}

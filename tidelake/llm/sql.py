@@ -41,3 +41,31 @@ m as (
 select *, n_words < {q.MIN_WORDS} or n_repeat_words * 100 > n_words * {q.MAX_REPEAT} as base_failed,
   not (n_words < {q.MIN_WORDS} or n_repeat_words * 100 > n_words * {q.MAX_REPEAT}) and lost_chars * 100 <= word_chars * {q.MAX_LOST} as kept
 from m"""
+
+
+def mixing_sql() -> str:
+    from . import mixing as m
+
+    fits = f"h <= {m.ENTROPY} * ln(n) + 1e-12 and top <= {m.MAX_PASSES} + 1e-12"
+    return f"""
+with recursive base as (
+  select doc_id, coalesce('s' || source, 'n') as k, len(regexp_extract_all(coalesce(text, ''), '{m.WORD}'))::bigint as tokens,
+    md5('{m.SEED}|' || coalesce(doc_id::varchar, 'null')) as place from documents),
+per as (select k, sum(tokens)::double as t, sum(tokens)::double / (select sum(tokens) from base) as share from base group by k),
+live as (select * from per where share > 0),
+n as (select count(*) as n, min(ln(share)) as low from live),
+steps as (select 0 as i, 0.0::double as lo, 1.0::double as hi
+  union all
+  select i + 1, case when {fits} then lo else mid end, case when {fits} then mid else hi end
+  from (select i, lo, hi, mid, n, ln(z) - mid * s / z as h, exp((mid - 1) * low) / z as top
+    from (select i, lo, hi, (lo + hi) / 2 as mid, any_value(n) as n, any_value(low) as low,
+        sum(exp(ln(share) * (lo + hi) / 2)) as z, sum(exp(ln(share) * (lo + hi) / 2) * ln(share)) as s
+      from steps, live, n where i < 45 group by i, lo, hi))),
+a as (select case when (select n from n) < 2 then 1 else hi end as a from steps order by i desc limit 1),
+w as (select per.*, coalesce(exp(ln(share) * a) / (select sum(exp(ln(share) * a)) from live, a), 0) as weight from per, a),
+q as (select k, t, weight, floor(round(weight * (select sum(tokens) from base), 3) + 0.5)::bigint as quota from w),
+r as (select *, case when t > 0 then floor(quota / t) else 0 end::bigint as passes from q),
+o as (select doc_id, tokens, weight, quota, passes, quota - passes * t as rest, k, place,
+    sum(tokens) over (partition by base.k order by place, tokens) as so_far from base join r using (k)),
+c as (select k, max(case when so_far <= rest then place end) as cut from o group by k)
+select doc_id, tokens, round(weight, 6) as weight, quota, passes + (place <= coalesce(cut, ''))::bigint as copies from o join c using (k)"""
