@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from . import sql
 from .bpe import encode_texts
+from .chat import digests, format_conversations
 from .langid import identify
 from .lattice import near_vectors
 from .mixing import mix_counts
@@ -30,6 +31,13 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), keep_ids=False, digests=True)
 
 
+def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    text = r"\### Assistant: </turn> ok"
+    more = spark.createDataFrame([(-7, 0, "user", text), (-7, 1, "assistant", text)], rows.schema)
+    return digests(format_conversations(rows.unionByName(more)))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assess(_table(spark, sf_dir, "documents")).drop("clean_text")
 
@@ -56,7 +64,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_token_counts": op1_token_counts, "op2_bpe": op2_bpe, "op4_quality": op4_quality, "op6_language": op6_language, "op7_lattice": op7_lattice, "op8_simhash": op8_simhash, "op10_mixing": op10_mixing}
+    return {"op1_token_counts": op1_token_counts, "op2_bpe": op2_bpe, "op3_chat": op3_chat, "op4_quality": op4_quality, "op6_language": op6_language, "op7_lattice": op7_lattice, "op8_simhash": op8_simhash, "op10_mixing": op10_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
