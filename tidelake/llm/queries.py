@@ -13,6 +13,7 @@ from .bpe import encode_texts
 from .chat import digests, format_conversations
 from .langid import identify
 from .lattice import near_vectors
+from .lm import score_texts
 from .mixing import mix_counts
 from .quality import assess
 from .simhash import near_duplicates
@@ -59,12 +60,18 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op9_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = F.coalesce(_fold(5) == 1, F.lit(False))
+    tune = F.floor(F.crc32(F.col("doc_id").cast("string")) / 5) % 10 == 0
+    return score_texts(_table(spark, sf_dir, "documents"), ~held, tune).withColumn("held_out", held)
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_counts(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_token_counts": op1_token_counts, "op2_bpe": op2_bpe, "op3_chat": op3_chat, "op4_quality": op4_quality, "op6_language": op6_language, "op7_lattice": op7_lattice, "op8_simhash": op8_simhash, "op10_mixing": op10_mixing}
+    return {"op1_token_counts": op1_token_counts, "op2_bpe": op2_bpe, "op3_chat": op3_chat, "op4_quality": op4_quality, "op6_language": op6_language, "op7_lattice": op7_lattice, "op8_simhash": op8_simhash, "op9_lm": op9_lm, "op10_mixing": op10_mixing}
 
 
 def oracle_sql() -> dict[str, str]:

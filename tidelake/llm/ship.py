@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -53,3 +54,24 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tidelake_ck_"))
     return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession, what: str) -> str:
+    """A new folder beside the checkpoints, which driver and executors share."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tidelake_ck_"))
+    return f"{sc.getCheckpointDir()}/{what}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, what: str) -> tuple[DataFrame, str]:
+    """The rows as compressed Parquet in a shared folder, read again, and the folder."""
+    path = shared_folder(df.sparkSession, what)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a folder that ``written`` made."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
