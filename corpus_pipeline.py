@@ -1,40 +1,63 @@
-"""A corpus pipeline: five stages over ``documents``, each written as Parquet and read by the next."""
+"""A corpus pipeline: five stages over ``documents``, each written as Parquet and read by the next.
 
-from __future__ import annotations
+Every stage works on all that the one before it kept. All but the last return
+the columns of ``documents``.
+"""
 
-import uuid
+from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidelake.llm import bpe, langid, mixing, quality, ship, simhash
+
+#: A document's language must have at least this mean probability.
+MIN_LANGUAGE = 0.35
+
+
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Quality rules: lines that fail go, and documents that are rejected; n_chars follows the text."""
+    judged = quality.assess(docs.withColumn("row", F.struct(*[F.col(c) for c in docs.columns])), "row").where("kept")
+    new = {"text": F.col("clean_text"), "n_chars": F.length("clean_text").cast("long")}
+    return judged.select(*[new.get(c, F.col(f"row.{c}")).alias(c) for c in docs.columns])
+
 
-from tidelake.llm import bpe
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Language identification: documents without a language, or with one that is hardly likely, go."""
+    train = F.crc32(F.col("doc_id").cast("string")) % 3 != 1
+    found = langid.identify(docs, train, whole_rows=True)
+    return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE)).select("row.*")
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """SimHash near-duplicates: of each class the document of the smallest id stays."""
+    kept = simhash.near_duplicates(docs).where("kept").select("doc_id")
+    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Temperature mixing: documents as often as the mix of sources takes them."""
+    return mixing.mix(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document that is left."""
+    """Token ids of every document that is left, with their digests."""
     return bpe.encode_texts(docs, public_tokenizers.path("byte_bpe_50k.json"), digests=True)
 
 
-STAGES = [("bpe encoding", encode)]
+STAGES = [("quality rules", clean), ("language", known_language), ("near duplicates", one_of_each), ("mixing", mixed), ("bpe encoding", encode)]
 #: SQL can't express language identification or byte-pair encoding.
 ORACLE_SQL = None
 
 
-def _shared(spark: SparkSession) -> str:
-    """A folder that driver and executors share."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        import tempfile
-
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tidelake_ck_"))
-    return f"{sc.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
-
-
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what each keeps is written and read again."""
+    """All stages over ``documents``; what each keeps is written to a shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    top = _shared(spark)
-    for k, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{top}/{k}")
-        docs = spark.read.parquet(f"{top}/{k}")
+    last = None
+    for name, stage in STAGES:
+        docs, path = ship.written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if last:
+            ship.removed(spark, last)
+        last = path
     return docs

@@ -1,4 +1,5 @@
 import re
+from collections import Counter
 
 from oracle import rows_of, sql_rows
 
@@ -14,7 +15,8 @@ def brute(text):
     lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     wins = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
-    hit = {k for i, w in enumerate(wins) if wins.count(w) > 1 for k in range(i, i + 5)}
+    seen = Counter(wins)
+    hit = {k for i, w in enumerate(wins) if seen[w] > 1 for k in range(i, i + 5)}
     n_sym = len(re.findall(r"[#*$%&|<>]", text or ""))
     return len(words), sum(map(len, words)), n_sym, len(lines) - len(set(lines)), len(hit)
 

@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from . import ship
 from .gru import ByteGRU, pad
@@ -101,9 +102,11 @@ class Labeller:
         return out
 
 
-def identify(docs: DataFrame, train_on: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def identify(docs: DataFrame, train_on: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", whole_rows: bool = False) -> DataFrame:
     """``id_col``, lang_pred, score (mean probability of that language over all letters) of every whole text.
 
+    With ``whole_rows`` the rows come back as a struct ``row`` in place of the id.
+
     Learns from the text and non-null language of a bounded sample of the rows
     where ``train_on`` holds. Null texts and texts without a letter are
     ``und`` with score 0, as is every text if nothing can be learned. An empty
@@ -113,7 +116,7 @@ def identify(docs: DataFrame, train_on: Column, id_col: str = "doc_id", text_col
     spark = docs.sparkSession
     ship.ship(spark)
     model = spark.sparkContext.broadcast(train(training_words(docs, lang_col, text_col, id_col, train_on)))
-    kind = docs.schema[id_col].dataType.simpleString()
+    dealt, id_col = (docs.withColumn("row", F.struct(*[F.col(f"`{c}`") for c in docs.columns])), "row") if whole_rows else (docs, id_col)
 
     def run(batches):
         labeller = Labeller(*model.value)
@@ -122,4 +125,6 @@ def identify(docs: DataFrame, train_on: Column, id_col: str = "doc_id", text_col
             found = [x for i, j in slices([len(t) for t in texts], BATCH_CHARS) for x in labeller.label(texts[i:j])]
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], ["id", "lang_pred", "score"])
 
-    return ship.keyed_text(docs, id_col, text_col).mapInArrow(run, f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id_col)
+    rows = ship.keyed_text(dealt, id_col, text_col)
+    schema = StructType([rows.schema["id"], StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    return rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)

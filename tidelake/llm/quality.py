@@ -118,5 +118,8 @@ def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_
     )
     d = d.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT))
     kept = ~F.col("base_failed") & (F.col("lost_chars") * 100 <= F.col("word_chars") * max_lost)
+    # a partition number is not deterministic: without it a filter on the verdict would be pushed below all
+    # steps, each of which would be written out in it again and again
+    kept = kept & (F.spark_partition_id() >= 0)
     clean = F.when(F.col("raw").isNotNull(), F.array_join(F.transform(F.filter("judged", lambda x: ~x.bad), lambda x: x.line), "\n"))
     return d.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "lost_chars", clean.alias("clean_text"))
