@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from tidelake.plans import feature_queries
+from tidelake.plans.base import Query
 
-from pyspark.sql import DataFrame, SparkSession
+_REGISTRIES = [feature_queries.R]
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return {n: q for r in _REGISTRIES for n, q in r.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {n: q for r in _REGISTRIES for n, q in r.sql.items()}
