@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from . import ship
 
 #: Tokens of a block; the ranges of hashes for each block.
-BLOCK_TOKENS = 2_000_000
+BLOCK_TOKENS = 1_000_000
 END = 0  # the end token's hash; no word has it
 BUCKETS = 40
 #: Frequencies are told apart to a part of an octave when weights are learned.
@@ -112,7 +112,7 @@ class _Block:
         self.flag = np.repeat(self.flags, self.lens)
         self.uni, inv = np.unique(hashes, return_inverse=True)
         self.word_at = inv  # word -> place in uni
-        self.bi, self.bi_at = np.unique(mix64(hashes[before], hashes[self.tok]), return_inverse=True)
+        self.bi, self.bi_first, self.bi_at = np.unique(mix64(hashes[before], hashes[self.tok]), return_index=True, return_inverse=True)
 
     def counts(self) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """For words and for bigrams: keys, counts in training texts, counts in those to tune on."""
@@ -165,14 +165,19 @@ def _answered(block: pa.Table, answers: pa.Table) -> pa.Table:
         b = _Block(r["words"], r["tokens"], r["lens"], r["flags"])
         cut = len(b.uni)
         uni, bi = [g[:cut][b.word_at] for g in got], [g[cut:] for g in got]
-        rows = np.stack([x for two, one in zip(bi, uni, strict=True) for x in (two[b.bi_at], one[b.before], one[b.tok])], axis=1)
-        tri, at = np.unique(rows.view([("", rows.dtype)] * 6).ravel(), return_inverse=True)
+        # one row of counts for each distinct bigram, then for each distinct row; rows are told apart by a hash
+        h, w = b.before[b.bi_first], b.tok[b.bi_first]
+        rows = np.stack([x for two, one in zip(bi, uni, strict=True) for x in (two, one[h], one[w])], axis=1)
+        mixed = rows[:, 0].copy()
+        for k in range(1, 6):
+            mixed = mix64(mixed, rows[:, k])
+        _, first, at = np.unique(mixed, return_index=True, return_inverse=True)
+        tri, at = rows[first], at[b.bi_at]
         freq = np.bincount(at, minlength=len(tri))
         order = np.argsort(-freq, kind="stable")
         place = np.empty(len(tri), np.uint32)
         place[order] = np.arange(len(tri), dtype=np.uint32)
-        table = tri[order].view(rows.dtype)
-        out.append((pack(table), pack(place[at]), r["ids"], r["lens"], r["flags"]))
+        out.append((pack(tri[order].ravel()), pack(place[at]), r["ids"], r["lens"], r["flags"]))
     cols = list(zip(*out, strict=True)) if out else [[]] * 5
     return pa.table({k: pa.array(c, pa.binary()) for k, c in zip(("counts", "tokens", "ids", "lens", "flags"), cols, strict=True)})
 

@@ -67,7 +67,7 @@ def shared_folder(spark: SparkSession, what: str) -> str:
 def written(df: DataFrame, what: str) -> tuple[DataFrame, str]:
     """The rows as compressed Parquet in a shared folder, read again, and the folder."""
     path = shared_folder(df.sparkSession, what)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.block.size", 32 << 20).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
