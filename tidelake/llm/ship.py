@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 _PACKAGE = Path(__file__).resolve().parents[1]
 _SHIPPED: set[str] = set()
 
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 #: Largest file that may be broadcast: vocabularies and models, never rows.
 MAX_BROADCAST_BYTES = 64 << 20
 
@@ -65,9 +67,17 @@ def shared_folder(spark: SparkSession, what: str) -> str:
 
 
 def written(df: DataFrame, what: str) -> tuple[DataFrame, str]:
-    """The rows as compressed Parquet in a shared folder, read again, and the folder."""
-    path = shared_folder(df.sparkSession, what)
-    df.write.option("compression", "zstd").option("parquet.block.size", 32 << 20).parquet(path)
+    """The rows as compressed Parquet in a shared folder, read again, and the folder.
+
+    The shuffle files of the plan go as soon as all rows are written.
+    """
+    path, conf = shared_folder(df.sparkSession, what), df.sparkSession.conf
+    before = conf.get(_CLEAN_UP, None)
+    conf.set(_CLEAN_UP, "true")
+    try:
+        df.write.option("compression", "zstd").option("parquet.block.size", 32 << 20).parquet(path)
+    finally:
+        conf.set(_CLEAN_UP, before) if before is not None else conf.unset(_CLEAN_UP)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
