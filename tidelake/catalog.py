@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from tidelake.plans import feature_queries
+from tidelake.plans import feature_queries, relational_queries, target_queries
 from tidelake.plans.base import Query
 
-_REGISTRIES = [feature_queries.R]
+_REGISTRIES = [feature_queries.R, relational_queries.R, target_queries.R]
 
 
 def queries() -> dict[str, Query]:
