@@ -44,6 +44,13 @@ def classes(df: DataFrame, k: int = 6, cost: float = COST, band: float = 0.005,
     return apply(df, {f"profitable_{k}h": profitable, f"direction_{k}h": direction, f"quintile_{k}h": F.when(r.isNotNull(), quintile(F.col("rk"), F.col("cnt")))})
 
 
+def _touch(stop: Column, take: Column, direction: int):
+    """What a bar does to a position: -1 stop, 1 take, 0 neither."""
+    if direction > 0:
+        return lambda x: F.when(x.l <= stop, -1).when(x.h >= take, 1).otherwise(0)
+    return lambda x: F.when(x.h >= stop, -1).when(x.l <= take, 1).otherwise(0)
+
+
 def exits(df: DataFrame, pairs: list[tuple[float, float]], horizons: list[int], direction: int = 1, tag: str = "") -> DataFrame:
     """First touch of stop-loss or take-profit (in percent) within a horizon.
 
@@ -57,9 +64,7 @@ def exits(df: DataFrame, pairs: list[tuple[float, float]], horizons: list[int],
     for sl, tp in pairs:
         stop, take = c * (1 - direction * sl / 100), c * (1 + direction * tp / 100)
         for k in horizons:
-            hit_s = (lambda x, stop=stop: x.l <= stop) if direction > 0 else (lambda x, stop=stop: x.h >= stop)
-            hit_t = (lambda x, take=take: x.h >= take) if direction > 0 else (lambda x, take=take: x.l <= take)
-            kinds = F.transform(F.slice("path", 1, k), lambda x, a=hit_s, b=hit_t: F.when(a(x), -1).when(b(x), 1).otherwise(0))
+            kinds = F.transform(F.slice("path", 1, k), _touch(stop, take, direction))
             at = F.transform(kinds, lambda x: (x != 0).cast("int"))
             first = F.array_position(at, F.lit(1)).cast("int")
             kind = F.when(first > 0, F.get(kinds, first - 1)).when(F.size("path") >= k, 0)
