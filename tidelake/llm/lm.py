@@ -11,7 +11,7 @@ counts of its distinct words and bigrams: keys go to the range of hashes that
 they belong to, sums come back. So a word that is in every text crosses the
 network once for each block, no count table is ever broadcast, and nothing
 but sums over frequency classes reaches the driver. Words are known by 64-bit
-hashes.
+hashes, bigrams by shorter ones (SPARE_BITS), which halves what is moved.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ from . import ship
 
 #: Tokens of a block; the ranges of hashes for each block.
 BLOCK_TOKENS = 1_000_000
+#: Bigrams are known by the tokens' logarithm and so many more bits: one in 2 ** SPARE_BITS shares its key.
+SPARE_BITS = 20
 END = 0  # the end token's hash; no word has it
 BUCKETS = 40
 #: Frequencies are told apart to a part of an octave when weights are learned.
@@ -102,7 +104,7 @@ def _encode_blocks(batches):
 class _Block:
     """A decoded block: keys of its tokens and their distinct, sorted keys of both kinds."""
 
-    def __init__(self, words: bytes, tokens: bytes, lens: bytes, flags: bytes):
+    def __init__(self, words: bytes, tokens: bytes, lens: bytes, flags: bytes, width: int):
         hashes, self.tok = unpack(words), unpack(tokens)
         self.lens, self.flags = unpack(lens), unpack(flags)
         first = np.cumsum(np.r_[0, self.lens[:-1]])
@@ -112,7 +114,7 @@ class _Block:
         self.flag = np.repeat(self.flags, self.lens)
         self.uni, inv = np.unique(hashes, return_inverse=True)
         self.word_at = inv  # word -> place in uni
-        self.bi, self.bi_first, self.bi_at = np.unique(mix64(hashes[before], hashes[self.tok]), return_index=True, return_inverse=True)
+        self.bi, self.bi_first, self.bi_at = np.unique(mix64(hashes[before], hashes[self.tok]) >> np.uint64(64 - width), return_index=True, return_inverse=True)
 
     def counts(self) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """For words and for bigrams: keys, counts in training texts, counts in those to tune on."""
@@ -123,13 +125,13 @@ class _Block:
         return out
 
 
-def _requests(bits: int):
+def _requests(bits: int, width: int):
     def run(batches):
         for b in batches:
             for r in b.to_pylist():
                 rows = []
-                for kind, (keys, train, tune) in enumerate(_Block(r["words"], r["tokens"], r["lens"], r["flags"]).counts()):
-                    part = (keys >> np.uint64(64 - bits)).astype(np.int64)
+                for kind, (keys, train, tune) in enumerate(_Block(r["words"], r["tokens"], r["lens"], r["flags"], width).counts()):
+                    part = (keys >> np.uint64((width if kind else 64) - bits)).astype(np.int64)
                     cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]).tolist() + [len(keys)]
                     for i, j in zip(cuts, cuts[1:], strict=False):
                         delta = np.diff(keys[i:j], prepend=keys.dtype.type(0))
@@ -156,30 +158,34 @@ def _sum_part(table: pa.Table) -> pa.Table:
     return pa.table(cols | {k: pa.array([s[i] for s in sums], pa.int64()) for i, k in enumerate(("n", "v", "n_rest", "v_rest"))})
 
 
-def _answered(block: pa.Table, answers: pa.Table) -> pa.Table:
+def _answered(width: int):
     """A block's texts with each token as a place in a table of counts: c(h,w), c(h), c(w), each in all and in tuned texts."""
-    answers = answers.sort_by("part")
-    got = [np.concatenate([unpack(x.as_py()) for x in answers.column(c)]) for c in ("train", "tune")]
-    out = []
-    for r in block.to_pylist():
-        b = _Block(r["words"], r["tokens"], r["lens"], r["flags"])
-        cut = len(b.uni)
-        uni, bi = [g[:cut][b.word_at] for g in got], [g[cut:] for g in got]
-        # one row of counts for each distinct bigram, then for each distinct row; rows are told apart by a hash
-        h, w = b.before[b.bi_first], b.tok[b.bi_first]
-        rows = np.stack([x for two, one in zip(bi, uni, strict=True) for x in (two, one[h], one[w])], axis=1)
-        mixed = rows[:, 0].copy()
-        for k in range(1, 6):
-            mixed = mix64(mixed, rows[:, k])
-        _, first, at = np.unique(mixed, return_index=True, return_inverse=True)
-        tri, at = rows[first], at[b.bi_at]
-        freq = np.bincount(at, minlength=len(tri))
-        order = np.argsort(-freq, kind="stable")
-        place = np.empty(len(tri), np.uint32)
-        place[order] = np.arange(len(tri), dtype=np.uint32)
-        out.append((pack(tri[order].ravel()), pack(place[at]), r["ids"], r["lens"], r["flags"]))
-    cols = list(zip(*out, strict=True)) if out else [[]] * 5
-    return pa.table({k: pa.array(c, pa.binary()) for k, c in zip(("counts", "tokens", "ids", "lens", "flags"), cols, strict=True)})
+
+    def run(block: pa.Table, answers: pa.Table) -> pa.Table:
+        answers = answers.sort_by("part")
+        got = [np.concatenate([unpack(x.as_py()) for x in answers.column(c)]) for c in ("train", "tune")]
+        out = []
+        for r in block.to_pylist():
+            b = _Block(r["words"], r["tokens"], r["lens"], r["flags"], width)
+            cut = len(b.uni)
+            uni, bi = [g[:cut][b.word_at] for g in got], [g[cut:] for g in got]
+            # one row of counts for each distinct bigram, then for each distinct row; rows are told apart by a hash
+            h, w = b.before[b.bi_first], b.tok[b.bi_first]
+            rows = np.stack([x for two, one in zip(bi, uni, strict=True) for x in (two, one[h], one[w])], axis=1)
+            mixed = rows[:, 0].copy()
+            for k in range(1, 6):
+                mixed = mix64(mixed, rows[:, k])
+            _, first, at = np.unique(mixed, return_index=True, return_inverse=True)
+            tri, at = rows[first], at[b.bi_at]
+            freq = np.bincount(at, minlength=len(tri))
+            order = np.argsort(-freq, kind="stable")
+            place = np.empty(len(tri), np.uint32)
+            place[order] = np.arange(len(tri), dtype=np.uint32)
+            out.append((pack(tri[order].ravel()), pack(place[at]), r["ids"], r["lens"], r["flags"]))
+        cols = list(zip(*out, strict=True)) if out else [[]] * 5
+        return pa.table({k: pa.array(c, pa.binary()) for k, c in zip(("counts", "tokens", "ids", "lens", "flags"), cols, strict=True)})
+
+    return run
 
 
 def bucket(c: np.ndarray) -> np.ndarray:
@@ -262,12 +268,15 @@ def score_texts(docs: DataFrame, train: Column, tune: Column, id_col: str = "doc
     blocks, p1 = ship.written(rows.mapInArrow(_encode_blocks, "block long, words binary, tokens binary, ids binary, lens binary, flags binary"), "lm-blocks")
     n_blocks = blocks.count()
     bits = max(4, (2 * n_blocks).bit_length())
-    asked = blocks.select("block", "words", "tokens", "lens", "flags").mapInArrow(_requests(bits), "part long, block long, keys binary, train binary, tune binary")
+    width = min(64, max(48, (n_blocks * BLOCK_TOKENS).bit_length() + SPARE_BITS))
+    asked = blocks.select("block", "words", "tokens", "lens", "flags").mapInArrow(_requests(bits, width), "part long, block long, keys binary, train binary, tune binary")
     summed = asked.groupBy("part").applyInArrow(_sum_part, "block long, part long, train binary, tune binary, n long, v long, n_rest long, v_rest long")
     answers, p2 = ship.written(summed, "lm-answers")
+    del asked, summed
+    ship.free_shuffles(spark)
     size = answers.where(F.col("part") < 1 << bits).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "v", "n_rest", "v_rest")]).first()
     back = answers.select("block", "part", "train", "tune")
-    done = blocks.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(_answered, "counts binary, tokens binary, ids binary, lens binary, flags binary")
+    done = blocks.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(_answered(width), "counts binary, tokens binary, ids binary, lens binary, flags binary")
     coded, _ = ship.written(done, "lm-coded")
     ship.removed(spark, p1)
     ship.removed(spark, p2)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -85,3 +86,9 @@ def removed(spark: SparkSession, path: str) -> None:
     """Delete a folder that ``written`` made."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Let go of shuffle files whose frames are gone, rather than when the driver's heap happens to fill."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
