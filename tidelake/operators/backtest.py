@@ -81,7 +81,7 @@ def folds(df: DataFrame, train: int, test: int, purge: int = 12, expanding: bool
 def regimes(df: DataFrame, col: str) -> DataFrame:
     """Rows above and at or below the median of a column."""
     q = df.groupBy("sym").agg(F.percentile(col, 0.5).alias("med"))
-    return df.join(F.broadcast(q), "sym").withColumn("regime", F.when(F.col(col) > F.col("med"), "high").otherwise("low")).drop("med")
+    return df.join(q, "sym").withColumn("regime", F.when(F.col(col) > F.col("med"), "high").otherwise("low")).drop("med")
 
 
 def monte_carlo(df: DataFrame, ret: str, share: Column, runs: int = 1000, seed: int = 42) -> DataFrame:

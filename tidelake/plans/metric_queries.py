@@ -28,7 +28,7 @@ def trades(s, d) -> DataFrame:
     """Returns of trades with days and bars of their series."""
     b = signals(s, d)
     size = b.groupBy("sym").agg(F.count("*").alias("bars"), (F.count("*") / 6).alias("days"))
-    return b.where("sig <> 0 and ret is not null").select("sym", "t", (F.col("sig") * F.col("ret")).alias("r")).join(F.broadcast(size), "sym")
+    return b.where("sig <> 0 and ret is not null").select("sym", "t", (F.col("sig") * F.col("ret")).alias("r")).join(size, "sym")
 
 
 def _sharpe_sql(k: m.Sharpe) -> str:

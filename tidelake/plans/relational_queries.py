@@ -210,7 +210,7 @@ R.add("a11_var_shortfall", f"with {BARS}, r as (select sym, {div('c', lag('c'))}
 
 def var_shortfall(df: DataFrame) -> DataFrame:
     q = df.groupBy("sym").agg(F.percentile("r", 0.05).alias("q"))
-    return df.join(F.broadcast(q), "sym").groupBy("sym").agg(r6(F.first("q"), "var95"), r6(F.avg(F.when(F.col("r") <= F.col("q"), F.col("r"))), "es"))
+    return df.join(q, "sym").groupBy("sym").agg(r6(F.first("q"), "var95"), r6(F.avg(F.when(F.col("r") <= F.col("q"), F.col("r"))), "es"))
 
 
 _SMALL = "l_discount - 0.05"
