@@ -20,11 +20,18 @@ def col(c: Column | str) -> Column:
 
 
 class Series:
-    """Windows of one key and order."""
+    """Windows of one key and order; built when asked for, so that modules can hold one before there is a session."""
 
     def __init__(self, key: str | list[str] = "sym", order: str = "ts"):
-        self.o = Window.partitionBy(*([key] if isinstance(key, str) else key)).orderBy(order)
-        self.past = self.o.rowsBetween(Window.unboundedPreceding, 0)
+        self.key, self.order = [key] if isinstance(key, str) else list(key), order
+
+    @property
+    def o(self):
+        return Window.partitionBy(*self.key).orderBy(self.order)
+
+    @property
+    def past(self):
+        return self.o.rowsBetween(Window.unboundedPreceding, 0)
 
     def w(self, k: int):
         return self.o.rowsBetween(-(k - 1), 0)
@@ -106,6 +113,13 @@ class Series:
         return F.row_number().over(self.o)
 
 
+def corr(a: Column | str, b: Column | str) -> Column:
+    """Pearson correlation of pairs without nulls as an aggregate; NULL (no error) where a side is constant."""
+    both = col(a).isNotNull() & col(b).isNotNull()
+    x, y = F.when(both, col(a)), F.when(both, col(b))
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def flag(c: Column) -> Column:
     """A condition as 0/1; unknown is 0."""
     return F.coalesce(c.cast("int"), F.lit(0))

@@ -21,7 +21,12 @@ EPS = 1e-10
 Stage = dict[str, Column]
 MA_PERIODS = (6, 8, 12, 13, 21, 34, 42, 55, 84, 89, 144, 180)
 RSI_PERIODS = (6, 9, 14, 21, 42)
-c, h, l, o, v = (F.col(x) for x in "chlov")  # noqa: E741
+
+
+def _bar(names: str):
+    """Columns of the bars by their letters."""
+    out = tuple(F.col(x) for x in names)
+    return out if len(out) > 1 else out[0]
 
 
 def apply(df: DataFrame, *stages: Stage) -> DataFrame:
@@ -36,25 +41,30 @@ def _div(a, b) -> Column:
 
 
 def returns(ks=(1, 3, 6, 12, 42, 84)) -> list[Stage]:
+    c = _bar("c")
     return [{f"price_return_{k}h": S.pct_change(c, k) for k in ks} | {f"price_log_return_{k}h": F.ln(F.when(_div(c, S.lag(c, k)) > 0, _div(c, S.lag(c, k)))) for k in ks}]
 
 
 def atr(ks=(7, 14, 21)) -> list[Stage]:
+    c, h, l = _bar("chl")  # noqa: E741
     tr = F.greatest(h - l, F.abs(h - S.lag(c)), F.abs(l - S.lag(c)))
     return [{"tr": tr}, {f"price_atr_{k}": S.mean("tr", k) for k in ks} | {f"price_atr_{k}_pct": _div(S.mean("tr", k), c) for k in ks}]
 
 
 def volatility(ks=(6, 42, 180), pk=(6, 42)) -> list[Stage]:
+    c = _bar("c")
     ratio = _div(c, S.lag(c))
     out = {f"price_realized_vol_{k}h": S.std("lr", k) * math.sqrt(6 * 365) for k in ks}
     return [{"lr": F.ln(F.when(ratio > 0, ratio))}, out | {f"price_parkinson_vol_{k}h": S.parkinson("h", "l", k) for k in pk}]
 
 
 def sma(ks=(20, 50, 100, 200)) -> list[Stage]:
+    c = _bar("c")
     return [{f"price_sma_{k}": S.mean(c, k) for k in ks} | {f"price_vs_sma_{k}": _div(c, S.mean(c, k)) - 1 for k in ks}]
 
 
 def bollinger(ks=(20, 50)) -> list[Stage]:
+    c = _bar("c")
     out = {}
     for k in ks:
         m, s = S.mean(c, k), S.std(c, k)
@@ -67,6 +77,7 @@ def zscores(col: str = "c", name: str = "price", ks=(24, 168, 720)) -> list[Stag
 
 
 def ranges(ks=(24, 168, 720)) -> list[Stage]:
+    c, h, l = _bar("chl")  # noqa: E741
     out = {}
     for k in ks:
         hi, lo = S.roll(F.max, h, k), S.roll(F.min, l, k)
@@ -75,23 +86,28 @@ def ranges(ks=(24, 168, 720)) -> list[Stage]:
 
 
 def stochastic(ks=(14, 28)) -> list[Stage]:
+    c, h, l = _bar("chl")  # noqa: E741
     k_ = lambda k: 100 * (c - S.roll(F.min, l, k)) / (S.roll(F.max, h, k) - S.roll(F.min, l, k) + EPS)
     return [{f"price_stoch_k_{k}": k_(k) for k in ks}, {f"price_stoch_d_{k}": S.mean(f"price_stoch_k_{k}", 3) for k in ks}]
 
 
 def roc(ks=(10, 20, 50)) -> list[Stage]:
+    c = _bar("c")
     return [{f"price_roc_{k}": S.pct_change(c, k) * 100 for k in ks}]
 
 
 def cci(ks=(14, 20)) -> list[Stage]:
+    c, h, l = _bar("chl")  # noqa: E741
     return [{"tp": (h + l + c) / 3}, {f"price_cci_{k}": (F.col("tp") - S.mean("tp", k)) / (0.015 * S.mad("tp", k) + EPS) for k in ks}]
 
 
 def williams(ks=(14, 28)) -> list[Stage]:
+    c, h, l = _bar("chl")  # noqa: E741
     return [{f"price_williams_r_{k}": -100 * (S.roll(F.max, h, k) - c) / (S.roll(F.max, h, k) - S.roll(F.min, l, k) + EPS) for k in ks}]
 
 
 def volume() -> list[Stage]:
+    c, v = _bar("cv")
     return [
         {"price_volume_sma_20_ratio": _div(v, S.mean(v, 20)), "dc": F.signum(S.diff(c)) * v, "pv": c * v},
         {"price_volume_trend_5": S.diff("price_volume_sma_20_ratio", 5), "price_obv": F.when(F.col("dc").isNotNull(), S.cumsum("dc")), "price_vwap_6c": _div(S.roll(F.sum, "pv", 6), S.roll(F.sum, v, 6))},
@@ -100,16 +116,19 @@ def volume() -> list[Stage]:
 
 
 def taker(k: int = 42) -> list[Stage]:
+    v = _bar("v")
     return [{"taker_buy_ratio": _div(F.col("tb"), v)}, {"price_taker_buy_zscore": S.zscore("taker_buy_ratio", k)}]
 
 
 def swings(ks=(20, 50)) -> list[Stage]:
+    h, l = _bar("hl")  # noqa: E741
     hh, ll = flag(h > S.lag(h)), flag(l < S.lag(l))
     out = {f"price_hh_count_{k}": S.roll(F.sum, "hh", k) for k in ks} | {f"price_ll_count_{k}": S.roll(F.sum, "ll", k) for k in ks}
     return [{"hh": hh, "ll": ll}, out, {f"price_hh_ll_diff_{k}": F.col(f"price_hh_count_{k}") - F.col(f"price_ll_count_{k}") for k in ks}]
 
 
 def consolidation(ks=(20, 50)) -> list[Stage]:
+    h, l = _bar("hl")  # noqa: E741
     span = lambda k: S.roll(F.max, h, k) - S.roll(F.min, l, k)
     return [{f"price_consolidation_{k}": _div(span(k), span(2 * k)) for k in ks}]
 
@@ -194,6 +213,7 @@ def calendar() -> list[Stage]:
 # recursive means: linear scans over sorted series
 def ema_features(df: DataFrame, periods=MA_PERIODS) -> DataFrame:
     """price_ema_p, price_vs_ema_p, price_ema_p_slope and the alignment of the five shortest; one pass for all periods."""
+    c = _bar("c")
     alphas = np_array([2 / (p + 1) for p in periods])
 
     def step(state, x):
@@ -223,6 +243,7 @@ def np_array(x):
 
 def rsi(df: DataFrame, periods=RSI_PERIODS) -> DataFrame:
     """price_rsi_p with its oversold and overbought flags; recursive means of gains and losses, all periods in one pass."""
+    c = _bar("c")
     alphas = np_array([1 / p for p in periods])
 
     def step(state, gain, loss):
@@ -254,6 +275,7 @@ def macd(df: DataFrame) -> DataFrame:
 
 # interactions, lags and the shift
 def divergences(rsi_cols: list[str], bars: int = 6, slow: int = 48) -> list[Stage]:
+    c = _bar("c")
     out = {}
     for r in rsi_cols:
         up, down = c > S.lag(c, slow // bars), c < S.lag(c, slow // bars)
@@ -302,6 +324,7 @@ def shifted(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def simple_targets(ks=(1, 4, 8, 24, 48, 168), cost: float = 0.0006, band: float = 0.01) -> list[Stage]:
+    c = _bar("c")
     first = {f"target_return_{k}h": _div(S.lead(c, k), c) - 1 for k in ks}
     r = lambda k: F.col(f"target_return_{k}h")
     return [first, {f"target_profitable_{k}h": flag(r(k) > cost) for k in ks} | {f"target_direction_{k}h": F.when(r(k) > band, 1).when(r(k) < -band, -1).otherwise(0) for k in ks}]

@@ -15,6 +15,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidelake.functions.windows import corr
+
 from .rowops import Condition, Rule
 
 AUC = "areaUnderROC"
@@ -53,7 +55,7 @@ def correlations(df: DataFrame, columns: list[str]) -> dict[tuple[str, str], flo
     pairs = list(itertools.combinations(columns, 2))
     if not pairs:
         return {}
-    row = df.agg(*[F.corr(a, b).alias(str(i)) for i, (a, b) in enumerate(pairs)]).first()
+    row = df.agg(*[corr(a, b).alias(str(i)) for i, (a, b) in enumerate(pairs)]).first()
     return {p: row[i] for i, p in enumerate(pairs) if row[i] is not None}
 
 
@@ -93,7 +95,7 @@ def permutation_drop(model: PipelineModel, test: DataFrame, columns: list[str],
 def importance(df: DataFrame, columns: list[str], y: str = "y") -> DataFrame:
     """Correlation, mutual information and forest permutation, scaled to 0..1, combined (.15, .2, .25 renormalised) and ranked."""
     d = _clean(df.where(F.col(y).isNotNull()), columns).withColumn("y", F.col(y).cast("double"))
-    row = d.agg(*[F.corr(c, "y").alias(c) for c in columns]).first()
+    row = d.agg(*[corr(c, "y").alias(c) for c in columns]).first()
     model = Pipeline(stages=[*_stages(columns), forest()]).fit(d)
     drop = permutation_drop(model, d, columns)
     spark = df.sparkSession

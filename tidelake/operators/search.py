@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidelake.functions import stats
 from tidelake.functions.scan import non_overlapping
-from tidelake.functions.windows import Series, flag
+from tidelake.functions.windows import Series, corr, flag
 
 from . import metrics as m
 from .features import apply
@@ -161,7 +161,7 @@ def correlated(df: DataFrame, signals: list[str], best_first: list[str], most: f
     """Signals left, best first, after removing those that correlate with a better one. One pass for all pairs."""
     names = [s for s in best_first if s in signals]
     pair = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
-    row = df.agg(*[F.corr(a, b).alias(f"{i}") for i, (a, b) in enumerate(pair)]).first() if pair else []
+    row = df.agg(*[corr(a, b).alias(f"{i}") for i, (a, b) in enumerate(pair)]).first() if pair else []
     rho = {p: row[i] for i, p in enumerate(pair)}
     out: list[str] = []
     for s in names:
@@ -272,6 +272,6 @@ def statistics(df: DataFrame, r: str = "r") -> DataFrame:
     df = apply(df.where(F.col(r).isNotNull()), {"prev": S.lag(r)})
     x = F.col(r)
     runs = F.sum(flag(F.signum(x) != F.signum("prev"))) + 1
-    out = df.groupBy("sym").agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.skewness(x).alias("skew"), F.kurtosis(x).alias("kurt"), F.corr(x, "prev").alias("autocorr"), runs.alias("runs"))
+    out = df.groupBy("sym").agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.skewness(x).alias("skew"), F.kurtosis(x).alias("kurt"), corr(x, "prev").alias("autocorr"), runs.alias("runs"))
     t = F.try_divide(F.col("mean"), F.col("std") / F.sqrt("n"))
     return out.select("*", t.alias("t"), stats.t_pvalue(t, F.col("n")).alias("p"), stats.jarque_bera(F.col("skew"), F.col("kurt"), F.col("n")).alias("normal_p"), stats.ljung_box_1(F.col("autocorr"), F.col("n")).alias("ljung_p"))

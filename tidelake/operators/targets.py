@@ -13,22 +13,21 @@ from .features import apply
 S = Series("sym", "t")
 HORIZONS = (1, 3, 6, 12, 18, 42, 84)
 COST = 0.0012
-c = F.col("c")
 
 
 def returns(df: DataFrame, hs=HORIZONS, cost: float = COST) -> DataFrame:
     out = {}
     for k in hs:
-        r = F.try_divide(S.lead("c", k), c)
+        r = F.try_divide(S.lead("c", k), F.col("c"))
         out |= {f"return_log_{k}h": F.ln(F.when(r > 0, r)), f"return_simple_{k}h": r - 1, f"return_net_{k}h": r - 1 - cost}
     return apply(df, out)
 
 
 def sharpe(df: DataFrame, hs=(3, 6, 12)) -> DataFrame:
     """Return over h bars divided by the spread of the bar returns inside them."""
-    df = apply(df, {"fr": F.try_divide(S.lead("c"), c) - 1})
+    df = apply(df, {"fr": F.try_divide(S.lead("c"), F.col("c")) - 1})
     df = apply(df, {f"fs_{k}": S.std("fr", k) for k in hs})
-    return apply(df, {f"sharpe_{k}h": (F.try_divide(S.lead("c", k), c) - 1) / (S.lead(f"fs_{k}", k - 1) * k**0.5 + 1e-8) for k in hs})
+    return apply(df, {f"sharpe_{k}h": (F.try_divide(S.lead("c", k), F.col("c")) - 1) / (S.lead(f"fs_{k}", k - 1) * k**0.5 + 1e-8) for k in hs})
 
 
 def classes(df: DataFrame, k: int = 6, cost: float = COST, band: float = 0.005, null_as_zero: bool = True) -> DataFrame:
@@ -36,7 +35,7 @@ def classes(df: DataFrame, k: int = 6, cost: float = COST, band: float = 0.005,
     from pyspark.sql import Window
 
     r = F.col("r")
-    df = apply(df, {"r": F.try_divide(S.lead("c", k), c) - 1})
+    df = apply(df, {"r": F.try_divide(S.lead("c", k), F.col("c")) - 1})
     profitable = flag(r > cost) if null_as_zero else (r > cost).cast("int")
     rank = F.row_number().over(Window.partitionBy("sym").orderBy(F.col("r").asc_nulls_last(), "t"))
     df = apply(df, {"rk": F.when(r.isNotNull(), rank), "cnt": F.count("r").over(Window.partitionBy("sym"))})
@@ -62,13 +61,13 @@ def exits(df: DataFrame, pairs: list[tuple[float, float]], horizons: list[int],
     df = apply(df, {"path": F.collect_list(F.struct("h", "l", "c")).over(S.ahead(far))})
     out = {}
     for sl, tp in pairs:
-        stop, take = c * (1 - direction * sl / 100), c * (1 + direction * tp / 100)
+        stop, take = F.col("c") * (1 - direction * sl / 100), F.col("c") * (1 + direction * tp / 100)
         for k in horizons:
             kinds = F.transform(F.slice("path", 1, k), _touch(stop, take, direction))
             at = F.transform(kinds, lambda x: (x != 0).cast("int"))
             first = F.array_position(at, F.lit(1)).cast("int")
             kind = F.when(first > 0, F.get(kinds, first - 1)).when(F.size("path") >= k, 0)
-            end = F.try_divide(F.get(F.col("path"), F.lit(k - 1)).c, c) - 1
+            end = F.try_divide(F.get(F.col("path"), F.lit(k - 1)).c, F.col("c")) - 1
             n = f"exit{tag}_sl{sl:g}_tp{tp:g}_{k}h"
             out |= {f"{n}_type": kind, f"{n}_bars": F.when(first > 0, first).when(F.size("path") >= k, k), f"{n}_return": F.when(kind == -1, -sl / 100).when(kind == 1, tp / 100).when(kind == 0, direction * end)}
     return apply(df, out).drop("path")
@@ -76,7 +75,7 @@ def exits(df: DataFrame, pairs: list[tuple[float, float]], horizons: list[int],
 
 def vol_adjusted(df: DataFrame, hs=(6, 12)) -> DataFrame:
     df = apply(df, {"br": S.pct_change("c")})
-    return apply(df, {f"return_vol_adj_{k}h": (F.try_divide(S.lead("c", k), c) - 1) / (S.std("br", max(24, k)) * k**0.5 + 1e-8) for k in hs})
+    return apply(df, {f"return_vol_adj_{k}h": (F.try_divide(S.lead("c", k), F.col("c")) - 1) / (S.std("br", max(24, k)) * k**0.5 + 1e-8) for k in hs})
 
 
 def excursions(df: DataFrame, hs=(4, 8, 24, 48)) -> DataFrame:
@@ -84,7 +83,7 @@ def excursions(df: DataFrame, hs=(4, 8, 24, 48)) -> DataFrame:
     out = {}
     for k in hs:
         whole = F.count("c").over(S.ahead(k)) == k
-        out |= {f"mae_{k}h": F.when(whole, F.try_divide(F.min("l").over(S.ahead(k)), c) - 1), f"mfe_{k}h": F.when(whole, F.try_divide(F.max("h").over(S.ahead(k)), c) - 1)}
+        out |= {f"mae_{k}h": F.when(whole, F.try_divide(F.min("l").over(S.ahead(k)), F.col("c")) - 1), f"mfe_{k}h": F.when(whole, F.try_divide(F.max("h").over(S.ahead(k)), F.col("c")) - 1)}
     return apply(df, out, {f"mfe_mae_ratio_{k}h": F.col(f"mfe_{k}h") / (F.abs(F.col(f"mae_{k}h")) + 1e-8) for k in hs})
 
 
@@ -92,7 +91,7 @@ def aligned(df: DataFrame, k: int = 6) -> DataFrame:
     """Whether the direction agrees with that of the last daily bar."""
     day = resample(df, DAY, {"c": "last"})
     day = apply(day, {"day_dir": F.signum(F.col("c") - S.lag("c"))}).select("sym", F.col("t"), "day_dir")
-    out = asof(apply(df, {"dir": F.signum(S.lead("c", k) - c)}).select("sym", "t", "dir"), day, ["sym"])
+    out = asof(apply(df, {"dir": F.signum(S.lead("c", k) - F.col("c"))}).select("sym", "t", "dir"), day, ["sym"])
     return out.withColumn("aligned", flag(F.col("dir") == F.col("day_dir")))
 
 
@@ -102,5 +101,5 @@ def entry_quality(pf: Column, sharpe_: Column, expectancy: Column, n: Column) ->
 
 
 def learning_target(df: DataFrame, k: int = 6) -> DataFrame:
-    r = F.try_divide(S.lead("c", k), c) - 1
+    r = F.try_divide(S.lead("c", k), F.col("c")) - 1
     return apply(df, {"target_return": r, "target_up": (r > 0).cast("int")})

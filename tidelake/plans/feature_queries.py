@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidelake.functions import scan as sc
 from tidelake.functions.sqlkit import P, div, lag, lead, over, roll, staged, zscore
-from tidelake.functions.windows import Series, clip, flag, quintile, row_mean, row_sum
+from tidelake.functions.windows import Series, clip, corr, flag, quintile, row_mean, row_sum
 from tidelake.operators import features as ft
 
 from .base import DAILY, Registry, bars4h, daily, shown
@@ -99,7 +99,7 @@ R.add("w22_non_overlapping", recursive("(c > 60)::int as k, case when c > 60 the
 _r1 = f"{div('c', lag('c'))} - 1"
 _returns = staged({"r": _r1}, {"r": "r"}).split(" select sym, t, round")[0]
 R.add("w23_autocorrelation", f"{_returns} select sym, round(corr(r, p), 6) as ac from (select sym, r, {lag('r')} as p from s0) group by sym")(
-    lambda s, d: ft.apply(bars4h(s, d), {"r": S.pct_change("c")}, {"p": S.lag("r")}).where("r is not null and p is not null").groupBy("sym").agg(F.round(F.corr("r", "p"), 6).alias("ac"))
+    lambda s, d: ft.apply(bars4h(s, d), {"r": S.pct_change("c")}, {"p": S.lag("r")}).where("r is not null and p is not null").groupBy("sym").agg(F.round(corr("r", "p"), 6).alias("ac"))
 )
 R.add("w24_runs", f"{_returns} select sym, sum((sign(r) <> p)::int) + 1 as runs from (select sym, r, sign({lag('r')}) as p from s0) where r is not null and p is not null group by sym")(
     lambda s, d: ft.apply(bars4h(s, d), {"r": S.pct_change("c")}, {"p": F.signum(S.lag("r"))}).where("r is not null and p is not null").groupBy("sym").agg((F.sum((F.signum("r") != F.col("p")).cast("int")) + 1).alias("runs"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelake.functions.sqlkit import BARS, P, div, lag, staged
-from tidelake.functions.windows import Series, flag
+from tidelake.functions.windows import Series, corr
 from tidelake.operators import bars as B
 from tidelake.operators import features as ft
 from tidelake.operators.rowops import Condition, Rule, avoid, by_position, fill_median, long_format, matching, numeric
@@ -200,7 +200,7 @@ R.add("a04_scalar_stats", "select round(avg(value), 6) as mean, round(stddev_sam
 _Q = [0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95]
 R.add("a07_percentiles", "select event_type, " + ", ".join(f"round(quantile_cont(value, {q}), 6) as p{int(q * 100)}" for q in _Q) + " from events group by 1")(lambda s, d: table(s, d, "events").groupBy("event_type").agg(*[r6(F.percentile("value", q), f"p{int(q * 100)}") for q in _Q]))
 R.add("a08_ddof", "select event_type, round(stddev_pop(value), 6) as s0, round(stddev_samp(value), 6) as s1 from events group by 1")(lambda s, d: table(s, d, "events").groupBy("event_type").agg(r6(F.stddev_pop("value"), "s0"), r6(F.stddev_samp("value"), "s1")))
-R.add("a09_correlation", f"with {BARS} select sym, round(corr(c, o), 6) as co, round(corr(c, v), 6) as cv from bars group by 1")(lambda s, d: bars4h(s, d).groupBy("sym").agg(r6(F.corr("c", "o"), "co"), r6(F.corr("c", "v"), "cv")))
+R.add("a09_correlation", f"with {BARS} select sym, round(corr(c, o), 6) as co, round(corr(c, v), 6) as cv from bars group by 1")(lambda s, d: bars4h(s, d).groupBy("sym").agg(r6(corr("c", "o"), "co"), r6(corr("c", "v"), "cv")))
 _SK = "select event_type, avg(value) as m, stddev_pop(value) as s from events group by 1"
 R.add("a10_moments", f"select event_type, round(avg(power((value - m) / s, 3)), 6) as skew, round(avg(power((value - m) / s, 4)) - 3, 6) as kurt from events join ({_SK}) using (event_type) group by 1")(lambda s, d: table(s, d, "events").groupBy("event_type").agg(r6(F.skewness("value"), "skew"), r6(F.kurtosis("value"), "kurt")))
 R.add("a11_var_shortfall", f"with {BARS}, r as (select sym, {div('c', lag('c'))} - 1 as r from bars), q as (select sym, quantile_cont(r, 0.05) as q from r group by 1) select sym, round(any_value(q), 6) as var95, round(avg(r) filter (where r <= q), 6) as es from r join q using (sym) group by 1")(

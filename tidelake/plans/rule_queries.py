@@ -35,13 +35,16 @@ R.add("r02_fixed_zscore", f"with {_FIT} select sym, t, case when (c - mu) / null
 _lo, _hi = roll("quantile_cont({}, 0.1)", "c", 60, 20), roll("quantile_cont({}, 0.9)", "c", 60, 20)
 _mz, _sz = roll("avg", "c", 60, 20), roll("stddev_samp", "c", 60, 20)
 R.add("r03_rolling_signals", f"with {BARS} select sym, t, case when c < {_lo} then -1 when c > {_hi} then 1 else 0 end as p, case when (c - {_mz}) / nullif({_sz}, 0) < -1 then -1 when (c - {_mz}) / nullif({_sz}, 0) > 1 then 1 else 0 end as z from bars")(lambda s, d: bars4h(s, d).select("sym", "t", rs.rolling_percentile("c", 0.1, 0.9, 180).alias("p"), rs.rolling_z("c", -1.0, 1.0, 180).alias("z")))
-_THREE = {"a": F.when(F.col("c") > 60, 1).when(F.col("c") < 30, -1).otherwise(0), "b": F.when(F.col("o") > 50, 1).when(F.col("o") < 25, -1).otherwise(0), "x": F.when(F.col("v") > 12, 1).when(F.col("v") < 9, -1).otherwise(0)}
+def _signals3():
+    return {"a": F.when(F.col("c") > 60, 1).when(F.col("c") < 30, -1).otherwise(0), "b": F.when(F.col("o") > 50, 1).when(F.col("o") < 25, -1).otherwise(0), "x": F.when(F.col("v") > 12, 1).when(F.col("v") < 9, -1).otherwise(0)}
+
+
 _three = f"{BARS}, s as (select sym, t, case when c > 60 then 1 when c < 30 then -1 else 0 end as a, case when o > 50 then 1 when o < 25 then -1 else 0 end as b, case when v > 12 then 1 when v < 9 then -1 else 0 end as x from bars), u as (select *, (a > 0)::int + (b > 0)::int + (x > 0)::int as up, (a < 0)::int + (b < 0)::int + (x < 0)::int as dn from s)"
-R.add("r04_combine", f"with {_three} select sym, t, case when a + b + x = 3 then 1 when a + b + x = -3 then -1 else 0 end as una, case when (a + b + x) * 2 > 3 then 1 when (a + b + x) * 2 < -3 then -1 else 0 end as maj from s")(lambda s, d: apply(bars4h(s, d), _THREE).select("sym", "t", rs.combine(["a", "b", "x"]).alias("una"), rs.combine(["a", "b", "x"], False).alias("maj")))
+R.add("r04_combine", f"with {_three} select sym, t, case when a + b + x = 3 then 1 when a + b + x = -3 then -1 else 0 end as una, case when (a + b + x) * 2 > 3 then 1 when (a + b + x) * 2 < -3 then -1 else 0 end as maj from s")(lambda s, d: apply(bars4h(s, d), _signals3()).select("sym", "t", rs.combine(["a", "b", "x"]).alias("una"), rs.combine(["a", "b", "x"], False).alias("maj")))
 R.add("r05_symmetric", f"with {BARS}, s as (select sym, t, c - 50 as y from bars) select sym, t, case when y < -20 then -1 when y > 20 then 1 else 0 end as a, case when y < 10 then 0 when y > -10 then 1 else 0 end as b from s")(lambda s, d: bars4h(s, d).withColumn("y", F.col("c") - 50).select("sym", "t", rs.symmetric(F.col("y"), 20).alias("a"), rs.symmetric(F.col("y"), -10).alias("b")))
 R.add("r06_fit_thresholds", f"with {_FIT} select sym, round(lo, 6) as lo, round(hi, 6) as hi, round(mu, 6) as mu, round(s0, 6) as s0, round(s1, 6) as s1 from fit")(lambda s, d: shown(_fit(s, d).dropDuplicates(["sym"]), "lo", "hi", "mu", "s0", "s1", key=("sym",)))
-R.add("r07_votes", f"with {_three} select sym, t, case when up >= 2 and up > dn then 1 when dn >= 2 and dn > up then -1 else 0 end as vote from u")(lambda s, d: apply(bars4h(s, d), _THREE).select("sym", "t", rs.votes(["a", "b", "x"]).alias("vote")))
-R.add("r08_weighted_position", f"with {_three} select sym, t, round(case when abs((3 * a + 2 * b + x) / 6.0) >= 0.3 then (3 * a + 2 * b + x) / 6.0 else 0 end, 6) as position from s")(lambda s, d: shown(bt.ensemble(apply(bars4h(s, d), _THREE), {"a": 3.0, "b": 2.0, "x": 1.0}), "position"))
+R.add("r07_votes", f"with {_three} select sym, t, case when up >= 2 and up > dn then 1 when dn >= 2 and dn > up then -1 else 0 end as vote from u")(lambda s, d: apply(bars4h(s, d), _signals3()).select("sym", "t", rs.votes(["a", "b", "x"]).alias("vote")))
+R.add("r08_weighted_position", f"with {_three} select sym, t, round(case when abs((3 * a + 2 * b + x) / 6.0) >= 0.3 then (3 * a + 2 * b + x) / 6.0 else 0 end, 6) as position from s")(lambda s, d: shown(bt.ensemble(apply(bars4h(s, d), _signals3()), {"a": 3.0, "b": 2.0, "x": 1.0}), "position"))
 
 
 def _with_ret(s, d):
@@ -110,7 +113,7 @@ def _(s, d):
 
 @R.add("r25_correlated_rules", None)
 def _(s, d):
-    b = apply(bars4h(s, d), _THREE | {"a2": F.when(F.col("c") > 58, 1).when(F.col("c") < 30, -1).otherwise(0)})
+    b = apply(bars4h(s, d), _signals3() | {"a2": F.when(F.col("c") > 58, 1).when(F.col("c") < 30, -1).otherwise(0)})
     return s.createDataFrame([(x,) for x in rs.correlated(b, ["a", "a2", "b", "x"], ["a", "a2", "b", "x"])], "signal string")
 
 
