@@ -59,6 +59,8 @@ def ema_step(alpha: float, adjust: bool):
             if v == v:
                 w = 1.0 if adjust or not seen else alpha
                 num, den, seen = num + w * v, den + w, True
+                if not adjust:
+                    num, den = num / den, 1.0
             if seen:
                 out[i] = num / den
         return (num, den, seen), [out]
