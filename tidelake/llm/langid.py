@@ -23,6 +23,7 @@ from .token_counts import slices
 #: The sample: documents of each language and words in all, at most; languages told apart, at most.
 TRAIN_DOCS, TRAIN_WORDS, MAX_LANGS = 400, 60_000, 200
 STEPS, HIDDEN = 700, 16
+SALTS = 64
 #: Bytes that the network reads in one piece; longer runs of letters are cut.
 SEGMENT = 32
 UNKNOWN = "und"
@@ -33,8 +34,11 @@ LETTERS = re.compile(r"[^\W\d_]+")
 def training_words(docs: DataFrame, lang_col: str, text_col: str, id_col: str, use: Column) -> list:
     """Words with their language and documents they are in, from a bounded sample; the same for the same rows."""
     ids = docs.where(use & F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
-    ids = ids.withColumn("rank", rank).where(F.col("rank") <= TRAIN_DOCS).select("id", "lang").orderBy("lang", "id").limit(TRAIN_DOCS * MAX_LANGS)
+    ids = ids.withColumn("h", F.xxhash64("id")).withColumn("salt", F.pmod("h", F.lit(SALTS)))
+    for key in (["lang", "salt"], ["lang"]):  # first within parts of a language, so that a common one is no single task
+        rank = F.row_number().over(Window.partitionBy(*key).orderBy("h", "id"))
+        ids = ids.withColumn("rank", rank).where(F.col("rank") <= TRAIN_DOCS).drop("rank")
+    ids = ids.select("id", "lang").orderBy("lang", "id").limit(TRAIN_DOCS * MAX_LANGS)
     rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.lower(F.col(text_col)).alias("text"))
     rows = rows.join(F.broadcast(ids.distinct()), ["id", "lang"], "left_semi")  # TRAIN_DOCS * MAX_LANGS ids at most
     words = rows.select("lang", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"(\p{L}+)")))).alias("word"))
