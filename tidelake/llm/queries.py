@@ -13,6 +13,7 @@ from .bpe import encode_texts
 from .chat import digests, format_conversations
 from .langid import identify
 from .lattice import near_vectors
+from .licenses import scan
 from .lm import score_texts
 from .mixing import mix_counts
 from .quality import assess
@@ -43,6 +44,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assess(_table(spark, sf_dir, "documents")).drop("clean_text")
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(_table(spark, sf_dir, "documents"))
+
+
 def _fold(n: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string")) % n
 
@@ -71,8 +76,8 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_token_counts": op1_token_counts, "op2_bpe": op2_bpe, "op3_chat": op3_chat, "op4_quality": op4_quality, "op6_language": op6_language, "op7_lattice": op7_lattice, "op8_simhash": op8_simhash, "op9_lm": op9_lm, "op10_mixing": op10_mixing}
+    return {"op1_token_counts": op1_token_counts, "op2_bpe": op2_bpe, "op3_chat": op3_chat, "op4_quality": op4_quality, "op5_licenses": op5_licenses, "op6_language": op6_language, "op7_lattice": op7_lattice, "op8_simhash": op8_simhash, "op9_lm": op9_lm, "op10_mixing": op10_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_quality": sql.quality_sql(), "op10_mixing": sql.mixing_sql()}
+    return {"op4_quality": sql.quality_sql(), "op5_licenses": sql.licenses_sql(), "op10_mixing": sql.mixing_sql()}

@@ -69,3 +69,25 @@ o as (select doc_id, tokens, weight, quota, passes, quota - passes * t as rest,
     sum(tokens) over (partition by base.k order by place, tokens) as so_far from base join r using (k)),
 c as (select k, max(case when so_far <= rest then place end) as cut from o group by k)
 select doc_id, tokens, round(weight, 6) as weight, quota, passes + (place <= coalesce(cut, ''))::bigint as copies from o join c using (k)"""
+
+
+def licenses_sql() -> str:
+    from . import licenses as x
+
+    def canonical(text: str) -> str:
+        e = f"regexp_replace(lower({text}), {_text(x.COPYRIGHT)}, '', 'g')"
+        for a, b in x.SPELLINGS:
+            e = f"replace({e}, {_text(a)}, {_text(b)})"
+        e = f"regexp_replace(regexp_replace({e}, {_text(x.PUNCTUATION)}, ' ', 'g'), {_text(x.BREAKS)}, chr(10), 'g')"
+        return f"trim({e}, ' ' || chr(10))"
+
+    rows = ", ".join(f"({_text(a)}, {_text(b)})" for a, b in x.KNOWN)
+    allowed = ", ".join(map(_text, x.ALLOWED))
+    whole = "case when canon <> '' then md5(replace(canon, chr(10), ' ')) end"
+    return f"""
+with k as (select digest, min(license) as license from (select license, {whole} as digest from (select license, {canonical('text')} as canon from (values {rows}) v(license, text))) group by 1),
+d as (select doc_id, {canonical("coalesce(text, '')")} as canon from documents),
+n as (select doc_id, string_agg(license, ',' order by license) as notices, bool_or(license not in ({allowed})) as bad
+  from (select distinct doc_id, license from (select doc_id, md5(trim(line)) as digest from (select doc_id, unnest(string_split(canon, chr(10))) as line from d) where line <> '') join k using (digest)) group by 1)
+select doc_id, digest, license, coalesce(notices, '') as notices, coalesce(bad, false) or coalesce(license not in ({allowed}), false) as restricted
+from (select doc_id, {whole} as digest from d) left join k using (digest) left join n using (doc_id)"""
