@@ -39,4 +39,4 @@ def staged(*stages: dict[str, str], source: str = "bars", head: str = BARS, keep
         if i < len(stages) - 1:
             sql += f", s{i} as (select *, {', '.join(f'{e} as {n}' for n, e in s.items())} from {at})"
             at = f"s{i}"
-    return f"{sql} select {keep}, {', '.join(f'round(({e})::double, {digits}) as {n}' for n, e in stages[-1].items())} from {at}"
+    return f"{sql} select {keep}, {', '.join(f'round(({e})::double, {digits}) + 0.0 as {n}' for n, e in stages[-1].items())} from {at}"

@@ -60,11 +60,11 @@ R.add("h03_equity_curve_sharpe", f"with {_T}, {_EQ}, q as (select sym, days, bar
 )
 R.add("h04_sortino", f"with {_T} select sym, round(avg(r) / stddev_samp(r) filter (where r < 0) * sqrt(count(r) / any_value(days) * 365), 6) as sortino from j group by 1")(lambda s, d: trades(s, d).groupBy("sym").agg(F.round(m.sortino(F.col("r"), F.first("days")), 6).alias("sortino")))
 R.add("h16_objective_score", f"with {_T} select sym, round(0.5 * least(greatest({_sharpe_sql(m.SHARPE['h16_objective'])} / 3, -1), 1) + 0.3 * (avg((r > 0)::int) - 0.5) * 2, 5) as score from j group by 1")(lambda s, d: trades(s, d).groupBy("sym").agg(F.round(m.objective(F.col("r"), F.lit(None).cast("double"), F.first("days")), 5).alias("score")))
-R.add("m01_shifted_returns", f"with {_T} select sym, t, round(coalesce({lag('sig')}, 0) * ret, 9) as r from s")(lambda s, d: shown(bt.strategy_returns(signals(s, d)), "r", digits=9))
+R.add("m01_shifted_returns", f"with {_T} select sym, t, round(coalesce({lag('sig')}, 0) * ret, 9) + 0.0 as r from s")(lambda s, d: shown(bt.strategy_returns(signals(s, d)), "r", digits=9))
 _DD = f"with {_T}, {_EQ}, g as (select sym, t, equity, equity / greatest(max(equity) over ({P} rows unbounded preceding), 1.0) - 1 as drawdown from e)"
 R.add("m02_equity_drawdown", f"{_DD} select sym, t, round(equity, 6) as equity, round(drawdown, 6) as drawdown from g")(lambda s, d: shown(m.equity(trades(s, d)), "equity", "drawdown"))
 R.add("m02_max_drawdown", f"{_DD} select sym, round(min(drawdown), 6) as max_drawdown from g group by 1")(lambda s, d: m.equity(trades(s, d)).groupBy("sym").agg(F.round(F.min("drawdown"), 6).alias("max_drawdown")))
-R.add("m03_cost_on_change", f"with {_T}, p as (select sym, t, ret, coalesce({lag('sig')}, 0) as pos from s) select sym, t, round(pos * ret, 9) as gross, round(pos * ret - 0.0006 * abs(pos - coalesce({lag('pos')}, 0)), 9) as r from p")(lambda s, d: shown(bt.costed(signals(s, d)), "gross", "r", digits=9))
+R.add("m03_cost_on_change", f"with {_T}, p as (select sym, t, ret, coalesce({lag('sig')}, 0) as pos from s) select sym, t, round(pos * ret, 9) + 0.0 as gross, round(pos * ret - 0.0006 * abs(pos - coalesce({lag('pos')}, 0)), 9) + 0.0 as r from p")(lambda s, d: shown(bt.costed(signals(s, d)), "gross", "r", digits=9))
 R.add("m04_trade_log", f"with {_T}, x as (select sym, t, sig as side, c as entry, {lead('c', 6)} as exit from s) select sym, t, side, entry, exit, round(side * (exit / nullif(entry, 0) - 1), 6) as gross, round(side * (exit / nullif(entry, 0) - 1) - 0.001075, 6) as net from x where side <> 0 and exit is not null")(
     lambda s, d: bt.trade_log(signals(s, d), cost=bt.round_trip()).select("sym", "t", "side", "entry", "exit", F.round("gross", 6).alias("gross"), F.round("net", 6).alias("net"))
 )
