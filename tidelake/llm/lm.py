@@ -158,8 +158,12 @@ def _sum_part(table: pa.Table) -> pa.Table:
     return pa.table(cols | {k: pa.array([s[i] for s in sums], pa.int64()) for i, k in enumerate(("n", "v", "n_rest", "v_rest"))})
 
 
-def _answered(width: int):
-    """A block's texts with each token as a place in a table of counts: c(h,w), c(h), c(w), each in all and in tuned texts."""
+def _answered(width: int, n_rest: int):
+    """A block's texts with each token as a place in a table of counts (c(h,w), c(h), c(w)), and its events to tune on.
+
+    The events are summed by bucket and rounded logarithms of both estimates
+    from the texts that are not tuned on (n_rest tokens).
+    """
 
     def run(block: pa.Table, answers: pa.Table) -> pa.Table:
         answers = answers.sort_by("part")
@@ -168,50 +172,42 @@ def _answered(width: int):
         for r in block.to_pylist():
             b = _Block(r["words"], r["tokens"], r["lens"], r["flags"], width)
             cut = len(b.uni)
-            uni, bi = [g[:cut][b.word_at] for g in got], [g[cut:] for g in got]
             # one row of counts for each distinct bigram, then for each distinct row; rows are told apart by a hash
             h, w = b.before[b.bi_first], b.tok[b.bi_first]
-            rows = np.stack([x for two, one in zip(bi, uni, strict=True) for x in (two, one[h], one[w])], axis=1)
-            mixed = rows[:, 0].copy()
-            for k in range(1, 6):
-                mixed = mix64(mixed, rows[:, k])
-            _, first, at = np.unique(mixed, return_index=True, return_inverse=True)
-            tri, at = rows[first], at[b.bi_at]
-            freq = np.bincount(at, minlength=len(tri))
-            order = np.argsort(-freq, kind="stable")
-            place = np.empty(len(tri), np.uint32)
-            place[order] = np.arange(len(tri), dtype=np.uint32)
-            out.append((pack(tri[order].ravel()), pack(place[at]), r["ids"], r["lens"], r["flags"]))
+            every, tuned = ([g[cut:], (u := g[:cut][b.word_at])[h], u[w]] for g in got)
+            freq = np.bincount(b.bi_at[(b.flag & 2) > 0], minlength=len(b.bi))
+            some = freq > 0
+            events = _events(*((a[some] - t[some]).astype(np.int64) for a, t in zip(every, tuned, strict=True)), freq[some], n_rest)
+            _, first, at = np.unique(mix64(mix64(every[0], every[1]), every[2]), return_index=True, return_inverse=True)
+            at = at[b.bi_at]
+            order = np.argsort(-np.bincount(at, minlength=len(first)), kind="stable")
+            place = np.empty(len(first), np.uint32)
+            place[order] = np.arange(len(first), dtype=np.uint32)
+            table = np.stack([x[first][order] for x in every])
+            out.append((pack(table.ravel()), pack(place[at]), r["ids"], r["lens"], pack(events.ravel())))
         cols = list(zip(*out, strict=True)) if out else [[]] * 5
-        return pa.table({k: pa.array(c, pa.binary()) for k, c in zip(("counts", "tokens", "ids", "lens", "flags"), cols, strict=True)})
+        return pa.table({k: pa.array(c, pa.binary()) for k, c in zip(("counts", "tokens", "ids", "lens", "events"), cols, strict=True)})
 
     return run
 
 
+def _events(two, ctx, one, freq, n: int) -> np.ndarray:
+    """Rows (bucket, rounded log of c(h,w)/c(h), of c(w)/n, events)."""
+    q2 = np.where(two > 0, np.rint(np.log2(np.maximum(two, 1) / np.maximum(ctx, 1)) * PER_OCTAVE), -9999).astype(np.int64)
+    q1 = np.where(one > 0, np.rint(np.log2(np.maximum(one, 1) / max(n, 1)) * PER_OCTAVE), -9999).astype(np.int64)
+    key, at = np.unique(np.stack([bucket(ctx), q2, q1], axis=1), axis=0, return_inverse=True)
+    return np.concatenate([key, np.bincount(at.ravel(), freq, len(key)).astype(np.int64)[:, None]], axis=1)
+
+
 def bucket(c: np.ndarray) -> np.ndarray:
     """The bucket of a context's frequency: 0 if unseen, else 1 + log2."""
     return np.minimum(np.where(c > 0, np.floor(np.log2(np.maximum(c, 1))).astype(np.int64) + 1, 0), BUCKETS - 1)
 
 
-def _tuning(n: int):
-    """Events of texts to tune on by bucket and by rounded logarithms of both estimates."""
-
-    def run(batches):
-        for b in batches:
-            for r in b.to_pylist():
-                c = unpack(r["counts"]).reshape(-1, 6).astype(np.int64)
-                use = np.repeat(unpack(r["flags"]) & 2, unpack(r["lens"])) > 0
-                freq = np.bincount(unpack(r["tokens"])[use], minlength=len(c))
-                some = freq > 0
-                c, freq = c[some], freq[some]
-                two, ctx, one = c[:, 0] - c[:, 3], c[:, 1] - c[:, 4], c[:, 2] - c[:, 5]
-                with np.errstate(divide="ignore"):
-                    q2 = np.where(two > 0, np.rint(np.log2(np.maximum(two, 1) / np.maximum(ctx, 1)) * PER_OCTAVE), -9999).astype(np.int64)
-                    q1 = np.where(one > 0, np.rint(np.log2(np.maximum(one, 1) / max(n, 1)) * PER_OCTAVE), -9999).astype(np.int64)
-                key, at = np.unique(np.stack([bucket(ctx), q2, q1], axis=1), axis=0, return_inverse=True)
-                yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in key.T), pa.array(np.bincount(at.ravel(), freq, len(key)).astype(np.int64))], ["bucket", "q2", "q1", "n"])
-
-    return run
+def _tuning(batches):
+    for b in batches:
+        for x in b.column("events").to_pylist():
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in unpack(x).reshape(-1, 4).T], ["bucket", "q2", "q1", "n"])
 
 
 def learn_weights(rows: list, v: int, rounds: int = ROUNDS) -> np.ndarray:
@@ -236,8 +232,7 @@ def _scores(n: int, v: int, weights: np.ndarray):
     def run(batches):
         for b in batches:
             for r in b.to_pylist():
-                c = unpack(r["counts"]).reshape(-1, 6).astype(np.float64)
-                two, ctx, one = c[:, 0], c[:, 1], c[:, 2]
+                two, ctx, one = unpack(r["counts"]).reshape(3, -1).astype(np.float64)
                 w = weights[bucket(ctx)]
                 p = w[:, 0] * two / np.maximum(ctx, 1) + w[:, 1] * one / max(n, 1) + w[:, 2] / (v + 1)
                 base = np.log10((one + 0.5) / (n + 0.5 * (v + 1)))
@@ -276,11 +271,11 @@ def score_texts(docs: DataFrame, train: Column, tune: Column, id_col: str = "doc
     ship.free_shuffles(spark)
     size = answers.where(F.col("part") < 1 << bits).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "v", "n_rest", "v_rest")]).first()
     back = answers.select("block", "part", "train", "tune")
-    done = blocks.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(_answered(width), "counts binary, tokens binary, ids binary, lens binary, flags binary")
+    done = blocks.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(_answered(width, size.n_rest), "counts binary, tokens binary, ids binary, lens binary, events binary")
     coded, _ = ship.written(done, "lm-coded")
     ship.removed(spark, p1)
     ship.removed(spark, p2)
-    classes = coded.select("counts", "tokens", "lens", "flags").mapInArrow(_tuning(size.n_rest), "bucket long, q2 long, q1 long, n long")
+    classes = coded.select("events").mapInArrow(_tuning, "bucket long, q2 long, q1 long, n long")
     weights = learn_weights(classes.groupBy("bucket", "q2", "q1").agg(F.sum("n").alias("n")).collect(), size.v_rest)  # frequency classes: bounded by the rounding
     out = coded.select("counts", "tokens", "ids", "lens").mapInArrow(_scores(size.n, size.v, weights), "id long, n_tokens long, n_known long, base_score double, score double")
     return out.select(F.col("id").cast(kind).alias(id_col), "n_tokens", "n_known", F.lit(size.n).cast("long").alias("train_tokens"), "base_score", "score")

@@ -24,6 +24,8 @@ from .ship import checkpointed
 SECTIONS, STEPS = 16, 8
 #: Rows of a block of the permutation, about.
 BLOCK_ROWS = 4096
+#: Sources whose table is broadcast, at most.
+MAX_SENT = 50_000
 ENTROPY, MAX_PASSES, SEED = 0.97, 4.0, "mix-1"
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -96,8 +98,13 @@ def plan(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", te
 
 
 def copies(docs: DataFrame, per: DataFrame) -> DataFrame:
-    """Rows with the number of times each is taken; docs: ``source_key``, ``place``."""
-    return docs.join(per, "source_key").withColumn("copies", F.col("passes") + (F.col("place") <= F.col("cut")).cast("long"))
+    """Rows with the number of times each is taken; docs: ``source_key``, ``place``.
+
+    The table of sources is sent to all tasks if it has few rows, so that a
+    source with a third of all rows is not dealt to one; else it is joined by key.
+    """
+    few = per.limit(MAX_SENT + 1).count() <= MAX_SENT
+    return docs.join(F.broadcast(per) if few else per, "source_key").withColumn("copies", F.col("passes") + (F.col("place") <= F.col("cut")).cast("long"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **limits) -> DataFrame:
