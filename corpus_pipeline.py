@@ -18,7 +18,7 @@ MIN_LANGUAGE = 0.35
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Quality rules: lines that fail go, and documents that are rejected; n_chars follows the text."""
-    judged = quality.assess(docs.withColumn("row", F.struct(*[F.col(c) for c in docs.columns])), "row").where("kept")
+    judged = quality.assess(docs.withColumn("row", F.struct(*[F.col(c) for c in docs.columns])), "row", scaled=True).where("kept")
     new = {"text": F.col("clean_text"), "n_chars": F.length("clean_text").cast("long")}
     return judged.select(*[new.get(c, F.col(f"row.{c}")).alias(c) for c in docs.columns])
 

@@ -38,3 +38,21 @@ def test_cases(spark):
     assert not got[10].kept and not got[10].base_failed
     assert got[0].clean_text is None and not got[0].kept
     assert assess(docs).count() == len(texts) + 1 and assess(docs.limit(0)).count() == 0
+
+
+def test_scaled_lines(spark):
+    words = [f"mot{i % 97}x{i % 89}" for i in range(60)]
+    long = " ".join(f"w{i * i % 211}" if i % 3 else f"u{i}" for i in range(20_000))
+    french = "Il a dit « bonjour » puis « au revoir » et il est parti vers la ville avec ses amis."
+    short = "The quick brown fox jumps over the lazy dog by the old river."
+    fine = [french, f"{' '.join(words)} read more {' '.join(words[::-1])}.", long + ".", " ".join(f"a{i % 80} b{i % 41}" for i in range(2_000)) + ".", short + "\nThis work is licensed under the terms that are given in full on another page.", short + "\nIt fell by 5 % in May."]
+    # one passage over and over, bars, a notice alone, two notices, a breadcrumb
+    junk = [" ".join(words[:50] * 20), "Home | About | Contact | Help | Terms | More | Else | Last | One | Two", "This work is licensed under the terms that are given in full on another page.", "\n".join([short, "Subscribe to our mail and click here for all of our older letters.", "Sign in to read more of the letters that we have sent."]), "Home » News » World » Town » Street » House » Room » Wall » Clock » Hand"]
+    docs = spark.createDataFrame(list(enumerate(fine + junk)), "doc_id long, text string")
+    got = {r.doc_id: r for r in assess(docs, scaled=True).collect()}
+    # lines of a small vocabulary whose windows repeat fail the base rule already
+    assert [got[i].lost_chars for i in (0, 1, 2, 5)] == [0] * 4 and all(got[i].kept for i in (0, 1, 2, 4, 5))
+    assert not any(got[i].kept for i in range(len(fine), len(fine + junk)))
+    assert got[4].clean_text == short and got[len(fine)].lost_chars > 0
+    before = {r.doc_id: r for r in assess(docs).collect()}
+    assert not any(before[i].kept for i in (0, 1, 4))
