@@ -1,6 +1,6 @@
 from oracle import rows_of, sql_rows
 
-from tidelake.llm.licenses import KNOWN, scan
+from tidelake.llm.licenses import ALLOWED, KNOWN, scan, texts
 from tidelake.llm.queries import op5_licenses
 from tidelake.llm.sql import licenses_sql
 
@@ -34,3 +34,13 @@ def test_cases(spark):
     assert all(got[i].digest is None and got[i].notices == "" and not got[i].restricted for i in (4, 5, 6))
     assert got[7].notices == "CC-BY-NC-4.0,MIT" and got[7].restricted and not got[0].restricted
     assert got[8].notices == "" and scan(docs.limit(0)).count() == 0
+
+
+def test_entire_texts(spark):
+    known = texts()
+    want = {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC0-1.0", "CC-BY-SA-4.0"}
+    assert want <= {name for name, _ in known}
+    docs = [(i, "Copyright (c) 2020 Someone\n" + text.upper()) for i, (_, text) in enumerate(known)]
+    got = {r.doc_id: r for r in scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert [got[i].license for i in range(len(known))] == [name for name, _ in known]
+    assert all(got[i].restricted == (name not in ALLOWED) for i, (name, _) in enumerate(known))

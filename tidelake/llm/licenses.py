@@ -8,6 +8,9 @@ notices. The known texts pass through the same function.
 
 from __future__ import annotations
 
+import re
+from importlib import resources
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,8 +85,25 @@ def known_digests(known: DataFrame) -> DataFrame:
     return d.where("digest is not null").groupBy("digest").agg(F.min("license").alias("license"))
 
 
+def texts() -> list[tuple[str, str]]:
+    """Entire texts from ``license_texts`` (license.txt), each as written, without what follows its terms, and, of the BSD licences, with bullets and with a title."""
+    out = []
+    for f in sorted(resources.files(__package__).joinpath("license_texts").iterdir(), key=lambda f: f.name):
+        if not f.name.endswith(".txt"):
+            continue
+        name, text = f.name.removesuffix(".txt"), f.read_text(encoding="utf-8")
+        forms = [text]
+        if end := re.search(r"(?m)^ *END OF TERMS AND CONDITIONS *$", text):
+            forms += [text[: end.end()], text[: end.start()]]
+        if name.startswith("BSD-"):
+            forms += [re.sub(r"(?m)^\d\. ", "* ", text)]
+            forms += [f"{title}\n{x}" for x in forms for title in (f"BSD {name[4]}-Clause License", f"The {name[4]}-Clause BSD License")]
+        out += [(name, x) for x in forms]
+    return out
+
+
 def standard(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(KNOWN, "license string, text string")
+    return spark.createDataFrame(KNOWN + texts(), "license string, text string")
 
 
 def scan(docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", allowed: tuple[str, ...] = ALLOWED) -> DataFrame:
