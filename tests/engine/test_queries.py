@@ -66,3 +66,15 @@ def test_learning_finds_the_signal(spark):
     models = ln.train(df, ["good", "noise"], ("linear",))
     assert ln.auc(ln.probabilities(models, {"linear": 1.0}, df, ["good", "noise"])) > 0.9
     assert any(c.feature == "good" for r in ln.tree_rules(df, ["good", "noise"]) for c in r.conditions)
+
+
+def test_folds_reach_the_end(spark):
+    from pyspark.sql import functions as F
+    from tidelake.operators import backtest as bt
+    from tidelake.operators import learning as ln
+
+    rows = [("a", t, float(t * 7 % 5), float(t * 7 % 5 > 2)) for t in range(1700)] + [("b", t, 0.0, 0.0) for t in range(80)]
+    x = spark.createDataFrame(rows, "sym string, t long, x double, y double")
+    tested = bt.folds(x, 60, 30).where("part = 'test'").groupBy("sym").agg(F.min("t").alias("a"), F.max("t").alias("b"), F.count("*").alias("n")).collect()
+    assert {(r.sym, r.a, r.b, r.n) for r in tested} == {("a", 72, 1699, 1628), ("b", 72, 79, 8)}
+    assert [r.fold for r in ln.walk_forward(x.where("sym = 'a' and t < 200"), ["x"], 60, 40).orderBy("fold").collect()] == [0, 1, 2, 3]

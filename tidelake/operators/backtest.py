@@ -67,11 +67,15 @@ def periods(df: DataFrame, n: int = 3, share: float = 0.7) -> DataFrame:
     return apply(df, {"oos": (F.col("i") - F.col("period") * F.col("size") >= F.floor(F.col("size") * share))})
 
 
-def folds(df: DataFrame, train: int, test: int, purge: int = 12, expanding: bool = True, most: int = 50) -> DataFrame:
-    """Walk-forward folds as rows (fold, part): each row of the series once per fold it belongs to."""
+def folds(df: DataFrame, train: int, test: int, purge: int = 12, expanding: bool = True, most: int | None = None) -> DataFrame:
+    """Walk-forward folds as rows (fold, part): each row of the series once per fold it belongs to; by default as many folds as the series has."""
+    from pyspark.sql import Window
+
     df = apply(df, {"i": S.row() - 1})
-    fold = F.explode(F.sequence(F.lit(0), F.lit(most - 1))).alias("fold")
-    out = df.select("*", fold)
+    own = F.ceil((F.count("*").over(Window.partitionBy("sym")) - train - purge) / test).cast("int")
+    df = df.withColumn("_n", own if most is None else F.lit(most)).where("_n > 0")
+    fold = F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("fold")
+    out = df.select("*", fold).drop("_n")
     start = train + F.col("fold") * test
     i = F.col("i")
     part = F.when((i >= start + purge) & (i < start + purge + test), "test").when((i < start) & ((i >= 0) if expanding else (i >= start - train)), "train")

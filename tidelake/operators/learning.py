@@ -169,14 +169,16 @@ def platt(df: DataFrame, p: str = "p"):
     return lambda d: model.transform(d).withColumn("calibrated", vector_to_array("_c")[1]).drop("_p", "_r", "_c", "_d")
 
 
-def walk_forward(df: DataFrame, columns: list[str], train_rows: int, test_rows: int, most: int = 3, names=("boosted_a",)) -> DataFrame:
-    """One model per fold, fitted before it and scored after a purged gap."""
-    from .backtest import folds
+def walk_forward(df: DataFrame, columns: list[str], train_rows: int, test_rows: int, purge: int = 12, names=("boosted_a",)) -> DataFrame:
+    """One model per fold, fitted before it and scored after a purged gap; as many folds as the longest series has."""
+    from .backtest import S, apply
 
-    f = folds(df, train_rows, test_rows, most=most)
+    df, i = apply(df, {"i": S.row() - 1}), F.col("i")
+    n = df.agg(F.coalesce(F.max("i") + 1, F.lit(0))).first()[0]
     out = []
-    for k in range(most):
-        a, b = f.where((F.col("fold") == k) & (F.col("part") == "train")), f.where((F.col("fold") == k) & (F.col("part") == "test"))
+    for k in range(max(0, -((train_rows + purge - n) // test_rows))):
+        start = train_rows + k * test_rows
+        a, b = df.where(i < start), df.where((i >= start + purge) & (i < start + purge + test_rows))
         if a.select("y").distinct().count() < 2 or b.isEmpty():
             continue
         models = train(a, columns, names)

@@ -64,7 +64,7 @@ def _(s, d):
 
 @R.add("l10_walk_forward", None)
 def _(s, d):
-    return ln.walk_forward(learning_frame(s, d), COLS, 60, 30, 2)
+    return ln.walk_forward(learning_frame(s, d), COLS, 60, 30)
 
 
 @R.add("l12_optimised_weights", None)
