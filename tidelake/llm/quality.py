@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
-BARS = "|>»›·•"
 SENTENCE_END = r"""[.!?…:;"”)][\x20\x09-\x0D]*$"""
 # Phrases of page furniture, matched without regard to case.
 BOILERPLATE = [
@@ -47,9 +46,12 @@ BOILERPLATE = [
 NAV_WORDS = 2
 #: A document is rejected when more than this percentage of its word characters is on failed lines.
 MAX_LOST = 40
-#: Rules by shares: bars and quotation marks apart; a navigation line has a bar in so many words, a notice line a word of a phrase.
+#: Bars, and quotation marks, whose closing ones are bars where they outnumber the opening ones.
 PLAIN_BARS, QUOTES = "|>·•", ("«»", "‹›")
+#: A navigation line has a bar in so many words, a notice line a word of a phrase.
 BAR_SHARE, NOTICE_SHARE = 10, 8
+#: Lines of FEW_WORDS to MANY_WORDS repeat by distinct words, longer ones by the share of windows that came before.
+FEW_WORDS, MANY_WORDS, MAX_AGAIN = 8, 40, 0.5
 #: Base rules.
 MIN_WORDS, MAX_REPEAT = 10, 20
 WINDOW = 5
@@ -63,18 +65,6 @@ def _count(text: Column, characters: str) -> Column:
     return F.length(F.regexp_replace(text, f"[^{characters}]+", ""))
 
 
-def line_fails(line: Column, words: Column, marks: Column) -> Column:
-    """The verdict on one line; marks: its characters that rules count, words: at least one."""
-    n, distinct = F.size(words), F.size(F.array_distinct(words))
-    symbols, bangs, bars = _count(marks, SYMBOLS), _count(marks, "!"), _count(marks, BARS)
-    punctuation = (symbols * 10 > n) | ((bangs >= 3) & (bangs * 4 > n))
-    navigation = (bars >= 2) | ((n <= NAV_WORDS) & ~line.rlike(SENTENCE_END))
-    repeated = ((n >= 8) & (n <= 40) & (distinct * 2 <= n)) | ((n > 40) & (distinct * 4 < n))
-    low = F.lower(line)
-    boilerplate = functools.reduce(lambda a, b: a | b, [F.contains(low, F.lit(p)) for p in BOILERPLATE])
-    return punctuation | navigation | repeated | boilerplate
-
-
 def _phrase_words(low: Column) -> Column:
     """Words of the line that belong to boilerplate phrases."""
     found = [F.when(F.contains(low, F.lit(p)), (F.length(low) - F.length(F.replace(low, F.lit(p), F.lit("")))) / len(p) * len(p.split())).otherwise(0) for p in BOILERPLATE]
@@ -84,35 +74,45 @@ def _phrase_words(low: Column) -> Column:
 def _again(words: Column) -> Column:
     """Windows of the line that were in it before, as a share of all its windows (of at least WINDOW words)."""
     m = F.size(words) - (WINDOW - 1)
-    h2 = _pairs(F.slice(words, 1, m + 3), F.slice(words, 2, m + 3))
-    h4 = _pairs(F.slice(h2, 1, m), F.slice(h2, 3, m))
-    return 1 - F.size(F.array_distinct(_pairs(h4, F.slice(words, WINDOW, m)))) / m
+    windows = functools.reduce(_pairs, [F.slice(words, k, m) for k in range(1, WINDOW + 1)])
+    return 1 - F.size(F.array_distinct(windows)) / m
+
+
+def _counts(x: Column) -> Column:
+    """What the verdict on a line is made of, each computed once; x: line, w (its words), marks, low (in lower case)."""
+    n = F.size(x.w)
+    arrows = [F.greatest(_count(x.marks, b) - _count(x.marks, a), F.lit(0)) for a, b in QUOTES]
+    plain = functools.reduce(lambda a, b: a + b, arrows, _count(x.marks, PLAIN_BARS))
+    marked = x.marks != ""
+    return F.struct(
+        x.line.alias("line"),
+        n.alias("n"),
+        F.length(F.array_join(x.w, "")).alias("c"),
+        F.when(marked, _count(x.marks, SYMBOLS)).otherwise(0).alias("s"),
+        F.when(marked, _count(x.marks, "!")).otherwise(0).alias("bangs"),
+        F.when(marked, plain).otherwise(0).alias("bars"),
+        F.when(n <= MANY_WORDS, F.when(n >= FEW_WORDS, F.size(F.array_distinct(x.w)) * 2 <= n).otherwise(False)).otherwise(_again(x.w) > MAX_AGAIN).alias("repeated"),
+        (_phrase_words(x.low) * NOTICE_SHARE >= n).alias("boiler"),
+    )
 
 
-def scaled_verdict(line: Column, words: Column, marks: Column) -> tuple[Column, Column]:
-    """Verdict on one line by shares of its words, however long it is: (fails, fails as a notice only).
+def _verdict(x: Column) -> Column:
+    """The line with its figures and verdicts: bad, notice (bad for its phrases only).
 
-    Quotation marks in pairs are no bars, one symbol is no table, and repetition
-    of lines over 40 words is told by repeated windows.
+    All rules are shares of the line's words, so a line doesn't fail for being
+    long. Quotation marks in pairs are no bars, and one symbol is no table.
     """
-    n, distinct = F.size(words), F.size(F.array_distinct(words))
-    symbols, bangs = _count(marks, SYMBOLS), _count(marks, "!")
-    arrows = [F.greatest(_count(marks, b) - _count(marks, a), F.lit(0)) for a, b in QUOTES]
-    bars = functools.reduce(lambda a, b: a + b, arrows, _count(marks, PLAIN_BARS))
-    punctuation = ((symbols >= 2) & (symbols * 10 > n)) | ((bangs >= 3) & (bangs * 4 > n))
-    navigation = ((bars >= 2) & (bars * BAR_SHARE >= n)) | ((n <= NAV_WORDS) & ~line.rlike(SENTENCE_END))
-    repeated = ((n >= 8) & (n <= 40) & (distinct * 2 <= n)) | F.when(n > 40, _again(words) > 0.5).otherwise(False)
-    low = F.lower(line)
-    boilerplate = _phrase_words(low) * NOTICE_SHARE >= n
-    other = punctuation | navigation | repeated
-    return other | boilerplate, boilerplate & ~other
+    punctuation = ((x.s >= 2) & (x.s * 10 > x.n)) | ((x.bangs >= 3) & (x.bangs * 4 > x.n))
+    navigation = ((x.bars >= 2) & (x.bars * BAR_SHARE >= x.n)) | ((x.n <= NAV_WORDS) & ~x.line.rlike(SENTENCE_END))
+    other = punctuation | navigation | x.repeated
+    return F.struct(x.line.alias("line"), x.n.alias("n"), x.c.alias("c"), x.s.alias("s"), (other | x.boiler).alias("bad"), (x.boiler & ~other).alias("notice"))
 
 
 def _pairs(a: Column, b: Column) -> Column:
     return F.zip_with(a, b, lambda x, y: F.xxhash64(x, y))
 
 
-def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_lost: int = MAX_LOST, scaled: bool = False) -> DataFrame:
+def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_lost: int = MAX_LOST) -> DataFrame:
     """Quality figures and verdicts of every whole text, with its cleaned text.
 
     Columns: ``id_col``, n_words, word_chars, n_symbols, n_dup_lines,
@@ -121,22 +121,21 @@ def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_
     text has no words: all counts 0, base_failed, not kept, clean_text null.
     Empty tables give empty results, repeated rows are each judged, other
     columns are not looked at. Windows are compared by 64-bit hashes of a
-    single text's windows. With ``scaled`` lines are judged by
-    ``scaled_verdict``, and a single notice line does not reject a document
+    single text's windows. A single notice line does not reject a document
     whose other lines have MIN_WORDS words.
     """
     d = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("raw"))
     d = d.withColumn("text", F.coalesce("raw", F.lit("")))
-    marks = f"[^{SYMBOLS}!{BARS}{''.join(a for a, _ in QUOTES) if scaled else ''}]+"
-    lines = F.transform(F.split("text", "\n"), lambda x: F.struct(x.alias("line"), _words(x).alias("w"), F.regexp_replace(x, marks, "").alias("marks")))
+    marks = f"[^{SYMBOLS}!{PLAIN_BARS}{''.join(a + b for a, b in QUOTES)}]+"
+    lines = F.transform(F.split("text", "\n"), lambda x: F.struct(x.alias("line"), _words(x).alias("w"), F.regexp_replace(x, marks, "").alias("marks"), F.lower(x).alias("low")))
     d = d.select("id", "raw", F.filter(lines, lambda x: F.size(x.w) > 0).alias("lines"))
-    d = d.select("*", F.flatten(F.col("lines.w")).alias("words"))
-    d = d.select("id", "raw", "lines", F.transform("words", lambda w: F.xxhash64(w)).alias("h"))
+    d = d.select("id", "raw", F.flatten(F.col("lines.w")).alias("words"), F.transform("lines", _counts).alias("counts"))
+    d = d.select("id", "raw", F.transform("counts", _verdict).alias("judged"), F.transform("words", lambda w: F.xxhash64(w)).alias("h"))
     n = F.size("h")
     m = F.greatest(n - (WINDOW - 1), F.lit(0))
     d = d.select("*", _pairs(F.slice("h", 1, F.greatest(n - 1, F.lit(0))), F.slice("h", 2, F.greatest(n - 1, F.lit(0)))).alias("h2"))
     d = d.select("*", _pairs(F.slice("h2", 1, F.greatest(n - 3, F.lit(0))), F.slice("h2", 3, F.greatest(n - 3, F.lit(0)))).alias("h4")).drop("h2")
-    d = d.select("id", "raw", "lines", n.alias("n"), _pairs(F.slice("h4", 1, m), F.slice("h", WINDOW, m)).alias("win"))
+    d = d.select("id", "raw", "judged", n.alias("n"), _pairs(F.slice("h4", 1, m), F.slice("h", WINDOW, m)).alias("win"))
     # only texts with a repeated window get their windows sorted by hash and place
     some = F.size("win") > F.size(F.array_distinct("win"))
     ordered = F.sort_array(F.transform("win", lambda x, i: F.struct(x.alias("x"), i.alias("i"))))
@@ -144,29 +143,23 @@ def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_
     again = F.filter("s", lambda v, j: (v.x == F.get(F.col("s"), j - 1).x) | (v.x == F.get(F.col("s"), j + 1).x))
     d = d.select("*", F.sort_array(F.transform(again, lambda v: v.i)).alias("p")).drop("s")
     covered = F.aggregate(F.zip_with("p", F.slice("p", 2, F.greatest(F.size("p"), F.lit(1))), lambda a, b: F.least(F.lit(WINDOW), F.coalesce(b - a, F.lit(WINDOW)))), F.lit(0), lambda t, x: t + x)
-    verdict = scaled_verdict if scaled else lambda line, w, marks: (line_fails(line, w, marks), F.lit(False))
-
-    def fields(x: Column) -> list[Column]:
-        bad, notice = verdict(x.line, x.w, x.marks)
-        return [bad.alias("bad"), notice.alias("notice"), F.size(x.w).alias("n")]
-
-    judged = F.transform("lines", lambda x: F.struct(x.line.alias("line"), *fields(x), F.length(F.array_join(x.w, "")).alias("c"), _count(x.marks, SYMBOLS).alias("s")))
     total = lambda field: F.aggregate("judged", F.lit(0).cast("long"), lambda t, x: t + field(x))
-    d = d.select("id", "raw", F.col("n").cast("long").alias("n_words"), F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"), judged.alias("judged"))
     d = d.select(
-        "*",
+        "id",
+        "raw",
+        "judged",
+        F.col("n").cast("long").alias("n_words"),
+        F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
         total(lambda x: x.c).alias("word_chars"),
         total(lambda x: x.s).alias("n_symbols"),
         total(lambda x: F.when(x.bad, x.c).otherwise(0)).alias("lost_chars"),
         (F.size("judged") - F.size(F.array_distinct("judged.line"))).cast("long").alias("n_dup_lines"),
     )
     d = d.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT))
-    little = F.col("lost_chars") * 100 <= F.col("word_chars") * max_lost
-    if scaled:
-        gone = F.filter("judged", lambda x: x.bad)
-        rest = F.aggregate(F.filter("judged", lambda x: ~x.bad), F.lit(0), lambda t, x: t + x.n)
-        little = little | ((F.size(gone) == 1) & F.exists(gone, lambda x: x.notice) & (rest >= MIN_WORDS))
-    kept = ~F.col("base_failed") & little
+    gone = F.filter("judged", lambda x: x.bad)
+    rest = F.aggregate("judged", F.lit(0), lambda t, x: t + F.when(x.bad, 0).otherwise(x.n))
+    one_notice = (F.size(gone) == 1) & F.exists(gone, lambda x: x.notice) & (rest >= MIN_WORDS)
+    kept = ~F.col("base_failed") & ((F.col("lost_chars") * 100 <= F.col("word_chars") * max_lost) | one_notice)
     # a partition number is not deterministic: without it a filter on the verdict would be pushed below all
     # steps, each of which would be written out in it again and again
     kept = kept & (F.spark_partition_id() >= 0)

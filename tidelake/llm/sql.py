@@ -11,22 +11,24 @@ def _text(s: str) -> str:
 
 def quality_sql() -> str:
     count = lambda c: f"len(regexp_replace(s.marks, '[^{c}]+', '', 'g'))"
-    n, distinct = "len(s.w)", "len(list_distinct(s.w))"
-    boiler = " or ".join(f"contains(lower(s.line), {_text(p)})" for p in q.BOILERPLATE)
-    bad = (
-        f"({count(q.SYMBOLS)} * 10 > {n} or ({count('!')} >= 3 and {count('!')} * 4 > {n}) or {count(q.BARS)} >= 2"
-        f" or ({n} <= {q.NAV_WORDS} and not regexp_matches(s.line, {_text(q.SENTENCE_END)}))"
-        f" or ({n} between 8 and 40 and {distinct} * 2 <= {n}) or ({n} > 40 and {distinct} * 4 < {n}) or {boiler})"
+    n, w = "len(s.w)", q.WINDOW
+    bars = " + ".join([count(q.PLAIN_BARS), *(f"greatest({count(b)} - {count(a)}, 0)" for a, b in q.QUOTES)])
+    phrase = " + ".join(f"(length(lower(s.line)) - length(replace(lower(s.line), {_text(p)}, ''))) / {len(p)} * {len(p.split())}" for p in q.BOILERPLATE)
+    again = f"1 - len(list_distinct(list_transform(range(1, {n} - {w - 2}), lambda i: array_to_string(s.w[i:i + {w - 1}], ' ')))) / ({n} - {w - 1})"
+    other = (
+        f"(({count(q.SYMBOLS)} >= 2 and {count(q.SYMBOLS)} * 10 > {n}) or ({count('!')} >= 3 and {count('!')} * 4 > {n})"
+        f" or ({bars} >= 2 and ({bars}) * {q.BAR_SHARE} >= {n}) or ({n} <= {q.NAV_WORDS} and not regexp_matches(s.line, {_text(q.SENTENCE_END)}))"
+        f" or ({n} between {q.FEW_WORDS} and {q.MANY_WORDS} and len(list_distinct(s.w)) * 2 <= {n}) or ({n} > {q.MANY_WORDS} and {again} > {q.MAX_AGAIN}))"
     )
     return f"""
 with d as (
   select doc_id, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: {{
       'line': x, 'w': list_filter(regexp_split_to_array(x, '{q.SPACE}'), lambda y: y <> ''),
-      'marks': regexp_replace(x, '[^{q.SYMBOLS}!{q.BARS}]+', '', 'g')}}), lambda s: len(s.w) > 0) as ls
+      'marks': regexp_replace(x, '[^{q.SYMBOLS}!{q.PLAIN_BARS}{''.join(a + b for a, b in q.QUOTES)}]+', '', 'g')}}), lambda s: len(s.w) > 0) as ls
   from documents),
 f as (
   select doc_id, ls, flatten(list_transform(ls, lambda s: s.w)) as ws,
-    list_transform(ls, lambda s: {{'bad': {bad}, 'c': len(array_to_string(s.w, '')), 's': {count(q.SYMBOLS)}}}) as js
+    list_transform(ls, lambda s: {{'other': {other}, 'boiler': ({phrase}) * {q.NOTICE_SHARE} >= {n}, 'n': {n}, 'c': len(array_to_string(s.w, '')), 's': {count(q.SYMBOLS)}}}) as js
   from d),
 win as (select doc_id, i, array_to_string(ws[i:i + {q.WINDOW - 1}], ' ') as x from (select doc_id, ws, unnest(range(1, len(ws) - {q.WINDOW - 2})) as i from f)),
 dup as (select doc_id, i, lead(i) over (partition by doc_id order by i) as nx from (select *, count(*) over (partition by doc_id, x) as k from win) where k > 1),
@@ -36,11 +38,12 @@ m as (
     coalesce(list_sum(list_transform(js, lambda j: j.s)), 0)::bigint as n_symbols,
     (len(ls) - len(list_distinct(list_transform(ls, lambda s: s.line))))::bigint as n_dup_lines,
     coalesce(r, 0)::bigint as n_repeat_words,
-    coalesce(list_sum(list_transform(js, lambda j: case when j.bad then j.c else 0 end)), 0)::bigint as lost_chars
-  from f left join rep using (doc_id))
-select *, n_words < {q.MIN_WORDS} or n_repeat_words * 100 > n_words * {q.MAX_REPEAT} as base_failed,
-  not (n_words < {q.MIN_WORDS} or n_repeat_words * 100 > n_words * {q.MAX_REPEAT}) and lost_chars * 100 <= word_chars * {q.MAX_LOST} as kept
-from m"""
+    coalesce(list_sum(list_transform(js, lambda j: case when j.other or j.boiler then j.c else 0 end)), 0)::bigint as lost_chars,
+    len(list_filter(js, lambda j: j.other)) = 0 and len(list_filter(js, lambda j: j.boiler)) = 1
+      and coalesce(list_sum(list_transform(js, lambda j: case when j.boiler then 0 else j.n end)), 0) >= {q.MIN_WORDS} as one_notice
+  from f left join rep using (doc_id)),
+b as (select *, n_words < {q.MIN_WORDS} or n_repeat_words * 100 > n_words * {q.MAX_REPEAT} as base_failed from m)
+select * exclude (one_notice), not base_failed and (lost_chars * 100 <= word_chars * {q.MAX_LOST} or one_notice) as kept from b"""
 
 
 def mixing_sql() -> str:
