@@ -1,4 +1,5 @@
 import hashlib
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -24,6 +25,17 @@ def test_round_trip(turns):
     assert "".join(chat.unescape(text[s["start"] : s["end"]]) for s in piece.spans) == "".join(c for r, c in turns if r == "assistant")
 
 
+def test_reading_is_linear():
+    def took(n):
+        text = chat.HEAD + "user" + chat.COLON + chat.escape("</turn>" * n + "\\" * n) + chat.END
+        began = time.perf_counter()
+        assert chat.read_turns(text) == [("user", "</turn>" * n + "\\" * n)]
+        return time.perf_counter() - began
+
+    took(1000)
+    assert min(took(80_000) for _ in range(3)) < 40 * min(took(10_000) for _ in range(3))
+
+
 def test_templates():
     assert Template("{% for m in ms %}{{ loop.index }}{% if not loop.last %},{% endif %}{% endfor %}").text(ms=[{}, {}, {}]) == "1,2,3"
     assert Template("a {%- if x == 'q' and not y -%} b {%- elif x %}c{% else %}d{% endif %}{# no #}").text(x="q") == "ab"

@@ -42,8 +42,10 @@ def unescape(text: str) -> str:
 def _find(text: str, what: str, at: int) -> int:
     """The first place of a control string that isn't escaped, or -1."""
     while (i := text.find(what, at)) >= 0:
-        back = len(text[:i]) - len(text[:i].rstrip("\\")) if i and text[i - 1] == "\\" else 0
-        if back % 2 == 0:
+        j = i
+        while j and text[j - 1] == "\\":
+            j -= 1
+        if (i - j) % 2 == 0:
             return i
         at = i + 1
     return -1
