@@ -34,6 +34,9 @@ def test_cases(spark):
     assert all(got[i].digest is None and got[i].notices == "" and not got[i].restricted for i in (4, 5, 6))
     assert got[7].notices == "CC-BY-NC-4.0,MIT" and got[7].restricted and not got[0].restricted
     assert got[8].notices == "" and scan(docs.limit(0)).count() == 0
+    assert sorted(map(repr, scan(docs, most=3).collect())) == sorted(map(repr, rows))  # the other way to join
+    none = scan(docs, spark.createDataFrame([], "license string, text string")).collect()
+    assert len(none) == len(rows) and not any(r.license or r.notices or r.restricted for r in none)
 
 
 def test_entire_texts(spark):

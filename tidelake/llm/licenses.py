@@ -33,6 +33,8 @@ PUNCTUATION = r"[^\p{L}\p{N}\n]+"
 BREAKS = r" *\n[ \n]*"
 #: Licences that allow use in training; others are marked.
 ALLOWED = ("Apache-2.0", "MIT", "ISC", "0BSD", "BSD-2-Clause", "CC0-1.0", "CC-BY-4.0")
+#: Known digests that are sent to the tasks, at most.
+MAX_KNOWN = 10_000
 # Licence texts and notices.
 _GRANT = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"
 _DISCLAIM = (
@@ -106,21 +108,31 @@ def standard(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(KNOWN + texts(), "license string, text string")
 
 
-def scan(docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", allowed: tuple[str, ...] = ALLOWED) -> DataFrame:
+def scan(docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", allowed: tuple[str, ...] = ALLOWED, most: int = MAX_KNOWN) -> DataFrame:
     """One row per document: ``id_col``, digest of the entire text, license (of the entire text), notices (licences of single lines), restricted.
 
     restricted: a licence or notice that is not in ``allowed``. A null text or
     one without letters has no digest and no licence. Ids are unique by
-    contract; rows that repeat an id share their notices. An empty table gives
-    an empty result; other columns are not looked at. Lines that match nothing
-    don't leave their task if the known texts are small enough to be sent.
+    contract; rows that repeat an id each get their own. An empty table gives
+    an empty result; other columns are not looked at. Every text is read once.
+    Up to ``most`` known digests are sent to the tasks, so that documents are
+    not shuffled; more are joined by key, with the same result.
     """
     known = known_digests(standard(docs.sparkSession) if known is None else known)
+    few = known.limit(most + 1).collect()
     d = docs.select(F.col(id_col).alias("id"), canonical(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("canon"))
-    lines = d.select("id", F.explode(F.split("canon", "\n")).alias("line")).where("line <> ''")
-    lines = lines.select("id", F.md5(F.trim("line").cast("binary")).alias("digest"))
-    notices = lines.join(known, "digest").select("id", "license").distinct().groupBy("id").agg(F.sort_array(F.collect_list("license")).alias("notices"))  # licences of one document: as many as are known at most
-    out = d.select("id", whole_digest(F.col("canon")).alias("digest")).join(known, "digest", "left").join(notices, "id", "left")
-    found = F.array_compact(F.array_append(F.coalesce("notices", F.array().cast("array<string>")), F.col("license")))
+    lines = F.transform(F.filter(F.split("canon", "\n"), lambda x: F.trim(x) != ""), lambda x: F.md5(F.trim(x).cast("binary")))
+    d = d.select("id", whole_digest(F.col("canon")).alias("digest"), lines.alias("lines"))
+    if len(few) <= most:
+        known = F.broadcast(docs.sparkSession.createDataFrame([tuple(r) for r in few], "digest string, license string"))
+        names = F.create_map(*[F.lit(x) for r in few for x in r]) if few else F.create_map().cast("map<string,string>")
+        hits = F.filter("lines", lambda x: x.isin([r.digest for r in few]))
+        out = d.join(known, "digest", "left").withColumn("notices", F.sort_array(F.array_distinct(F.transform(hits, lambda x: names[x]))))
+    else:
+        d = d.select(F.xxhash64("id", "digest", "lines").alias("row"), "*")  # rows that repeat an id are told apart
+        found = d.select("row", F.explode(F.array_distinct("lines")).alias("digest")).distinct().join(known, "digest")
+        notices = found.groupBy("row").agg(F.sort_array(F.collect_set("license")).alias("notices"))  # licences of one document: as many as are known at most
+        out = d.join(known, "digest", "left").join(notices, "row", "left").withColumn("notices", F.coalesce("notices", F.array().cast("array<string>")))
+    found = F.array_compact(F.array_append("notices", F.col("license")))
     ok = F.array(*[F.lit(a) for a in allowed])
-    return out.select(F.col("id").alias(id_col), "digest", "license", F.coalesce(F.array_join("notices", ","), F.lit("")).alias("notices"), (F.size(F.array_except(found, ok)) > 0).alias("restricted"))
+    return out.select(F.col("id").alias(id_col), "digest", "license", F.array_join("notices", ",").alias("notices"), (F.size(F.array_except(found, ok)) > 0).alias("restricted"))
