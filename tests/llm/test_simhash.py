@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from tidelake.llm.components import components
 from tidelake.llm.queries import op8_simhash
-from tidelake.llm.simhash import fingerprint, near_duplicates
+from tidelake.llm import simhash
+from tidelake.llm.simhash import fingerprint, near_duplicates, one_of_each
 
 
 def brute_fp(text):
@@ -84,3 +85,29 @@ def test_components(spark):
                 want[x] = i
                 todo += near[x]
     assert got == want
+
+
+def test_hot_block_keys(spark, monkeypatch):
+    """Keys with more fingerprints than a part: the same classes."""
+    monkeypatch.setattr(simhash, "PART", 8)
+    rnd = random.Random(11)
+    low = [rnd.getrandbits(40) for _ in range(60)]
+    fps = {0x123456 << 40 | x for x in low} | {0x123456 << 40 | x ^ (1 << rnd.randrange(40)) for x in low for _ in range(2)}
+    df = spark.createDataFrame([(int(np.uint64(x).astype(np.int64)),) for x in fps], "fp long")
+    got = {r.fp & (2**64 - 1): r.label & (2**64 - 1) for r in simhash.classes(df).collect()}
+    want = brute_classes({x: x for x in fps})
+    assert {x: got.get(x, x) for x in fps} == want and len(set(want.values())) < len(fps)
+
+
+def test_one_of_each(spark):
+    text = "a text of some words that is here more than once in the table"
+    rows = [(3, text, "x"), (2, text, "y"), (2, text, "y"), (None, text, "z"), (5, "another text that stands alone in here", None), (5, "another text that stands alone in here", None)]
+    rows += [(None, "this one has no id at all but must not be lost", "w"), (None, "", "e"), (9, None, "n"), (7, "same id other text of this small table", "q"), (7, "and this is the other text of the same id", "r")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, h1 string")
+    got = one_of_each(docs)
+    assert got.columns == docs.columns
+    want = [(2, text, "y"), rows[4], rows[6], (9, None, "n"), rows[9], rows[10]]
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
+    assert one_of_each(docs.limit(0)).count() == 0
+    ids = near_duplicates(docs).collect()
+    assert len(ids) == len(rows) and {r.component_id for r in ids if r.doc_id is None} == {2, 9, None} and not any(r.kept for r in ids if r.doc_id is None)

@@ -20,11 +20,14 @@ from pyspark.sql import functions as F
 
 from . import ship
 from .components import components
+from .groups import groups, parted
 
 SEED = 42
 SHINGLE = 4
 MAX_BITS = 4
 BLOCKS = 6
+#: Fingerprints of one block key that are compared in one piece, at most.
+PART = 4096
 #: Shingles whose bits are added up at once.
 STEP = 50_000
 
@@ -92,63 +95,73 @@ def span(fps: np.ndarray, max_bits: int = MAX_BITS) -> tuple[np.ndarray, np.ndar
     return np.concatenate(a), np.concatenate(b)
 
 
-def _groups(batches, column: str):
-    """Arrow tables that hold whole runs of equal keys of a sorted stream."""
-    held = None
-    for b in batches:
-        t = pa.Table.from_batches([b])
-        if held is not None:
-            t = pa.concat_tables([held, t])
-        key = t.column(column).to_numpy()
-        if not len(key):
-            continue
-        cut = int(np.searchsorted(key, key[-1], "left"))
-        if cut:
-            yield t.slice(0, cut)
-        held = t.slice(cut)
-    if held is not None:
-        yield held
+def classes(fps: DataFrame, max_bits: int = MAX_BITS, blocks: int = BLOCKS) -> DataFrame:
+    """``fp``, ``label`` (the smallest fingerprint reachable) of every fingerprint that has another near it.
 
-
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, max_bits: int = MAX_BITS, blocks: int = BLOCKS) -> DataFrame:
-    """``id_col``, fingerprint (16 hex digits), component_id, kept of every document.
-
-    Documents are linked when their fingerprints differ in at most ``max_bits``
-    bits; component_id is the smallest id reachable, kept is that of the
-    document which stands for its class. Null and empty texts have fingerprint
-    zero and are linked like any other. Ids are integers; rows that repeat an
-    id share its class. An empty table gives an empty result; other columns
-    are not looked at.
+    fps: distinct fingerprints, column ``fp``. A block key with more than PART
+    of them is dealt to pairs of parts. No rows give no rows.
     """
-    docs_fp = ship.checkpointed(fingerprints(docs, id_col, text_col, shingle))
-    distinct = docs_fp.groupBy("fp").agg(F.min("id").alias("first"))
 
     def deal(batches):
         for b in batches:
             fps = b.column("fp").to_numpy(zero_copy_only=False)
             keys = block_keys(fps.view(np.uint64), blocks, max_bits)
-            n = keys.shape[1]
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(fps, n)), pa.array(np.repeat(b.column("first").to_numpy(zero_copy_only=False), n))], ["key", "fp", "first"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(fps, keys.shape[1]))], ["key", "fp"])
 
     def link(batches):
-        for t in _groups(batches, "key"):
-            key = t.column("key").to_numpy()
-            fps, ids = t.column("fp").to_numpy().view(np.uint64), t.column("first").to_numpy()
-            first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-            sizes = np.diff(np.r_[first, len(key)])
+        for t, first in groups(batches, "key", "p", "q"):
+            fps = t.column("fp").to_numpy()
+            bits, sizes = fps.view(np.uint64), np.diff(np.r_[first, len(fps)])
             pair = first[sizes == 2]
-            pair = pair[np.bitwise_count(fps[pair] ^ fps[pair + 1]) <= max_bits]
+            pair = pair[np.bitwise_count(bits[pair] ^ bits[pair + 1]) <= max_bits]
             found = [(pair, pair + 1)]
             for at, n in zip(first[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
-                x, y = span(fps[at : at + n], max_bits)
+                x, y = span(bits[at : at + n], max_bits)
                 found.append((x + at, y + at))
             a, b = (np.concatenate(c) for c in zip(*found, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b])], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(fps[a]), pa.array(fps[b])], ["a", "b"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    dealt = distinct.mapInArrow(deal, f"key long, fp long, first {kind}")
-    links = dealt.repartition("key").sortWithinPartitions("key").mapInArrow(link, f"a {kind}, b {kind}")
-    classes = components(links)
-    named = distinct.join(classes, distinct["first"] == classes["node"], "left").select("fp", F.coalesce("component", "first").alias("component_id"))
+    dealt = parted(fps.mapInArrow(deal, "key long, fp long"), "key", "fp", PART).drop("part")
+    links = dealt.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q").mapInArrow(link, "a long, b long")
+    return components(links).select(F.col("node").alias("fp"), F.col("component").alias("label"))
+
+
+def _labelled(docs_fp: DataFrame, max_bits: int, blocks: int) -> DataFrame:
+    """Each fingerprint's smallest id and label."""
+    distinct = docs_fp.groupBy("fp").agg(F.min("id").alias("first"))
+    return distinct.join(classes(distinct.select("fp"), max_bits, blocks), "fp", "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, max_bits: int = MAX_BITS, blocks: int = BLOCKS) -> DataFrame:
+    """``id_col``, fingerprint (16 hex digits), component_id, kept of every document.
+
+    Documents are linked when their fingerprints differ in at most ``max_bits``
+    bits; component_id is the smallest id reachable, kept is that of the
+    document which stands for its class. Null and empty texts have fingerprint
+    zero and are linked like any other. Rows that repeat an id share its class.
+    A null id is no class's id (component_id is null where no row of a class
+    has one) and is not kept. An empty table gives an empty result; other
+    columns are not looked at.
+    """
+    docs_fp = ship.checkpointed(fingerprints(docs, id_col, text_col, shingle))
+    named = _labelled(docs_fp, max_bits, blocks)
+    named = named.join(named.groupBy("label").agg(F.min("first").alias("component_id")), "label").select("fp", "component_id")
     out = docs_fp.join(named, "fp")
-    return out.select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
+    return out.select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, max_bits: int = MAX_BITS, blocks: int = BLOCKS) -> DataFrame:
+    """One row of each class of near-duplicates, with the columns it had: that of the smallest id (null ids last).
+
+    Rows are known by two 64-bit hashes of all their columns, so that of rows
+    that repeat, whatever their ids, one stays. Equal rows are brought together
+    before they are moved. An empty table gives an empty result.
+    """
+    cols = [F.col(f"`{c}`") for c in docs.columns]
+    whole = [*cols, *[c.isNull() for c in cols]]
+    keys = [F.xxhash64(*whole).alias("h1"), F.xxhash64(F.lit(1), *whole).alias("h2")]
+    named = docs.select(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), *keys).alias("id"), F.col(text_col).alias("text"))
+    labelled = _labelled(ship.checkpointed(fingerprints(named, "id", "text", shingle)), max_bits, blocks)
+    stays = labelled.groupBy("label").agg(F.min("first").alias("id")).select("id.h1", "id.h2")
+    rows = docs.select(F.struct(*cols).alias("row"), *keys).dropDuplicates(["h1", "h2"])
+    return rows.join(stays, ["h1", "h2"], "left_semi").select("row.*")
