@@ -1,6 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from tidelake.llm import langid
 from tidelake.llm.gru import ByteGRU, pad
 from tidelake.llm.langid import identify
 from tidelake.llm.queries import op6_language
@@ -27,11 +28,50 @@ def test_gradient():
             assert abs((up - down) / (2 * eps) - grad[k][i]) < 2e-3, (k, i)
 
 
-def test_padding_changes_nothing():
-    net = ByteGRU(2, hidden=8)
-    alone = [net.probabilities(*pad([w])) for w in (b"abc", b"longer word")]
-    both = net.probabilities(*pad([b"abc", b"longer word"]))
-    assert np.allclose(np.concatenate(alone), both, atol=1e-5)
+def test_reader_sums_the_labels():
+    """The fast reader against the forward pass that training uses, one window at a time."""
+    net = ByteGRU(3, hidden=8, seed=5)
+    words = [b"abc", b"xyz", b"\xc3\xa9 1", b"longer text, 2"]
+    want = []
+    for w in words:
+        x, n = pad([w])
+        y, _ = net._logits(x, n)
+        e = np.exp(y - y.max(axis=2, keepdims=True))
+        want.append((e / e.sum(axis=2, keepdims=True)).sum(axis=(0, 1)))
+    read = net.reader()
+    got = [read(np.frombuffer(w, np.uint8)[None])[0] for w in words]
+    assert np.allclose(got, want, atol=1e-4)
+    both = read(np.stack([np.frombuffer(w, np.uint8) for w in words[:2]]))
+    assert np.allclose(both, want[:2], atol=1e-4)
+
+
+def test_windows():
+    text = "The  river, 12 km\u00a0long;\n" + "\u6f22\u5b57" * 40 + " \u0e44\u0e17\u0e22 end" + "x" * 100
+    cut = langid.windows(text)
+    assert all(0 < len(w) <= langid.WINDOW for w in cut) and all(w.decode() for w in cut)
+    assert "".join(b"".join(cut).decode().split()) == "".join(text.lower().split())
+    assert b"the  river, 12 km" in cut[0] and langid.windows(" \n") == langid.windows("") == []
+    assert not langid.has_letter("\u00b2 \u00bd \u2167 12 \u2026") and langid.has_letter("12 \u6f22") and langid.has_letter("\u00e9")
+
+
+def test_sample_keeps_every_language(spark, monkeypatch):
+    rows = [(i, f"text of words number {i} in here", f"l{i % 250:03d}") for i in range(1000)] + [(2000 + i, "\u6f22\u5b57" * 200, "zz") for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    sample = langid.training_windows(docs, "lang", "text", "doc_id", F.lit(True))
+    assert {lang for lang, _ in sample} == {r[2] for r in rows}
+    assert sum(lang == "zz" for lang, _ in sample) == 3 * langid.DOC_WINDOWS
+    monkeypatch.setattr(langid, "TRAIN_DOCS", 2)
+    assert len(langid.training_windows(docs.where("lang = 'l001'"), "lang", "text", "doc_id", F.lit(True))) == 2
+
+
+def test_unsegmented_script(spark):
+    """Runs of letters far longer than a window are learned and told apart."""
+    rng = np.random.default_rng(2)
+    make = lambda a, n: "".join(chr(a + int(x)) for x in rng.integers(0, 60, n))
+    rows = [(i, make(0x4E00, 300), "zh") for i in range(40)] + [(100 + i, make(0x0E01, 300), "th") for i in range(40)] + [(200 + i, " ".join(make(97, 5)[:4] for _ in range(30)), "en") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = identify(docs, F.col("doc_id") % 2 == 0).join(docs.select("doc_id", "lang"), "doc_id").where("doc_id % 2 = 1").collect()
+    assert np.mean([r.lang == r.lang_pred for r in got]) > 0.95
 
 
 def test_held_out_accuracy(spark):
@@ -43,9 +83,9 @@ def test_held_out_accuracy(spark):
 
 
 def test_cases(spark):
-    docs = spark.createDataFrame([(1, "hello there world", "en"), (2, "bonjour monde ça", "fr"), (3, None, "fr"), (4, "123 --", "en"), (5, "", None), (6, "wörld" * 20_000, None), (1, "hello there world", "en")], "doc_id long, text string, lang string").withColumn("score", F.lit("x"))
+    docs = spark.createDataFrame([(1, "hello there world", "en"), (2, "bonjour monde ça", "fr"), (3, None, "fr"), (4, "123 --", "en"), (5, "", None), (7, "\u00b2 \u00bd \u2167 3", "en"), (6, "wörld" * 20_000, None), (1, "hello there world", "en")], "doc_id long, text string, lang string").withColumn("score", F.lit("x"))
     got = {r.doc_id: r for r in identify(docs, F.lit(True)).collect()}
     assert got[1].lang_pred == "en" and got[2].lang_pred == "fr" and got[6].lang_pred in ("en", "fr")
-    assert all((got[i].lang_pred, got[i].score) == ("und", 0.0) for i in (3, 4, 5))
+    assert all((got[i].lang_pred, got[i].score) == ("und", 0.0) for i in (3, 4, 5, 7))
     assert identify(docs.limit(0), F.lit(True)).count() == 0
     assert {r.lang_pred for r in identify(docs, F.lit(False)).collect()} == {"und"}

@@ -5,6 +5,10 @@ from __future__ import annotations
 import numpy as np
 
 
+#: Rows that are read together.
+ROWS = 1024
+
+
 def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
@@ -83,12 +87,54 @@ class ByteGRU:
         both = np.concatenate([f, b], axis=2)
         return both @ self.p["o"] + self.p["ob"], (both, flip, back_x, fm, bm)
 
-    def probabilities(self, x: np.ndarray, n: np.ndarray) -> np.ndarray:
-        """Sum over a segment's bytes of the probabilities of each label (row, label)."""
-        y, _ = self._logits(x, n)
-        e = np.exp(y - y.max(axis=2, keepdims=True))
-        e /= e.sum(axis=2, keepdims=True)
-        return np.where((np.arange(x.shape[1])[:, None] < n)[:, :, None], e, 0).sum(0)
+    def reader(self):
+        """A function from windows of equal length (rows of bytes) to the sums of their bytes' probabilities (row, label).
+
+        A sigmoid is (1 + tanh(x / 2)) / 2; the halves are in the weights.
+        """
+        h, parts = self.h, {}
+        for d in "fb":
+            x, u = self.p[f"{d}x"] + self.p[f"{d}b"], self.p[f"{d}u"]
+            cut = lambda m: [np.ascontiguousarray(m[:, k * h : (k + 1) * h]) for k in range(3)]
+            (xz, xg, xc), (uz, ug, uc) = cut(x), cut(u)
+            parts[d] = (xz / 2, xg / 2, xc, uz / 2, ug / 2, uc / 2)
+        out = [np.ascontiguousarray(self.p["o"][:h].T), np.ascontiguousarray(self.p["o"][h:].T)]
+        bias = self.p["ob"][:, None]
+
+        def states(d: str, x: np.ndarray) -> np.ndarray:
+            xz, xg, xc, uz, ug, uc = parts[d]
+            width, rows = x.shape
+            kept = np.empty((width, rows, h), np.float32)
+            state = np.zeros((rows, h), np.float32)
+            z, g, r, c, a = (np.empty((rows, h), np.float32) for _ in range(5))
+            take = lambda table, at: np.take(table, at, axis=0, out=a, mode="clip")
+            for k in range(width):
+                t = k if d == "f" else width - 1 - k
+                at = x[t]
+                np.tanh(np.add(np.matmul(state, uz, out=z), take(xz, at), out=z), out=z)
+                np.tanh(np.add(np.matmul(state, ug, out=g), take(xg, at), out=g), out=g)
+                np.matmul(state, uc, out=r)
+                np.add(np.multiply(g, r, out=g), r, out=g)
+                np.tanh(np.add(g, take(xc, at), out=c), out=c)
+                np.multiply(np.subtract(state, c, out=r), z, out=r)
+                new = kept[t]
+                np.add(np.add(c, state, out=c), r, out=c)
+                np.multiply(c, np.float32(0.5), out=new)
+                state = new
+            return kept
+
+        def read(x: np.ndarray) -> np.ndarray:
+            sums = []
+            for i in range(0, len(x), ROWS):
+                part = np.ascontiguousarray(x[i : i + ROWS].T).astype(np.intp)
+                y = out[0] @ states("f", part).reshape(-1, h).T + out[1] @ states("b", part).reshape(-1, h).T + bias
+                y -= y.max(axis=0)
+                np.exp(y, out=y)
+                y /= y.sum(axis=0)
+                sums.append(y.reshape(len(y), *part.shape).sum(axis=1).T)
+            return np.concatenate(sums)
+
+        return read
 
     def loss(self, x: np.ndarray, n: np.ndarray, label: np.ndarray) -> tuple[float, dict]:
         """Mean cross-entropy over all bytes and its gradient."""
