@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
@@ -26,13 +27,13 @@ def scan(df: DataFrame, key: list[str], order: list[str], inputs: list[str], out
         for b in batches:
             if not b.num_rows:
                 continue
-            keys = list(zip(*(b.column(names.index(k)).to_pylist() for k in key), strict=True))
-            cuts = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)]
+            at = [b.column(names.index(k)) for k in key]
+            cuts = [0, *_changes(at), b.num_rows]
             cols = [b.column(names.index(c)).to_numpy(zero_copy_only=False).astype(float) for c in inputs]
             made = [[] for _ in outputs]
             for i, j in zip(cuts, cuts[1:], strict=False):
-                if keys[i] != last:
-                    last, state = keys[i], None
+                if (here := tuple(c[i].as_py() for c in at)) != last:
+                    last, state = here, None
                 state, out = step(state, *(c[i:j] for c in cols))
                 for m, o in zip(made, out, strict=True):
                     m.append(o)
@@ -46,6 +47,35 @@ def scan(df: DataFrame, key: list[str], order: list[str], inputs: list[str], out
     return dealt.mapInArrow(run, schema)
 
 
+def _changes(columns: list[pa.Array]) -> list[int]:
+    """Places of rows whose key differs from that of the row before."""
+    out = np.zeros(max(0, len(columns[0]) - 1), bool)
+    for c in columns:
+        a, b = c.slice(0, len(c) - 1), c.slice(1)
+        other = pc.or_(pc.fill_null(pc.not_equal(a, b), False), pc.xor(pc.is_null(a), pc.is_null(b)))
+        out |= other.to_numpy(zero_copy_only=False)
+    return (np.flatnonzero(out) + 1).tolist()
+
+
+#: Rows that a recurrence takes in one matrix product.
+CHUNK = 128
+
+
+def recur(x: np.ndarray, keep: float, start: float) -> np.ndarray:
+    """y[i] = keep * y[i - 1] + x[i], with ``start`` before the first row; blocks of rows by matrix products."""
+    n = len(x)
+    lag = np.subtract.outer(np.arange(CHUNK), np.arange(CHUNK))
+    weights = np.where(lag >= 0, keep ** np.maximum(lag, 0).astype(float), 0.0)
+    rows = np.zeros(-(-n // CHUNK) * CHUNK)
+    rows[:n] = x
+    out = rows.reshape(-1, CHUNK) @ weights.T
+    carried = keep ** np.arange(1, CHUNK + 1)
+    for block in out:
+        block += start * carried
+        start = block[-1]
+    return out.ravel()[:n]
+
+
 def ema_step(alpha: float, adjust: bool):
     """Exponential mean; NULL values keep the weight decaying, as with ignore_na=False."""
 
@@ -53,6 +83,12 @@ def ema_step(alpha: float, adjust: bool):
         num, den, seen = state or (0.0, 0.0, False)
         out = np.full(len(x), np.nan)
         keep = 1 - alpha
+        if not np.isnan(x).any():
+            if adjust:
+                a, b = recur(x, keep, num), recur(np.ones(len(x)), keep, den)
+                return (a[-1], b[-1], True), [a / b]
+            y = recur(alpha * x, keep, num / den if seen else x[0])
+            return (y[-1], 1.0, True), [y]
         for i, v in enumerate(x.tolist()):
             if seen:
                 num, den = num * keep, den * keep

@@ -1,8 +1,8 @@
 """Pieces of the SQL that queries are checked against."""
 
 P = "partition by sym order by t"
-BARS = """bars as (select event_type as sym, (epoch_us(ts) // 14400000000) * 14400 as t, arg_min(value, ts) as o, max(value) as h,
-  min(value) as l, arg_max(value, ts) as c, count(*)::double as v, sum(value) as n, (count(*) filter (where value > 50))::double as tb
+BARS = """bars as (select event_type as sym, (epoch_us(ts) // 14400000000) * 14400 as t, arg_min(value, (ts, event_id)) as o, max(value) as h,
+  min(value) as l, arg_max(value, (ts, event_id)) as c, count(*)::double as v, sum(value) as n, (count(*) filter (where value > 50))::double as tb
   from events group by 1, 2)"""
 
 

@@ -74,6 +74,11 @@ def binomial_pvalue(k: Column, n: Column, p: float = 0.5) -> Column:
     return _column(lambda k, n: binomial_sf(int(k), int(n), p), k.cast("double"), n.cast("double"))
 
 
+def normal_pvalue(z: Column) -> Column:
+    """Two-sided p of a standard normal value."""
+    return _column(lambda z: 2 * normal_sf(abs(z)), z.cast("double"))
+
+
 def ljung_box_1(r1: Column, n: Column) -> Column:
     """p of the Ljung-Box statistic at lag 1."""
     q = n * (n + 2) * r1 * r1 / (n - 1)

@@ -71,6 +71,12 @@ class Series:
     def quantile(self, c: Column | str, k: int, q: float, m: int | None = None) -> Column:
         return self.roll(lambda x: F.percentile(x, q), c, k, m)
 
+    def last_values(self, c: Column | str, k: Column, most: int) -> Column:
+        """The non-null values of the last k rows (k may differ by series, ``most`` at most), sorted."""
+        rows = F.collect_list(F.struct(col(c).alias("v"))).over(self.w(most))
+        part = F.slice(rows, F.greatest(F.size(rows) - k + 1, F.lit(1)), k)
+        return F.sort_array(F.transform(F.filter(part, lambda s: s.v.isNotNull()), lambda s: s.v.cast("double")))
+
     def mad(self, c: Column | str, k: int) -> Column:
         """Mean absolute deviation from the window's own mean."""
         w = self.w(k)
@@ -125,6 +131,26 @@ def flag(c: Column) -> Column:
     return F.coalesce(c.cast("int"), F.lit(0))
 
 
+def sorted_quantile(xs: Column, q: float) -> Column:
+    """Linear quantile of a sorted array; NULL if it is empty."""
+    at = (F.size(xs) - 1) * F.lit(q)
+    low, high = F.get(xs, F.floor(at).cast("int")), F.get(xs, F.ceil(at).cast("int"))
+    return low + (high - low) * (at - F.floor(at))
+
+
+def array_mean(xs: Column) -> Column:
+    return F.when(F.size(xs) > 0, F.aggregate(xs, F.lit(0.0), lambda a, x: a + x) / F.size(xs))
+
+
+def array_std(xs: Column, mean: Column) -> Column:
+    """Sample deviation of an array about its given mean, which is computed once for the array."""
+
+    def spread(s: Column) -> Column:
+        return F.sqrt(F.aggregate(s.xs, F.lit(0.0), lambda a, x: a + (x - s.m) * (x - s.m)) / (F.size(s.xs) - 1))
+
+    return F.when(F.size(xs) > 1, F.transform(F.array(F.struct(xs.alias("xs"), mean.alias("m"))), spread)[0])
+
+
 def clip(c: Column, lo: float, hi: float) -> Column:
     return F.least(F.greatest(c, F.lit(lo)), F.lit(hi))
 

@@ -13,7 +13,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelake.functions.scan import ema, scan
+from tidelake.functions.scan import ema, ema_step, scan
 from tidelake.functions.windows import Series, clip, flag, row_mean, row_sum  # noqa: F401
 
 S = Series("sym", "t")
@@ -107,11 +107,12 @@ def williams(ks=(14, 28)) -> list[Stage]:
 
 
 def volume() -> list[Stage]:
-    c, v = _bar("cv")
+    """Volume over its mean, the change of its 5-bar mean, on-balance volume, distance from the volume-weighted typical price."""
+    c, h, l, v = _bar("chlv")  # noqa: E741
     return [
-        {"price_volume_sma_20_ratio": _div(v, S.mean(v, 20)), "dc": F.signum(S.diff(c)) * v, "pv": c * v},
-        {"price_volume_trend_5": S.diff("price_volume_sma_20_ratio", 5), "price_obv": F.when(F.col("dc").isNotNull(), S.cumsum("dc")), "price_vwap_6c": _div(S.roll(F.sum, "pv", 6), S.roll(F.sum, v, 6))},
-        {"price_obv_slope": S.diff("price_obv", 5), "price_vwap_dist": _div(c, F.col("price_vwap_6c")) - 1},
+        {"price_volume_sma_20_ratio": v / (S.mean(v, 20) + EPS), "v5": S.mean(v, 5), "dc": F.signum(S.diff(c)) * v, "pv": (h + l + c) / 3 * v},
+        {"price_volume_trend_5": S.diff("v5"), "price_obv": F.when(F.col("dc").isNotNull(), S.cumsum("dc")), "price_vwap_6c": S.roll(F.sum, "pv", 6) / (S.roll(F.sum, v, 6) + EPS)},
+        {"price_obv_slope": S.diff("price_obv", 5), "price_vwap_dist": _div(c - F.col("price_vwap_6c"), F.col("price_vwap_6c"))},
     ]
 
 
@@ -141,7 +142,7 @@ def funding(col: str) -> list[Stage]:
 
 def open_interest(col: str) -> list[Stage]:
     out = {f"{col}_change_{k}h": S.pct_change(col, k) for k in (1, 4, 24, 168)} | {f"{col}_zscore_{k}h": S.zscore(col, k) for k in (168, 720)}
-    return [out, {f"{col}_accel": S.diff(f"{col}_change_1h"), f"{col}_flush": flag(F.col(f"{col}_change_4h") < -0.05)}]
+    return [out | {"step": S.diff(col)}, {f"{col}_accel": S.diff("step"), f"{col}_flush": flag(F.col(f"{col}_change_4h") < -0.05)}]
 
 
 def liquidation(col: str) -> list[Stage]:
@@ -169,13 +170,13 @@ def dollar(col: str) -> list[Stage]:
 
 
 def conditions(col: str) -> list[Stage]:
-    return [{f"{col}_tight": flag(F.col(col) > 0), f"{col}_loose": flag(F.col(col) < -0.5), f"{col}_change_5d": S.diff(col, 5)}]
+    return [{f"{col}_tight": flag(F.col(col) > 0), f"{col}_loose": flag(F.col(col) < 0), f"{col}_change_5d": S.diff(col, 5)}]
 
 
 def fear_greed(col: str) -> list[Stage]:
     x = F.col(col)
-    regime = {"extreme_fear": x <= 20, "fear": (x > 20) & (x <= 40), "neutral": (x > 40) & (x <= 60), "greed": (x > 60) & (x <= 80), "extreme_greed": x > 80}
-    extreme = flag((x <= 20) | (x > 80))
+    regime = {"extreme_fear": x < 20, "fear": (x >= 20) & (x < 40), "neutral": (x >= 40) & (x < 60), "greed": (x >= 60) & (x < 80), "extreme_greed": x >= 80}
+    extreme = flag((x < 20) | (x > 80))
     first = {f"{col}_{n}": flag(e) for n, e in regime.items()} | {f"{col}_zscore_{k}d": S.zscore(col, k) for k in (30, 90)} | {f"{col}_change_7d": S.diff(col, 7), "ext": extreme}
     calm = F.sum(1 - F.col("ext")).over(S.past)
     run = Series(["sym", "calm"], "t")
@@ -214,19 +215,8 @@ def calendar() -> list[Stage]:
 def ema_features(df: DataFrame, periods=MA_PERIODS) -> DataFrame:
     """price_ema_p, price_vs_ema_p, price_ema_p_slope and the alignment of the five shortest; one pass for all periods."""
     c = _bar("c")
-    alphas = np_array([2 / (p + 1) for p in periods])
-
-    def step(state, x):
-        import numpy as np
-
-        num, den = state or (np.zeros(len(alphas)), np.zeros(len(alphas)))
-        out = np.empty((len(x), len(alphas)))
-        for i, value in enumerate(x):
-            num, den = num * (1 - alphas) + value, den * (1 - alphas) + 1
-            out[i] = num / den
-        return (num, den), list(out.T)
-
-    df = scan(df, ["sym"], ["t"], ["c"], {f"price_ema_{p}": "double" for p in periods}, step)
+    steps = [ema_step(2 / (p + 1), True) for p in periods]
+    df = scan(df, ["sym"], ["t"], ["c"], {f"price_ema_{p}": "double" for p in periods}, _all(steps))
     stage = {f"price_vs_ema_{p}": _div(c, F.col(f"price_ema_{p}")) - 1 for p in periods} | {f"price_ema_{p}_slope": _div(S.diff(f"price_ema_{p}", 4), F.col(f"price_ema_{p}")) for p in periods}
     near = [F.col(f"price_ema_{p}") for p in sorted(periods)[:5]]
     up, down = F.lit(True), F.lit(True)
@@ -235,33 +225,37 @@ def ema_features(df: DataFrame, periods=MA_PERIODS) -> DataFrame:
     return apply(df, stage | {"price_ema_alignment": F.when(up, 1).when(down, -1).otherwise(0)})
 
 
-def np_array(x):
-    import numpy as np
+def _all(steps: list):
+    """Several recursive means over the same columns as one step."""
+
+    def step(state, *columns):
+        done = [s(x, *columns) for s, x in zip(steps, state or [None] * len(steps), strict=True)]
+        return [d[0] for d in done], [o for d in done for o in d[1]]
 
-    return np.array(x)
+    return step
 
 
 def rsi(df: DataFrame, periods=RSI_PERIODS) -> DataFrame:
-    """price_rsi_p with its oversold and overbought flags; recursive means of gains and losses, all periods in one pass."""
-    c = _bar("c")
-    alphas = np_array([1 / p for p in periods])
-
-    def step(state, gain, loss):
-        import numpy as np
-
-        g, s = state or (None, None)
-        out = np.full((len(gain), len(alphas)), np.nan)
-        for i, (a, b) in enumerate(zip(gain, loss, strict=True)):
-            if a == a:
-                g = np.full(len(alphas), a) if g is None else g + alphas * (a - g)
-                s = np.full(len(alphas), b) if s is None else s + alphas * (b - s)
-            if g is not None:
-                out[i] = 100 - 100 / (1 + g / (s + EPS))
-        return (g, s), list(out.T)
-
-    d = S.diff(c)
-    df = apply(df, {"gain": F.greatest(d, F.lit(0.0)) + d * 0, "loss": F.greatest(-d, F.lit(0.0)) + d * 0})
-    df = scan(df, ["sym"], ["t"], ["gain", "loss"], {f"price_rsi_{p}": "double" for p in periods}, step)
+    """price_rsi_p with its oversold and overbought flags, all periods in one pass.
+
+    Gains and losses are averaged with weight 2 / (p + 1) from the first bar,
+    whose change is 0, as are unknown changes.
+    """
+
+    def one(alpha: float):
+        mean = ema_step(alpha, False)
+
+        def step(state, gain, loss):
+            g, s = state or (None, None)
+            g, (up,) = mean(g, gain)
+            s, (down,) = mean(s, loss)
+            return (g, s), [100 - 100 / (1 + up / (down + EPS))]
+
+        return step
+
+    d = F.coalesce(S.diff(_bar("c")), F.lit(0.0))
+    df = apply(df, {"gain": F.greatest(d, F.lit(0.0)), "loss": F.greatest(-d, F.lit(0.0))})
+    df = scan(df, ["sym"], ["t"], ["gain", "loss"], {f"price_rsi_{p}": "double" for p in periods}, _all([one(2 / (p + 1)) for p in periods]))
     return apply(df, {f"price_rsi_{p}_oversold": flag(F.col(f"price_rsi_{p}") < 30) for p in periods} | {f"price_rsi_{p}_overbought": flag(F.col(f"price_rsi_{p}") > 70) for p in periods})
 
 
@@ -274,29 +268,45 @@ def macd(df: DataFrame) -> DataFrame:
 
 
 # interactions, lags and the shift
-def divergences(rsi_cols: list[str], bars: int = 6, slow: int = 48) -> list[Stage]:
-    c = _bar("c")
+def divergences(rsi_cols: list[str], near: int = 6, far: int = 48) -> list[Stage]:
+    """A low that fell twice while the indicator turned up, and a high that rose twice while it turned down, at now, near and far bars."""
     out = {}
+    turned = lambda x, up: (x > S.lag(x, near)) & (S.lag(x, near) < S.lag(x, far)) if up else (x < S.lag(x, near)) & (S.lag(x, near) > S.lag(x, far))
+    went = lambda x, up: (x > S.lag(x, near)) & (S.lag(x, near) > S.lag(x, far)) if up else (x < S.lag(x, near)) & (S.lag(x, near) < S.lag(x, far))
     for r in rsi_cols:
-        up, down = c > S.lag(c, slow // bars), c < S.lag(c, slow // bars)
-        rup, rdown = F.col(r) > S.lag(r, slow // bars), F.col(r) < S.lag(r, slow // bars)
-        out |= {f"{r}_bear_div": flag(up & rdown), f"{r}_bull_div": flag(down & rup)}
+        out |= {f"{r}_bull_div": flag(went(F.col("l"), False) & turned(F.col(r), True)), f"{r}_bear_div": flag(went(F.col("h"), True) & turned(F.col(r), False))}
     return [out]
 
 
-def oi_price(oi_change: str, price_change: str, funding_z: str) -> list[Stage]:
-    a, b, f = F.col(oi_change), F.col(price_change), F.col(funding_z)
-    return [{"oi_price_div": flag((a > 0) & (b < 0)), "oi_price_squeeze": flag((a < 0) & (b > 0)), "funding_price_div": flag((f > 0) & (b < 0))}]
+def oi_price(oi_change: str, price_return: str, funding: str) -> list[Stage]:
+    """Open interest against the 6-bar return; funding above its 42-bar mean by a deviation while the price fell."""
+    a, b, f = F.col(oi_change), F.col(price_return), F.col(funding)
+    high = f > S.mean(funding, 42) + S.std(funding, 42)
+    return [{"oi_price_div": flag((a > 0) & (b < 0)), "oi_price_squeeze": flag((a < 0) & (b > 0)), "funding_price_div": flag(high & (b < 0))}]
+
 
+def crowding(rsi_col: str, flags: list[str], volume_ratio: str) -> list[Stage]:
+    """Extremes of an indicator on twice the usual volume, and how many of all oversold (overbought) flags are up, these two included.
 
-def crowding(rsi_cols: list[str], volume_ratio: str) -> list[Stage]:
-    over = lambda s: row_sum(*[F.col(f"{r}_{s}").cast("double") for r in rsi_cols])
-    return [{"rsi_volume_spike": flag((F.col(rsi_cols[0]) < 30) & (F.col(volume_ratio) > 2)), "multi_oversold": over("oversold"), "multi_overbought": over("overbought")}]
+    flags: names whose ``_oversold`` and ``_overbought`` columns are counted.
+    """
+    x, busy = F.col(rsi_col), F.col(volume_ratio) > 2
+    both = {"rsi_oversold_vol_spike": flag((x < 30) & busy), "rsi_overbought_vol_spike": flag((x > 70) & busy)}
+    count = lambda s: row_sum(*[F.col(f"{r}_{s}").cast("double") for r in flags], F.col(f"rsi_{s}_vol_spike").cast("double"))
+    return [both, {"multi_oversold": count("oversold"), "multi_overbought": count("overbought")}]
 
 
-def key_columns(columns: list[str], patterns=("return", "zscore", "rsi", "funding", "change"), most: int = 30) -> list[str]:
-    """The first columns that match, in column order; the bound is part of the feature set."""
-    return [x for x in columns if any(p in x for p in patterns)][:most]
+# What the names of lagged columns hold.
+LAGGED_PRICE = ("rsi_14", "zscore_168", "bb_position", "macd_histogram", "ema_alignment")
+LAGGED_SOURCES = (("funding", "zscore"), ("oi", "change"), ("fear_greed", "value"))
+
+
+def lagged_columns(columns: list[str], most: int = 30) -> list[str]:
+    """The key columns that get lags: price columns first, then sources; the bound is part of the feature set."""
+    price = [x for x in columns if x.startswith("price_") and any(p in x for p in LAGGED_PRICE)]
+    sources = [x for a in LAGGED_SOURCES[:2] for x in columns if all(w in x.lower() for w in a)]
+    mood = [x for x in columns if all(w in x.lower() for w in LAGGED_SOURCES[2])]
+    return list(dict.fromkeys(price + sources + mood))[:most]
 
 
 def lags(columns: list[str], ks=(4, 24, 48)) -> list[Stage]:
@@ -345,7 +355,14 @@ def regimes(col: str, k: int = 50, m: int = 10) -> list[Stage]:
 
 
 def short_z(cols: list[str]) -> list[Stage]:
-    return [{f"{x}_z{k}": _div(F.col(x) - S.mean(x, k, k // 2), S.std(x, k, k // 2) + EPS) for x in cols for k in (20, 50)}]
+    """z-scores over 20 bars (5 known at least) and 50 bars (10)."""
+    return [{f"{x}_z{k}": _div(F.col(x) - S.mean(x, k, m), S.std(x, k, m) + EPS) for x in cols for k, m in ((20, 5), (50, 10))}]
+
+
+def crowded(funding: list[str], oi_change: list[str]) -> list[Stage]:
+    """Products of up to two funding columns (sums or z-scores) and two changes of open interest."""
+    pairs = [(f, o) for f in funding[:2] for o in oi_change[:2]]
+    return [{f"crowded_{i}": F.col(f) * F.col(o) for i, (f, o) in enumerate(pairs)}]
 
 
 def all_price(df: DataFrame) -> DataFrame:

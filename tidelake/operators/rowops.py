@@ -67,9 +67,11 @@ def matching(df: DataFrame, pattern: str) -> list[str]:
 
 
 def fill_median(df: DataFrame, columns: list[str], fit_on: DataFrame | None = None) -> DataFrame:
-    """Nulls become the exact median of the fitting rows; one small row is joined, nothing is collected."""
-    m = (df if fit_on is None else fit_on).agg(*[F.percentile(c, 0.5).alias(f"_m_{c}") for c in columns])
-    return df.join(F.broadcast(m)).select(*[F.coalesce(F.col(c), F.col(f"_m_{c}")).alias(c) if c in columns else F.col(c) for c in df.columns])
+    """Nulls become the exact median of the fitting rows (found at once, in two passes); a column without values stays null."""
+    from tidelake.functions.quantiles import exact_quantiles
+
+    m = exact_quantiles(df if fit_on is None else fit_on, columns, [0.5])
+    return df.select(*[F.coalesce(F.col(c), F.lit(m[c][0])).alias(c) if c in columns else F.col(c) for c in df.columns])
 
 
 def by_position(left: DataFrame, right: DataFrame, key: list[str], order: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidelake.functions.windows import Series, clip, flag, quintile
 
-from .bars import DAY, asof, resample
+from .bars import DAY, HOUR, asof, resample
 from .features import apply
 
 S = Series("sym", "t")
@@ -24,23 +24,27 @@ def returns(df: DataFrame, hs=HORIZONS, cost: float = COST) -> DataFrame:
 
 
 def sharpe(df: DataFrame, hs=(3, 6, 12)) -> DataFrame:
-    """Return over h bars divided by the spread of the bar returns inside them."""
+    """Return over h bars divided by the spread of the last h one-bar forward returns known h bars ahead."""
     df = apply(df, {"fr": F.try_divide(S.lead("c"), F.col("c")) - 1})
     df = apply(df, {f"fs_{k}": S.std("fr", k) for k in hs})
-    return apply(df, {f"sharpe_{k}h": (F.try_divide(S.lead("c", k), F.col("c")) - 1) / (S.lead(f"fs_{k}", k - 1) * k**0.5 + 1e-8) for k in hs})
+    return apply(df, {f"sharpe_{k}h": (F.try_divide(S.lead("c", k), F.col("c")) - 1) / (S.lead(f"fs_{k}", k) * k**0.5 + 1e-8) for k in hs})
+
+
+def direction(net: Column, band: float = 0.005) -> Column:
+    """-1, 0 or 1 by a band that is closed on the right; unknown stays unknown."""
+    return F.when(net > band, 1.0).when(net > -band, 0.0).when(net.isNotNull(), -1.0)
 
 
 def classes(df: DataFrame, k: int = 6, cost: float = COST, band: float = 0.005, null_as_zero: bool = True) -> DataFrame:
-    """Profitable, direction (right-closed at the band) and quintile of the return over k bars."""
+    """Profitable, direction and quintile of the net return over k bars."""
     from pyspark.sql import Window
 
     r = F.col("r")
-    df = apply(df, {"r": F.try_divide(S.lead("c", k), F.col("c")) - 1})
-    profitable = flag(r > cost) if null_as_zero else (r > cost).cast("int")
+    df = apply(df, {"r": F.try_divide(S.lead("c", k), F.col("c")) - 1 - cost})
+    profitable = flag(r > 0) if null_as_zero else (r > 0).cast("int")
     rank = F.row_number().over(Window.partitionBy("sym").orderBy(F.col("r").asc_nulls_last(), "t"))
     df = apply(df, {"rk": F.when(r.isNotNull(), rank), "cnt": F.count("r").over(Window.partitionBy("sym"))})
-    direction = F.when(r > band, 1.0).when(r > -band, 0.0).when(r.isNotNull(), -1.0)
-    return apply(df, {f"profitable_{k}h": profitable, f"direction_{k}h": direction, f"quintile_{k}h": F.when(r.isNotNull(), quintile(F.col("rk"), F.col("cnt")))})
+    return apply(df, {f"profitable_{k}h": profitable, f"direction_{k}h": direction(r, band), f"quintile_{k}h": F.when(r.isNotNull(), quintile(F.col("rk"), F.col("cnt")))})
 
 
 def _touch(stop: Column, take: Column, direction: int):
@@ -74,30 +78,44 @@ def exits(df: DataFrame, pairs: list[tuple[float, float]], horizons: list[int],
 
 
 def vol_adjusted(df: DataFrame, hs=(6, 12)) -> DataFrame:
+    """Return over h bars divided by the spread of the past max(24, h) one-bar returns."""
     df = apply(df, {"br": S.pct_change("c")})
-    return apply(df, {f"return_vol_adj_{k}h": (F.try_divide(S.lead("c", k), F.col("c")) - 1) / (S.std("br", max(24, k)) * k**0.5 + 1e-8) for k in hs})
+    return apply(df, {f"return_vol_adj_{k}h": (F.try_divide(S.lead("c", k), F.col("c")) - 1) / (S.std("br", max(24, k)) + 1e-8) for k in hs})
 
 
 def excursions(df: DataFrame, hs=(4, 8, 24, 48)) -> DataFrame:
-    """Largest adverse and favourable move over the bars ahead, and their ratio; whole windows only."""
+    """Largest adverse and favourable move over the bars ahead, in percent, and their ratio; whole windows only."""
     out = {}
     for k in hs:
         whole = F.count("c").over(S.ahead(k)) == k
-        out |= {f"mae_{k}h": F.when(whole, F.try_divide(F.min("l").over(S.ahead(k)), F.col("c")) - 1), f"mfe_{k}h": F.when(whole, F.try_divide(F.max("h").over(S.ahead(k)), F.col("c")) - 1)}
-    return apply(df, out, {f"mfe_mae_ratio_{k}h": F.col(f"mfe_{k}h") / (F.abs(F.col(f"mae_{k}h")) + 1e-8) for k in hs})
-
-
-def aligned(df: DataFrame, k: int = 6) -> DataFrame:
-    """Whether the direction agrees with that of the last daily bar."""
-    day = resample(df, DAY, {"c": "last"})
-    day = apply(day, {"day_dir": F.signum(F.col("c") - S.lag("c"))}).select("sym", F.col("t"), "day_dir")
-    out = asof(apply(df, {"dir": F.signum(S.lead("c", k) - F.col("c"))}).select("sym", "t", "dir"), day, ["sym"])
-    return out.withColumn("aligned", flag(F.col("dir") == F.col("day_dir")))
-
-
-def entry_quality(pf: Column, sharpe_: Column, expectancy: Column, n: Column) -> Column:
-    """A score of an entry rule between 0 and 1."""
-    return 0.3 * clip(pf / 3, 0, 1) + 0.3 * clip(sharpe_ / 2, 0, 1) + 0.2 * clip(expectancy * 100, 0, 1) + 0.2 * clip(n / 100, 0, 1)
+        out |= {f"mae_{k}h": 100 * F.when(whole, F.try_divide(F.min("l").over(S.ahead(k)), F.col("c")) - 1), f"mfe_{k}h": 100 * F.when(whole, F.try_divide(F.max("h").over(S.ahead(k)), F.col("c")) - 1)}
+    return apply(df, out, {f"mfe_mae_ratio_{k}h": F.col(f"mfe_{k}h") / (F.abs(F.col(f"mae_{k}h")) + 0.01) for k in hs})
+
+
+def aligned(df: DataFrame, k: int = 6, frames: tuple[int, ...] = (8 * HOUR, DAY), cost: float = COST) -> DataFrame:
+    """``tf_alignment_kh``: the mean of the directions over k bars of slower frames, each that of its last bar begun; unknown ones left out."""
+    out, names = df.select("sym", "t"), []
+    for seconds in frames:
+        bars = resample(df, seconds, {"c": "last"})
+        name = f"dir_{seconds}"
+        bars = apply(bars, {name: direction(F.try_divide(S.lead("c", k), F.col("c")) - 1 - cost)})
+        out, names = asof(out, bars.select("sym", "t", name), ["sym"]), [*names, name]
+    known = F.array_compact(F.array(*names))
+    mean = F.when(F.size(known) > 0, F.aggregate(known, F.lit(0.0), lambda a, x: a + x) / F.size(known))
+    return out.select("*", mean.alias(f"tf_alignment_{k}h"))
+
+
+def entry_quality(r: Column, days: float = 90) -> Column:
+    """A score of an entry rule's trade returns (an aggregate): profit factor, Sharpe by trade frequency,
+    expectancy and number of trades; minus infinity below 30 trades."""
+    n, win = F.count(r), F.avg(flag(r > 0).cast("double"))
+    gain, loss = F.coalesce(F.avg(F.when(r > 0, r)), F.lit(0.0)), F.coalesce(F.avg(F.when(r < 0, r)), F.lit(0.0))
+    pf = F.when(loss == 0, F.lit(10.0)).otherwise(F.abs(F.try_divide(gain, loss)) * win / (1 - win + 1e-8))
+    sd = F.stddev_samp(r)
+    sharpe_ = F.when(sd > 0, F.try_divide(F.avg(r), sd) * F.sqrt(n / days * 365)).otherwise(0.0)
+    expectancy = win * gain + (1 - win) * loss
+    score = 0.3 * clip(pf, 0, 10) / 10 + 0.3 * clip(sharpe_, -3, 3) / 3 + 0.2 * clip(expectancy * 100, -10, 10) / 10 + 0.2 * F.least(F.lit(1.0), n / 100)
+    return F.when(n < 30, F.lit(float("-inf"))).otherwise(score)
 
 
 def learning_target(df: DataFrame, k: int = 6) -> DataFrame:

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from tidelake.functions import scan as sc
+from tidelake.functions.quantiles import expanding_quantile
 from tidelake.functions.sqlkit import P, div, lag, lead, over, roll, staged, zscore
 from tidelake.functions.windows import Series, clip, corr, flag, quintile, row_mean, row_sum
 from tidelake.operators import features as ft
@@ -54,7 +55,9 @@ stages("w05_rolling", lambda: [{"mean20": S.mean("c", 20), "sum20": S.roll(F.sum
 stages("w06_min_periods", lambda: [{"x": S.mean("c", 24, 10), "y": S.std("c", 24, 2)}], {"x": roll("avg", "c", 24, 10), "y": roll("stddev_samp", "c", 24, 2)})
 stages("w07_rolling_quantile", lambda: [{"q05": S.quantile("c", 42, 0.05), "q95": S.quantile("c", 42, 0.95)}], {"q05": roll("quantile_cont({}, 0.05)", "c", 42), "q95": roll("quantile_cont({}, 0.95)", "c", 42)})
 _exp = f"over ({P} rows unbounded preceding)"
-stages("w08_expanding", lambda: [{"q": S.expand(lambda x: F.percentile(x, 0.9), "c", 10), "m": S.expand(F.avg, "c", 10), "s": S.expand(F.stddev_samp, "c", 10)}], {n: f"case when count(c) {_exp} >= 10 then {e} {_exp} end" for n, e in (("q", "quantile_cont(c, 0.9)"), ("m", "avg(c)"), ("s", "stddev_samp(c)"))})
+R.add("w08_expanding", staged({n: f"case when count(c) {_exp} >= 10 then {e} {_exp} end" for n, e in (("q", "quantile_cont(c, 0.9)"), ("m", "avg(c)"), ("s", "stddev_samp(c)"))}))(
+    lambda s, d: shown(expanding_quantile(ft.apply(bars4h(s, d), {"m": S.expand(F.avg, "c", 10), "s": S.expand(F.stddev_samp, "c", 10)}), "c", "q", 0.9, 10), "q", "m", "s")
+)
 _win = f"list(c) {over(30)}"
 stages("w09_rank_pct", lambda: [{"x": S.rank_pct("c", 30)}], {"xs": _win}, {"x": "case when len(xs) >= 30 then (len(list_filter(xs, lambda y: y < c)) + (len(list_filter(xs, lambda y: y = c)) + 1) / 2.0) / len(xs) end"})
 _hl = f"(ln({div('h', 'l')}))"
@@ -128,11 +131,10 @@ stages("f12_stochastic", ft.stochastic, _st, {f"price_stoch_k_{k}": f"k{k}" for
 stages("f14_roc", ft.roc, {f"price_roc_{k}": f"({div('c', lag('c', k))} - 1) * 100" for k in (10, 20, 50)})
 stages("f15_cci", ft.cci, {"tp": "(h + l + c) / 3"}, {f"x{k}": f"list(tp) {over(k)}" for k in (14, 20)} | {f"m{k}": roll("avg", "tp", k) for k in (14, 20)}, {f"price_cci_{k}": f"(tp - m{k}) / (0.015 * list_avg(list_transform(x{k}, lambda y: abs(y - m{k}))) + {E})" for k in (14, 20)})
 stages("f16_williams", ft.williams, {f"price_williams_r_{k}": f"-100 * ({roll('max', 'h', k)} - c) / ({roll('max', 'h', k)} - {roll('min', 'l', k)} + {E})" for k in (14, 28)})
-_vr = div("v", roll("avg", "v", 20))
-_vol = ({"vr": _vr, "dc": f"sign(c - {lag('c')}) * v", "pv": "c * v"}, {"tr5": f"vr - {lag('vr', 5)}", "obv": f"case when dc is not null then sum(dc) {_exp} end", "vw": div(roll("sum", "pv", 6), roll("sum", "v", 6))})
+_vol = ({"vr": f"v / ({roll('avg', 'v', 20)} + {E})", "v5": roll("avg", "v", 5), "dc": f"sign(c - {lag('c')}) * v", "pv": "(h + l + c) / 3 * v"}, {"tr5": f"v5 - {lag('v5')}", "obv": f"case when dc is not null then sum(dc) {_exp} end", "vw": f"{roll('sum', 'pv', 6)} / ({roll('sum', 'v', 6)} + {E})"})
 stages("f17_volume_ratio", ft.volume, *_vol, {"price_volume_sma_20_ratio": "vr", "price_volume_trend_5": "tr5"})
 stages("f18_obv", ft.volume, *_vol, {"price_obv": "obv", "price_obv_slope": f"obv - {lag('obv', 5)}"})
-stages("f19_vwap", ft.volume, *_vol, {"price_vwap_6c": "vw", "price_vwap_dist": f"{div('c', 'vw')} - 1"})
+stages("f19_vwap", ft.volume, *_vol, {"price_vwap_6c": "vw", "price_vwap_dist": div("c - vw", "vw")})
 stages("f20_taker", ft.taker, {"r": div("tb", "v")}, {"price_taker_buy_zscore": zscore("r", 42)})
 stages("f21_swings", ft.swings, {"hh": flagged(f"h > {lag('h')}"), "ll": flagged(f"l < {lag('l')}")}, {f"price_{a}_count_{k}": roll("sum", a, k) for a in ("hh", "ll") for k in (20, 50)} | {f"price_hh_ll_diff_{k}": f"{roll('sum', 'hh', k)} - {roll('sum', 'll', k)}" for k in (20, 50)})
 _span = lambda k: f"({roll('max', 'h', k)} - {roll('min', 'l', k)})"
@@ -142,16 +144,16 @@ stages("f22_consolidation", ft.consolidation, {f"price_consolidation_{k}": div(_
 _m, _s = roll("avg", "o", 42), roll("stddev_samp", "o", 42)
 stages("f23_funding", lambda: ft.funding("o"), {f"o_zscore_{k}h": zscore("o", k) for k in (168, 336, 720)} | {f"o_cumul_{k}h": roll("sum", "o", k) for k in (8, 24, 72, 168)} | {"o_extreme_pos": flagged(f"o > {_m} + 2 * {_s}"), "o_extreme_neg": flagged(f"o < {_m} - 2 * {_s}")})
 _oi = {f"n_change_{k}h": f"{div('n', lag('n', k))} - 1" for k in (1, 4, 24, 168)} | {f"n_zscore_{k}h": zscore("n", k) for k in (168, 720)}
-stages("f24_open_interest", lambda: ft.open_interest("n"), _oi, {k: k for k in _oi} | {"n_accel": f"n_change_1h - {lag('n_change_1h')}", "n_flush": flagged("n_change_4h < -0.05")})
+stages("f24_open_interest", lambda: ft.open_interest("n"), _oi | {"step": f"n - {lag('n')}"}, {k: k for k in _oi} | {"n_accel": f"step - {lag('step')}", "n_flush": flagged("n_change_4h < -0.05")})
 _m, _s = roll("avg", "v", 42), roll("stddev_samp", "v", 42)
 stages("f25_liquidation", lambda: ft.liquidation("v"), {f"v_{a}_{k}h": roll(a, "v", k) for a in ("sum", "max") for k in (24, 168)} | {"v_spike": flagged(f"v > {_m} + 3 * {_s}")})
 stages("f26_long_short", lambda: ft.long_short("h"), {f"h_zscore_{k}h": zscore("h", k) for k in (168, 336)} | {"h_extreme_long": flagged(f"h > {roll('quantile_cont({}, 0.95)', 'h', 42)}"), "h_extreme_short": flagged(f"h < {roll('quantile_cont({}, 0.05)', 'h', 42)}")})
 stages("f27_vix", lambda: ft.vix("c"), {"c_regime_low": flagged("c < 15"), "c_regime_normal": flagged("c >= 15 and c < 20"), "c_regime_elevated": flagged("c >= 20 and c < 30"), "c_regime_extreme": flagged("c >= 30")} | {f"c_zscore_{k}d": zscore("c", k) for k in (30, 90, 252)} | {"c_spike": flagged(f"{div('c', lag('c'))} - 1 > 0.2")})
 stages("f28_curve", lambda: ft.curve("y"), {"y": "c - 150000"}, {"y_inverted": flagged("y < 0")} | {f"y_change_{k}d": f"y - {lag('y', k)}" for k in (5, 20, 60)}, source=lambda s, d: ft.apply(daily(s, d), {"y": F.col("c") - 150000}), head=DAILY)
 stages("f29_dollar", lambda: ft.dollar("c"), {"c_vs_sma50": f"{div('c', roll('avg', 'c', 50))} - 1"} | {f"c_change_{k}d": f"{div('c', lag('c', k))} - 1" for k in (1, 5, 20)}, source=daily, head=DAILY)
-stages("f30_conditions", lambda: ft.conditions("y"), {"y": "(c - 150000) / 1e5"}, {"y_tight": flagged("y > 0"), "y_loose": flagged("y < -0.5"), "y_change_5d": f"y - {lag('y', 5)}"}, source=lambda s, d: ft.apply(daily(s, d), {"y": (F.col("c") - 150000) / 1e5}), head=DAILY)
-_ext = flagged("c <= 20 or c > 80")
-_fg = {"c_extreme_fear": "c <= 20", "c_fear": "c > 20 and c <= 40", "c_neutral": "c > 40 and c <= 60", "c_greed": "c > 60 and c <= 80", "c_extreme_greed": "c > 80"}
+stages("f30_conditions", lambda: ft.conditions("y"), {"y": "(c - 150000) / 1e5"}, {"y_tight": flagged("y > 0"), "y_loose": flagged("y < 0"), "y_change_5d": f"y - {lag('y', 5)}"}, source=lambda s, d: ft.apply(daily(s, d), {"y": (F.col("c") - 150000) / 1e5}), head=DAILY)
+_ext = flagged("c < 20 or c > 80")
+_fg = {"c_extreme_fear": "c < 20", "c_fear": "c >= 20 and c < 40", "c_neutral": "c >= 40 and c < 60", "c_greed": "c >= 60 and c < 80", "c_extreme_greed": "c >= 80"}
 _fgs = {k: flagged(e) for k, e in _fg.items()} | {f"c_zscore_{k}d": zscore("c", k) for k in (30, 90)} | {"c_change_7d": f"c - {lag('c', 7)}"}
 stages("f31_fear_greed", lambda: ft.fear_greed("c"), _fgs | {"ext": _ext}, {"calm": f"sum(1 - ext) {_exp}"}, {k: k for k in _fgs} | {"c_days_at_extreme": "sum(ext) over (partition by sym, calm order by t rows unbounded preceding)"})
 stages("f32_implied_vol", lambda: ft.implied("l"), {f"l_zscore_{k}d": zscore("l", k) for k in (30, 90)})
@@ -171,9 +173,10 @@ _five = (6, 8, 12, 13, 21)
 R.add("f07_ema_alignment", recursive(", ".join(f"c as n{p}, 1.0::double as d{p}" for p in _five), ", ".join(f"r.n{p} * {1 - 2 / (p + 1)} + n.c, r.d{p} * {1 - 2 / (p + 1)} + 1" for p in _five), f"(case when i = 1 then 1 when {' and '.join(f'n{a}/d{a} <= n{b}/d{b}' for a, b in zip(_five, _five[1:], strict=False))} then 1 when {' and '.join(f'n{a}/d{a} >= n{b}/d{b}' for a, b in zip(_five, _five[1:], strict=False))} then -1 else 0 end)::double", "price_ema_alignment"))(
     lambda s, d: shown(ft.ema_features(bars4h(s, d), _five), "price_ema_alignment")
 )
-_g = "greatest(n.c - r.c, 0)"
-_ls = "greatest(r.c - n.c, 0)"
-R.add("f11_rsi", recursive("null::double as g, null::double as s", f"coalesce(r.g * {1 - 1 / 14} + {_g} / 14, {_g}), coalesce(r.s * {1 - 1 / 14} + {_ls} / 14, {_ls})", "100 - 100 / (1 + g / (s + 1e-10))", "price_rsi_14"))(lambda s, d: shown(ft.rsi(bars4h(s, d)), "price_rsi_14"))
+_up, _down, _ra = "greatest(n.c - r.c, 0)", "greatest(r.c - n.c, 0)", 2 / 15
+R.add("f11_rsi", recursive("0.0::double as g, 0.0::double as s", f"r.g * {1 - _ra} + {_ra} * {_up}, r.s * {1 - _ra} + {_ra} * {_down}", "100 - 100 / (1 + g / (s + 1e-10))", "price_rsi_14, (100 - 100 / (1 + g / (s + 1e-10)) < 30)::int::double as price_rsi_14_oversold"))(
+    lambda s, d: shown(ft.rsi(bars4h(s, d)), "price_rsi_14", "price_rsi_14_oversold")
+)
 _k = {12: 1 - 2 / 13, 26: 1 - 2 / 27, 9: 1 - 2 / 10}
 _line = f"((r.n12 * {_k[12]} + n.c) / (r.d12 * {_k[12]} + 1) - (r.n26 * {_k[26]} + n.c) / (r.d26 * {_k[26]} + 1))"
 R.add("f13_macd", recursive("c as n12, 1.0::double as d12, c as n26, 1.0::double as d26, 0.0::double as line, 0.0::double as n9, 1.0::double as d9", f"r.n12 * {_k[12]} + n.c, r.d12 * {_k[12]} + 1, r.n26 * {_k[26]} + n.c, r.d26 * {_k[26]} + 1, {_line}, r.n9 * {_k[9]} + {_line}, r.d9 * {_k[9]} + 1", "line", "price_macd_line, round(n9 / d9, 6) as price_macd_signal, round(line - n9 / d9, 6) as price_macd_histogram"))(
@@ -181,12 +184,29 @@ R.add("f13_macd", recursive("c as n12, 1.0::double as d12, c as n26, 1.0::double
 )
 
 # interactions, lags, shift, simple targets
-_z = zscore("o", 24)
-stages("f34_divergences", lambda: [{"rsi": S.mean("v", 6)}, *ft.divergences(["rsi"])], {"rsi": roll("avg", "v", 6)}, {"rsi_bear_div": flagged(f"c > {lag('c', 8)} and rsi < {lag('rsi', 8)}"), "rsi_bull_div": flagged(f"c < {lag('c', 8)} and rsi > {lag('rsi', 8)}")})
-stages("f35_oi_price", lambda: [{"a": S.pct_change("n"), "b": S.pct_change("c"), "f": S.zscore("o", 24)}, *ft.oi_price("a", "b", "f")], {"a": f"{div('n', lag('n'))} - 1", "b": f"{div('c', lag('c'))} - 1", "f": _z}, {"oi_price_div": flagged("a > 0 and b < 0"), "oi_price_squeeze": flagged("a < 0 and b > 0"), "funding_price_div": flagged("f > 0 and b < 0")})
-stages("f36_crowding", lambda: [{"r1": F.col("c"), "r1_oversold": flag(F.col("c") < 30), "r1_overbought": flag(F.col("c") > 70), "r2_oversold": flag(F.col("o") < 30), "r2_overbought": flag(F.col("o") > 70), "vr": S.mean("v", 3)}, *ft.crowding(["r1", "r2"], "vr")], {"vr": roll("avg", "v", 3)}, {"rsi_volume_spike": flagged("c < 30 and vr > 2"), "multi_oversold": f"{flagged('c < 30')} + {flagged('o < 30')}", "multi_overbought": f"{flagged('c > 70')} + {flagged('o > 70')}"})
+_l6, _l48 = (lambda x: lag(x, 6)), (lambda x: lag(x, 48))
+_falls = lambda x: f"{x} < {_l6(x)} and {_l6(x)} < {_l48(x)}"
+_rises = lambda x: f"{x} > {_l6(x)} and {_l6(x)} > {_l48(x)}"
+_turns_up = lambda x: f"{x} > {_l6(x)} and {_l6(x)} < {_l48(x)}"
+_turns_down = lambda x: f"{x} < {_l6(x)} and {_l6(x)} > {_l48(x)}"
+stages("f34_divergences", lambda: [{"rsi": S.mean("v", 6)}, *ft.divergences(["rsi"])], {"rsi": roll("avg", "v", 6)}, {"rsi_bear_div": flagged(f"{_rises('h')} and {_turns_down('rsi')}"), "rsi_bull_div": flagged(f"{_falls('l')} and {_turns_up('rsi')}")})
+stages("f35_oi_price", lambda: [{"a": S.pct_change("n"), "b": S.pct_change("c", 6)}, *ft.oi_price("a", "b", "o")], {"a": f"{div('n', lag('n'))} - 1", "b": f"{div('c', lag('c', 6))} - 1", "top": f"{roll('avg', 'o', 42)} + {roll('stddev_samp', 'o', 42)}"}, {"oi_price_div": flagged("a > 0 and b < 0"), "oi_price_squeeze": flagged("a < 0 and b > 0"), "funding_price_div": flagged("o > top and b < 0")})
+_os, _ob = flagged("c < 30 and vr > 2"), flagged("c > 70 and vr > 2")
+stages("f36_crowding", lambda: [{"r1": F.col("c"), "r1_oversold": flag(F.col("c") < 30), "r1_overbought": flag(F.col("c") > 70), "r2_oversold": flag(F.col("o") < 30), "r2_overbought": flag(F.col("o") > 70), "vr": S.mean("v", 3) / 6}, *ft.crowding("r1", ["r1", "r2"], "vr")], {"vr": f"{roll('avg', 'v', 3)} / 6"}, {"rsi_oversold_vol_spike": _os, "rsi_overbought_vol_spike": _ob, "multi_oversold": f"{flagged('c < 30')} + {flagged('o < 30')} + {_os}", "multi_overbought": f"{flagged('c > 70')} + {flagged('o > 70')} + {_ob}"})
 stages("f37_lags", lambda: ft.lags(["c", "v"]), {f"{x}_lag_{k}h": lag(x, k) for x in ("c", "v") for k in (4, 24, 48)})
 _lq = {f"liq_feat_v_lag_{4 * k}h": lag("v", k) for k in (1, 3, 6, 12, 24)}
+
+
+def _family(s, d):
+    """The whole price family with the lags of its key columns."""
+    df = ft.all_price(bars4h(s, d))
+    return ft.apply(df, *ft.lags(ft.lagged_columns(df.columns)))
+
+
+_bp = lambda k: div(f"c - ({roll('avg', 'c', k)} - 2 * {roll('stddev_samp', 'c', k)})", f"4 * {roll('stddev_samp', 'c', k)}")
+_fam = {"z": zscore("c", 168), "b20": _bp(20), "b50": _bp(50), "r20": f"v / ({roll('avg', 'v', 20)} + {E})"}
+_fam_out = {f"price_zscore_168h_lag_{k}h": lag("z", k) for k in (4, 24, 48)} | {f"price_bb_position_{b}_lag_{k}h": lag(f"b{b}", k) for b in (20, 50) for k in (4, 24, 48)} | {"price_volume_sma_20_ratio": "r20"}
+R.add("f37_price_family", staged(_fam, _fam_out))(lambda s, d: shown(_family(s, d), *_fam_out))
 stages("f38_liquidation_lags", lambda: ft.liquidation_lags("v"), _lq | {"lx": lag("v")}, {k: k for k in _lq} | {f"liq_feat_v_{a}_{4 * k}h": roll(f, "lx", k, 1) for k in (6, 12, 24, 42) for a, f in (("sum", "sum"), ("mean", "avg"), ("max", "max"))} | {f"liq_feat_v_zscore_{4 * k}h": f"(lx - {roll('avg', 'lx', k, 10)}) / ({roll('stddev_samp', 'lx', k, 10)} + {E})" for k in (24, 42, 84)} | {f"liq_feat_v_mom_{4 * k}h": f"lx - {lag('lx', k)}" for k in (1, 3, 6)})
 R.add("f39_shift", staged({"x": lag("c"), "y": "c", "rn": f"row_number() over ({P})"}, {"x": "x", "y": "y"}) + " where rn > 1")(lambda s, d: shown(ft.shifted(ft.apply(bars4h(s, d), {"x": F.col("c"), "y": F.col("c")}), ["x"]), "x", "y"))
 _tg = {f"target_return_{k}h": f"{div(lead('c', k), 'c')} - 1" for k in (1, 4, 8, 24, 48, 168)}
@@ -195,6 +215,7 @@ stages("fm1_products", lambda: ft.products(["o", "n"], ["v"]), {"o_x_v": "o * v"
 stages("fm2_momentum", lambda: ft.momentum(["v"]), {"m1": f"v - {lag('v')}"}, {"v_mom1": "m1", "v_mom3": f"v - {lag('v', 3)}", "v_mom_acc": f"m1 - {lag('m1')}"})
 _rp = "(len(list_filter(xs, lambda y: y < c)) + (len(list_filter(xs, lambda y: y = c)) + 1) / 2.0) / len(xs)"
 stages("fm3_regimes", lambda: ft.regimes("c"), {"xs": f"list(c) {over(50)}"}, {"rp": f"case when len(xs) >= 10 then {_rp} end"}, {"c_high": flagged("rp > 0.8"), "c_low": flagged("rp < 0.2"), "c_extreme": flagged("rp > 0.9")})
-stages("fm4_short_z", lambda: ft.short_z(["v"]), {f"v_z{k}": f"(v - {roll('avg', 'v', k, k // 2)}) / ({roll('stddev_samp', 'v', k, k // 2)} + {E})" for k in (20, 50)})
+stages("fm4_short_z", lambda: ft.short_z(["v"]), {f"v_z{k}": f"(v - {roll('avg', 'v', k, m)}) / ({roll('stddev_samp', 'v', k, m)} + {E})" for k, m in ((20, 5), (50, 10))})
+stages("fm5_crowded", lambda: [{"fz": S.zscore("o", 24), "fs": S.roll(F.sum, "o", 8), "oi": S.pct_change("n"), "oj": S.pct_change("n", 4)}, *ft.crowded(["fz", "fs", "x"], ["oi", "oj"])], {"fz": zscore("o", 24), "fs": roll("sum", "o", 8), "oi": f"{div('n', lag('n'))} - 1", "oj": f"{div('n', lag('n', 4))} - 1"}, {"crowded_0": "fz * oi", "crowded_1": "fz * oj", "crowded_2": "fs * oi", "crowded_3": "fs * oj"})
 stages("p12_clip", lambda: [{"x": clip(F.col("c"), 10, 90)}], {"x": "least(greatest(c, 10), 90)"})
 stages("a16_row_wise", lambda: [{"nn": F.when(F.col("c") > 50, F.col("c"))}, {"s": row_sum(F.col("o"), F.col("nn")), "m": row_mean(F.col("o"), F.col("nn")), "g": F.greatest("o", "nn")}], {"nn": "case when c > 50 then c end"}, {"s": "o + coalesce(nn, 0)", "m": "(o + coalesce(nn, 0)) / (1 + (nn is not null)::int)", "g": "greatest(o, nn)"})

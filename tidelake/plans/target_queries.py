@@ -16,10 +16,10 @@ for _k, _e in _r.items():
     _ret |= {f"return_log_{_k}h": f"ln(case when {_e} > 0 then {_e} end)", f"return_simple_{_k}h": f"{_e} - 1", f"return_net_{_k}h": f"{_e} - 1 - 0.0012"}
 R.add("t01_returns", staged(_ret))(lambda s, d: shown(tg.returns(bars4h(s, d)), *_ret))
 _fs = {f"fs_{k}": roll("stddev_samp", "fr", k) for k in (3, 6, 12)}
-_sh = {f"sharpe_{k}h": f"({div(lead('c', k), 'c')} - 1) / ({lead(f'fs_{k}', k - 1)} * sqrt({k}) + 1e-8)" for k in (3, 6, 12)}
+_sh = {f"sharpe_{k}h": f"({div(lead('c', k), 'c')} - 1) / ({lead(f'fs_{k}', k)} * sqrt({k}) + 1e-8)" for k in (3, 6, 12)}
 R.add("t02_sharpe", staged({"fr": f"{div(lead('c'), 'c')} - 1"}, _fs, _sh))(lambda s, d: shown(tg.sharpe(bars4h(s, d)), *_sh))
 _rk = "case when r is not null then row_number() over (partition by sym order by r asc nulls last, t) end"
-R.add("t03_classes", staged({"r": f"{div(lead('c', 6), 'c')} - 1"}, {"rk": _rk, "cnt": "count(r) over (partition by sym)"}, {"profitable_6h": "coalesce((r > 0.0012)::int, 0)", "direction_6h": "case when r > 0.005 then 1 when r > -0.005 then 0 when r is not null then -1 end", "quintile_6h": "case when r is not null then 1 + " + " + ".join(f"(rk > 1 + (cnt - 1) * {k / 5})::int" for k in range(1, 5)) + " end"}))(
+R.add("t03_classes", staged({"r": f"{div(lead('c', 6), 'c')} - 1 - 0.0012"}, {"rk": _rk, "cnt": "count(r) over (partition by sym)"}, {"profitable_6h": "coalesce((r > 0)::int, 0)", "direction_6h": "case when r > 0.005 then 1 when r > -0.005 then 0 when r is not null then -1 end", "quintile_6h": "case when r is not null then 1 + " + " + ".join(f"(rk > 1 + (cnt - 1) * {k / 5})::int" for k in range(1, 5)) + " end"}))(
     lambda s, d: shown(tg.classes(bars4h(s, d)), "profitable_6h", "direction_6h", "quintile_6h")
 )
 _PAIRS, _HS = [(1, 2), (3, 5)], [4, 8, 24]
@@ -50,18 +50,25 @@ def _exits(direction: int):
 
 R.add("t04_exit_first_touch", _exit_sql(1))(_exits(1))
 R.add("t04_exit_first_touch_short", _exit_sql(-1))(_exits(-1))
-_va = {f"return_vol_adj_{k}h": f"({div(lead('c', k), 'c')} - 1) / ({roll('stddev_samp', 'br', 24)} * sqrt({k}) + 1e-8)" for k in (6, 12)}
+_va = {f"return_vol_adj_{k}h": f"({div(lead('c', k), 'c')} - 1) / ({roll('stddev_samp', 'br', 24)} + 1e-8)" for k in (6, 12)}
 R.add("t05_vol_adjusted", staged({"br": f"{div('c', lag('c'))} - 1"}, _va))(lambda s, d: shown(tg.vol_adjusted(bars4h(s, d)), *_va))
 _ah = lambda k: f"over ({P} rows between 1 following and {k} following)"
 _ex = {}
 for _k in (4, 8, 24, 48):
-    _ex |= {f"mae_{_k}h": f"case when count(c) {_ah(_k)} = {_k} then min(l) {_ah(_k)} / nullif(c, 0) - 1 end", f"mfe_{_k}h": f"case when count(c) {_ah(_k)} = {_k} then max(h) {_ah(_k)} / nullif(c, 0) - 1 end"}
-R.add("t06_excursions", staged(_ex, {k: k for k in _ex} | {f"mfe_mae_ratio_{k}h": f"mfe_{k}h / (abs(mae_{k}h) + 1e-8)" for k in (4, 8)}))(lambda s, d: shown(tg.excursions(bars4h(s, d)), *_ex, "mfe_mae_ratio_4h", "mfe_mae_ratio_8h"))
-R.add("t07_alignment", f"with {BARS}, d as (select sym, t, sign(c - {lag('c')}) as day_dir from (select sym, (t // 86400) * 86400 as t, arg_max(c, t) as c from bars group by 1, 2)), b as (select sym, t, sign({lead('c', 6)} - c) as dir from bars) select b.sym, b.t, coalesce((dir = day_dir)::int, 0) as aligned from b asof left join d on b.sym = d.sym and b.t >= d.t")(
-    lambda s, d: tg.aligned(bars4h(s, d)).select("sym", "t", "aligned")
+    _ex |= {f"mae_{_k}h": f"case when count(c) {_ah(_k)} = {_k} then 100 * (min(l) {_ah(_k)} / nullif(c, 0) - 1) end", f"mfe_{_k}h": f"case when count(c) {_ah(_k)} = {_k} then 100 * (max(h) {_ah(_k)} / nullif(c, 0) - 1) end"}
+R.add("t06_excursions", staged(_ex, {k: k for k in _ex} | {f"mfe_mae_ratio_{k}h": f"mfe_{k}h / (abs(mae_{k}h) + 0.01)" for k in (4, 8)}))(lambda s, d: shown(tg.excursions(bars4h(s, d)), *_ex, "mfe_mae_ratio_4h", "mfe_mae_ratio_8h"))
+_dir = "case when r > 0.005 then 1.0 when r > -0.005 then 0.0 when r is not null then -1.0 end"
+
+
+def _frame(seconds: int) -> str:
+    return f"(select sym, t, {_dir} as dir from (select sym, t, {div(lead('c', 6), 'c')} - 1 - 0.0012 as r from (select sym, (t // {seconds}) * {seconds} as t, arg_max(c, t) as c from bars group by 1, 2)))"
+
+
+R.add("t07_alignment", f"with {BARS}, a as {_frame(28800)}, b as {_frame(86400)}, j as (select x.sym, x.t, a.dir as p from bars x asof left join a on x.sym = a.sym and x.t >= a.t), k as (select j.sym, j.t, j.p, b.dir as q from j asof left join b on j.sym = b.sym and j.t >= b.t) select sym, t, (coalesce(p, 0) + coalesce(q, 0)) / nullif((p is not null)::int + (q is not null)::int, 0) as tf_alignment_6h from k")(
+    lambda s, d: tg.aligned(bars4h(s, d)).select("sym", "t", "tf_alignment_6h")
 )
-_cl = lambda e: f"least(greatest({e}, 0), 1)"
-R.add("t08_entry_quality", f"with {BARS}, r as (select sym, {div(lead('c', 6), 'c')} - 1 as r from bars), g as (select sym, sum(r) filter (where r > 0) / abs(sum(r) filter (where r < 0)) as pf, avg(r) / stddev_samp(r) as sh, avg(r) as e, count(r) as n from r group by 1) select sym, round(0.3 * {_cl('pf / 3')} + 0.3 * {_cl('sh / 2')} + 0.2 * {_cl('e * 100')} + 0.2 * {_cl('n / 100.0')}, 6) as score from g")(
-    lambda s, d: tg.returns(bars4h(s, d), (6,)).withColumn("r", F.col("return_simple_6h")).groupBy("sym").agg(F.round(tg.entry_quality(F.sum(F.when(F.col("r") > 0, F.col("r"))) / F.abs(F.sum(F.when(F.col("r") < 0, F.col("r")))), F.avg("r") / F.stddev_samp("r"), F.avg("r"), F.count("r")), 6).alias("score"))
+_cl = lambda e, a, b: f"least(greatest({e}, {a}), {b})"
+R.add("t08_entry_quality", f"with {BARS}, r as (select sym, ({div(lead('c', 6), 'c')} - 1) / 1000 as r from bars), g as (select sym, count(r) as n, avg((r > 0)::int) as w, coalesce(avg(r) filter (where r > 0), 0) as aw, coalesce(avg(r) filter (where r < 0), 0) as al, avg(r) / stddev_samp(r) * sqrt(count(r) / 90.0 * 365) as sh from r where r is not null group by 1) select sym, round(0.3 * {_cl('abs(aw / al) * w / (1 - w + 1e-8)', 0, 10)} / 10 + 0.3 * {_cl('sh', -3, 3)} / 3 + 0.2 * {_cl('(w * aw + (1 - w) * al) * 100', -10, 10)} / 10 + 0.2 * least(1, n / 100.0), 6) as score from g where n >= 30")(
+    lambda s, d: tg.returns(bars4h(s, d), (6,)).withColumn("r", F.col("return_simple_6h") / 1000).where("r is not null").groupBy("sym").agg(F.round(tg.entry_quality(F.col("r")), 6).alias("score")).where("score > double('-inf')")
 )
 R.add("t09_learning_target", staged({"target_return": f"{div(lead('c', 6), 'c')} - 1", "target_up": f"({div(lead('c', 6), 'c')} - 1 > 0)::int"}))(lambda s, d: shown(tg.learning_target(bars4h(s, d)), "target_return", "target_up"))
