@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from tidelake.plans import feature_queries, relational_queries, target_queries, metric_queries, rule_queries, learning_queries, stream_queries
+from tidelake.plans import feature_queries, relational_queries, target_queries, metric_queries, rule_queries, learning_queries, stream_queries, validation_queries
 from tidelake.plans.base import Query
 
-_REGISTRIES = [feature_queries.R, relational_queries.R, target_queries.R, metric_queries.R, rule_queries.R, learning_queries.R, stream_queries.R]
+_REGISTRIES = [feature_queries.R, relational_queries.R, target_queries.R, metric_queries.R, rule_queries.R, learning_queries.R, stream_queries.R, validation_queries.R]
 
 
 def queries() -> dict[str, Query]:

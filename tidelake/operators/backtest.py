@@ -12,7 +12,8 @@ from .features import apply
 
 S = Series("sym", "t")
 COST = 0.0012
-SCENARIOS = {"none": 0.0, "low": 0.0006, "base": 0.0012, "high": 0.0024}
+#: Cost scenarios: taker fee and slippage a side, funding an interval.
+SCENARIOS = {"optimistic": (0.0002, 0.0001, 0.00005), "base": (0.0004, 0.0002, 0.0001), "pessimistic": (0.0005, 0.0004, 0.00015), "high_volume": (0.0003, 0.0003, 0.0001)}
 
 
 def strategy_returns(df: DataFrame, signal: str = "sig", ret: str = "ret", delay: int = 1) -> DataFrame:
@@ -28,11 +29,19 @@ def costed(df: DataFrame, signal: str = "sig", ret: str = "ret", cost: float = C
     return apply(df, {"gross": F.col("pos") * F.col(ret), "r": F.col("pos") * F.col(ret) - cost * change})
 
 
-def round_trip(taker: float = 0.0004, slippage: float = 0.0001, funding: float = 0.0001, held: float = 0.75) -> float:
+def round_trip(taker: float = 0.0004, slippage: float = 0.0002, funding: float = 0.0001, held: float = 0.75) -> float:
     """Cost of a trade: taker fee and slippage twice, funding for the intervals held."""
     return 2 * (taker + slippage) + funding * held
 
 
+def scenarios(trades: DataFrame, r: str = "r", days: str = "days", costs: dict[str, tuple[float, float, float]] = SCENARIOS) -> DataFrame:
+    """Per series and cost scenario: cost a trade, gross and net Sharpe, net return, share of the Sharpe that costs take. One pass."""
+    rows = F.explode(F.array(*[F.struct(F.lit(n).alias("scenario"), F.lit(round_trip(*c)).alias("cost")) for n, c in costs.items()])).alias("k")
+    x = trades.select("sym", r, days, rows).select("sym", days, "k.*", F.col(r).alias("gross"), (F.col(r) - F.col("k.cost")).alias("net"))
+    out = x.groupBy("sym", "scenario", "cost").agg(m.sharpe("h08_time_based_5", F.col("gross"), F.first(days)).alias("gross_sharpe"), m.sharpe("h08_time_based_5", F.col("net"), F.first(days)).alias("net_sharpe"), (F.product(1 + F.col("net")) - 1).alias("net_return"), F.avg("net").alias("net_mean"), F.avg((F.col("net") > 0).cast("int")).alias("net_win"))
+    return out.withColumn("sharpe_decay", F.when(F.col("gross_sharpe") > 0, (F.col("gross_sharpe") - F.col("net_sharpe")) / F.col("gross_sharpe") * 100).otherwise(0.0))
+
+
 def trade_log(df: DataFrame, signal: str = "sig", horizon: int = 6, cost: float = COST) -> DataFrame:
     """One row per trade: entry, exit, gross and net return. A signal enters at its bar's close."""
     exit_ = S.lead("c", horizon)
@@ -67,13 +76,13 @@ def periods(df: DataFrame, n: int = 3, share: float = 0.7) -> DataFrame:
     return apply(df, {"oos": (F.col("i") - F.col("period") * F.col("size") >= F.floor(F.col("size") * share))})
 
 
-def folds(df: DataFrame, train: int, test: int, purge: int = 12, expanding: bool = True, most: int | None = None) -> DataFrame:
-    """Walk-forward folds as rows (fold, part): each row of the series once per fold it belongs to; by default as many folds as the series has."""
+def folds(df: DataFrame, train: int, test: int, purge: int = 12, expanding: bool = True) -> DataFrame:
+    """Walk-forward folds as rows (fold, part): each row of the series once per fold it belongs to; as many folds as the series has."""
     from pyspark.sql import Window
 
     df = apply(df, {"i": S.row() - 1})
     own = F.ceil((F.count("*").over(Window.partitionBy("sym")) - train - purge) / test).cast("int")
-    df = df.withColumn("_n", own if most is None else F.lit(most)).where("_n > 0")
+    df = df.withColumn("_n", own).where("_n > 0")
     fold = F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("fold")
     out = df.select("*", fold).drop("_n")
     start = train + F.col("fold") * test
@@ -86,15 +95,3 @@ def regimes(df: DataFrame, col: str) -> DataFrame:
     """Rows above and at or below the median of a column."""
     q = df.groupBy("sym").agg(F.percentile(col, 0.5).alias("med"))
     return df.join(q, "sym").withColumn("regime", F.when(F.col(col) > F.col("med"), "high").otherwise("low")).drop("med")
-
-
-def monte_carlo(df: DataFrame, ret: str, share: Column, runs: int = 1000, seed: int = 42) -> DataFrame:
-    """Random signals as often as the rule trades: one row per run with its Sharpe, reduced map-side.
-
-    The random side of a row is a hash of run, key and time, so a lost task
-    draws the same again. Each input row is read once and expanded in its task.
-    """
-    sims = df.select("*", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))).alias("run"))
-    u = (F.xxhash64("run", "sym", "t", F.lit(seed)) % 1_000_000) / 1_000_000
-    side = F.when(F.abs(u) < share, F.when(u > 0, 1).otherwise(-1))
-    return sims.select("run", (side * F.col(ret)).alias("r")).groupBy("run").agg(F.count("r").alias("n"), F.avg("r").alias("mean"), m.sharpe("h10_backtester", F.col("r")).alias("sharpe"))

@@ -22,14 +22,18 @@ def floor_time(t: Column, seconds: int) -> Column:
     return (F.floor(t / seconds) * seconds).cast("long")
 
 
-def bars(events: DataFrame, seconds: int = 4 * HOUR, key: str = "event_type", ts: str = "ts", value: str = "value", taker: Column | None = None) -> DataFrame:
-    """Open, high, low, close, volume (events), turnover and taker volume per key and interval; one shuffle, partial sums."""
+def bars(events: DataFrame, seconds: int = 4 * HOUR, key: str = "event_type", ts: str = "ts", value: str = "value", taker: Column | None = None, tie: str | None = "event_id") -> DataFrame:
+    """Open, high, low, close, volume (events), turnover and taker volume per key and interval; one shuffle, partial sums.
+
+    Among events of one time ``tie`` tells which comes first, where there is such a column, else the value.
+    """
+    first = F.struct(ts, tie if tie in events.columns else value)
     taker = F.col(value) > 50 if taker is None else taker
     return events.groupBy(F.col(key).alias("sym"), floor_time(epoch(ts), seconds).alias("t")).agg(
-        F.min_by(value, ts).alias("o"),
+        F.min_by(value, first).alias("o"),
         F.max(value).alias("h"),
         F.min(value).alias("l"),
-        F.max_by(value, ts).alias("c"),
+        F.max_by(value, first).alias("c"),
         F.count("*").cast("double").alias("v"),
         F.sum(value).alias("n"),
         F.count_if(taker).cast("double").alias("tb"),

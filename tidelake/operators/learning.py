@@ -15,7 +15,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelake.functions.windows import corr
+from tidelake.functions.quantiles import exact_quantiles
+from tidelake.functions.windows import corr, flag
 
 from .rowops import Condition, Rule
 
@@ -71,10 +72,9 @@ def without_twins(df: DataFrame, columns: list[str], most: float = 0.85, protect
 
 def mutual_information(df: DataFrame, columns: list[str], y: str = "y", bins: int = 10) -> DataFrame:
     """Mutual information of each column's quantile bins with the label, from counts."""
-    cuts = df.agg(*[F.percentile(c, [k / bins for k in range(1, bins)]).alias(c) for c in columns])
-    long = df.select(y, *columns).unpivot([y], columns, "feature", "value").where("value is not null")
-    edges = cuts.select(F.explode(F.create_map(*[x for c in columns for x in (F.lit(c), F.col(c))])).alias("feature", "edges"))
-    counts = long.join(F.broadcast(edges), "feature").select("feature", y, F.size(F.filter("edges", lambda e: e < F.col("value"))).alias("bin")).groupBy("feature", "bin", y).agg(F.count("*").alias("n"))  # one row of edges for each column
+    cuts = exact_quantiles(df, columns, [k / bins for k in range(1, bins)])
+    place = [F.struct(F.lit(c).alias("feature"), F.when(F.col(c).isNotNull(), sum((flag(F.col(c) > e) for e in cuts[c] if e is not None), F.lit(0))).alias("bin")) for c in columns]
+    counts = df.select(y, F.inline(F.array(*place))).where("bin is not null").groupBy("feature", "bin", y).agg(F.count("*").alias("n"))
     tot = counts.groupBy("feature").agg(F.sum("n").alias("t"))
     by_bin = counts.groupBy("feature", "bin").agg(F.sum("n").alias("nb"))
     by_y = counts.groupBy("feature", y).agg(F.sum("n").alias("ny"))
@@ -259,19 +259,64 @@ def batch_scores(df: DataFrame, sets: list[dict[str, float]], ret: str = "ret")
     return [row[i] for i in range(len(sets))]
 
 
-def genetic(df: DataFrame, columns: list[str], ret: str = "ret", size: int = 16, rounds: int = 4, seed: int = 42) -> list[Rule]:
-    """Rules of two conditions bred by crossover and mutation; each generation is scored in one job."""
+def genetic(df: DataFrame, columns: list[str], ret: str = "ret", size: int = 50, rounds: int = 20, seed: int = 42, most: int = 5, min_trades: int = 20, holding: int = 6) -> list[tuple[Rule, float]]:
+    """Rules of 2 to ``most`` conditions bred by two-point crossover, mutation and tournaments, with their Sharpe.
+
+    Trades don't overlap; a rule with fewer than ``min_trades`` is not fit.
+    Rules not met before are scored in one job per generation, on the bars on
+    which they fire. Returned are the fit rules of the last generation, best first.
+    """
+    from .search import S, spaced
+
     rng = random.Random(seed)
-    cut = df.agg(*[F.percentile(c, [k / 10 for k in range(1, 10)]).alias(c) for c in columns]).first()
-    gene = lambda: (rng.choice(columns), rng.choice("<>"), rng.randrange(9))
-    to_rule = lambda g: Rule("&".join(f"{c}{o}{k}" for c, o, k in g), tuple(Condition(c, o, cut[c][k]) for c, o, k in g))
+    pcts = [k / 100 for k in range(10, 91)]
+    known = df.where(F.col(ret).isNotNull())
+    cut = exact_quantiles(known, columns, pcts)
+    base = known.select("sym", "t", ret, *columns, (S.row() - 1).cast("double").alias("i")).persist()
+    days = max(1.0, base.count() / 6)
+    gene = lambda: (rng.choice(columns), rng.choice("<>"), rng.randrange(81))
+    rule = lambda g: Rule("&".join(f"{c}{o}{k + 10}" for c, o, k in g), tuple(Condition(c, o, cut[c][k]) for c, o, k in g if cut[c][k] is not None))
+    seen: dict[tuple, float] = {}
 
     def score(pop):
-        row = df.agg(*[e for i, g in enumerate(pop) for e in (F.count(F.when(to_rule(g).column(df.columns), F.col(ret))).alias(f"n{i}"), F.avg(F.when(to_rule(g).column(df.columns), F.col(ret))).alias(f"m{i}"))]).first()
-        return [(row[f"m{i}"] or 0.0) * min(1.0, row[f"n{i}"] / 30) for i in range(len(pop))]
-
-    pop = [(gene(), gene()) for _ in range(size)]
+        new = sorted(set(pop) - seen.keys())
+        if new:
+            hits = F.array_compact(F.array(*[F.when(rule(g).column(base.columns), F.lit(k)) for k, g in enumerate(new)]))
+            kept = spaced(base.select("sym", "t", "i", ret, F.explode(hits).alias("k")), ["k", "sym"], holding)
+            got = {r.k: r for r in kept.groupBy("k").agg(F.count("*").alias("n"), F.avg(ret).alias("m"), F.stddev_samp(ret).alias("s")).collect()}  # one row for each rule
+            for k, g in enumerate(new):
+                r = got.get(k)
+                seen[g] = r.m / (r.s + 1e-8) * (r.n / days * 365) ** 0.5 if r and r.n >= max(10, min_trades) else float("-inf")
+        return [seen[g] for g in pop]
+
+    def crossed(a, b):
+        i, j = sorted(rng.sample(range(min(len(a), len(b)) + 1), 2))
+        return a[:i] + b[i:j] + a[j:], b[:i] + a[i:j] + b[j:]
+
+    pop = [tuple(gene() for _ in range(rng.randint(2, most))) for _ in range(size)]
     for _ in range(rounds):
-        best = [g for _, g in sorted(zip(score(pop), pop, strict=True), key=lambda x: -x[0])][: size // 2]
-        pop = best + [(rng.choice(best)[0], rng.choice(best)[1] if rng.random() < 0.7 else gene()) for _ in range(size - len(best))]
-    return [to_rule(g) for _, g in sorted(zip(score(pop), pop, strict=True), key=lambda x: -x[0])]
+        young = list(pop)
+        for k in range(1, size, 2):
+            if rng.random() < 0.5:
+                young[k - 1], young[k] = crossed(young[k - 1], young[k])
+        for k, g in enumerate(young):
+            if rng.random() < 0.3:
+                at = rng.randrange(len(g))
+                young[k] = (*g[:at], gene(), *g[at + 1 :])
+        fit = dict(zip(young, score(young), strict=True))
+        pop = [max(rng.choices(young, k=3), key=fit.__getitem__) for _ in range(size)]
+    base.unpersist()
+    best = sorted({g for g in pop if seen[g] > 0}, key=lambda g: (-seen[g], g))
+    return [(rule(g), seen[g]) for g in best]
+
+
+def loss_rules(df: DataFrame, columns: list[str], ret: str = "ret", least: int = 50, loss_rate: float = 0.6) -> list[Rule]:
+    """Leaves of trees of depth 2 to 4 that predict losses, as rules for ``search.loss_patterns``."""
+    marked = df.where(F.col(ret).isNotNull()).withColumn("y", (F.col(ret) < 0).cast("double"))
+    out = []
+    for depth in (2, 3, 4):
+        for r in tree_rules(marked, columns, depth, max(least // 2, 20)):
+            lost = r.stats["confidence"] if r.direction == "LONG" else 1 - r.stats["confidence"]
+            if lost >= loss_rate and r.stats["support"] >= least // 2:
+                out.append(Rule(f"loss_cluster_{len(out)}", r.conditions))
+    return out

@@ -134,14 +134,15 @@ def insane(df: DataFrame) -> DataFrame:
     return df.select("*", why.alias("problems"), (F.size(why) == 0).alias("sane"))
 
 
-def grade(sharpe_: Column, win: Column, drawdown: Column, p: Column, robust: Column) -> Column:
-    """A to F from 100 points: Sharpe 40, win rate, drawdown, significance and robustness 15 each; a Sharpe over 10 is F."""
+def grade(sharpe_: Column, win: Column, drawdown: Column, significant: Column, p: Column, robust: Column) -> Column:
+    """A to F from 100 points: Sharpe 40, win rate, drawdown, significance and robustness (0 to 1) 15 each; a Sharpe over 10 is F."""
+    # Points by what is reached.
     points = (
         F.when(sharpe_ >= 2, 40).when(sharpe_ >= 1.5, 35).when(sharpe_ >= 1, 25).when(sharpe_ >= 0.5, 15).when(sharpe_ > 0, 5).otherwise(0)
         + F.when(win >= 0.55, 15).when(win >= 0.52, 10).when(win >= 0.5, 5).otherwise(0)
         + F.when(drawdown > -0.1, 15).when(drawdown > -0.15, 12).when(drawdown > -0.2, 8).when(drawdown > -0.3, 4).otherwise(0)
-        + F.when(p < 0.05, 15).when(p < 0.1, 8).otherwise(0)
-        + F.round(15 * clip(robust, 0, 1))
+        + F.when(significant, 15).when(p < 0.1, 8).otherwise(0)
+        + F.floor(15 * robust)
     )
     return F.when(sharpe_ > 10, "F").when(points >= 85, "A").when(points >= 70, "B").when(points >= 55, "C").when(points >= 40, "D").otherwise("F")
 

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tidelake.functions.sqlkit import BARS, lag, lead
 from tidelake.operators import backtest as bt
 from tidelake.operators import features as ft
 from tidelake.operators import learning as ln
+from tidelake.operators import search as sc
+from tidelake.operators import structure as sr
 
 from .base import Registry, bars4h
 
@@ -67,11 +71,70 @@ def _(s, d):
     return ln.walk_forward(learning_frame(s, d), COLS, 60, 30)
 
 
+def _roles(s, d):
+    """The learning frame under names that thresholds and groupings look for."""
+    b = learning_frame(s, d)
+    return ft.apply(b, {"rsi_14": F.col("c"), "oi_change_1h": ft.S.pct_change("n"), "fear_greed_value": F.col("o"), "funding_zscore": F.col("price_zscore_24h"), "taker_ratio": F.col("taker_buy_ratio"), "momentum_3": F.col("price_return_3h"), "vix_level": F.col("v"), "liq_sum": F.col("tb")})
+
+
+ROLES = ["rsi_14", "oi_change_1h", "fear_greed_value", "funding_zscore", "taker_ratio", "momentum_3", "vix_level", "liq_sum"]
+
+
 @R.add("l12_optimised_weights", None)
 def _(s, d):
-    x = learning_frame(s, d)
-    best, score = ln.optimise(lambda sets: ln.batch_scores(x, [ln.simplex(w) for w in sets]), dict.fromkeys(COLS[:3], (0.0, 1.0)), tries=24)
-    return s.createDataFrame([(k, v, score) for k, v in ln.simplex(best).items()], "feature string, weight double, score double")
+    x = _roles(s, d).persist()
+    groups, start = sr.grouped(ROLES, sr.STRUCTURES["5 pillars"][0]), sr.STRUCTURES["5 pillars"][1]
+    w = sr.best_weights(x, ROLES, groups, start)
+    return s.createDataFrame([(k, v, w["baseline"], w["score"]) for k, v in w["weights"].items()], "pillar string, weight double, baseline double, score double")
+
+
+@R.add("l12_optimised_thresholds", None)
+def _(s, d):
+    t = sr.best_thresholds(_roles(s, d).persist(), ROLES)
+    return s.createDataFrame([(k, v, t["baseline"], t["score"]) for k, v in t["thresholds"].items()], "threshold string, value double, baseline double, score double")
+
+
+_SIGNAL = "least(greatest(0.3 * (coalesce((c < 30)::int, 0) - coalesce((c > 70)::int, 0)) + 0.3 * (coalesce((oi > 0.05)::int, 0) - coalesce((oi < -0.05)::int, 0)) + 0.2 * (coalesce((o < 20)::int, 0) - coalesce((o > 80)::int, 0)), -1), 1)"
+_OBJECTIVE = f"""with {BARS}, n as (select *, n / nullif({lag('n')}, 0) - 1 as oi, ({lead('c', 6)} / nullif(c, 0) - 1) / 1000 as ret from bars), x as (select {_SIGNAL} as s, ret from n where ret is not null),
+g as (select count(*) as bars, count(*) filter (where abs(s) > 0.1) as k, avg(s * ret) filter (where abs(s) > 0.1) as m, stddev_samp(s * ret) filter (where abs(s) > 0.1) as sd, avg((s * ret > 0)::int) as w, corr(s, ret) as c from x)
+select round(0.5 * least(greatest(m / sd * sqrt(k / (bars / 6.0) * 365) / 3, -1), 1) + 0.3 * (w - 0.5) * 2 + 0.2 * c, 6) as score from g"""
+
+
+@R.add("l12_objective", _OBJECTIVE)
+def _(s, d):
+    """The score of the present thresholds."""
+    x = ft.apply(bars4h(s, d), {"rsi_14": F.col("c"), "oi_change_1h": ft.S.pct_change("n"), "fear_greed_value": F.col("o"), "ret": (F.try_divide(ft.S.lead("c", 6), F.col("c")) - 1) / 1000})
+    score = sr.objectives(x, [sr.threshold_signal(x.columns, {k: v[0] for k, v in sr.THRESHOLDS.items()})])[0]
+    return s.createDataFrame([(round(score, 6),)], "score double")
+
+
+_PILLARS = """with s as (select case n_regionkey when 0 then 'derivatives' when 1 then 'price' when 2 then 'macro' when 3 then 'liquidation' else 'sentiment' end as category, count(*) / sum(count(*)) over () as share from nation group by 1),
+p(pillar, assumed) as (values ('derivatives', 0.35::double), ('liquidations', 0.30), ('technical', 0.25), ('liquidity', 0.10)),
+m as (select case category when 'derivatives' then 'derivatives' when 'liquidation' then 'liquidations' when 'price' then 'technical' when 'sentiment' then 'technical' end as pillar, share from s),
+a as (select pillar, sum(share) as actual from m where pillar is not null group by 1), j as (select p.pillar, assumed, coalesce(actual, 0) as actual, (select coalesce(sum(share), 0) from m where pillar is null) as outside from p left join a using (pillar))
+select pillar, assumed, round(actual, 6) as actual, round(actual - assumed, 6) as deviation, round(outside, 6) as outside, case when outside > 0.2 then 'RESTRUCTURE' when max(abs(actual - assumed)) over () > 0.15 then 'REWEIGHT' else 'VALIDATE' end as recommendation from j"""
+
+
+@R.add("l04_pillars", _PILLARS)
+def _(s, d):
+    names = F.element_at(F.array(*[F.lit(x) for x in ("derivatives", "price", "macro", "liquidation", "sentiment")]), F.col("n_regionkey") + 1)
+    c = s.read.parquet(f"{d}/nation.parquet").groupBy(names.alias("category")).agg(F.count("*").alias("n"))
+    c = c.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))  # one row for each category
+    out = sr.validated_pillars(c)
+    return out.select("pillar", "assumed", *[F.round(x, 6).alias(x) for x in ("actual", "deviation", "outside")], "recommendation")
+
+
+@R.add("l14_structures", None)
+def _(s, d):
+    found = sr.structures(_roles(s, d).persist(), ROLES)
+    return s.createDataFrame([(i, n, float(x)) for i, (n, _, _, x) in enumerate(found)], "rank int, structure string, score double")
+
+
+@R.add("l15_full_optimisation", None)
+def _(s, d):
+    found = sr.full_optimisation(_roles(s, d).persist(), ROLES)
+    rows = [("thresholds", found["thresholds"]["baseline"], found["thresholds"]["score"]), ("weights", found["weights"]["baseline"], found["weights"]["score"])]
+    return s.createDataFrame(rows, "what string, baseline double, score double")
 
 
 @R.add("l14_feature_clusters", None)
@@ -88,4 +151,10 @@ def _(s, d):
 
 @R.add("r12_genetic_rules", None)
 def _(s, d):
-    return s.createDataFrame([(i, r.name) for i, r in enumerate(ln.genetic(learning_frame(s, d), COLS[:4]))], "rank int, rule string")
+    return s.createDataFrame([(i, r.name, float(x)) for i, (r, x) in enumerate(ln.genetic(learning_frame(s, d), COLS))], "rank int, rule string, sharpe double")
+
+
+@R.add("r19_loss_clusters", None)
+def _(s, d):
+    x = learning_frame(s, d)
+    return sc.loss_patterns(x, COLS, rules=ln.loss_rules(x, COLS, least=20, loss_rate=0.55), min_n=20, loss_rate=0.55)

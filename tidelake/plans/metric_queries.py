@@ -65,11 +65,12 @@ _DD = f"with {_T}, {_EQ}, g as (select sym, t, equity, equity / greatest(max(equ
 R.add("m02_equity_drawdown", f"{_DD} select sym, t, round(equity, 6) as equity, round(drawdown, 6) as drawdown from g")(lambda s, d: shown(m.equity(trades(s, d)), "equity", "drawdown"))
 R.add("m02_max_drawdown", f"{_DD} select sym, round(min(drawdown), 6) as max_drawdown from g group by 1")(lambda s, d: m.equity(trades(s, d)).groupBy("sym").agg(F.round(F.min("drawdown"), 6).alias("max_drawdown")))
 R.add("m03_cost_on_change", f"with {_T}, p as (select sym, t, ret, coalesce({lag('sig')}, 0) as pos from s) select sym, t, round(pos * ret, 9) + 0.0 as gross, round(pos * ret - 0.0006 * abs(pos - coalesce({lag('pos')}, 0)), 9) + 0.0 as r from p")(lambda s, d: shown(bt.costed(signals(s, d)), "gross", "r", digits=9))
-R.add("m04_trade_log", f"with {_T}, x as (select sym, t, sig as side, c as entry, {lead('c', 6)} as exit from s) select sym, t, side, entry, exit, round(side * (exit / nullif(entry, 0) - 1), 6) as gross, round(side * (exit / nullif(entry, 0) - 1) - 0.001075, 6) as net from x where side <> 0 and exit is not null")(
+R.add("m04_trade_log", f"with {_T}, x as (select sym, t, sig as side, c as entry, {lead('c', 6)} as exit from s) select sym, t, side, entry, exit, round(side * (exit / nullif(entry, 0) - 1), 6) as gross, round(side * (exit / nullif(entry, 0) - 1) - 0.001275, 6) as net from x where side <> 0 and exit is not null")(
     lambda s, d: bt.trade_log(signals(s, d), cost=bt.round_trip()).select("sym", "t", "side", "entry", "exit", F.round("gross", 6).alias("gross"), F.round("net", 6).alias("net"))
 )
-R.add("m05_cost_scenarios", f"with {_T}, k as (select * from (values ('none', 0.0::double), ('low', 0.0006), ('base', 0.0012), ('high', 0.0024)) v(scenario, cost)) select sym, scenario, round(avg(r - cost), 9) as mean, round(avg((r - cost > 0)::int), 6) as win from j, k group by 1, 2")(
-    lambda s, d: trades(s, d).join(F.broadcast(s.createDataFrame(list(bt.SCENARIOS.items()), "scenario string, cost double"))).groupBy("sym", "scenario").agg(F.round(F.avg(F.col("r") - F.col("cost")), 9).alias("mean"), F.round(F.avg((F.col("r") - F.col("cost") > 0).cast("int")), 6).alias("win"))
+_tb = lambda r: f"case when count({r}) >= 5 and stddev_pop({r}) * sqrt(count({r}) / any_value(days)) >= 1e-10 then (power(product(1 + {r}), 1 / any_value(days)) - 1) / (stddev_pop({r}) * sqrt(count({r}) / any_value(days))) * sqrt(365) else 0 end"
+R.add("m05_cost_scenarios", f"with {_T}, k as (select * from (values ('optimistic', 0.0006375::double), ('base', 0.001275), ('pessimistic', 0.0019125), ('high_volume', 0.001275)) v(scenario, cost)), g as (select sym, scenario, cost, {_tb('r')} as gs, {_tb('(r - cost)')} as ns, product(1 + r - cost) - 1 as nr, avg((r > cost)::int) as w from j, k group by 1, 2, 3) select sym, scenario, round(cost, 7) as cost, round(gs, 5) as gross_sharpe, round(ns, 5) as net_sharpe, round(nr, 6) as net_return, round(w, 6) as net_win, round(case when gs > 0 then (gs - ns) / gs * 100 else 0 end, 3) as sharpe_decay from g")(
+    lambda s, d: bt.scenarios(trades(s, d)).select("sym", "scenario", F.round("cost", 7).alias("cost"), F.round("gross_sharpe", 5).alias("gross_sharpe"), F.round("net_sharpe", 5).alias("net_sharpe"), F.round("net_return", 6).alias("net_return"), F.round("net_win", 6).alias("net_win"), F.round("sharpe_decay", 3).alias("sharpe_decay"))
 )
 R.add("m06_ensemble_position", f"with {BARS} select sym, t, case when abs(p) >= 0.3 then round(p, 6) else 0 end as position from (select sym, t, (2.0 * (case when c > 60 then -1 when c < 25 then 1 else 0 end) + 1.0 * (case when v > 14 then 1 else 0 end)) / 3 as p from bars)")(
     lambda s, d: shown(bt.ensemble(apply(signals(s, d), {"s2": F.when(F.col("v") > 14, 1).otherwise(0)}), {"sig": 2.0, "s2": 1.0}), "position")
@@ -99,9 +100,5 @@ R.add("m17_kelly", "select l_orderkey, l_linenumber, round(case when p <= 0.5 th
     lambda s, d: s.read.parquet(f"{d}/lineitem.parquet").withColumn("p", F.col("l_tax") * 10 + F.col("l_discount")).select("l_orderkey", "l_linenumber", F.round(m.kelly(F.col("p")), 6).alias("kelly"), m.confidence(F.col("p")).alias("level"))
 )
 R.add("l06_split", f"with {_T}, {_N} select sym, t, case when i < floor(cnt * 0.6) then 'train' when i < floor(cnt * 0.6) + 12 then 'purge' when i < floor(cnt * 0.8) then 'val' when i < floor(cnt * 0.8) + 12 then 'purge' else 'test' end as split from n")(lambda s, d: bt.split(signals(s, d)).select("sym", "t", "split"))
-R.add("l06_folds", f"with {_T}, {_N}, f as (select unnest(range(0, 5)) as fold) select sym, t, fold::int as fold, case when i >= 60 + fold * 20 + 12 and i < 60 + fold * 20 + 32 then 'test' else 'train' end as part from n, f where (i >= 60 + fold * 20 + 12 and i < 60 + fold * 20 + 32) or i < 60 + fold * 20")(lambda s, d: bt.folds(signals(s, d), 60, 20, most=5).select("sym", "t", "fold", "part"))
-
-
-@R.add("m15_monte_carlo", None)
-def _(s, d):
-    return bt.monte_carlo(signals(s, d).where("ret is not null"), "ret", F.lit(0.2), 200)
+_FOLDS = "ceil((cnt - 72) / 20.0)"  # as many as reach the end of the series
+R.add("l06_folds", f"with {_T}, {_N}, f as (select n.*, unnest(range(0, greatest({_FOLDS}, 0)::bigint)) as fold from n) select sym, t, fold::int as fold, case when i >= 60 + fold * 20 + 12 and i < 60 + fold * 20 + 32 then 'test' else 'train' end as part from f where (i >= 60 + fold * 20 + 12 and i < 60 + fold * 20 + 32) or i < 60 + fold * 20")(lambda s, d: bt.folds(signals(s, d), 60, 20).select("sym", "t", "fold", "part"))
