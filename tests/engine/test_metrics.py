@@ -49,5 +49,5 @@ def test_backtest_counts(spark):
 
 
 def test_grade(spark):
-    row = spark.range(1).select(m.grade(F.lit(2.1), F.lit(0.6), F.lit(-0.05), F.lit(0.01), F.lit(1.0)).alias("a"), m.grade(F.lit(11.0), F.lit(0.6), F.lit(-0.05), F.lit(0.01), F.lit(1.0)).alias("f"), m.kelly(F.lit(0.7)).alias("k")).first()
+    row = spark.range(1).select(m.grade(F.lit(2.1), F.lit(0.6), F.lit(-0.05), F.lit(True), F.lit(0.01), F.lit(1.0)).alias("a"), m.grade(F.lit(11.0), F.lit(0.6), F.lit(-0.05), F.lit(True), F.lit(0.01), F.lit(1.0)).alias("f"), m.kelly(F.lit(0.7)).alias("k")).first()
     assert (row.a, row.f) == ("A", "F") and row.k == 0.25

@@ -11,7 +11,6 @@ from tidelake import catalog
 
 SF = "/root/testdata/sf0.001"
 QUERIES, SQL = catalog.queries(), catalog.oracle_sql()
-SLOW = ("l0", "l1")
 
 
 def value(v):
@@ -49,9 +48,99 @@ def test_same_as_sql(spark, con, name):
     assert all(close(x, y) for a, b in zip(got, want, strict=True) for x, y in zip(a, b, strict=True))
 
 
-@pytest.mark.parametrize("name", sorted(n for n in QUERIES if n not in SQL and not n.startswith(SLOW)))
-def test_runs(spark, name):
-    assert QUERIES[name](spark, SF).count() >= 0
+#: What queries without SQL have to show: columns, and a check of their rows.
+SHAPES = {
+    "l01_importance": (["corr", "feature", "mi", "perm", "rank", "score"], lambda r: sorted(x["rank"] for x in r) == [1, 2, 3, 4, 5, 6] and all(0 <= x["score"] <= 1 for x in r)),
+    "l03_category_importance": (["category", "share", "w"], lambda r: abs(sum(x["share"] for x in r) - 1) < 1e-9 and {x["category"] for x in r} == {"price", "flow"}),
+    "l05_selected": (["feature", "rank"], lambda r: 1 <= len(r) <= 4 and "price_return_1h" not in {x["feature"] for x in r}),
+    "l07_ensemble": (["p", "sym", "t"], lambda r: len(r) > 50 and all(0 <= x["p"] <= 1 for x in r)),
+    "l08_anchored": (["p", "sig", "sym", "t"], lambda r: all(x["sig"] == (1 if x["p"] > 0.55 else -1 if x["p"] < 0.45 else 0) for x in r)),
+    "l09_platt": (["calibrated", "p", "sym", "t"], lambda r: all(0 <= x["calibrated"] <= 1 for x in r) and len({x["calibrated"] for x in r}) > 10),
+    "l10_walk_forward": (["auc", "fold"], lambda r: [x["fold"] for x in sorted(r, key=lambda x: x["fold"])] == list(range(len(r))) and len(r) >= 2 and all(0 <= x["auc"] <= 1 for x in r)),
+    "l12_optimised_weights": (["baseline", "pillar", "score", "weight"], lambda r: abs(sum(x["weight"] for x in r) - 1) < 1e-9 and all(x["score"] >= x["baseline"] for x in r)),
+    "l12_optimised_thresholds": (["baseline", "score", "threshold", "value"], lambda r: len(r) == 12 and all(x["score"] >= x["baseline"] for x in r)),
+    "l14_feature_clusters": (["cluster", "feature", "k"], lambda r: len(r) == 6 and len({x["cluster"] for x in r}) == r[0]["k"]),
+    "l14_structures": (["rank", "score", "structure"], lambda r: {"4 pillars", "3 pillars", "5 pillars", "2 pillars", "flat"} <= {x["structure"] for x in r} and [x["score"] for x in sorted(r, key=lambda x: x["rank"])] == sorted((x["score"] for x in r), reverse=True)),
+    "l15_full_optimisation": (["baseline", "score", "what"], lambda r: all(x["score"] >= x["baseline"] for x in r)),
+    "m16_validate": (None, lambda r: len(r) == 5 and all(x["grade"] in "ABCDF" for x in r)),
+    "r11_tree_rules": (["conditions", "confidence", "direction", "rule", "support"], lambda r: len(r) > 1 and all(x["support"] >= 20 and 0.5 <= x["confidence"] <= 1 for x in r)),
+    "r12_genetic_rules": (["rank", "rule", "sharpe"], lambda r: [x["sharpe"] for x in sorted(r, key=lambda x: x["rank"])] == sorted((x["sharpe"] for x in r), reverse=True)),
+    "r18_complete_strategy": (["exit", "hit_rate", "mean_bars", "mean_return", "n", "sym"], lambda r: all(0 <= x["hit_rate"] <= 1 and x["mean_bars"] <= 24 for x in r)),
+    "r19_loss_clusters": (["confidence", "frequency", "impact", "loss_rate", "losses", "mean_loss", "n", "pattern", "sym"], lambda r: all(x["n"] >= 20 and x["loss_rate"] >= 0.55 for x in r)),
+    "r24_search_summary": (["by_chance", "credible", "insufficient", "passed_is", "phase", "survival", "tested"], lambda r: all(x["tested"] >= x["passed_is"] >= x["insufficient"] for x in r) and "singles" in {x["phase"] for x in r}),
+    "r27_critic": (None, lambda r: {x["verdict"] for x in r} <= {"CREDIBLE", "SUSPICIOUS", "DEBUNKED"} and len(r) == 25),
+    "s08_equity_png": (["png"], lambda r: bytes(r[0]["png"][:8]) == b"\x89PNG\r\n\x1a\n"),
+    "s20_synthetic_market": (None, lambda r: len(r) == 1000 and all(x["low"] <= min(x["open"], x["close"]) and x["high"] >= max(x["open"], x["close"]) for x in r)),
+}
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
+def test_without_sql(spark, name):
+    columns, check = SHAPES[name]
+    df = QUERIES[name](spark, SF)
+    rows = [r.asDict() for r in df.collect()]
+    assert columns is None or sorted(df.columns) == columns
+    assert rows and check(rows)
+
+
+def test_synthetic_market_is_the_same_however_it_is_dealt(spark):
+    from tidelake.sources.synthetic import market
+
+    a = sorted(map(tuple, market(spark, 50, 2).collect()))
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    try:
+        b = sorted(map(tuple, market(spark.newSession(), 50, 2).collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert a == b
+
+
+def test_best_of_given_choices(spark):
+    """Searches find what was put in."""
+    import numpy as np
+    import pandas as pd
+    from tidelake.operators import learning as ln
+    from tidelake.operators import structure as sr
+
+    rng = np.random.default_rng(3)
+    n = 1500
+    p = pd.DataFrame({"sym": "a", "t": np.arange(n) * 14400, "funding_a": rng.normal(size=n), "rsi_a": rng.normal(size=n), "liq_a": rng.normal(size=n), "vix_a": rng.normal(size=n)})
+    p["ret"] = 0.01 * np.sign(p.liq_a) + rng.normal(0, 0.01, n)
+    df = spark.createDataFrame(p)
+    cols = ["funding_a", "rsi_a", "liq_a", "vix_a"]
+    w = sr.best_weights(df, cols, {"d": ["funding_a"], "l": ["liq_a"]}, {"d": 0.9, "l": 0.1}, tries=20)
+    assert w["weights"]["l"] > 0.6 and w["score"] > w["baseline"]
+    ranking = sr.structures(df, cols)
+    assert len(ranking) >= 5 and dict((x[0], x[3]) for x in ranking)["3 pillars"] > 0.3 and ranking[0][3] == max(x[3] for x in ranking)
+    found = ln.genetic(df, cols, size=20, rounds=5, min_trades=30)
+    assert found and any(c.feature == "liq_a" and c.operator == ">" for c in found[0][0].conditions)
+    assert sr.alternatives({"liquidity": 0.01, "macro": 0.2}) == ["3 pillars", "5 pillars", "flat"] and sr.alternatives({"liquidity": 0.1}) == ["flat"]
+    p["ret"] = np.where(p.vix_a > 1, -0.01, rng.normal(0.002, 0.01, n))
+    leaves = ln.loss_rules(spark.createDataFrame(p), cols)
+    assert any(c.feature == "vix_a" and c.operator == ">" for r in leaves for c in r.conditions)
+
+
+def test_limiter_and_retries(monkeypatch):
+    from tidelake.sources import feeds
+
+    now, slept = [0.0], []
+    monkeypatch.setattr(feeds.time, "monotonic", lambda: now[0])
+    monkeypatch.setattr(feeds.time, "sleep", lambda s: (slept.append(s), now.__setitem__(0, now[0] + s)))
+    x = feeds.RateLimiter(2.0)
+    for _ in range(4):
+        x.wait()
+    assert abs(sum(slept) - 1.5) < 1e-9 and feeds.limiter(3.0) is feeds.limiter(3.0)
+    calls, slept[:] = [], []
+
+    def fails():
+        calls.append(1)
+        if len(calls) < 3:
+            raise OSError("no answer")
+        return 7
+
+    assert feeds.with_retries(fails) == 7 and slept == [1.0, 2.0]
+    with pytest.raises(OSError):
+        feeds.with_retries(lambda: (_ for _ in ()).throw(OSError()), tries=2)
 
 
 def test_learning_finds_the_signal(spark):

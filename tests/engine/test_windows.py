@@ -87,3 +87,36 @@ def test_distributions():
     assert abs(2 * stats.t_sf(2.228, 10) - 0.05) < 1e-4 and abs(stats.t_sf(0, 5) - 0.5) < 1e-12
     assert abs(stats.binomial_sf(7, 10) - 0.171875) < 1e-9 and stats.binomial_sf(0, 10) == 1 and stats.binomial_sf(11, 10) == 0
     assert abs(stats.chi2_1_sf(3.841459) - 0.05) < 1e-6 and abs(stats.normal_sf(1.959964) - 0.025) < 1e-6
+
+
+def test_exact_quantiles(spark):
+    import numpy as np
+    import pandas as pd
+    from tidelake.functions.quantiles import exact_quantiles
+
+    rng = np.random.default_rng(0)
+    p = pd.DataFrame({"a": rng.normal(size=30_000), "b": rng.integers(0, 3, 30_000).astype(float), "e": np.nan})
+    p.loc[::7, "a"] = np.nan
+    df = spark.createDataFrame(p.astype(object).where(p.notna(), None), "a double, b double, e double").repartition(5)
+    qs = [0.0, 0.1, 0.5, 0.999, 1.0]
+    got = exact_quantiles(df, ["a", "b", "e"], qs)
+    assert np.allclose(got["a"], p.a.quantile(qs)) and np.allclose(got["b"], p.b.quantile(qs)) and got["e"] == [None] * 5
+    assert exact_quantiles(spark.createDataFrame([(1.0,), (4.0,)], "b double"), ["b"], [0.5])["b"] == [2.5]
+
+
+def test_expanding_quantile(spark):
+    import numpy as np
+    import pandas as pd
+    from tidelake.functions.quantiles import Ordered, expanding_quantile
+
+    rng = np.random.default_rng(1)
+    x = rng.integers(0, 50, 5000).astype(float)
+    o = Ordered()
+    for i, v in enumerate(x):
+        o.add(v)
+        if i % 500 == 0:
+            assert o.quantile(0.9) == np.quantile(x[: i + 1], 0.9)
+    p = pd.DataFrame({"sym": "a", "t": range(300), "x": x[:300]})
+    got = [r.q for r in expanding_quantile(spark.createDataFrame(p), "x", "q", 0.9, 10).orderBy("t").collect()]
+    want = p.x.expanding(10).quantile(0.9)
+    assert got[:9] == [None] * 9 and np.allclose(got[9:], want[9:])

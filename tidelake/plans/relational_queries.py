@@ -11,6 +11,7 @@ from tidelake.operators import bars as B
 from tidelake.operators import features as ft
 from tidelake.operators.rowops import Condition, Rule, avoid, by_position, fill_median, long_format, matching, numeric
 from tidelake.sources import feeds, macro
+from tidelake.sources.orchestrator import Orchestrator
 from tidelake.sources.store import Store, shared_folder
 
 from .base import DAILY, Registry, bars4h, daily, shown, table
@@ -94,6 +95,58 @@ R.add("s16_yield_curve", f"with {DAILY}, {_DX} select sym, t, round(a, 4) as a,
     lambda s, d: macro.real_yield(macro.yield_curve([daily(s, d).where("v > 1").select("sym", "t", (F.col("c") - 150000).alias("a")), daily(s, d).where("v <= 2").select("sym", "t", (F.col("c") - 160000).alias("b"))], ["a", "b"]), "a", "b").select("sym", "t", F.round("a", 4).alias("a"), F.round("b", 4).alias("b"), "a_inverted", "b_inverted", F.round("real_yield", 4).alias("real_yield"))
 )
 R.add("s16_inflation", staged({"c_yoy": f"({div('c', lag('c', 12))} - 1) * 100"}, head=DAILY))(lambda s, d: shown(macro.inflation(daily(s, d), "c"), "c_yoy"))
+_CN = "exp_ as (select sym, t, last_value(a ignore nulls) over (partition by sym order by t) as a, last_value(b ignore nulls) over (partition by sym order by t) as b from (select sym, t, a, b from (select sym, t, c - 150000 as a from bars where v > 1) full join (select sym, t, 160000 - c as b from bars where v <= 2) using (sym, t)))"
+R.add("s16_conditions", f"with {DAILY}, {_CN} select sym, t, round(a, 4) as a, round(b, 4) as b, a > 0 as a_tight, b > 0 as b_tight, a < 0 as a_loose, b < 0 as b_loose from exp_")(
+    lambda s, d: macro.conditions([daily(s, d).where("v > 1").select("sym", "t", (F.col("c") - 150000).alias("a")), daily(s, d).where("v <= 2").select("sym", "t", (160000 - F.col("c")).alias("b"))], ["a", "b"]).select("sym", "t", F.round("a", 4).alias("a"), F.round("b", 4).alias("b"), "a_tight", "b_tight", "a_loose", "b_loose")
+)
+R.add("s16_metadata", f"with {DAILY} select 'all' as series, count(*) as rows, count(c) as known, min(t) as first, max(t) as last from bars union all select 'busy', count(*), count(case when c > 150000 then c end), min(t), max(t) from bars where v > 1")(
+    lambda s, d: macro.metadata({"all": daily(s, d), "busy": daily(s, d).where("v > 1").withColumn("c", F.when(F.col("c") > 150000, F.col("c")))})
+)
+
+
+def _aggregates(s, d) -> DataFrame:
+    """A payload of bars for each series, as an aggregates API answers."""
+    one = F.struct((F.col("t") * 1000).alias("t"), "o", "h", "l", "c", "v", F.when(F.col("v") > 9, F.col("n") / F.col("v")).alias("vw"))
+    return bars4h(s, d).groupBy("sym").agg(F.to_json(F.struct(F.sort_array(F.collect_list(one)).alias("results"))).alias("payload"))  # an answer of the API holds a page of bars
+
+
+R.add("s17_equity_aggregates", f"with {BARS} select sym, t, o as open, h as high, l as low, c as close, v as volume, round(case when v > 9 then n / v end, 6) as vwap from bars")(
+    lambda s, d: feeds.equity_aggregates(_aggregates(s, d), "payload", ["sym"]).select("sym", F.unix_seconds("timestamp").alias("t"), "open", "high", "low", "close", "volume", F.round("vwap", 6).alias("vwap"))
+)
+R.add("s17_previous_close", f"with {BARS} select sym, c as close, v as volume from bars qualify row_number() over (partition by sym order by t) = 1")(lambda s, d: feeds.previous_close(_aggregates(s, d), "payload", ["sym"]).select("sym", "close", "volume"))
+R.add("s17_market_status", "select n_nationkey, n_name as market, r_name as exchange from nation join region on n_regionkey = r_regionkey")(
+    lambda s, d: feeds.market_status(table(s, d, "nation").join(table(s, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", F.to_json(F.struct(F.col("n_name").alias("market"), F.create_map(F.lit("first"), "r_name").alias("exchanges"))).alias("payload")), "payload", ["n_nationkey"]).select("n_nationkey", "market", F.col("exchanges")["first"].alias("exchange"))
+)
+
+
+@R.add("s19_orchestrator", f"with {BARS}, last as (select max(t) as m from bars), b as (select * from bars, last where t > m - 20 * 86400), dl as ({DAILY[len('bars as ('):-1]}) select 'price' as category, '4h' as name, 20 as days, count(*) as rows, min(t) as first, max(t) as last, 2::bigint as built from b union all select 'macro', 'prices', 365, count(*), min(t), max(t), 2 from dl")
+def _(s, d):
+    built = []
+
+    def price(days):
+        built.append("price")
+        b = bars4h(s, d)
+        return b.join(F.broadcast(b.agg(F.max("t").alias("m"))), F.col("t") > F.col("m") - days * 86400).drop("m")  # one row
+
+    def prices(days):
+        built.append("macro")
+        return daily(s, d)
+
+    at = Orchestrator(Store(s, shared_folder(s, "s19")), {"price": {"4h": price}, "macro": {"prices": prices, "nothing": lambda days: daily(s, d).limit(0)}})
+    at.fetch_all({"price": 20})
+    at.fetch_all({"price": 20})  # from the cache
+    return at.metadata().withColumn("built", F.lit(len(built)).cast("long"))
+
+
+@R.add("s08_equity_png", None)
+def _(s, d):
+    from tidelake.sources import plot
+
+    rows = daily(s, d).where("sym = 'F'").orderBy("t").limit(5000).collect()  # a picture has so many points at most
+    body = plot.equity_curve([r.c for r in rows], [min(0.0, r.c / 150000 - 1) for r in rows])
+    return s.createDataFrame([(bytearray(body),)], "png binary")
+
+
 R.add("s18_fear_greed", f"with {BARS} select sym, t, case when c < 25 then 'Extreme Fear' when c < 45 then 'Fear' when c <= 55 then 'Neutral' when c <= 75 then 'Greed' else 'Extreme Greed' end as fear_greed_class, c < 25 as fg_extreme_fear, c > 75 as fg_extreme_greed, c < 45 as fg_fear, c > 55 as fg_greed from bars")(
     lambda s, d: feeds.fear_greed(bars4h(s, d), "c").select("sym", "t", "fear_greed_class", "fg_extreme_fear", "fg_extreme_greed", "fg_fear", "fg_greed")
 )
@@ -181,7 +234,7 @@ R.add("j10_lookup_join", f"select n_name, r_name, count(*) as n, round(sum(c_acc
     lambda s, d: table(s, d, "customer").join(table(s, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(table(s, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).groupBy("n_name", "r_name").agg(F.count("*").alias("n"), F.round(F.sum("c_acctbal"), 2).alias("bal"))
 )
 R.add("j11_semi_join", "select c_custkey from customer where c_custkey in (select o_custkey from orders where o_totalprice > 450000)")(lambda s, d: table(s, d, "customer").join(table(s, d, "orders").where("o_totalprice > 450000"), F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey"))
-R.add("j12_anti_join", "select c_custkey from customer where c_custkey not in (select o_custkey from orders)")(lambda s, d: table(s, d, "customer").join(table(s, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey"))
+R.add("j12_anti_join", "select c_custkey from customer where c_custkey not in (select o_custkey from orders where o_totalprice > 300000)")(lambda s, d: table(s, d, "customer").join(table(s, d, "orders").where("o_totalprice > 300000"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey"))
 _MASTER = f"""with {BARS}, {_SPARSE}, q as (select sym, t + 7200 as t, o as y from bars where v > 13),
 j as (select b.sym, b.t, b.c, r.x as fund_x, q.y as oi_y from bars b asof left join r on b.sym = r.sym and b.t >= r.t asof left join q on b.sym = q.sym and b.t >= q.t),
 f as (select sym, t, c, last_value(fund_x ignore nulls) over ({P} rows between 24 preceding and current row) as fund_x, last_value(oi_y ignore nulls) over ({P} rows between 24 preceding and current row) as oi_y from j)
@@ -244,6 +297,9 @@ _PRED = "pr as (select l_quantity / 50 as p, (l_returnflag = 'R')::int as y from
 R.add("a18_calibration_bins", f"with {_PRED} select {_CASE} as bin, count(*) as n, round(avg(p), 6) as mean_p, round(avg(y), 6) as rate from pr where p < 1 group by 1 having count(*) >= 5")(
     lambda s, d: _predictions(s, d).where("p < 1").groupBy(F.expr(_CASE).alias("bin")).agg(F.count("*").alias("n"), r6(F.avg("p"), "mean_p"), r6(F.avg("y"), "rate")).where("n >= 5")
 )
+R.add("a18_equal_bins", f"with {_PRED} select floor(p * 10)::int as bin, count(*) as n, round(avg(p), 6) as mean_p, round(avg(y), 6) as rate, round(abs(avg(p) - avg(y)), 6) as gap from pr where p < 1 group by 1")(
+    lambda s, d: _predictions(s, d).where("p < 1").groupBy(F.floor(F.col("p") * 10).cast("int").alias("bin")).agg(F.count("*").alias("n"), r6(F.avg("p"), "mean_p"), r6(F.avg("y"), "rate"), r6(F.abs(F.avg("p") - F.avg("y")), "gap"))
+)
 _BAND = "case when p >= 0.7 or p <= 0.3 then 'high' when p >= 0.6 or p <= 0.4 then 'medium' when p >= 0.55 or p <= 0.45 then 'low' else 'neutral' end"
 R.add("a19_confidence_bands", f"with {_PRED} select {_BAND} as band, count(*) as n, round(avg(((p > 0.5)::int = y)::int), 6) as accuracy from pr group by 1")(lambda s, d: _predictions(s, d).groupBy(F.expr(_BAND).alias("band")).agg(F.count("*").alias("n"), r6(F.avg(((F.col("p") > 0.5).cast("int") == F.col("y")).cast("int")), "accuracy")))
 _PC = "least(greatest(p, 1e-15), 1 - 1e-15)"

@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import html
-import re
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tidelake.sources.store import to_json
 
 
-def rows(df: DataFrame, most: int = 1000) -> list[dict]:
-    """Metric rows as plain values; a report holds ``most`` rows."""
-    return [r.asDict(recursive=True) for r in df.limit(most).collect()]
+def rows(df: DataFrame, most: int = 100_000) -> list[dict]:
+    """Metric rows as plain values; more than ``most`` are no report and raise an error."""
+    found = df.limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"a report holds {most} rows at most; aggregate or rank them first")
+    return [r.asDict(recursive=True) for r in found]
 
 
 def text(title: str, sections: dict[str, list[dict]]) -> str:
@@ -42,12 +45,15 @@ def _show(v) -> str:
     return "" if v is None else f"{v:.4f}" if isinstance(v, float) else str(v)
 
 
-def exit_of(name: str) -> dict:
-    """Exit parameters from a rule name like ``exit_sl2_tp3_24h``."""
-    m = re.search(r"sl([\d.]+)_tp([\d.]+)_(\d+)h", name)
-    return {} if not m else {"stop": float(m[1]), "take": float(m[2]), "bars": int(m[3])}
+def exit_fields(df: DataFrame, name: str) -> DataFrame:
+    """Stop, take and bars from rule names like ``exit_sl2_tp3_24h``; other names give nulls."""
+    pattern = r"sl([\d.]+)_tp([\d.]+)_(\d+)h"
+    part = lambda k, kind: F.regexp_extract(name, pattern, k).try_cast(kind)
+    return df.select("*", part(1, "double").alias("stop"), part(2, "double").alias("take"), part(3, "int").alias("bars"))
 
 
-def card(rule: dict) -> str:
-    """A strategy in four lines."""
-    return "\n".join(f"{k:>12}: {_show(rule.get(k))}" for k in ("rule", "n", "mean", "verdict"))
+def cards(df: DataFrame, fields: tuple[str, ...] = ("rule", "n", "mean", "verdict")) -> DataFrame:
+    """``card``: a strategy in a few lines, one for each field; unknown values are empty."""
+    shown = {c: F.format_string("%.4f", F.col(c)) if t in ("double", "float") else F.col(c).cast("string") for c, t in df.dtypes if c in fields}
+    lines = [F.concat(F.lit(f"{k:>12}: "), F.coalesce(shown.get(k, F.lit("")), F.lit(""))) for k in fields]
+    return df.withColumn("card", F.concat_ws("\n", *lines))

@@ -10,10 +10,10 @@ from tidelake.streaming import live
 
 from . import report
 from .base import Registry, bars4h, table
-from .rule_queries import flagship
+from .rule_queries import flagship, flagship_sql
 
 R = Registry()
-_BARS = "select event_type as sym, (epoch_us(ts) // 14400000000) * 14400 as t, arg_min(value, ts) as o, max(value) as h, min(value) as l, arg_max(value, ts) as c, count(*)::double as v from events group by 1, 2"
+_BARS = "select event_type as sym, (epoch_us(ts) // 14400000000) * 14400 as t, arg_min(value, (ts, event_id)) as o, max(value) as h, min(value) as l, arg_max(value, (ts, event_id)) as c, count(*)::double as v from events group by 1, 2"
 R.add("st1_stream_bars", f"select * from ({_BARS}) where t + 14400 <= (select max(epoch_us(ts)) / 1e6 from events) - 3600")(lambda s, d: _streamed(s, d))
 
 
@@ -25,19 +25,67 @@ def _streamed(s, d):
     return s.read.parquet(f"{at}/out")
 
 
-@R.add("st2_stream_cooldown", None)
+_GATE = f"with recursive {BARS}, a as (select sym, t, c as score, row_number() over ({P}) as i from bars where c >= 50), k as (select sym, t, score, i, true as keep, t as last from a where i = 1 union all select a.sym, a.t, a.score, a.i, a.t - k.last >= 28800, case when a.t - k.last >= 28800 then a.t else k.last end from a join k on a.sym = k.sym and a.i = k.i + 1) select sym, t, score from k where keep"
+
+
+@R.add("st2_stream_cooldown", _GATE)
 def _(s, d):
     at = shared_folder(s, "st2")
-    bars4h(s, d).where("c > 50").select("sym", "t", F.col("c").alias("score")).coalesce(1).write.parquet(f"{at}/in")
+    bars4h(s, d).where("c >= 50").select("sym", "t", F.col("c").alias("score")).write.parquet(f"{at}/in")
     src = s.readStream.schema("sym string, t long, score double").parquet(f"{at}/in")
     live.run_once(live.cooled(src, 8 * 3600), f"{at}/out", f"{at}/state")
     return s.read.parquet(f"{at}/out")
 
 
-R.add("s21_alert_gate", f"with recursive {BARS}, a as (select sym, t, c as score, row_number() over ({P}) as i from bars where c >= 50), k as (select sym, t, score, i, true as keep, t as last from a where i = 1 union all select a.sym, a.t, a.score, a.i, a.t - k.last >= 28800, case when a.t - k.last >= 28800 then a.t else k.last end from a join k on a.sym = k.sym and a.i = k.i + 1) select sym, t, score from k where keep")(lambda s, d: live.gated(bars4h(s, d), "c", 50.0, 8 * 3600))
+@R.add("st3_sessions", "with e as (select user_id, epoch_us(ts) as u, lag(epoch_us(ts)) over (partition by user_id order by ts, event_id) as p from events), g as (select *, sum((p is null or u - p >= 1800000000)::int) over (partition by user_id order by u rows unbounded preceding) as k from e), x as (select user_id, k, min(u) as a, max(u) as b, count(*) as n from g group by 1, 2) select user_id, a // 1000000 as t, n from x where b + 1800000000 <= (select max(u) from e) - 3600000000")
+def _(s, d):
+    at = shared_folder(s, "st3")
+    events = table(s, d, "events")
+    events.write.parquet(f"{at}/in")
+    live.run_once(live.session_counts(live.event_stream(s, f"{at}/in", events.schema)), f"{at}/out", f"{at}/state")
+    return s.read.parquet(f"{at}/out")
+
+
+@R.add("st4_unique_events", "select count(*) as n, count(distinct event_id) as ids, round(sum(value), 4) as total from events")
+def _(s, d):
+    at = shared_folder(s, "st4")
+    events = table(s, d, "events")
+    for k in range(2):  # every event arrives twice
+        events.write.parquet(f"{at}/in{k}")
+    twice = s.readStream.schema(events.schema).parquet(f"{at}/in*").withColumn("ts", F.col("ts").cast("timestamp"))
+    live.run_once(live.unique_events(twice, late="10000 days"), f"{at}/out", f"{at}/state")
+    return s.read.parquet(f"{at}/out").agg(F.count("*").alias("n"), F.countDistinct("event_id").alias("ids"), F.round(F.sum("value"), 4).alias("total"))
 
 
-@R.add("s09_report", None)
+@R.add("st5_batches", "select event_type as sym, count(*) as n, case when avg(value) > 50 then 'LONG' else 'SHORT' end || ' ' || event_type || ' (' || printf('%.2f', avg(value)) || ')' as said from events group by 1")
 def _(s, d):
+    at = shared_folder(s, "st5")
+    events = table(s, d, "events")
+    events.write.parquet(f"{at}/in")
+    seen = live.event_stream(s, f"{at}/in", events.schema).groupBy(F.col("event_type").alias("sym")).agg(F.count("*").alias("n"), F.avg("value").alias("mean"))
+    live.each_batch(seen, lambda df, k: df.write.mode("overwrite").parquet(f"{at}/out"), f"{at}/state", "complete")
+    out = s.read.parquet(f"{at}/out")
+    return out.select("sym", "n", live.message(F.col("sym"), F.col("mean") - 50, F.col("mean")).alias("said"))
+
+
+R.add("s21_alert_gate", _GATE)(lambda s, d: live.gated(bars4h(s, d), "c", 50.0, 8 * 3600))
+
+
+@R.add("s09_report", f"""{flagship_sql()}, rows_ as (select * from final) select 'rows' as kind, count(*) as n from rows_""")
+def _(s, d):
+    """How many rows each form of a report shows."""
     data = {"signals": report.rows(flagship(s, d))}
-    return s.createDataFrame([("text", report.text("Signals", data)), ("html", report.page("Signals", data)), ("json", report.as_json("Signals", data))], "kind string, body string")
+    forms = report.text("Signals", data), report.page("Signals", data), report.as_json("Signals", data)
+    found = {forms[0].count("sym: "), forms[1].count("<tr>") - 1, forms[2].count('"sym"')}
+    return s.createDataFrame([("rows", n) for n in found], "kind string, n long")
+
+
+@R.add("s09b_fields", "select 'exit_sl' || p_size || '_tp' || (p_size * 2) || '_' || (p_size % 24 + 1) || 'h' as rule, p_size::double as stop, p_size * 2.0::double as take, p_size % 24 + 1 as bars from part")
+def _(s, d):
+    rule = F.concat(F.lit("exit_sl"), F.col("p_size"), F.lit("_tp"), F.col("p_size") * 2, F.lit("_"), F.col("p_size") % 24 + 1, F.lit("h")).alias("rule")
+    return report.exit_fields(table(s, d, "part").select(rule), "rule")
+
+
+@R.add("s09b_cards", f"""{flagship_sql()} select sym, oos, '        rule: ' || sym || chr(10) || '           n: ' || n_trades || chr(10) || '        mean: ' || printf('%.4f', mean_return) || chr(10) || '     verdict: ' as card from final""")
+def _(s, d):
+    return report.cards(flagship(s, d).withColumnsRenamed({"n_trades": "n", "mean_return": "mean"}).withColumns({"rule": F.col("sym"), "verdict": F.lit(None).cast("string")})).select("sym", "oos", "card")

@@ -35,6 +35,14 @@ class RateLimiter:
         self.tokens -= 1
 
 
+_LIMITERS: dict[float, RateLimiter] = {}
+
+
+def limiter(rate: float) -> RateLimiter:
+    """One bucket for all pages that a worker process fetches at a rate."""
+    return _LIMITERS.setdefault(rate, RateLimiter(rate))
+
+
 def with_retries(call, tries: int = 3, first_wait: float = 1.0):
     """Call until it succeeds; waits double."""
     for k in range(tries):
@@ -62,21 +70,20 @@ class _Reader(DataSourceReader):
     def read(self, page) -> Iterator[tuple]:
         module, _, name = self.o["fetcher"].partition(":")
         fetch = getattr(importlib.import_module(module), name)
-        limit = RateLimiter(float(self.o.get("rate", 10)))
-        limit.wait()
+        limiter(float(self.o.get("rate", 10))).wait()
         for row in with_retries(lambda: fetch(page.symbol, page.start, page.end)):
-            yield (page.symbol, json.dumps(row))
+            yield (page.symbol, page.start, json.dumps(row))
 
 
 class MarketFeed(DataSource):
-    """Pages of a market-data API as rows (symbol, payload JSON). Options: symbols, start, end, step, rate, fetcher (module:function)."""
+    """Pages of a market-data API as rows (symbol, start of the page, payload JSON). Options: symbols, start, end, step, rate, fetcher (module:function)."""
 
     @classmethod
     def name(cls) -> str:
         return "market_feed"
 
     def schema(self) -> str:
-        return "symbol string, payload string"
+        return "symbol string, page long, payload string"
 
     def reader(self, schema) -> DataSourceReader:
         return _Reader(self.options)
@@ -99,13 +106,15 @@ def hash_of(s: str) -> int:
 
 
 def klines(spark: SparkSession, **options) -> DataFrame:
-    """Klines of several symbols, typed, first of repeated times kept, with the derived taker columns."""
+    """Klines of several symbols, typed, with the derived taker columns; of repeated times the row of the first page (then the smallest payload) is kept."""
     spark.dataSource.register(MarketFeed)
     raw = spark.read.format("market_feed").options(**options).load()
     names = [f.split() for f in KLINES.split(", ")]
     parts = F.from_json("payload", "array<string>")
-    typed = raw.select("symbol", *[parts[i].try_cast(t).alias(n) for i, (n, t) in enumerate(names)])
-    return kline_columns(typed.dropDuplicates(["symbol", "open_time"]))
+    typed = raw.select("symbol", "page", "payload", *[parts[i].try_cast(t).alias(n) for i, (n, t) in enumerate(names)])
+    rest = [n for n, _ in names if n != "open_time"]
+    first = typed.groupBy("symbol", "open_time").agg(F.min_by(F.struct(*rest), F.struct("page", "payload")).alias("row"))
+    return kline_columns(first.select("symbol", "open_time", "row.*"))
 
 
 def kline_columns(df: DataFrame) -> DataFrame:
@@ -170,6 +179,25 @@ def max_pain(df: DataFrame) -> DataFrame:
     return by.agg(F.max_by("strike", F.struct("oi", (-F.col("strike")).alias("s"))).alias("max_pain"), F.max("oi").alias("oi"))
 
 
+def equity_aggregates(df: DataFrame, payload: str, key: list[str]) -> DataFrame:
+    """Bars of the ``results`` of an aggregates payload (t in milliseconds, o, h, l, c, v, and vw, n where they are there), by time."""
+    kind = "struct<results:array<struct<t:bigint,o:double,h:double,l:double,c:double,v:double,vw:double,n:bigint>>>"
+    rows = df.select(*key, F.inline(F.from_json(payload, kind).results))
+    return rows.select(*key, F.timestamp_millis("t").alias("timestamp"), F.col("o").alias("open"), F.col("h").alias("high"), F.col("l").alias("low"), F.col("c").alias("close"), F.col("v").alias("volume"), F.col("vw").alias("vwap"), F.col("n").alias("transactions"))
+
+
+def previous_close(df: DataFrame, payload: str, key: list[str]) -> DataFrame:
+    """The first bar of a payload's results, one row per payload; none gives nulls."""
+    first = F.get(F.from_json(payload, "struct<results:array<struct<t:bigint,o:double,h:double,l:double,c:double,v:double>>>").results, F.lit(0))
+    return df.select(*key, F.timestamp_millis(first.t).alias("timestamp"), first.o.alias("open"), first.h.alias("high"), first.l.alias("low"), first.c.alias("close"), first.v.alias("volume"))
+
+
+def market_status(df: DataFrame, payload: str, key: list[str]) -> DataFrame:
+    """State of the market and of each exchange."""
+    x = F.from_json(payload, "struct<market:string,exchanges:map<string,string>>")
+    return df.select(*key, x.market.alias("market"), x.exchanges.alias("exchanges"))
+
+
 def fred_value(c: str) -> Column:
     """FRED prints a dot for a missing value."""
     return F.col(c).try_cast("double")

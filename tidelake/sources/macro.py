@@ -22,6 +22,21 @@ def yield_curve(frames: list[DataFrame], columns: list[str]) -> DataFrame:
     return df.select("*", *[(F.col(c) < 0).alias(f"{c}_inverted") for c in columns])
 
 
+def conditions(frames: list[DataFrame], columns: list[str]) -> DataFrame:
+    """Indices of financial conditions side by side, with flags above (tight) and below (loose) zero."""
+    df = composite(frames, columns)
+    return df.select("*", *[(F.col(c) > 0).alias(f"{c}_tight") for c in columns], *[(F.col(c) < 0).alias(f"{c}_loose") for c in columns])
+
+
+def metadata(frames: dict[str, DataFrame], column: str = "c") -> DataFrame:
+    """Rows, known values, first and last day of every series, one row each."""
+    rows = [df.agg(F.lit(n).alias("series"), F.count("*").alias("rows"), F.count(column).alias("known"), F.min("t").alias("first"), F.max("t").alias("last")) for n, df in frames.items()]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out
+
+
 def inflation(df: DataFrame, c: str, k: int = 12) -> DataFrame:
     """Change over k rows in percent."""
     return df.withColumn(f"{c}_yoy", S.pct_change(c, k) * 100)

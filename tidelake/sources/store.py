@@ -12,9 +12,12 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession, what: str) -> str:
-    """A new folder that driver and executors share: beside the checkpoints; a local one only where none is set."""
+    """A new folder that driver and executors share, beside the checkpoints; only a local session may get one of its own."""
     sc = spark.sparkContext
-    base = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tidelake_")
+    base = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir")
+    if not base and not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+    base = base or tempfile.mkdtemp(prefix="tidelake_")
     return f"{base}/{what}-{uuid.uuid4().hex}"
 
 

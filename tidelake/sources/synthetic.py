@@ -2,17 +2,29 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelake.functions.scan import scan
 
 
+def _uniform(seed: int, k: int) -> Column:
+    """In (0, 1): 52 bits of a hash."""
+    return (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit(k), "sym", "t"), 12).cast("double") + 0.5) / 2**52
+
+
+def _normal(seed: int, k: int) -> Column:
+    """A standard normal value from two uniform ones."""
+    return F.sqrt(-2 * F.ln(_uniform(seed, 2 * k))) * F.cos(2 * math.pi * _uniform(seed, 2 * k + 1))
+
+
 def market(spark: SparkSession, rows: int = 8760, symbols: int = 1, seed: int = 42, start: int = 1_700_000_000 // 3600 * 3600) -> DataFrame:
-    """One row per symbol and hour. Shocks are drawn per row by Spark; paths with memory are scanned per symbol."""
+    """One row per symbol and hour. Shocks are hashes of seed, symbol and time, the same however rows are dealt; paths with memory are scanned per symbol."""
     df = spark.range(symbols * rows).select((F.col("id") / rows).cast("long").cast("string").alias("sym"), (F.lit(start) + F.col("id") % rows * 3600).alias("t"))
-    df = df.select("*", *[F.randn(seed + k).alias(f"z{k}") for k in range(6)], F.rand(seed + 9).alias("u"))
+    df = df.select("*", *[_normal(seed, k).alias(f"z{k}") for k in range(6)], _uniform(seed, 99).alias("u"))
 
     def step(state, z0, z1, z2, z3, z4, z5, u):
         p, regime, fund, oi, fear = state or (30000.0, 0, 1e-4, 1e9, 50.0)

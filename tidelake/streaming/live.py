@@ -18,10 +18,11 @@ def event_stream(spark: SparkSession, path: str, schema, files_per_batch: int =
     return raw.withColumn("ts", F.col("ts").cast("timestamp"))  # watermarks need an instant
 
 
-def stream_bars(events: DataFrame, size: str = "4 hours", late: str = "1 hour", key: str = "event_type", value: str = "value") -> DataFrame:
-    """Bars of a stream; rows later than ``late`` behind the newest are dropped, closed bars are final."""
+def stream_bars(events: DataFrame, size: str = "4 hours", late: str = "1 hour", key: str = "event_type", value: str = "value", tie: str = "event_id") -> DataFrame:
+    """Bars of a stream; rows later than ``late`` behind the newest are dropped, closed bars are final. ``tie`` orders events of one time."""
+    first = F.struct("ts", tie)
     w = events.withWatermark("ts", late).groupBy(F.window("ts", size), F.col(key).alias("sym"))
-    out = w.agg(F.min_by(value, "ts").alias("o"), F.max(value).alias("h"), F.min(value).alias("l"), F.max_by(value, "ts").alias("c"), F.count("*").cast("double").alias("v"))
+    out = w.agg(F.min_by(value, first).alias("o"), F.max(value).alias("h"), F.min(value).alias("l"), F.max_by(value, first).alias("c"), F.count("*").cast("double").alias("v"))
     return out.select("sym", epoch("window.start").alias("t"), "o", "h", "l", "c", "v")
 
 
@@ -35,18 +36,22 @@ def unique_events(events: DataFrame, key: str = "event_id", late: str = "1 hour"
 
 
 def cooled(alerts: DataFrame, seconds: int = 4 * HOUR) -> DataFrame:
-    """Alerts (sym, t, score) of a stream that come ``seconds`` after the last one that passed; one number of state per symbol."""
+    """Alerts (sym, t, score) of a stream that come ``seconds`` after the last one that passed; one number of state per symbol.
+
+    The rows of a symbol in one micro-batch are taken in order of time, whatever
+    order they arrive in; of equal times the smallest score. What a later batch
+    brings from before the last alert is late and dropped.
+    """
 
     def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last = state.get[0] if state.exists else -(2**62)
-        for f in frames:
-            keep = []
-            for t in f.sort_values("t")["t"]:
-                if t - last >= seconds:
-                    keep.append(t)
-                    last = t
-            yield f[f["t"].isin(keep)].drop_duplicates("t")[["sym", "t", "score"]]
-        state.update((last,))
+        rows = pd.concat(list(frames)).sort_values(["t", "score"])
+        keep = []
+        for t in rows["t"]:
+            keep.append(t - last >= seconds)
+            last = t if keep[-1] else last
+        state.update((int(last),))
+        yield rows[keep][["sym", "t", "score"]]
 
     return alerts.groupBy("sym").applyInPandasWithState(step, "sym string, t long, score double", "last long", "append", GroupStateTimeout.NoTimeout)
 
