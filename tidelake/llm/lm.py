@@ -10,8 +10,8 @@ Texts are read once into blocks of encoded tokens. Each block asks for the
 counts of its distinct words and bigrams: keys go to the range of hashes that
 they belong to, sums come back. So a word that is in every text crosses the
 network once for each block, no count table is ever broadcast, and nothing
-but sums over frequency classes reaches the driver. Words are known by 64-bit
-hashes, bigrams by shorter ones (SPARE_BITS), which halves what is moved.
+but sums over frequency classes reaches the driver. Words and bigrams are known
+by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -26,8 +26,6 @@ from . import ship
 
 #: Tokens of a block; the ranges of hashes for each block.
 BLOCK_TOKENS = 1_000_000
-#: Bigrams are known by the tokens' logarithm and so many more bits: one in 2 ** SPARE_BITS shares its key.
-SPARE_BITS = 20
 END = 0  # the end token's hash; no word has it
 BUCKETS = 40
 #: Frequencies are told apart to a part of an octave when weights are learned.
@@ -104,7 +102,7 @@ def _encode_blocks(batches):
 class _Block:
     """A decoded block: keys of its tokens and their distinct, sorted keys of both kinds."""
 
-    def __init__(self, words: bytes, tokens: bytes, lens: bytes, flags: bytes, width: int):
+    def __init__(self, words: bytes, tokens: bytes, lens: bytes, flags: bytes):
         hashes, self.tok = unpack(words), unpack(tokens)
         self.lens, self.flags = unpack(lens), unpack(flags)
         first = np.cumsum(np.r_[0, self.lens[:-1]])
@@ -114,7 +112,7 @@ class _Block:
         self.flag = np.repeat(self.flags, self.lens)
         self.uni, inv = np.unique(hashes, return_inverse=True)
         self.word_at = inv  # word -> place in uni
-        self.bi, self.bi_first, self.bi_at = np.unique(mix64(hashes[before], hashes[self.tok]) >> np.uint64(64 - width), return_index=True, return_inverse=True)
+        self.bi, self.bi_first, self.bi_at = np.unique(mix64(hashes[before], hashes[self.tok]), return_index=True, return_inverse=True)
 
     def counts(self) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """For words and for bigrams: keys, counts in training texts, counts in those to tune on."""
@@ -125,13 +123,13 @@ class _Block:
         return out
 
 
-def _requests(bits: int, width: int):
+def _requests(bits: int):
     def run(batches):
         for b in batches:
             for r in b.to_pylist():
                 rows = []
-                for kind, (keys, train, tune) in enumerate(_Block(r["words"], r["tokens"], r["lens"], r["flags"], width).counts()):
-                    part = (keys >> np.uint64((width if kind else 64) - bits)).astype(np.int64)
+                for kind, (keys, train, tune) in enumerate(_Block(r["words"], r["tokens"], r["lens"], r["flags"]).counts()):
+                    part = (keys >> np.uint64(64 - bits)).astype(np.int64)
                     cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]).tolist() + [len(keys)]
                     for i, j in zip(cuts, cuts[1:], strict=False):
                         delta = np.diff(keys[i:j], prepend=keys.dtype.type(0))
@@ -158,7 +156,7 @@ def _sum_part(table: pa.Table) -> pa.Table:
     return pa.table(cols | {k: pa.array([s[i] for s in sums], pa.int64()) for i, k in enumerate(("n", "v", "n_rest", "v_rest"))})
 
 
-def _answered(width: int, n_rest: int):
+def _answered(n_rest: int):
     """A block's texts with each token as a place in a table of counts (c(h,w), c(h), c(w)), and its events to tune on.
 
     The events are summed by bucket and rounded logarithms of both estimates
@@ -170,7 +168,7 @@ def _answered(width: int, n_rest: int):
         got = [np.concatenate([unpack(x.as_py()) for x in answers.column(c)]) for c in ("train", "tune")]
         out = []
         for r in block.to_pylist():
-            b = _Block(r["words"], r["tokens"], r["lens"], r["flags"], width)
+            b = _Block(r["words"], r["tokens"], r["lens"], r["flags"])
             cut = len(b.uni)
             # one row of counts for each distinct bigram, then for each distinct row; rows are told apart by a hash
             h, w = b.before[b.bi_first], b.tok[b.bi_first]
@@ -210,13 +208,14 @@ def _tuning(batches):
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in unpack(x).reshape(-1, 4).T], ["bucket", "q2", "q1", "n"])
 
 
-def learn_weights(rows: list, v: int, rounds: int = ROUNDS) -> np.ndarray:
+def learn_weights(rows: pa.Table, v: int, rounds: int = ROUNDS) -> np.ndarray:
     """Mixture weights (bucket; bigram, word, uniform) by expectation-maximisation."""
     w = np.tile([0.4, 0.5, 0.1], (BUCKETS, 1))
     w[0] = [0, 0.9, 0.1]
-    if not rows:
+    if not rows.num_rows:
         return w
-    b, q2, q1, n = (np.array(x) for x in zip(*[(r.bucket, r.q2, r.q1, r.n) for r in rows], strict=True))
+    rows = rows.sort_by([(c, "ascending") for c in ("bucket", "q2", "q1")])
+    b, q2, q1, n = (rows.column(c).to_numpy() for c in ("bucket", "q2", "q1", "n"))
     p = np.stack([np.where(q2 > -9999, 2.0 ** (q2 / PER_OCTAVE), 0), np.where(q1 > -9999, 2.0 ** (q1 / PER_OCTAVE), 0), np.full(len(n), 1 / (v + 1))], axis=1)
     for _ in range(rounds):
         share = w[b] * p
@@ -263,19 +262,18 @@ def score_texts(docs: DataFrame, train: Column, tune: Column, id_col: str = "doc
     blocks, p1 = ship.written(rows.mapInArrow(_encode_blocks, "block long, words binary, tokens binary, ids binary, lens binary, flags binary"), "lm-blocks")
     n_blocks = blocks.count()
     bits = max(4, (2 * n_blocks).bit_length())
-    width = min(64, max(48, (n_blocks * BLOCK_TOKENS).bit_length() + SPARE_BITS))
-    asked = blocks.select("block", "words", "tokens", "lens", "flags").mapInArrow(_requests(bits, width), "part long, block long, keys binary, train binary, tune binary")
+    asked = blocks.select("block", "words", "tokens", "lens", "flags").mapInArrow(_requests(bits), "part long, block long, keys binary, train binary, tune binary")
     summed = asked.groupBy("part").applyInArrow(_sum_part, "block long, part long, train binary, tune binary, n long, v long, n_rest long, v_rest long")
     answers, p2 = ship.written(summed, "lm-answers")
     del asked, summed
     ship.free_shuffles(spark)
     size = answers.where(F.col("part") < 1 << bits).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "v", "n_rest", "v_rest")]).first()
     back = answers.select("block", "part", "train", "tune")
-    done = blocks.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(_answered(width, size.n_rest), "counts binary, tokens binary, ids binary, lens binary, events binary")
+    done = blocks.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(_answered(size.n_rest), "counts binary, tokens binary, ids binary, lens binary, events binary")
     coded, _ = ship.written(done, "lm-coded")
     ship.removed(spark, p1)
     ship.removed(spark, p2)
     classes = coded.select("events").mapInArrow(_tuning, "bucket long, q2 long, q1 long, n long")
-    weights = learn_weights(classes.groupBy("bucket", "q2", "q1").agg(F.sum("n").alias("n")).collect(), size.v_rest)  # frequency classes: bounded by the rounding
+    weights = learn_weights(classes.groupBy("bucket", "q2", "q1").agg(F.sum("n").alias("n")).toArrow(), size.v_rest)  # frequency classes: bounded by the rounding
     out = coded.select("counts", "tokens", "ids", "lens").mapInArrow(_scores(size.n, size.v, weights), "id long, n_tokens long, n_known long, base_score double, score double")
     return out.select(F.col("id").cast(kind).alias(id_col), "n_tokens", "n_known", F.lit(size.n).cast("long").alias("train_tokens"), "base_score", "score")

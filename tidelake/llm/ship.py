@@ -48,29 +48,33 @@ def keyed_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder that the session names.
-
-    Only where no folder is set (as in tests on one machine) a local one is chosen.
-    """
-    sc = df.sparkSession.sparkContext
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder that the session names; only a local session (one machine) may get one of its own."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tidelake_ck_"))
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidelake_ck_"))
+    return sc.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the shared folder."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 def shared_folder(spark: SparkSession, what: str) -> str:
     """A new folder beside the checkpoints, which driver and executors share."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tidelake_ck_"))
-    return f"{sc.getCheckpointDir()}/{what}-{uuid.uuid4().hex}"
+    return f"{checkpoint_folder(spark)}/{what}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, what: str) -> tuple[DataFrame, str]:
     """The rows as compressed Parquet in a shared folder, read again, and the folder.
 
-    The shuffle files of the plan go as soon as all rows are written.
+    The shuffle files of the plan go as soon as all rows are written, the folder
+    with the application if nobody removes it before.
     """
     path, conf = shared_folder(df.sparkSession, what), df.sparkSession.conf
     before = conf.get(_CLEAN_UP, None)
@@ -79,13 +83,21 @@ def written(df: DataFrame, what: str) -> tuple[DataFrame, str]:
         df.write.option("compression", "zstd").option("parquet.block.size", 32 << 20).parquet(path)
     finally:
         conf.set(_CLEAN_UP, before) if before is not None else conf.unset(_CLEAN_UP)
+    fs, p = _file_system(df.sparkSession, path)
+    fs.deleteOnExit(p)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
+def _file_system(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
 def removed(spark: SparkSession, path: str) -> None:
     """Delete a folder that ``written`` made."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    fs, p = _file_system(spark, path)
+    fs.delete(p, True)
+    fs.cancelDeleteOnExit(p)
 
 
 def free_shuffles(spark: SparkSession) -> None:
