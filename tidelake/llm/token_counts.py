@@ -22,7 +22,7 @@ from .merge import PairTable, merge_batch
 
 MARK = "▁"
 #: Pre-tokens whose counts a worker remembers.
-CACHE = 800_000
+CACHE, CACHE_CHARS = 800_000, 16_000_000
 #: Symbols merged at once.
 BATCH_SYMBOLS = 200_000
 #: Texts handled at once, in characters.
@@ -100,7 +100,7 @@ class Counter:
             if len(c) == 1:
                 self.symbol[ord(c)] = i
         self.cache: dict[str, int] = {}
-        self.limit = cache
+        self.limit, self.held = cache, 0
 
     def pre_tokens(self, text: str) -> list[str]:
         """Keys of a text's pre-tokens; key k stands for k with one more space before it."""
@@ -120,11 +120,13 @@ class Counter:
             sym, left = merge_batch(self.symbol[np.frombuffer(flat.encode("utf-32-le"), np.uint32)], lengths[i:j], self.table)
             totals = np.add.reduceat(self.worth[sym], np.r_[0, np.cumsum(left)[:-1]])
             self.cache.update(zip(keys[i:j], totals.tolist(), strict=True))
+        self.held += sum(map(len, keys))
 
     def count(self, texts: list[str]) -> list[int]:
         """Tokens of each text."""
-        if len(self.cache) > self.limit:
+        if len(self.cache) > self.limit or self.held > CACHE_CHARS:
             self.cache.clear()
+            self.held = 0
         parts = [self.pre_tokens(t) for t in texts]
         counts = [list(map(self.cache.get, p)) for p in parts]
         new: set[str] = set()
