@@ -41,7 +41,7 @@ def test_cases(spark):
 
 def test_entire_texts(spark):
     known = texts()
-    want = {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC0-1.0", "CC-BY-SA-4.0"}
+    want = {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC0-1.0", "CC-BY-SA-4.0", "Zlib", "BSL-1.0", "Artistic-1.0-Perl"}
     assert want <= {name for name, _ in known}
     docs = [(i, "Copyright (c) 2020 Someone\n" + text.upper()) for i, (_, text) in enumerate(known)]
     got = {r.doc_id: r for r in scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()}

@@ -59,7 +59,7 @@ def test_stages_on_odd_rows(spark):
         assert out.count() == 0 and (name == "bpe encoding" or out.columns == docs.columns)
     clean = cp.clean(spark, docs, SF).collect()
     assert sorted(r.doc_id or -1 for r in clean) == [-1, 1, 1, 6, 8]  # the long word of 7 is most of its text and no sentence
-    assert and {r.row for r in clean if r.doc_id is None} == {"k"}
+    assert {r.row for r in clean if r.doc_id is None} == {"k"}
     known = cp.known_language(spark, docs, SF).collect()
     assert {r.doc_id for r in known} <= {1, None, 6, 7, 8} and None in {r.doc_id for r in known}
     single = cp.one_of_each(spark, docs, SF).collect()

@@ -32,7 +32,9 @@ COPYRIGHT = r"(?m)^[^\p{L}\p{N}\n]*(copyright|\(c\)|©|all rights reserved)[^\n]
 PUNCTUATION = r"[^\p{L}\p{N}\n]+"
 BREAKS = r" *\n[ \n]*"
 #: Licences that allow use in training; others are marked.
-ALLOWED = ("Apache-2.0", "MIT", "ISC", "0BSD", "BSD-2-Clause", "CC0-1.0", "CC-BY-4.0")
+ALLOWED = ("Apache-2.0", "MIT", "ISC", "0BSD", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "Zlib", "Unlicense", "CC0-1.0", "CC-BY-4.0")
+#: Licences whose texts begin with a title that is often left out.
+TITLED = ("Artistic-1.0-Perl", "BSL-1.0", "Zlib")
 #: Known digests that are sent to the tasks, at most.
 MAX_KNOWN = 10_000
 # Licence texts and notices.
@@ -88,7 +90,7 @@ def known_digests(known: DataFrame) -> DataFrame:
 
 
 def texts() -> list[tuple[str, str]]:
-    """Entire texts from ``license_texts`` (license.txt), each as written, without what follows its terms, and, of the BSD licences, with bullets and with a title."""
+    """Entire texts from ``license_texts`` (license.txt), each as written, without what follows its terms, some without their title, and, of the BSD licences, with bullets and with a title."""
     out = []
     for f in sorted(resources.files(__package__).joinpath("license_texts").iterdir(), key=lambda f: f.name):
         if not f.name.endswith(".txt"):
@@ -97,6 +99,8 @@ def texts() -> list[tuple[str, str]]:
         forms = [text]
         if end := re.search(r"(?m)^ *END OF TERMS AND CONDITIONS *$", text):
             forms += [text[: end.end()], text[: end.start()]]
+        if name in TITLED:
+            forms.append(text.lstrip().split("\n", 1)[1])
         if name.startswith("BSD-"):
             forms += [re.sub(r"(?m)^\d\. ", "* ", text)]
             forms += [f"{title}\n{x}" for x in forms for title in (f"BSD {name[4]}-Clause License", f"The {name[4]}-Clause BSD License")]
