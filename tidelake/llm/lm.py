@@ -259,7 +259,8 @@ def score_texts(docs: DataFrame, train: Column, tune: Column, id_col: str = "doc
     kind = docs.schema[id_col].dataType.simpleString()
     flag = lambda c: F.coalesce(c, F.lit(False))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), flag(train).alias("train"), flag(tune).alias("tune"))
-    blocks, p1 = ship.written(rows.mapInArrow(_encode_blocks, "block long, words binary, tokens binary, ids binary, lens binary, flags binary"), "lm-blocks")
+    kept = ship.Bucketed(rows.mapInArrow(_encode_blocks, "block long, words binary, tokens binary, ids binary, lens binary, flags binary"), "lm-blocks", "block")
+    blocks = kept.rows
     n_blocks = blocks.count()
     bits = max(4, (2 * n_blocks).bit_length())
     asked = blocks.select("block", "words", "tokens", "lens", "flags").mapInArrow(_requests(bits), "part long, block long, keys binary, train binary, tune binary")
@@ -271,7 +272,7 @@ def score_texts(docs: DataFrame, train: Column, tune: Column, id_col: str = "doc
     back = answers.select("block", "part", "train", "tune")
     done = blocks.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(_answered(size.n_rest), "counts binary, tokens binary, ids binary, lens binary, events binary")
     coded, _ = ship.written(done, "lm-coded")
-    ship.removed(spark, p1)
+    kept.remove()
     ship.removed(spark, p2)
     classes = coded.select("events").mapInArrow(_tuning, "bucket long, q2 long, q1 long, n long")
     weights = learn_weights(classes.groupBy("bucket", "q2", "q1").agg(F.sum("n").alias("n")).toArrow(), size.v_rest)  # frequency classes: bounded by the rounding

@@ -88,6 +88,23 @@ def written(df: DataFrame, what: str) -> tuple[DataFrame, str]:
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
+class Bucketed:
+    """Rows written as a table in a shared folder, bucketed by a key: groupings by the key find them in place, without a shuffle."""
+
+    def __init__(self, df: DataFrame, what: str, key: str):
+        self.spark, self.path = df.sparkSession, shared_folder(df.sparkSession, what)
+        self.name = f"tidelake_{uuid.uuid4().hex}"
+        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        df.write.format("parquet").option("compression", "zstd").option("path", self.path).bucketBy(n, key).saveAsTable(self.name)
+        fs, p = _file_system(self.spark, self.path)
+        fs.deleteOnExit(p)
+        self.rows = self.spark.table(self.name)
+
+    def remove(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        removed(self.spark, self.path)
+
+
 def _file_system(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
