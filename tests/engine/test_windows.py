@@ -120,3 +120,24 @@ def test_expanding_quantile(spark):
     got = [r.q for r in expanding_quantile(spark.createDataFrame(p), "x", "q", 0.9, 10).orderBy("t").collect()]
     want = p.x.expanding(10).quantile(0.9)
     assert got[:9] == [None] * 9 and np.allclose(got[9:], want[9:])
+
+
+def test_stretches_are_as_the_whole(spark):
+    """Cuts of any size, gaps and crowded days leave windows as they are."""
+    import numpy as np
+    import pandas as pd
+    from tidelake.operators import bars as B
+    from tidelake.operators import features as ft
+
+    rng = np.random.default_rng(2)
+    rows = []
+    for sym in "ab":
+        t = np.sort(np.concatenate([rng.choice(4000, 300, replace=False), 10_000 + np.arange(150), 20_000 + rng.choice(9000, 200, replace=False)]))
+        rows.append(pd.DataFrame({"sym": sym, "t": t, "c": rng.normal(size=len(t)) + 5}))
+    df = spark.createDataFrame(pd.concat(rows))
+    build = lambda x: ft.apply(x, *ft.zscores(ks=(24,)), {"up": ft.S.lead("c", 5), "old": ft.S.lag("c", 24)})
+    want = sorted(map(repr, build(df).select("sym", "t", "price_zscore_24h", "up", "old").collect()))
+    for size, seconds in ((10, 100), (60, 500), (100_000, 100)):
+        got = B.in_stretches(df, build, 25, 5, rows=size, seconds=seconds)
+        assert sorted(map(repr, got.select("sym", "t", "price_zscore_24h", "up", "old").collect())) == want
+    assert B.in_stretches(df, build, 25, 5, rows=60, seconds=500).columns == build(df).columns

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -120,3 +121,32 @@ def outer_on_time(frames: list[DataFrame], key: list[str]) -> DataFrame:
         cut.append(f.select(*key, *[c for c in f.columns if c not in seen]))
         seen |= set(f.columns)
     return functools.reduce(lambda a, b: a.join(b, key, "full_outer"), cut)
+
+
+#: Rows of a stretch of a series, about, and the stretches of time that are counted for it.
+STRETCH_ROWS, COUNTED = 1_000_000, 30 * DAY
+
+
+def in_stretches(df: DataFrame, build: Callable[[DataFrame], DataFrame], back: int, ahead: int = 0, rows: int = STRETCH_ROWS, seconds: int = COUNTED) -> DataFrame:
+    """``build(df)``, with long series cut into stretches of about ``rows`` rows that different tasks compute.
+
+    ``build`` adds columns to bars (sym, t) by windows that reach at most
+    ``back`` rows back and ``ahead`` rows on. Each stretch gets that many rows of
+    its neighbours as context (whole stretches of time of ``seconds``), which go
+    again afterwards, so the result is that of the uncut series. Only counts by
+    series and time are gathered to place the cuts.
+    """
+    base = df.withColumn("_bucket", F.floor(F.col("t") / seconds))
+    w, whole = Window.partitionBy("sym").orderBy("_bucket"), Window.partitionBy("sym")
+    counts = base.groupBy("sym", "_bucket").agg(F.count("*").alias("n"))
+    counts = counts.select("*", F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("upto"), (F.max("n").over(whole) + max(back, ahead) + 1).alias("least"))
+    counts = counts.withColumn("own", F.floor((F.col("upto") - F.col("n")) / F.greatest(F.lit(rows), F.col("least"))))
+    ends = Window.partitionBy("sym", "own")
+    counts = counts.select("*", F.min(F.col("upto") - F.col("n")).over(ends).alias("first"), F.max("upto").over(ends).alias("last"))
+    after = F.when(F.col("last") - F.col("upto") < back, F.col("own") + 1)
+    before = F.when((F.col("upto") - F.col("n") - F.col("first") < ahead) & (F.col("own") > 0), F.col("own") - 1)
+    placed = counts.select("sym", "_bucket", "own", F.array_compact(F.array("own", after, before)).alias("at"))
+    dealt = base.join(placed, ["sym", "_bucket"]).select(*df.columns, "own", F.explode("at").alias("_at"))
+    dealt = dealt.select(F.col("sym").alias("_sym"), F.concat("sym", F.lit("#"), F.col("_at")).alias("sym"), *[c for c in df.columns if c != "sym"], (F.col("own") == F.col("_at")).alias("_mine"))
+    out = build(dealt).where("_mine")
+    return out.select(F.col("_sym").alias("sym"), *[c for c in out.columns if c not in ("_sym", "sym", "_mine")])

@@ -10,6 +10,7 @@ from tidelake.functions import scan as sc
 from tidelake.functions.quantiles import expanding_quantile
 from tidelake.functions.sqlkit import P, div, lag, lead, over, roll, staged, zscore
 from tidelake.functions.windows import Series, clip, corr, flag, quintile, row_mean, row_sum
+from tidelake.operators import bars as B
 from tidelake.operators import features as ft
 
 from .base import DAILY, Registry, bars4h, daily, shown
@@ -120,6 +121,7 @@ for _k in (20, 50):
     _m, _s = roll("avg", "c", _k), roll("stddev_samp", "c", _k)
     _bb |= {f"price_bb_upper_{_k}": f"{_m} + 2 * {_s}", f"price_bb_lower_{_k}": f"{_m} - 2 * {_s}", f"price_bb_position_{_k}": div(f"c - ({_m} - 2 * {_s})", f"4 * {_s}"), f"price_bb_width_{_k}": div(f"4 * {_s}", _m)}
 stages("f08_bollinger", ft.bollinger, _bb)
+R.add("w25_stretches", staged(_bb | {"ahead": f"{div(lead('c', 6), 'c')} - 1"}))(lambda s, d: shown(B.in_stretches(bars4h(s, d), lambda x: ft.apply(x, *ft.bollinger(), {"ahead": F.try_divide(S.lead("c", 6), F.col("c")) - 1}), 50, 6, rows=70, seconds=86400), *_bb, "ahead"))
 stages("f09_zscore", ft.zscores, {f"price_zscore_{k}h": zscore("c", k) for k in (24, 168, 720)})
 _rg = {}
 for _k in (24, 168, 720):
