@@ -95,6 +95,23 @@ def test_synthetic_market_is_the_same_however_it_is_dealt(spark):
     assert a == b
 
 
+def test_synthetic_patterns(spark):
+    from pyspark.sql import functions as F
+    from tidelake.functions.windows import Series
+    from tidelake.sources.synthetic import market
+
+    s = Series("sym", "t")
+
+    def after(patterns):
+        df = market(spark, 4000, 1, patterns=patterns).withColumn("push", F.col("close") / s.lag("close") - 1)
+        df = df.withColumn("before", s.lag("fear_greed_index"))
+        return df.agg(F.avg(F.when(F.col("before") > 80, F.col("close"))).alias("hot"), F.avg(F.when(F.col("before") < 20, F.col("close"))).alias("cold"), F.count_if(F.col("before") > 80).alias("n"), F.count_if(F.col("before") < 20).alias("k")).first()
+
+    a, b = after(True), after(False)
+    assert (a.n, a.k) == (b.n, b.k) and a.n > 2 and a.k > 10
+    assert a.hot < b.hot and a.cold > b.cold
+
+
 def test_best_of_given_choices(spark):
     """Searches find what was put in."""
     import numpy as np

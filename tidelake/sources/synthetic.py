@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelake.functions.scan import scan
+from tidelake.functions.windows import Series
 
 
 def _uniform(seed: int, k: int) -> Column:
@@ -21,8 +22,11 @@ def _normal(seed: int, k: int) -> Column:
     return F.sqrt(-2 * F.ln(_uniform(seed, 2 * k))) * F.cos(2 * math.pi * _uniform(seed, 2 * k + 1))
 
 
-def market(spark: SparkSession, rows: int = 8760, symbols: int = 1, seed: int = 42, start: int = 1_700_000_000 // 3600 * 3600) -> DataFrame:
-    """One row per symbol and hour. Shocks are hashes of seed, symbol and time, the same however rows are dealt; paths with memory are scanned per symbol."""
+def market(spark: SparkSession, rows: int = 8760, symbols: int = 1, seed: int = 42, start: int = 1_700_000_000 // 3600 * 3600, patterns: bool = True) -> DataFrame:
+    """One row per symbol and hour. Shocks are hashes of seed, symbol and time, the same however rows are dealt; paths with memory are scanned per symbol.
+
+    With ``patterns`` closes hold what a search should find (see ``embedded``).
+    """
     df = spark.range(symbols * rows).select((F.col("id") / rows).cast("long").cast("string").alias("sym"), (F.lit(start) + F.col("id") % rows * 3600).alias("t"))
     df = df.select("*", *[_normal(seed, k).alias(f"z{k}") for k in range(6)], _uniform(seed, 99).alias("u"))
 
@@ -35,14 +39,16 @@ def market(spark: SparkSession, rows: int = 8760, symbols: int = 1, seed: int =
             r = (0.0001, 0.0, -0.0001)[regime] + 0.005 * (1, 0.6, 1.6)[regime] * z0[i] + (0.03 * z1[i] if u[i] > 0.998 else 0)
             o, p = p, p * np.exp(r)
             wick = abs(z2[i]) * 0.002 * p
-            fund = 0.95 * fund + 0.05 * (1e-4 + 0.01 * r) + 1e-5 * z3[i]
+            fund = 0.95 * fund + 0.05 * (1e-4 + 0.01 * r) + 5e-5 * z3[i]
             oi *= np.exp(0.3 * r + 0.004 * z4[i])
-            fear = min(100.0, max(0.0, 0.97 * fear + 1.5 + 60 * r + z5[i]))
+            fear = min(100.0, max(0.0, 0.97 * fear + 1.5 + 60 * r + 3 * z5[i]))
             out[i] = o, max(o, p) + wick, min(o, p) - wick, p, fund, oi, fear
         return (p, regime, fund, oi, fear), list(out.T)
 
     names = ["open", "high", "low", "close", "funding_rate", "open_interest", "fear_greed_index"]
     df = scan(df, ["sym"], ["t"], ["z0", "z1", "z2", "z3", "z4", "z5", "u"], dict.fromkeys(names, "double"), step)
+    if patterns:
+        df = embedded(df, seed)
     r = F.col("close") / F.col("open") - 1
     liq = F.exp(10 + F.abs(r) * 200 + 0.5 * F.col("z1"))
     return df.select(
@@ -57,3 +63,19 @@ def market(spark: SparkSession, rows: int = 8760, symbols: int = 1, seed: int =
         (100 + F.col("z5")).alias("dxy"),
         (0.6 + 0.05 * F.abs(F.col("z0"))).alias("implied_volatility"),
     )
+
+
+#: Patterns in the closes: (column, low, high, rows that follow, push of a row).
+PATTERNS = (("funding_rate", -0.0005, 0.0005, 24, 0.001), ("fear_greed_index", 20.0, 80.0, 48, 0.0005))
+
+
+def embedded(df: DataFrame, seed: int = 42) -> DataFrame:
+    """Closes pushed against extremes: after a value above its high bound the next rows are lower, after one below its
+    low bound higher, by half to one and a half of the push for each extreme that they follow; highs and lows follow."""
+    s = Series("sym", "t")
+    push = F.lit(0.0)
+    for k, (c, low, high, rows, size) in enumerate(PATTERNS):
+        side = F.when(F.col(c) > high, -1.0).when(F.col(c) < low, 1.0).otherwise(0.0)
+        push = push + F.coalesce(F.sum(side * size * (0.5 + _uniform(seed, 200 + k))).over(s.o.rowsBetween(-rows, -1)), F.lit(0.0))
+    df = df.withColumn("close", F.col("close") * F.exp(push))
+    return df.withColumn("high", F.greatest("high", "close")).withColumn("low", F.least("low", "close"))
