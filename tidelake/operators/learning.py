@@ -248,17 +248,6 @@ def simplex(weights: dict[str, float]) -> dict[str, float]:
     return {k: max(0.0, w) / total for k, w in weights.items()}
 
 
-def batch_scores(df: DataFrame, sets: list[dict[str, float]], ret: str = "ret") -> list[float]:
-    """Sharpe of the sign of a weighted sum of columns, for many weight sets in one pass."""
-    aggs = []
-    for i, w in enumerate(sets):
-        pos = F.signum(sum((F.coalesce(F.col(k), F.lit(0.0)) * x for k, x in w.items()), F.lit(0.0)))
-        r = pos * F.col(ret)
-        aggs.append(F.coalesce(F.try_divide(F.avg(r), F.stddev_samp(r)), F.lit(0.0)).alias(f"s{i}"))
-    row = df.agg(*aggs).first()
-    return [row[i] for i in range(len(sets))]
-
-
 def genetic(df: DataFrame, columns: list[str], ret: str = "ret", size: int = 50, rounds: int = 20, seed: int = 42, most: int = 5, min_trades: int = 20, holding: int = 6) -> list[tuple[Rule, float]]:
     """Rules of 2 to ``most`` conditions bred by two-point crossover, mutation and tournaments, with their Sharpe.
 

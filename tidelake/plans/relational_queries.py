@@ -84,6 +84,16 @@ R.add("s12_order_book", f"with {BARS} select sym, t, round((v - tb) / nullif(v +
 R.add("s14_payload_keys", "select event_id, coalesce(case when (props::json->>'k') not in ('0', '') then props::json->>'k' end, props::json->>'q') as k from events")(
     lambda s, d: table(s, d, "events").select("event_id", feeds.first_key(F.col("props"), "k", "q").alias("k"))
 )
+
+
+def _ohlc(s, d) -> DataFrame:
+    """Bars as JSON, on even hours under long keys, else under short ones."""
+    long_ = F.to_json(F.struct(F.col("o").alias("open"), F.col("h").alias("high"), F.col("l").alias("low"), F.col("c").alias("close")))
+    return bars4h(s, d).select("sym", "t", F.when(F.col("t") % 28800 == 0, long_).otherwise(F.to_json(F.struct("o", "h", "l", "c"))).alias("payload"))
+
+
+R.add("s14_ohlc_payload", f"with {BARS} select sym, t, round(nullif(o, 0), 6) as oi_open, round(nullif(h, 0), 6) as oi_high, round(nullif(l, 0), 6) as oi_low, round(nullif(c, 0), 6) as oi_close from bars")(lambda s, d: shown(feeds.ohlc_payload(_ohlc(s, d), "payload", "oi"), "oi_open", "oi_high", "oi_low", "oi_close"))
+R.add("s15_long_short", f"with {BARS} select sym, t, round(v / nullif(tb, 0), 6) as ls_long_short_ratio from bars")(lambda s, d: shown(feeds.long_short(bars4h(s, d), "v", "tb", "ls_"), "ls_long_short_ratio"))
 R.add("s15_liquidation_payload", f"with {BARS} select sym, t, round(tb + v, 6) as total_liq_usd, round(v / nullif(tb + v, 0), 6) as liq_ratio, round(v / (tb + 1), 6) as liq_ratio_v2, round(v - tb, 6) as net_liq from bars")(
     lambda s, d: shown(feeds.liquidations(bars4h(s, d), "v", "tb"), "total_liq_usd", "liq_ratio", "liq_ratio_v2", "net_liq")
 )
