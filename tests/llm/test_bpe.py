@@ -1,6 +1,8 @@
 """Token counts and encoding against the public libraries."""
 
+import hashlib
 import random
+import struct
 
 import public_tokenizers
 import pytest
@@ -9,7 +11,9 @@ from hypothesis import strategies as st
 from sentencepiece import SentencePieceProcessor
 from tokenizers import Tokenizer
 
+from tidelake.llm import token_counts
 from tidelake.llm.bpe import ByteBPE, decode_ids, encode_texts
+from tidelake.llm.queries import op1_token_counts, op2_bpe
 from tidelake.llm.token_counts import Counter, count_tokens
 
 SP, BB = public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("byte_bpe_50k.json")
@@ -40,6 +44,26 @@ def test_like_the_libraries(counter, bpe, text):
 
 
 
+def test_queries_on_the_given_table(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    one = {r.doc_id: (r.n_bytes, r.n_tokens, r.over_limit) for r in op1_token_counts(spark, sf).collect()}
+    assert one == {r.doc_id: (len((r.text or "").encode()), n := len(LIB_SP.encode(r.text or "")), n > 4096) for r in docs}
+    two = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in op2_bpe(spark, sf).collect()}
+    want = {}
+    for r in docs:
+        ids = LIB_BB.encode(r.text or "", add_special_tokens=False).ids
+        want[r.doc_id] = (len(ids), hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest(), hashlib.sha256(LIB_BB.decode(ids, skip_special_tokens=False).encode()).hexdigest())
+    assert two == want
+
+
+def test_cache_is_bounded_by_characters(monkeypatch):
+    monkeypatch.setattr(token_counts, "CACHE_CHARS", 1000)
+    c = Counter(open(SP, "rb").read())
+    for k in range(30):
+        text = " ".join(f"w{k}x{j}" * 9 for j in range(5))
+        assert c.count([text]) == [len(LIB_SP.encode(text))]
+        assert c.held <= 1000 + len(text) and sum(map(len, c.cache)) <= c.held
 
 
 def test_long_unsplit(counter, bpe):

@@ -70,6 +70,9 @@ def test_spark_hash_is_the_same(spark):
 def test_components(spark):
     rnd = random.Random(3)
     links = [(i, i + 1) for i in range(60)] + [(1000, 1000 + k) for k in range(1, 50)] + [(rnd.randrange(2000, 2100), rnd.randrange(2000, 2100)) for _ in range(60)] + [(7, None), (9, 9)]
+    none = components(spark.createDataFrame([], "a long, b long"))
+    assert none.columns == ["node", "component"] and none.count() == 0
+    assert components(spark.createDataFrame([(5, 5), (None, 1)], "a long, b long")).count() == 0
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     near = {}
     for a, b in links:

@@ -173,7 +173,11 @@ def encode_texts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
 
 
 def decode_ids(encoded: DataFrame, model_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """Texts of encoded rows: ``id_col``, text. Null ids give a null text, empty ids an empty text."""
+    """Texts of encoded rows: ``id_col``, text. Null ids give a null text, empty ids an empty text.
+
+    Every row is decoded, repeated ones and those with a null id too; an empty
+    table gives an empty result; other columns are not looked at.
+    """
     spark = encoded.sparkSession
     ship.ship(spark)
     model = ship.broadcast_file(spark, model_path)

@@ -40,7 +40,11 @@ def _place(id_col: str, seed: str) -> Column:
 
 
 def solve_exponent(sources: DataFrame, n: int, total: int, low_share: float, budget: float, entropy: float, max_passes: float) -> float:
-    """The smallest exponent in [0, 1] that keeps to both limits, else 1. sources: ``share`` per source."""
+    """The smallest exponent in [0, 1] that keeps to both limits, else 1. sources: ``share`` per source, above zero.
+
+    Fewer than two sources need none: 1. Equal shares tie, and any exponent
+    gives the same weights.
+    """
     if n < 2:
         return 1.0
     most = entropy * math.log(n)
@@ -98,7 +102,7 @@ def plan(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", te
 
 
 def copies(docs: DataFrame, per: DataFrame) -> DataFrame:
-    """Rows with the number of times each is taken; docs: ``source_key``, ``place``.
+    """Rows with the number of times each is taken; docs: ``source_key``, ``place``. Rows of one place are taken equally often; no rows give none.
 
     The table of sources is sent to all tasks if it has few rows, so that a
     source with a third of all rows is not dealt to one; else it is joined by key.

@@ -50,7 +50,12 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """``id``, ``fp`` (signed 64 bits) of every whole text; null texts are empty. Narrow."""
+    """``id``, ``fp`` (signed 64 bits) of every whole text. Narrow.
+
+    Null, empty and blank texts have fingerprint zero. Every row gets its own,
+    repeated ones and those with a null id too; texts may be of any length; an
+    empty table gives an empty result; other columns are not looked at.
+    """
     ship.ship(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
