@@ -17,14 +17,24 @@ MIN_LANGUAGE = 0.35
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Quality rules: lines that fail go, and documents that are rejected; n_chars follows the text."""
+    """Quality rules: lines that fail go, and documents that are rejected; n_chars follows the text.
+
+    Null, empty and blank texts are rejected. Repeated rows are each judged;
+    null ids and other nulls stay as they are; texts of any length are judged
+    whole; columns may have any names.
+    """
     judged = quality.assess(docs.withColumn("row", F.struct(*[F.col(c) for c in docs.columns])), "row").where("kept")
     new = {"text": F.col("clean_text"), "n_chars": F.length("clean_text").cast("long")}
     return judged.select(*[new.get(c, F.col(f"row.{c}")).alias(c) for c in docs.columns])
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Language identification: documents without a language, or with one that is hardly likely, go."""
+    """Language identification: documents without a language, or with one that is hardly likely, go.
+
+    Null texts and texts without a letter go. Rows with a null id or language
+    are judged but not learned from; with nothing to learn from all go. Repeated
+    rows are each judged; columns may have any names.
+    """
     train = F.crc32(F.col("doc_id").cast("string")) % 3 != 1
     found = langid.identify(docs, train, whole_rows=True)
     return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE)).select("row.*")
@@ -39,12 +49,17 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Temperature mixing: documents as often as the mix of sources takes them."""
+    """Temperature mixing: documents as often as the mix of sources takes them.
+
+    A null source is a source of its own; a source without words is not taken.
+    Rows that repeat an id, or have none, are taken equally often; columns may
+    have any names.
+    """
     return mixing.mix(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document that is left, with their digests."""
+    """Token ids of every document that is left, with their digests. Null and empty texts have none; every row is encoded."""
     return bpe.encode_texts(docs, public_tokenizers.path("byte_bpe_50k.json"), digests=True)
 
 
