@@ -115,7 +115,7 @@ def test_expanding_quantile(spark):
     for i, v in enumerate(x):
         o.add(v)
         if i % 500 == 0:
-            assert o.quantile(0.9) == np.quantile(x[: i + 1], 0.9)
+            assert np.isclose(o.quantile(0.9), np.quantile(x[: i + 1], 0.9))
     p = pd.DataFrame({"sym": "a", "t": range(300), "x": x[:300]})
     got = [r.q for r in expanding_quantile(spark.createDataFrame(p), "x", "q", 0.9, 10).orderBy("t").collect()]
     want = p.x.expanding(10).quantile(0.9)

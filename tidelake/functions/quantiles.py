@@ -91,8 +91,8 @@ class Ordered:
 
     def quantile(self, q: float) -> float:
         at = q * (self.n - 1)
-        low = self.kth(math.floor(at))
-        return low + (self.kth(math.ceil(at)) - low) * (at - math.floor(at))
+        part = at - math.floor(at)
+        return self.kth(math.floor(at)) * (1 - part) + self.kth(math.ceil(at)) * part
 
 
 def expanding_quantile(df: DataFrame, col: str, out: str, q: float, least: int = 1, key=("sym",), order=("t",)) -> DataFrame:

@@ -15,9 +15,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
+from .package import send
+
 
 def scan(df: DataFrame, key: list[str], order: list[str], inputs: list[str], outputs: dict[str, str], step: Callable) -> DataFrame:
     """``df`` with new columns; ``step(state, *arrays) -> (state, [arrays])``, state None at a key's first rows."""
+    send(df.sparkSession)
     kinds = {"double": (DoubleType(), pa.float64()), "long": (LongType(), pa.int64())}
     schema = StructType([*df.schema.fields, *(StructField(n, kinds[t][0]) for n, t in outputs.items())])
     names = df.columns

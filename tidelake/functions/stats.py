@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .package import send
+
 
 def normal_sf(z: float) -> float:
     return 0.5 * math.erfc(z / math.sqrt(2))
@@ -58,6 +60,8 @@ def chi2_1_sf(x: float) -> float:
 def _column(f, *cols) -> Column:
     """A function of aggregated figures as a column; used on one row per rule, never on the data."""
 
+    send()
+
     @F.pandas_udf("double")
     def run(*xs: pd.Series) -> pd.Series:
         return pd.Series([f(*v) if all(x == x and x is not None for x in v) else None for v in zip(*xs, strict=True)], dtype="float64")

@@ -102,7 +102,7 @@ _CFG = [("pct_70", "quantile_cont(value, 0.7)"), ("pct_80", "quantile_cont(value
 _FITTED = " union all ".join(f"select sym, indicator, '{c}' as config, {e} as th from lg where not oos group by 1, 2" for c, e in _CFG)
 _CAP = lambda r: f"coalesce(case when count({r}) >= 2 and stddev_samp({r}) > 0 then avg({r}) / stddev_samp({r}) * sqrt(least(count({r}), 2190)) end, 0)"
 _OOS = f"""with recursive {BARS}, n as (select sym, t, c - 50 as cc, o - 50 as oo, {_RET} as ret, row_number() over ({P}) - 1 as i, count(*) over (partition by sym) as cnt from bars),
-lg as (select sym, t, i, i >= floor(cnt * 0.7) as oos, ret, indicator, value from (unpivot (select sym, t, i, cnt, coalesce(ret, -999) as ret, cc, oo from n) on cc, oo into name indicator value value)),
+lg as (select sym, t, i, i >= floor(cnt * 0.7::double) as oos, ret, indicator, value from (unpivot (select sym, t, i, cnt, coalesce(ret, -999) as ret, cc, oo from n) on cc, oo into name indicator value value)),
 ft as ({_FITTED}),
 hit as (select * from (select lg.*, config, case when value < -th then case when th > 0 then -1 else 0 end when value > th then 1 else 0 end as side from lg join ft using (sym, indicator)) where side <> 0),
 j as (select *, row_number() over (partition by sym, indicator, config, oos order by i) as jj from hit),

@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from tidelake.functions.package import send
+
 KLINES = "open_time long, open double, high double, low double, close double, volume double, quote_volume double, trades long, taker_buy_volume double, taker_buy_quote_volume double"
 
 
@@ -107,6 +109,7 @@ def hash_of(s: str) -> int:
 
 def klines(spark: SparkSession, **options) -> DataFrame:
     """Klines of several symbols, typed, with the derived taker columns; of repeated times the row of the first page (then the smallest payload) is kept."""
+    send(spark)
     spark.dataSource.register(MarketFeed)
     raw = spark.read.format("market_feed").options(**options).load()
     names = [f.split() for f in KLINES.split(", ")]
