@@ -56,8 +56,8 @@ stages("w05_rolling", lambda: [{"mean20": S.mean("c", 20), "sum20": S.roll(F.sum
 stages("w06_min_periods", lambda: [{"x": S.mean("c", 24, 10), "y": S.std("c", 24, 2)}], {"x": roll("avg", "c", 24, 10), "y": roll("stddev_samp", "c", 24, 2)})
 stages("w07_rolling_quantile", lambda: [{"q05": S.quantile("c", 42, 0.05), "q95": S.quantile("c", 42, 0.95)}], {"q05": roll("quantile_cont({}, 0.05)", "c", 42), "q95": roll("quantile_cont({}, 0.95)", "c", 42)})
 _exp = f"over ({P} rows unbounded preceding)"
-R.add("w08_expanding", staged({n: f"case when count(c) {_exp} >= 10 then {e} {_exp} end" for n, e in (("q", "quantile_cont(c, 0.9)"), ("m", "avg(c)"), ("s", "stddev_samp(c)"))}))(
-    lambda s, d: shown(expanding_quantile(ft.apply(bars4h(s, d), {"m": S.expand(F.avg, "c", 10), "s": S.expand(F.stddev_samp, "c", 10)}), "c", "q", 0.9, 10), "q", "m", "s")
+R.add("w08_expanding", staged({n: f"case when count(c) {_exp} >= 10 then {e} {_exp} end" for n, e in (("q", "quantile_cont(c, 0.9)"), ("m", "avg(c)"), ("s", "stddev_samp(c)"))}, digits=9))(
+    lambda s, d: shown(expanding_quantile(ft.apply(bars4h(s, d), {"m": S.expand(F.avg, "c", 10), "s": S.expand(F.stddev_samp, "c", 10)}), "c", "q", 0.9, 10), "q", "m", "s", digits=9)
 )
 _win = f"list(c) {over(30)}"
 stages("w09_rank_pct", lambda: [{"x": S.rank_pct("c", 30)}], {"xs": _win}, {"x": "case when len(xs) >= 30 then (len(list_filter(xs, lambda y: y < c)) + (len(list_filter(xs, lambda y: y = c)) + 1) / 2.0) / len(xs) end"})
