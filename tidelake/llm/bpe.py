@@ -32,7 +32,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p
 LEAF = 24
 #: Pre-tokens whose ids a worker remembers, and the longest that is remembered.
 CACHE, CACHE_BYTES = 800_000, 64
-BATCH_SYMBOLS, BATCH_CHARS = 200_000, 4_000_000
+BATCH_SYMBOLS, BATCH_CHARS = 200_000, 1_000_000
 
 
 def byte_letters() -> list[str]:
