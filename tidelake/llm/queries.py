@@ -11,13 +11,16 @@ from pyspark.sql import functions as F
 from . import sql
 from .bpe import encode_texts
 from .chat import digests, format_conversations
+from .filter_audit import audit
 from .langid import identify
 from .lattice import near_vectors
 from .licenses import scan
 from .lm import score_texts
 from .mixing import mix_counts
 from .quality import assess
+from .segment_bpe import encode_by_ranks
 from .simhash import near_duplicates
+from .spelling import variants
 from .token_counts import count_tokens
 
 
@@ -75,9 +78,22 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_counts(_table(spark, sf_dir, "documents"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants(_table(spark, sf_dir, "documents"))
+
+
+def op12_segment_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_by_ranks(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep_ids=False, digests=True)
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_token_counts": op1_token_counts, "op2_bpe": op2_bpe, "op3_chat": op3_chat, "op4_quality": op4_quality, "op5_licenses": op5_licenses, "op6_language": op6_language, "op7_lattice": op7_lattice, "op8_simhash": op8_simhash, "op9_lm": op9_lm, "op10_mixing": op10_mixing}
+    every = (op1_token_counts, op2_bpe, op3_chat, op4_quality, op5_licenses, op6_language, op7_lattice, op8_simhash, op9_lm, op10_mixing, op11_spelling, op12_segment_bpe, op13_filter_audit)
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_quality": sql.quality_sql(), "op5_licenses": sql.licenses_sql(), "op10_mixing": sql.mixing_sql()}
+    return {"op4_quality": sql.quality_sql(), "op5_licenses": sql.licenses_sql(), "op10_mixing": sql.mixing_sql(), "op13_filter_audit": sql.filter_audit_sql()}

@@ -94,3 +94,33 @@ n as (select doc_id, string_agg(license, ',' order by license) as notices, bool_
   from (select distinct doc_id, license from (select doc_id, md5(trim(line)) as digest from (select doc_id, unnest(string_split(canon, chr(10))) as line from d) where line <> '') join k using (digest)) group by 1)
 select doc_id, digest, license, coalesce(notices, '') as notices, coalesce(bad, false) or coalesce(license not in ({allowed}), false) as restricted
 from (select doc_id, {whole} as digest from d) left join k using (digest) left join n using (doc_id)"""
+
+
+def filter_audit_sql() -> str:
+    from . import filter_audit as a
+
+    letters = ", ".join(f"('{f}')" for f in a.FILTERS)
+    failed = {
+        "A": f"len(w) < {a.MIN_WORDS}",
+        "B": f"100 * len(list_distinct(w)) < {a.MIN_DISTINCT} * len(w)",
+        "C": f"100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > {a.MAX_CAPITALS} * length(t)",
+        "D": f"regexp_matches(t, '[{a.SYMBOLS}]')",
+        "E": "coalesce(doc_id > min(doc_id) over (partition by t), false)",
+    }
+    fails = " || ".join(f"case when {c} then '{f}' else '' end" for f, c in failed.items())
+    return f"""
+with l as (select doc_id, max((quality = 1)::int) as good, max((toxic = 1)::int) as toxic from labels where doc_id is not null group by doc_id),
+d as (select d.doc_id, coalesce(lang, '') as part, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as w, coalesce(good, 0) as good, coalesce(toxic, 0) as toxic
+  from documents d left join l using (doc_id)),
+m as (select part, good, toxic, fails, count(*) as n from (select part, good, toxic, {fails} as fails from d) group by all),
+f(x) as (values {letters}),
+o as (select a.x || b.x || c.x || d.x || e.x as filter_order from f a, f b, f c, f d, f e where len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+s as (select filter_order, step::int as step, filter_order[step] as letter, filter_order[1:step - 1] as earlier from o, range(1, 6) r(step)),
+r as (select part, filter_order, step, letter, n, good, toxic, fails, contains(fails, letter) as here,
+    fails <> '' and length(translate(fails, earlier, '')) < length(fails) as before from m, s),
+g as (select part, filter_order, step, letter, sum(case when not here and not before then n else 0 end)::bigint as kept,
+    sum(case when here and not before then n else 0 end)::bigint as removed, sum(case when here and before then n else 0 end)::bigint as redundant,
+    sum(case when fails = letter then n else 0 end)::bigint as unique_fails,
+    sum(case when here and not before then n * good else 0 end)::bigint as good_lost, sum(case when here and not before then n * toxic else 0 end)::bigint as toxic_lost
+  from r group by all)
+select * exclude (letter), (sum(removed) over (partition by part, letter))::bigint as shapley from g"""
