@@ -14,7 +14,7 @@ from .chat import digests, format_conversations
 from .filter_audit import audit
 from .langid import identify
 from .lattice import near_vectors
-from .licenses import scan
+from .licenses import scan, with_planted
 from .lm import score_texts
 from .mixing import mix_counts
 from .quality import assess
@@ -51,6 +51,11 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(_table(spark, sf_dir, "documents"))
 
 
+def licenses_planted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scan over documents of which every fiftieth is an entire known text."""
+    return scan(with_planted(_table(spark, sf_dir, "documents")))
+
+
 def _fold(n: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string")) % n
 
@@ -92,8 +97,8 @@ def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (op1_token_counts, op2_bpe, op3_chat, op4_quality, op5_licenses, op6_language, op7_lattice, op8_simhash, op9_lm, op10_mixing, op11_spelling, op12_segment_bpe, op13_filter_audit)
-    return {f.__name__: f for f in every}
+    return {f.__name__: f for f in (*every, licenses_planted)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_quality": sql.quality_sql(), "op5_licenses": sql.licenses_sql(), "op10_mixing": sql.mixing_sql(), "op13_filter_audit": sql.filter_audit_sql()}
+    return {"op4_quality": sql.quality_sql(), "op5_licenses": sql.licenses_sql(), "op10_mixing": sql.mixing_sql(), "op13_filter_audit": sql.filter_audit_sql(), "licenses_planted": sql.licenses_sql(planted=True)}

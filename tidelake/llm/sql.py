@@ -74,26 +74,38 @@ c as (select k, max(case when so_far <= rest then place end) as cut from o group
 select doc_id, tokens, round(weight, 6) as weight, quota, passes + (place <= coalesce(cut, ''))::bigint as copies from o join c using (k)"""
 
 
-def licenses_sql() -> str:
+def licenses_sql(planted: bool = False) -> str:
+    """Of documents as they are, with the notices and short texts of ``licenses.KNOWN``; or with every fiftieth text replaced by a known one."""
     from . import licenses as x
 
-    def canonical(text: str) -> str:
-        e = f"regexp_replace(lower({text}), {_text(x.COPYRIGHT)}, '', 'g')"
-        for a, b in x.SPELLINGS:
-            e = f"replace({e}, {_text(a)}, {_text(b)})"
-        e = f"regexp_replace(regexp_replace({e}, {_text(x.PUNCTUATION)}, ' ', 'g'), {_text(x.BREAKS)}, chr(10), 'g')"
-        return f"trim({e}, ' ' || chr(10))"
-
-    rows = ", ".join(f"({_text(a)}, {_text(b)})" for a, b in x.KNOWN)
+    rows = x.KNOWN + (x.planted() if planted else [])
+    known = ", ".join(f"({_text(a)}, {_text(b)})" for a, b in rows)
+    docs = "select doc_id, coalesce(text, '') as text from documents"
+    if planted:
+        n = len(x.planted())
+        docs = f"""select doc_id, case when doc_id % 50 = 0 then {_text(x.HOLDER)} || repeat('Some words before it. ', (doc_id // {50 * n} % 3 = 2)::int) ||
+      case when doc_id // {50 * n} % 2 = 1 then upper(replace(p.text, chr(10), ' ' || chr(13) || chr(10))) else p.text end else coalesce(d.text, '') end as text
+  from documents d left join (select row_number() over () - 1 as i, text from (values {', '.join(f"({_text(b)})" for _, b in x.planted())}) v(text)) p on i = doc_id // 50 % {n}"""
+    spelled = "{}"
+    for a, b in x.SPELLINGS:
+        spelled = f"replace({spelled}, {_text(a)}, {_text(b)})"
+    front = f"l = '' or regexp_matches(l, {_text(x.TITLES)}) or (regexp_matches(l, {_text(x.STATEMENT)}) and not regexp_matches(l, {_text(x.TERMS)}) and not regexp_matches(l, {_text(x.STEWARD)}))"
     allowed = ", ".join(map(_text, x.ALLOWED))
-    whole = "case when canon <> '' then md5(replace(canon, chr(10), ' ')) end"
     return f"""
-with k as (select digest, min(license) as license from (select license, {whole} as digest from (select license, {canonical('text')} as canon from (values {rows}) v(license, text))) group by 1),
-d as (select doc_id, {canonical("coalesce(text, '')")} as canon from documents),
+with docs as ({docs}),
+every as (select doc_id, null as license, text from docs union all select null, license, text from (values {known}) v(license, text)),
+a as (select doc_id, license, list_transform(string_split(regexp_replace(replace(replace(lower(text), '&', ' and '), '©', ' copyright '), {_text(x.PUNCTUATION)}, ' ', 'g'), chr(10)), lambda l: trim(l)) as ls from every),
+b as (select *, coalesce(list_position(list_transform(ls[1:{x.FRONT_LINES}], lambda l: not ({front})), true), 0) as first from a),
+c as (select doc_id, license, ls, array_to_string(list_filter(ls[(case when first > 0 then first else {x.FRONT_LINES + 1} end):], lambda l: l <> ''), ' ') as w from b),
+e as (select doc_id, license, ls, regexp_replace({spelled.format('w')}, {_text(f'^(?:{x.TITLE} )+')}, '') as w from c),
+f as (select doc_id, license, ls, regexp_replace(case when regexp_matches(regexp_extract(w, {_text(x.INLINE)}, 1), {_text(x.TERMS)}) then w else regexp_replace(w, {_text(x.INLINE)}, '\\2') end, {_text(x.APPENDIX)}, '\\1', 'g') as w from e),
+g as (select doc_id, license, ls, case when w <> '' then md5(w) end as digest from f),
+k as (select digest, min(license) as license from g where license is not null and digest is not null group by 1),
+d as (select * exclude (license) from g where license is null),
 n as (select doc_id, string_agg(license, ',' order by license) as notices, bool_or(license not in ({allowed})) as bad
-  from (select distinct doc_id, license from (select doc_id, md5(trim(line)) as digest from (select doc_id, unnest(string_split(canon, chr(10))) as line from d) where line <> '') join k using (digest)) group by 1)
+  from (select distinct doc_id, license from (select doc_id, md5({spelled.format('line')}) as digest from (select doc_id, unnest(ls) as line from d) where line <> '') join k using (digest)) group by 1)
 select doc_id, digest, license, coalesce(notices, '') as notices, coalesce(bad, false) or coalesce(license not in ({allowed}), false) as restricted
-from (select doc_id, {whole} as digest from d) left join k using (digest) left join n using (doc_id)"""
+from (select doc_id, digest from d) left join k using (digest) left join n using (doc_id)"""
 
 
 def filter_audit_sql() -> str:
