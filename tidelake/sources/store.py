@@ -21,6 +21,14 @@ def shared_folder(spark: SparkSession, what: str) -> str:
     return f"{base}/{what}-{uuid.uuid4().hex}"
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the shared folder."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(shared_folder(df.sparkSession, "checkpoints"))
+    return df.checkpoint(eager=True)
+
+
 class Store:
     """Tables by name and sub-folder."""
 
