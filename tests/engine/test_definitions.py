@@ -393,3 +393,24 @@ def test_complete_strategy(spark):
     assert {"overbought", "oversold"} <= set(exits) and any(k.startswith("exit_sl") for k in exits)
     assert 0 < exits["overbought"].hit_rate <= 1 and exits["overbought"].mean_bars < 8
     assert out["performance"].first().win_rate > 0.9
+
+
+def test_shapiro_wilk(spark):
+    """Published values to four digits; under normal values p is uniform, under others it is small; a series' draw is bounded."""
+    import random
+
+    from tidelake.functions.stats import normality, shapiro_wilk
+
+    w, p = shapiro_wilk([148, 154, 158, 160, 161, 162, 166, 170, 182, 195, 236])
+    assert abs(w - 0.78881) < 1e-5 and abs(p - 0.006704) < 1e-6
+    w, p = shapiro_wilk(range(1, 11))
+    assert abs(w - 0.97016) < 1e-5 and abs(p - 0.8924) < 1e-4
+    assert shapiro_wilk([1, 2])[0] != shapiro_wilk([1, 2])[0] and shapiro_wilk([3, 3, 3, 3]) == (1.0, 1.0) and abs(shapiro_wilk([1, 2, 3])[0] - 1) < 1e-12
+    rng = random.Random(6)
+    for n in (8, 40, 1000):
+        found = sorted(shapiro_wilk([rng.gauss(3, 2) for _ in range(n)])[1] for _ in range(300))
+        assert max(abs(x - (i + 0.5) / 300) for i, x in enumerate(found)) < 0.09
+    assert shapiro_wilk([rng.expovariate(1) for _ in range(100)])[1] < 1e-4
+    rows = [("a", i, rng.gauss(0, 1)) for i in range(3000)] + [("b", i, float(i % 3)) for i in range(50)] + [("b", 99, None), ("c", 1, 1.0)]
+    got = {r.sym: r for r in normality(spark.createDataFrame(rows, "sym string, t long, r double").repartition(3), "r").collect()}
+    assert got["a"].normal_p > 1e-3 and abs(got["b"].normal_w - shapiro_wilk([i % 3 for i in range(50)])[0]) < 1e-12 and got["c"].normal_p != got["c"].normal_p

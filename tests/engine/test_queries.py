@@ -50,7 +50,12 @@ def test_same_as_sql(spark, con, name):
 
 #: What queries without SQL have to show: columns, and a check of their rows.
 SHAPES = {
-    "l01_importance": (["corr", "feature", "mi", "perm", "rank", "score"], lambda r: sorted(x["rank"] for x in r) == [1, 2, 3, 4, 5, 6] and all(0 <= x["score"] <= 1 for x in r)),
+    "l01_importance": (["corr", "feature", "mi", "perm", "rank", "score", "shap"], lambda r: sorted(x["rank"] for x in r) == list(range(1, len(r) + 1)) and len(r) >= 4 and all(0 <= x["score"] <= 1 and x["shap"] > 0 for x in r)),
+    "l01_attributions": (["attribution", "feature", "margin", "sym", "t", "total"], lambda r: len(r) > 100 and all(abs(x["total"] - x["margin"]) < 1e-9 for x in r)),
+    "l04_pillars": (["actual", "assumed", "deviation", "outside", "pillar", "recommendation"], lambda r: len(r) == 4 and all(abs(x["actual"] - x["assumed"] - x["deviation"]) < 1e-9 for x in r) and abs(sum(x["actual"] for x in r) + r[0]["outside"] - 1) < 1e-9),
+    "l11_train": (["calibrated", "folds", "p", "sym", "t", "test_auc"], lambda r: len(r) > 500 and all(0 <= x["calibrated"] <= 1 for x in r) and r[0]["folds"] >= 2 and 0.5 < r[0]["test_auc"] < 1),
+    "l11_scores": (["boosted_a_splits", "boosted_b_splits", "feature", "rank"], lambda r: sorted(x["rank"] for x in r) == list(range(len(r))) and sum(x["boosted_a_splits"] for x in r) > 0),
+    "l12_evolved_thresholds": (["baseline", "score", "threshold", "value"], lambda r: len(r) == 12 and all(x["score"] >= x["baseline"] for x in r)),
     "l03_category_importance": (["category", "share", "w"], lambda r: abs(sum(x["share"] for x in r) - 1) < 1e-9 and {x["category"] for x in r} == {"price", "flow"}),
     "l05_selected": (["feature", "rank"], lambda r: 1 <= len(r) <= 4 and "price_return_1h" not in {x["feature"] for x in r}),
     "l07_ensemble": (["p", "sym", "t"], lambda r: len(r) > 50 and all(0 <= x["p"] <= 1 for x in r)),

@@ -181,17 +181,23 @@ def _shrunk(g, l1):
     return np.sign(g) * np.maximum(np.abs(g) - l1, 0)
 
 
-def best_cut(sums: np.ndarray, p: Params) -> tuple:
-    """Of one node and column: gain (-1 if no cut is allowed), bin, then both derivatives and rows to the left and in all."""
-    total, left = sums.sum(axis=1), np.cumsum(sums, axis=1)[:, :-1]
-    right = total[:, None] - left
-    value = lambda s: _shrunk(s[0] / ONE, p.l1) ** 2 / (s[1] / ONE + p.l2 + 1e-300)
-    gain = value(left) + value(right) - value(total)
-    weight = p.least_weight * ONE
-    ok = (left[2] >= max(1, p.least_rows)) & (right[2] >= max(1, p.least_rows)) & (left[1] >= weight) & (right[1] >= weight)
+def best_cuts(sums: np.ndarray, p: Params) -> np.ndarray:
+    """Of each node and column (first dimensions): gain (-1 if no cut is allowed), bin, then both derivatives and rows to the left and in all."""
+    sums = sums.astype(np.float64)  # whole numbers below 2^53, so exact: up to 8 billion rows of the largest derivative in a bin
+    total, left = sums.sum(axis=-1), np.cumsum(sums, axis=-1)[..., :-1]
+    right = total[..., None] - left
+    value = lambda s: _shrunk(s[..., 0, :] / ONE, p.l1) ** 2 / (s[..., 1, :] / ONE + p.l2 + 1e-300)
+    gain = value(left) + value(right) - value(total[..., None])
+    least, weight = max(1, p.least_rows), p.least_weight * ONE
+    ok = (left[..., 2, :] >= least) & (right[..., 2, :] >= least) & (left[..., 1, :] >= weight) & (right[..., 1, :] >= weight)
     gain = np.where(ok, gain, -1.0)
-    k = int(np.argmax(gain))
-    return (float(gain[k]), k, *left[:, k].tolist(), *total.tolist())
+    k = np.argmax(gain, axis=-1)
+    at = np.take_along_axis(left, k[..., None, None], axis=-1)[..., 0]
+    return np.concatenate([np.take_along_axis(gain, k[..., None], axis=-1), k[..., None], at, total], axis=-1)
+
+
+def _cut(row: np.ndarray) -> tuple:
+    return (float(row[0]), *map(int, row[1:].tolist()))
 
 
 def auc_of(counts: np.ndarray) -> float:
@@ -330,7 +336,8 @@ def in_memory(block: _Block, p: Params, columns: list[str], edges: list[list[flo
 
     def level(number, tree, open_nodes, drawn, score):
         sums = state[0].sums(number, tree, open_nodes, drawn, p)
-        found = {(i, c): best_cut(sums[i, k], p) for i in range(len(open_nodes)) for k, c in enumerate(drawn)}
+        cuts = best_cuts(sums, p)
+        found = {(i, c): _cut(cuts[i, k]) for i in range(len(open_nodes)) for k, c in enumerate(drawn)}
         return found, auc_of(state[0].scored()) if score else None
 
     return grow(p, columns, edges, base, bool(block.valid.any()), level, lambda t: state.__setitem__(0, state[0].after([t])))
@@ -438,7 +445,7 @@ def _distributed(blocks: DataFrame, p: Params, columns: list[str], edges: list[l
         def cut(table: pa.Table) -> pa.Table:
             node, col = table.column("node")[0].as_py(), table.column("col")[0].as_py()
             total = sum(np.frombuffer(x.as_py(), np.int64) for x in table.column("sums"))
-            best = (auc_of(total.reshape(2, AUC_BINS)), 0, 0, 0, 0, 0, 0, 0) if node < 0 else best_cut(total.reshape(3, BINS), p)
+            best = (auc_of(total.reshape(2, AUC_BINS)), 0, 0, 0, 0, 0, 0, 0) if node < 0 else _cut(best_cuts(total.reshape(3, BINS), p))
             names, kinds = zip(*(f.split() for f in _CUT.split(", ")), strict=True)
             kind = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64()}
             return pa.table({n: pa.array([v], kind[t]) for n, t, v in zip(names, kinds, (node, col, *best), strict=True)})

@@ -1,26 +1,35 @@
-"""Feature importance, selection, models, calibration, walk-forward and optimisation on ``pyspark.ml``."""
+"""Feature importance, selection, models, calibration and walk-forward, on boosted trees of our own and ``pyspark.ml``."""
 
 from __future__ import annotations
 
-import itertools
 import random
 import re
+from dataclasses import replace
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, ClusteringEvaluator
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidelake.functions.gram import correlation_matrix
 from tidelake.functions.quantiles import exact_quantiles
-from tidelake.functions.windows import corr, flag
+from tidelake.functions.windows import flag
+from tidelake.sources.store import checkpointed
 
+from . import boosting
+from .boosting import Booster, Params
 from .rowops import Condition, Rule
 
 AUC = "areaUnderROC"
+#: Weights of the parts of an importance, and rows of a series that are held out for it.
+WEIGHTS = {"shap": 0.4, "perm": 0.25, "mi": 0.2, "corr": 0.15}
+HELD_OUT, LEAST_HELD_OUT, REPEATS = 500, 50, 10
+#: The booster whose attributions count, and the forest whose accuracy is permuted.
+EXPLAINED = Params(rounds=100, rate=0.1, depth=6)
 
 
 def _clean(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -33,16 +42,13 @@ def _stages(columns: list[str], scale: bool = False) -> list:
     return out + ([StandardScaler(inputCol="features_raw", outputCol="features", withMean=True)] if scale else [])
 
 
-def forest(seed: int = 42, trees: int = 40) -> RandomForestClassifier:
-    return RandomForestClassifier(labelCol="y", featuresCol="features", numTrees=trees, maxDepth=5, seed=seed)
+def forest(seed: int = 42, trees: int = 40, depth: int = 5) -> RandomForestClassifier:
+    return RandomForestClassifier(labelCol="y", featuresCol="features", numTrees=trees, maxDepth=depth, seed=seed)
 
 
-#: The two boosted configurations and the linear model.
-MODELS = {
-    "boosted_a": lambda: GBTClassifier(labelCol="y", maxIter=20, maxDepth=4, stepSize=0.1, subsamplingRate=0.8, seed=42),
-    "boosted_b": lambda: GBTClassifier(labelCol="y", maxIter=30, maxDepth=3, stepSize=0.05, subsamplingRate=0.7, seed=7),
-    "linear": lambda: LogisticRegression(labelCol="y", regParam=0.01),
-}
+#: The two boosted configurations; "linear" is a logistic regression.
+BOOSTERS = {"boosted_a": boosting.DEPTH_FIRST, "boosted_b": boosting.LEAF_FIRST}
+Model = Booster | PipelineModel
 
 
 def variances(df: DataFrame, columns: list[str], least: float = 1e-3) -> list[str]:
@@ -52,12 +58,9 @@ def variances(df: DataFrame, columns: list[str], least: float = 1e-3) -> list[st
 
 
 def correlations(df: DataFrame, columns: list[str]) -> dict[tuple[str, str], float]:
-    """Pairwise Pearson correlations with pairwise nulls left out; one pass."""
-    pairs = list(itertools.combinations(columns, 2))
-    if not pairs:
-        return {}
-    row = df.agg(*[corr(a, b).alias(str(i)) for i, (a, b) in enumerate(pairs)]).first()
-    return {p: row[i] for i, p in enumerate(pairs) if row[i] is not None}
+    """Pairwise Pearson correlations with pairwise nulls left out, from one job of blocked sums."""
+    rho = correlation_matrix(df, columns)
+    return {(a, b): float(rho[i, j]) for i, a in enumerate(columns) for j, b in enumerate(columns) if i < j and rho[i, j] == rho[i, j]}
 
 
 def without_twins(df: DataFrame, columns: list[str], most: float = 0.85, protected: str | None = None) -> list[str]:
@@ -82,37 +85,71 @@ def mutual_information(df: DataFrame, columns: list[str], y: str = "y", bins: in
     return counts.join(tot, "feature").join(by_bin, ["feature", "bin"]).join(by_y, ["feature", y]).groupBy("feature").agg(F.sum(p * F.ln(F.col("n") * F.col("t") / (F.col("nb") * F.col("ny")))).alias("mi"))
 
 
-def permutation_drop(model: PipelineModel, test: DataFrame, columns: list[str], seed: int = 42) -> dict[str, float]:
-    """Loss of AUC when one column is taken from other rows (a lag over hash order within hash groups)."""
-    from pyspark.sql import Window
+def cleaned(df: DataFrame, columns: list[str], y: str = "y", most: float = 0.99) -> tuple[DataFrame, list[str]]:
+    """Rows with a label, gaps filled from the row before, else from the row after, else by zero; infinities are zero. Constant columns go, and of twins the later.
+
+    Filling is within a series, so the order of rows in it decides.
+    """
+    past = Window.partitionBy("sym").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
+    ahead = Window.partitionBy("sym").orderBy("t").rowsBetween(0, Window.unboundedFollowing)
+    d = _clean(df.where(F.col(y).isNotNull()), columns).withColumn("y", F.col(y).cast("double"))
+    filled = lambda c: F.coalesce(F.last(c, ignorenulls=True).over(past), F.first(c, ignorenulls=True).over(ahead), F.lit(0.0))
+    inside = lambda c: F.when(F.abs(filled(c)) < float("inf"), filled(c)).otherwise(0.0)
+    d = checkpointed(d.select(*[inside(c).alias(c) if c in columns else F.col(c) for c in d.columns]))
+    row = d.agg(*[F.stddev_samp(c).alias(str(k)) for k, c in enumerate(columns)]).first()
+    live = [c for k, c in enumerate(columns) if (row[k] or 0.0) > 1e-8]
+    rho = correlation_matrix(d, live)
+    return d, [c for j, c in enumerate(live) if not any(abs(rho[i, j]) > most for i in range(j))]
+
+
+def held_out(df: DataFrame) -> DataFrame:
+    """``df`` with ``_test``: the last eighth of each series, HELD_OUT rows at most and LEAST_HELD_OUT at least."""
+    n = F.count("*").over(Window.partitionBy("sym"))
+    size = F.greatest(F.least(F.floor(n / 8), F.lit(HELD_OUT)), F.lit(LEAST_HELD_OUT))
+    return df.withColumn("_test", F.row_number().over(Window.partitionBy("sym").orderBy(F.desc("t"))) <= size)
 
-    ev = BinaryClassificationEvaluator(labelCol="y", metricName=AUC)
-    base = ev.evaluate(model.transform(test))
-    w = Window.partitionBy(F.pmod(F.xxhash64(*columns), F.lit(64))).orderBy(F.xxhash64(*columns, F.lit(seed)))
-    return {c: base - ev.evaluate(model.transform(test.withColumn(c, F.coalesce(F.lag(c, 3).over(w), F.col(c))))) for c in columns}
+
+def permutation_drop(model: PipelineModel, test: DataFrame, columns: list[str], repeats: int = REPEATS, seed: int = 42) -> dict[str, float]:
+    """Mean loss of accuracy when one column is taken from another row of its series: of ``repeats`` orders by hash, the next row in each.
+
+    All columns and repeats are scored in one pass over the held-out rows.
+    """
+    turn = F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("_r")
+    rows = test.select("*", turn)
+    order = Window.partitionBy("sym", "_r").orderBy(F.xxhash64("t", "_r", F.lit(seed)), "t")
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    other = F.struct(*columns)
+    rows = rows.withColumn("_o", F.coalesce(F.lead(other).over(order), F.first(other).over(whole)))
+    tried = F.explode(F.array(F.struct(F.lit(-1).alias("k"), F.struct(*columns).alias("v")), *[F.struct(F.lit(k).alias("k"), F.struct(*[F.col(f"_o.{c}").alias(c) if c == d else F.col(d) for d in columns]).alias("v")) for k, c in enumerate(columns)]))
+    wide = rows.select("y", tried.alias("x")).select("y", "x.k", "x.v.*")
+    right = model.transform(wide).groupBy("k").agg(F.avg((F.col("prediction") == F.col("y")).cast("double")).alias("a")).collect()  # one row for each column
+    got = {r.k: r.a for r in right}
+    return {c: got[-1] - got[k] if -1 in got else 0.0 for k, c in enumerate(columns)}
 
 
 def importance(df: DataFrame, columns: list[str], y: str = "y") -> DataFrame:
-    """Correlation, mutual information and forest permutation, scaled to 0..1, combined (.15, .2, .25 renormalised) and ranked."""
-    d = _clean(df.where(F.col(y).isNotNull()), columns).withColumn("y", F.col(y).cast("double"))
-    row = d.agg(*[corr(c, "y").alias(c) for c in columns]).first()
-    model = Pipeline(stages=[*_stages(columns), forest()]).fit(d)
-    drop = permutation_drop(model, d, columns)
-    spark = df.sparkSession
-    scores = spark.createDataFrame([(c, abs(row[c] or 0.0), max(0.0, drop[c])) for c in columns], "feature string, corr double, perm double").join(mutual_information(d, columns), "feature", "left")
-    from pyspark.sql import Window
+    """Attributions of a booster and permutation of a forest (both fitted before the held-out rows and measured on them), mutual information and correlation, each scaled to 0..1, combined by WEIGHTS and ranked.
 
+    Columns are ``cleaned`` first: what goes there is not ranked. ``df`` has sym and t.
+    """
+    d, live = cleaned(df, columns, y)
+    d = checkpointed(held_out(d))
+    fit, test = d.where("not _test"), d.where("_test")
+    rho = dict(zip(live, correlation_matrix(d, [*live, "y"])[-1], strict=False))
+    shap = boosting.shap_importance(boosting.fit(fit, live, EXPLAINED), test)
+    model = Pipeline(stages=[VectorAssembler(inputCols=live, outputCol="features"), forest(trees=100, depth=10)]).fit(fit)
+    drop = permutation_drop(model, test, live)
+    rows = [(c, 0.0 if rho[c] != rho[c] else abs(float(rho[c])), drop[c], shap[c]) for c in live]
+    scores = df.sparkSession.createDataFrame(rows, "feature string, corr double, perm double, shap double").join(mutual_information(d, live), "feature", "left")
     every = Window.partitionBy()  # one row for each column
     norm = lambda c: F.coalesce(F.try_divide(F.col(c) - F.min(c).over(every), F.max(c).over(every) - F.min(c).over(every)), F.lit(0.0))
-    out = scores.select("feature", "corr", "mi", "perm", ((0.15 * norm("corr") + 0.2 * norm("mi") + 0.25 * norm("perm")) / 0.6).alias("score"))
+    out = scores.select("feature", "corr", "mi", "perm", "shap", sum((norm(c) * w for c, w in WEIGHTS.items()), F.lit(0.0)).alias("score"))
     return out.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "feature")))
 
 
 def by_category(scores: DataFrame, category) -> DataFrame:
-    """Share of each category: mean inverse rank, normalised."""
-    c = scores.withColumn("category", category).groupBy("category").agg(F.avg(1 / F.col("rank")).alias("w"))
-    from pyspark.sql import Window
-
+    """Share of each category: mean of 1 / (rank + 1), normalised."""
+    c = scores.withColumn("category", category).groupBy("category").agg(F.avg(1 / (F.col("rank") + 1)).alias("w"))
     return c.withColumn("share", F.col("w") / F.sum("w").over(Window.partitionBy()))
 
 
@@ -129,18 +166,27 @@ def select(df: DataFrame, columns: list[str], y: str = "y", blacklist: str | Non
     return sorted(cols, key=lambda c: (-score[c], c))[:top]
 
 
-def train(df: DataFrame, columns: list[str], names: tuple[str, ...] = ("boosted_a", "boosted_b")) -> dict[str, PipelineModel]:
-    d = _clean(df, columns)
-    return {n: Pipeline(stages=[*_stages(columns, scale=n == "linear"), MODELS[n]()]).fit(d) for n in names}
+def train(df: DataFrame, columns: list[str], names: tuple[str, ...] = ("boosted_a", "boosted_b"), valid: str | None = None, rounds: int | None = None) -> dict[str, Model]:
+    """A model of each name; boosters stop early by the rows where ``valid`` is true, which no model learns from. ``rounds``: trees at most."""
+    out: dict[str, Model] = {}
+    for n in names:
+        if n in BOOSTERS:
+            p = BOOSTERS[n]
+            out[n] = boosting.fit(df, columns, p if rounds is None else replace(p, rounds=min(p.rounds, rounds)), valid=valid)
+        else:
+            d = _clean(df.where(~F.coalesce(F.col(valid), F.lit(False))) if valid else df, columns)
+            out[n] = Pipeline(stages=[*_stages(columns, scale=True), LogisticRegression(labelCol="y", regParam=0.01)]).fit(d)
+    return out
 
 
-def probabilities(models: dict[str, PipelineModel], weights: dict[str, float], df: DataFrame, columns: list[str]) -> DataFrame:
+def probabilities(models: dict[str, Model], weights: dict[str, float], df: DataFrame, columns: list[str]) -> DataFrame:
     """The weighted mean probability of several models, column ``p``."""
     out = _clean(df, columns)
-    base = out.columns
     for n, m in models.items():
-        out = m.transform(out).select(*base, vector_to_array("probability")[1].alias(f"p_{n}"))
-        base = out.columns
+        if isinstance(m, Booster):
+            out = boosting.scored(m, out, f"p_{n}")
+        else:
+            out = m.transform(out).select(*out.columns, vector_to_array("probability")[1].alias(f"p_{n}"))
     total = sum(weights.values())
     p = sum((F.col(f"p_{n}") * w for n, w in weights.items()), F.lit(0.0)) / total
     return out.withColumn("p", p)
@@ -150,10 +196,15 @@ def auc(df: DataFrame, p: str = "p") -> float:
     return BinaryClassificationEvaluator(labelCol="y", rawPredictionCol=p, metricName=AUC).evaluate(df.withColumn("y", F.col("y").cast("double")))
 
 
-def ensemble(train_df: DataFrame, val_df: DataFrame, columns: list[str], names=("boosted_a", "boosted_b")):
-    """Models and weights max(.01, (auc - .5) * 10) from validation."""
-    models = train(train_df, columns, names)
-    weights = {n: max(0.01, (auc(probabilities({n: m}, {n: 1.0}, val_df, columns)) - 0.5) * 10) for n, m in models.items()}
+def ensemble_weight(auc: float) -> float:
+    return max(0.01, (auc - 0.5) * 10)
+
+
+def ensemble(train_df: DataFrame, val_df: DataFrame, columns: list[str], names=("boosted_a", "boosted_b"), rounds: int | None = None):
+    """Models that stop early by the validation part, and their weights max(.01, (auc - .5) * 10) from it."""
+    both = train_df.withColumn("_valid", F.lit(False)).unionByName(val_df.withColumn("_valid", F.lit(True)))
+    models = train(both, columns, names, valid="_valid", rounds=rounds)
+    weights = {n: ensemble_weight(auc(probabilities({n: m}, {n: 1.0}, val_df, columns))) for n, m in models.items()}
     return models, weights
 
 
@@ -169,11 +220,11 @@ def platt(df: DataFrame, p: str = "p"):
     return lambda d: model.transform(d).withColumn("calibrated", vector_to_array("_c")[1]).drop("_p", "_r", "_c", "_d")
 
 
-def walk_forward(df: DataFrame, columns: list[str], train_rows: int, test_rows: int, purge: int = 12, names=("boosted_a",)) -> DataFrame:
-    """One model per fold, fitted before it and scored after a purged gap; as many folds as the longest series has."""
+def walk_forward(df: DataFrame, columns: list[str], train_rows: int, test_rows: int, purge: int = 12, names=("boosted_a",), rounds: int = 60) -> DataFrame:
+    """One model per fold (``rounds`` trees at most), fitted before it and scored after a purged gap; as many folds as the longest series has."""
     from .backtest import S, apply
 
-    df, i = apply(df, {"i": S.row() - 1}), F.col("i")
+    df, i = checkpointed(apply(df, {"i": S.row() - 1})), F.col("i")
     n = df.agg(F.coalesce(F.max("i") + 1, F.lit(0))).first()[0]
     out = []
     for k in range(max(0, -((train_rows + purge - n) // test_rows))):
@@ -181,11 +232,22 @@ def walk_forward(df: DataFrame, columns: list[str], train_rows: int, test_rows:
         a, b = df.where(i < start), df.where((i >= start + purge) & (i < start + purge + test_rows))
         if a.select("y").distinct().count() < 2 or b.isEmpty():
             continue
-        models = train(a, columns, names)
+        models = train(a, columns, names, rounds=rounds)
         out.append((k, auc(probabilities(models, dict.fromkeys(names, 1.0), b, columns))))
     return df.sparkSession.createDataFrame(out, "fold int, auc double")
 
 
+def all_tree_rules(df: DataFrame, columns: list[str], depths=range(2, 6), least: int = 20, confidence: float = 0.0) -> list[Rule]:
+    """Rules of trees of several depths that are confident enough, most confident first; of equal conditions one."""
+    d = checkpointed(_clean(df.where("y is not null"), columns))
+    found: dict[frozenset, Rule] = {}
+    for depth in depths:
+        for r in tree_rules(d, columns, depth, least):
+            if r.stats["confidence"] >= confidence:
+                found.setdefault(frozenset(r.conditions), replace(r, name=f"depth{depth}_{r.name}"))
+    return sorted(found.values(), key=lambda r: (-r.stats["confidence"], -r.stats["support"], r.name))
+
+
 def tree_rules(df: DataFrame, columns: list[str], depth: int = 3, least: int = 20) -> list[Rule]:
     """Paths of a decision tree to leaves as rules with support and confidence."""
     d = _clean(df.where("y is not null"), columns).withColumn("y", F.col("y").cast("double"))
@@ -226,23 +288,6 @@ def clusters(df: DataFrame, columns: list[str], ks=range(2, 7)) -> tuple[int, di
     return (0, {}) if best is None else (best[1], {r.feature: r.prediction for r in best[2].select("feature", "prediction").collect()})
 
 
-def optimise(score, bounds: dict[str, tuple[float, float]], tries: int = 60, seed: int = 42, keep: float = 0.25) -> tuple[dict[str, float], float]:
-    """Seeded search over parameters: the later half is drawn near the best quarter. ``score`` takes a list of
-    parameter sets and returns their scores, so that one job can score a whole batch."""
-    rng = random.Random(seed)
-    draw = lambda: {k: rng.uniform(a, b) for k, (a, b) in bounds.items()}
-    first = [draw() for _ in range(tries // 2)]
-    seen = sorted(zip(score(first), first, strict=True), key=lambda x: -x[0])
-    good = [p for _, p in seen[: max(1, int(len(seen) * keep))]]
-    near = []
-    for _ in range(tries - len(first)):
-        p = rng.choice(good)
-        near.append({k: min(b, max(a, p[k] + rng.gauss(0, (b - a) / 10))) for k, (a, b) in bounds.items()})
-    seen += zip(score(near), near, strict=True)
-    best = max(seen, key=lambda x: x[0])
-    return best[1], best[0]
-
-
 def simplex(weights: dict[str, float]) -> dict[str, float]:
     total = sum(max(0.0, w) for w in weights.values()) or 1.0
     return {k: max(0.0, w) / total for k, w in weights.items()}

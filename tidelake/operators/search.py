@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelake.functions import stats
+from tidelake.functions.gram import correlation_matrix
 from tidelake.functions.scan import scan
 from tidelake.functions.windows import Series, array_mean, array_std, corr, flag, sorted_quantile
 
@@ -271,16 +272,14 @@ def search(df: DataFrame, columns: list[str], ret: str = "ret", top: int = 50, m
 
 
 def correlated(df: DataFrame, signals: list[str], best_first: list[str], most: float = 0.8) -> list[str]:
-    """Signals left, best first, after removing those that correlate with a better one. One pass for all pairs."""
+    """Signals left, best first, after removing those that correlate with a better one. One job for all pairs."""
     names = [s for s in best_first if s in signals]
-    pair = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
-    row = df.agg(*[corr(a, b).alias(f"{i}") for i, (a, b) in enumerate(pair)]).first() if pair else []
-    rho = {p: row[i] for i, p in enumerate(pair)}
-    out: list[str] = []
-    for s in names:
-        if all(abs(rho.get((o, s)) or 0) <= most for o in out):
-            out.append(s)
-    return out
+    rho = np.nan_to_num(correlation_matrix(df, names))
+    out: list[int] = []
+    for k in range(len(names)):
+        if all(abs(rho[o, k]) <= most for o in out):
+            out.append(k)
+    return [names[k] for k in out]
 
 
 # anti-patterns and regimes
@@ -464,7 +463,7 @@ def critique(df: DataFrame, rules: list[Rule], ret: str = "ret", regime: str | N
 
 
 def statistics(df: DataFrame, r: str = "r") -> DataFrame:
-    """t-test, moments, normality, lag-1 autocorrelation with its test, and runs about the median with theirs, one row per series."""
+    """t-test, moments, normality (Shapiro-Wilk of up to 1,000 drawn values, and by moments), lag-1 autocorrelation with its test, and runs about the median with theirs, one row per series."""
     df = df.where(F.col(r).isNotNull())
     mid = df.groupBy("sym").agg(F.percentile(r, 0.5).alias("_mid"))  # one row for each series
     df = df.join(mid, "sym").withColumn("_up", flag(F.col(r) > F.col("_mid")))
@@ -477,5 +476,5 @@ def statistics(df: DataFrame, r: str = "r") -> DataFrame:
     a, n = F.col("_a"), F.col("n")
     two = 2 * a * (n - a)
     z = (F.col("median_runs") - (1 + two / n)) / (F.sqrt(F.greatest(two * (two - n) / (n * n * (n - 1)), F.lit(0.0))) + 1e-8)
-    out = out.select("*", t.alias("t"), z.alias("runs_z"), stats.t_pvalue(t, n).alias("p"), stats.jarque_bera(F.col("skew"), F.col("kurt"), n).alias("normal_p"), stats.ljung_box_1(F.col("autocorr"), n).alias("ljung_p"), stats.normal_pvalue(z).alias("runs_p"))
-    return out.drop("_a")
+    out = out.select("*", t.alias("t"), z.alias("runs_z"), stats.t_pvalue(t, n).alias("p"), stats.jarque_bera(F.col("skew"), F.col("kurt"), n).alias("moments_p"), stats.ljung_box_1(F.col("autocorr"), n).alias("ljung_p"), stats.normal_pvalue(z).alias("runs_p"))
+    return out.drop("_a").join(stats.normality(df, r), "sym", "left")

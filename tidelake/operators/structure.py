@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelake.functions.windows import clip, corr, flag
+from tidelake.sources.store import checkpointed
 
 from .features import apply
-from .learning import clusters, optimise, simplex
+from .learning import clusters, simplex
+from .tuning import evolution, parzen
 
 # Thresholds with their present value and bounds.
 THRESHOLDS = {
@@ -36,6 +40,8 @@ STRUCTURES = {
     "2 pillars": ({"derivatives": ("funding_", "oi_", "ls_ratio_", "liq_", "taker_"), "technical": ("rsi_", "ema_", "macd_", "bb_", "momentum_", "return_")}, {"derivatives": 0.60, "technical": 0.40}),
 }
 TRIES = 100
+#: Parameter sets scored in one job.
+BATCH = 10
 
 
 def _first(columns: list[str], *words: str) -> str | None:
@@ -43,7 +49,7 @@ def _first(columns: list[str], *words: str) -> str | None:
     return next((c for c in columns if all(w in c.lower() for w in words)), None)
 
 
-def threshold_signal(columns: list[str], p: dict[str, float]) -> Column:
+def threshold_signal(columns: list[str], p: dict) -> Column:
     """Votes of RSI, open interest, fear and greed, and funding against their thresholds, between -1 and 1; columns that are not there don't vote."""
     votes = F.lit(0.0)
     side = lambda up, down, w: (flag(up) - flag(down)) * w
@@ -68,35 +74,59 @@ def objectives(df: DataFrame, signals: list[Column], ret: str = "ret") -> list[f
     df = df.where(r.isNotNull())
     aggs = [F.count("*").alias("bars")]
     for i, s in enumerate(signals):
-        t = F.when(F.abs(s) > 0.1, s * r)
-        aggs += [F.count(t).alias(f"n{i}"), F.avg(t).alias(f"m{i}"), F.stddev_samp(t).alias(f"s{i}"), F.avg(flag(s * r > 0)).alias(f"w{i}"), corr(s, r).alias(f"c{i}")]
+        aggs += [e.alias(f"{n}{i}") for n, e in zip("nmswc", _figures(s, r), strict=True)]
     row = df.agg(*aggs).first()
-    if row.bars < 50:
-        return [-10.0] * len(signals)
-    out, days = [], max(1.0, row.bars / 6)
-    for i in range(len(signals)):
-        n, m, s, w, c = (row[f"{k}{i}"] for k in "nmswc")
-        if n < 5 or s is None or s < 1e-8:
-            out.append(-5.0)
-            continue
-        sharpe = m / s * (n / days * 365) ** 0.5
-        out.append(0.5 * min(1.0, max(-1.0, sharpe / 3)) + 0.3 * (w - 0.5) * 2 + 0.2 * min(1.0, max(-1.0, c or 0.0)))
-    return out
+    return [_score(row.bars, *(row[f"{k}{i}"] for k in "nmswc")) for i in range(len(signals))]
+
+
+def _figures(s: Column, r: Column) -> list[Column]:
+    t = F.when(F.abs(s) > 0.1, s * r)
+    return [F.count(t), F.avg(t), F.stddev_samp(t), F.avg(flag(s * r > 0)), corr(s, r)]
+
+
+def _score(bars: int, n: int, m: float | None, s: float | None, w: float, c: float | None) -> float:
+    if bars < 50:
+        return -10.0
+    if n < 5 or s is None or s < 1e-8:
+        return -5.0
+    sharpe = m / s * (n / max(1.0, bars / 6) * 365) ** 0.5
+    return 0.5 * min(1.0, max(-1.0, sharpe / 3)) + 0.3 * (w - 0.5) * 2 + 0.2 * min(1.0, max(-1.0, c or 0.0))
+
+
+def objectives_of(df: DataFrame, signal: Callable[[dict[str, Column]], Column], sets: list[dict[str, float]], ret: str = "ret") -> list[float]:
+    """The same score of one signal under many parameter sets.
+
+    The sets are one constant array that every row meets, so the plan's
+    generated code is the same for each batch of a search.
+    """
+    names = list(sets[0])
+    grid = F.explode(F.array(*[F.struct(F.lit(i).alias("set"), *[F.lit(float(p[k])).alias(k) for k in names]) for i, p in enumerate(sets)])).alias("p")
+    x = df.where(F.col(ret).isNotNull()).select("*", grid)
+    x = x.select(F.col("p.set").alias("set"), F.col(ret).cast("double").alias("r"), signal({k: F.col(f"p.{k}") for k in names}).alias("s"))
+    rows = x.groupBy("set").agg(F.count("*").alias("bars"), *[e.alias(n) for n, e in zip("nmswc", _figures(F.col("s"), F.col("r")), strict=True)]).collect()  # one row for each set
+    got = {r.set: _score(r.bars, r.n, r.m, r.s, r.w, r.c) for r in rows}
+    return [got.get(i, -10.0) for i in range(len(sets))]
 
 
 def _improvement(base: float, best: float) -> float:
     return (best - base) / abs(base) * 100 if base else 0.0
 
 
-def best_thresholds(df: DataFrame, columns: list[str], ret: str = "ret", tries: int = TRIES) -> dict:
-    """All twelve thresholds searched within their bounds, against their present values."""
-    score = lambda sets: objectives(df, [threshold_signal(columns, p) for p in sets], ret)
+def best_thresholds(df: DataFrame, columns: list[str], ret: str = "ret", tries: int = TRIES, method: str = "parzen") -> dict:
+    """All twelve thresholds searched within their bounds, against their present values, by ``method`` parzen or evolution (``tries`` as many scored sets, about)."""
+    df = checkpointed(df)
+    score = lambda sets: objectives_of(df, lambda p: threshold_signal(columns, p), sets, ret)
     now = {k: float(v[0]) for k, v in THRESHOLDS.items()}
     base = score([now])[0]
-    found, best = optimise(score, {k: (float(v[1]), float(v[2])) for k, v in THRESHOLDS.items()}, tries)
+    bounds = {k: (float(v[1]), float(v[2])) for k, v in THRESHOLDS.items()}
+    if method == "parzen":
+        found, best, history = parzen(score, bounds, tries, batch=BATCH)
+    else:
+        size = max(5, min(15 * len(bounds), tries // 5))
+        found, best, history = evolution(score, bounds, tries // size, size)
     if best <= base:
         found, best = now, base
-    return {"thresholds": found, "baseline": base, "score": best, "improvement": _improvement(base, best)}
+    return {"thresholds": found, "baseline": base, "score": best, "improvement": _improvement(base, best), "history": history}
 
 
 def grouped(columns: list[str], groups: dict[str, tuple[str, ...]]) -> dict[str, list[str]]:
@@ -148,16 +178,16 @@ def structures(df: DataFrame, columns: list[str], ret: str = "ret", important: l
 def best_weights(df: DataFrame, columns: list[str], groups: dict[str, list[str]], start: dict[str, float], ret: str = "ret", tries: int = TRIES) -> dict:
     """Weights of the groups, on the simplex, searched against those given. Every batch of sets is scored in one job."""
     live = {g: cs for g, cs in groups.items() if cs}
-    z = apply(normalised(df, columns), {f"g_{g}": _mean(cs) for g, cs in live.items()})
+    z = checkpointed(apply(normalised(df, columns), {f"g_{g}": _mean(cs) for g, cs in live.items()}).select(ret, *[f"g_{g}" for g in live]))
 
     def score(sets):
         # the size of a signal matters for what trades: it is bounded by the weights' sum
-        signals = [clip(sum((F.col(f"g_{g}") * w for g, w in simplex(s).items()), F.lit(0.0)), -1.0, 1.0) for s in sets]
-        return objectives(z, signals, ret)
+        signal = lambda w: clip(sum((F.col(f"g_{g}") * w[g] for g in live), F.lit(0.0)), -1.0, 1.0)
+        return objectives_of(z, signal, [simplex(s) for s in sets], ret)
 
     begin = simplex({g: start.get(g, 0.0) for g in live})
     base = score([begin])[0]
-    found, best = optimise(score, dict.fromkeys(live, (0.01, 0.99)), tries)
+    found, best, _ = parzen(score, dict.fromkeys(live, (0.01, 0.99)), tries, batch=BATCH)
     found = simplex(found)
     if best <= base:
         found, best = begin, base

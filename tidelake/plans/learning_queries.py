@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidelake.functions.sqlkit import BARS, lag, lead
 from tidelake.operators import backtest as bt
+from tidelake.operators import boosting as bo
 from tidelake.operators import features as ft
 from tidelake.operators import learning as ln
 from tidelake.operators import search as sc
 from tidelake.operators import structure as sr
+from tidelake.operators import training as tr
+from tidelake.sources.store import shared_folder
 
 from .base import Registry, bars4h
 
@@ -35,6 +37,17 @@ def _(s, d):
     return ln.importance(learning_frame(s, d), COLS)
 
 
+@R.add("l01_attributions", None)
+def _(s, d):
+    """Shapley values of every held-out row, with the margin that they add up to."""
+    b, live = ln.cleaned(learning_frame(s, d), COLS)
+    b = ln.held_out(b)
+    model = bo.fit(b.where("not _test"), live, ln.EXPLAINED)
+    x = bo.shap_values(model, b.where("_test"))
+    total = F.aggregate("shap", F.lit(float(model.expected())), lambda a, v: a + v)
+    return x.select("sym", "t", F.posexplode("shap").alias("k", "attribution"), "margin", total.alias("total")).withColumn("feature", F.element_at(F.array(*map(F.lit, live)), F.col("k") + 1)).drop("k")
+
+
 @R.add("l03_category_importance", None)
 def _(s, d):
     return ln.by_category(ln.importance(learning_frame(s, d), COLS), F.when(F.col("feature").startswith("price"), "price").otherwise("flow"))
@@ -71,6 +84,24 @@ def _(s, d):
     return ln.walk_forward(learning_frame(s, d), COLS, 60, 30)
 
 
+@R.add("l11_train", None)
+def _(s, d):
+    """A training run, saved, loaded and used: the calibrated score of every bar, with what the report says of the run."""
+    b = learning_frame(s, d)
+    model, scores, report = tr.train(b, COLS, ret="ret", train_rows=60, test_rows=30, rounds=100)
+    folder = shared_folder(s, "model")
+    tr.save(s, folder, model, scores, report)
+    model, _, report = tr.load(s, folder)
+    out = model.transform(b).select("sym", "t", "p", "calibrated")
+    return out.withColumn("test_auc", F.lit(report["test"]["auc"])).withColumn("folds", F.lit(len(report["folds"])))
+
+
+@R.add("l11_scores", None)
+def _(s, d):
+    """The columns that a training run selects, and the splits that its boosters make on each."""
+    return tr.train(learning_frame(s, d), COLS, ret="ret", train_rows=60, test_rows=30, rounds=100)[1]
+
+
 def _roles(s, d):
     """The learning frame under names that thresholds and groupings look for."""
     b = learning_frame(s, d)
@@ -82,15 +113,21 @@ ROLES = ["rsi_14", "oi_change_1h", "fear_greed_value", "funding_zscore", "taker_
 
 @R.add("l12_optimised_weights", None)
 def _(s, d):
-    x = _roles(s, d).persist()
+    x = _roles(s, d)
     groups, start = sr.grouped(ROLES, sr.STRUCTURES["5 pillars"][0]), sr.STRUCTURES["5 pillars"][1]
     w = sr.best_weights(x, ROLES, groups, start)
     return s.createDataFrame([(k, v, w["baseline"], w["score"]) for k, v in w["weights"].items()], "pillar string, weight double, baseline double, score double")
 
 
+@R.add("l12_evolved_thresholds", None)
+def _(s, d):
+    t = sr.best_thresholds(_roles(s, d), ROLES, method="evolution")
+    return s.createDataFrame([(k, v, t["baseline"], t["score"]) for k, v in t["thresholds"].items()], "threshold string, value double, baseline double, score double")
+
+
 @R.add("l12_optimised_thresholds", None)
 def _(s, d):
-    t = sr.best_thresholds(_roles(s, d).persist(), ROLES)
+    t = sr.best_thresholds(_roles(s, d), ROLES)
     return s.createDataFrame([(k, v, t["baseline"], t["score"]) for k, v in t["thresholds"].items()], "threshold string, value double, baseline double, score double")
 
 
@@ -108,31 +145,29 @@ def _(s, d):
     return s.createDataFrame([(round(score, 6),)], "score double")
 
 
-_PILLARS = """with s as (select case n_regionkey when 0 then 'derivatives' when 1 then 'price' when 2 then 'macro' when 3 then 'liquidation' else 'sentiment' end as category, count(*) / sum(count(*)) over () as share from nation group by 1),
-p(pillar, assumed) as (values ('derivatives', 0.35::double), ('liquidations', 0.30), ('technical', 0.25), ('liquidity', 0.10)),
-m as (select case category when 'derivatives' then 'derivatives' when 'liquidation' then 'liquidations' when 'price' then 'technical' when 'sentiment' then 'technical' end as pillar, share from s),
-a as (select pillar, sum(share) as actual from m where pillar is not null group by 1), j as (select p.pillar, assumed, coalesce(actual, 0) as actual, (select coalesce(sum(share), 0) from m where pillar is null) as outside from p left join a using (pillar))
-select pillar, assumed, round(actual, 6) as actual, round(actual - assumed, 6) as deviation, round(outside, 6) as outside, case when outside > 0.2 then 'RESTRUCTURE' when max(abs(actual - assumed)) over () > 0.15 then 'REWEIGHT' else 'VALIDATE' end as recommendation from j"""
+# Categories by the beginnings of feature names.
+CATEGORIES = {"derivatives": ("oi_", "funding_"), "price": ("rsi_", "momentum_"), "liquidation": ("liq_",), "sentiment": ("fear_",), "macro": ("vix_",)}
 
 
-@R.add("l04_pillars", _PILLARS)
+@R.add("l04_pillars", None)
 def _(s, d):
-    names = F.element_at(F.array(*[F.lit(x) for x in ("derivatives", "price", "macro", "liquidation", "sentiment")]), F.col("n_regionkey") + 1)
-    c = s.read.parquet(f"{d}/nation.parquet").groupBy(names.alias("category")).agg(F.count("*").alias("n"))
-    c = c.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))  # one row for each category
-    out = sr.validated_pillars(c)
-    return out.select("pillar", "assumed", *[F.round(x, 6).alias(x) for x in ("actual", "deviation", "outside")], "recommendation")
+    """The assumed pillars against what the importances of the columns say."""
+    name = F.lit("other")
+    for c, begin in CATEGORIES.items():
+        name = F.when(F.greatest(*[F.startswith("feature", F.lit(b)).cast("int") for b in (*begin, begin[0])]) > 0, c).otherwise(name)
+    shares = ln.by_category(ln.importance(_roles(s, d), ROLES), name)
+    return sr.validated_pillars(shares.select("category", "share"))
 
 
 @R.add("l14_structures", None)
 def _(s, d):
-    found = sr.structures(_roles(s, d).persist(), ROLES)
+    found = sr.structures(_roles(s, d), ROLES)
     return s.createDataFrame([(i, n, float(x)) for i, (n, _, _, x) in enumerate(found)], "rank int, structure string, score double")
 
 
 @R.add("l15_full_optimisation", None)
 def _(s, d):
-    found = sr.full_optimisation(_roles(s, d).persist(), ROLES)
+    found = sr.full_optimisation(_roles(s, d), ROLES)
     rows = [("thresholds", found["thresholds"]["baseline"], found["thresholds"]["score"]), ("weights", found["weights"]["baseline"], found["weights"]["score"])]
     return s.createDataFrame(rows, "what string, baseline double, score double")
 
@@ -145,7 +180,7 @@ def _(s, d):
 
 @R.add("r11_tree_rules", None)
 def _(s, d):
-    rules = ln.tree_rules(learning_frame(s, d), COLS)
+    rules = ln.all_tree_rules(learning_frame(s, d), COLS)
     return s.createDataFrame([(r.name, r.direction, r.stats["support"], r.stats["confidence"], [(c.feature, c.operator, float(c.threshold)) for c in r.conditions]) for r in rules], "rule string, direction string, support double, confidence double, conditions array<struct<feature:string,operator:string,threshold:double>>")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidelake.functions import stats
 from tidelake.functions.sqlkit import BARS, P, lag
 from tidelake.operators import search as rs
 from tidelake.operators import validation as vd
@@ -42,10 +43,53 @@ g as (select sym, count(*) as n, avg(r) as mean, stddev_samp(r) as std, avg(pow(
   coalesce(sum((sign(r) <> sign(prev))::int), 0)::bigint + 1 as runs, coalesce(sum((up <> was)::int), 0)::bigint + 1 as median_runs, sum(up)::double as a from w join a using (sym) group by 1),
 h as (select *, mean / (std / sqrt(n)) as t, 2 * a * (n - a) as two, n * (n + 2) * autocorr * autocorr / (n - 1) as lb from g),
 k as (select *, (median_runs - (1 + two / n)) / (sqrt(greatest(two * (two - n) / (n * n * (n - 1.0)), 0)) + 1e-8) as z from h)"""
-R.add("m12_pvalues", f"{_STATS} select sym, n, round(skew, 5) as skew, round(kurt, 5) as kurt, round(autocorr, 6) as autocorr, runs, median_runs, round({_t_two_sided('t', 'n')}, 5) as p, round(exp(-(n / 6.0 * (skew * skew + kurt * kurt / 4)) / 2), 6) as normal_p, round({_normal_two_sided('sqrt(lb)')}, 5) as ljung_p, round({_normal_two_sided('z')}, 5) as runs_p from k")(
-    lambda s, d: _rounded(rs.statistics(trades(s, d)), ["sym", "n", "runs", "median_runs"], {"skew": 5, "kurt": 5, "autocorr": 6, "p": 5, "normal_p": 6, "ljung_p": 5, "runs_p": 5})
+R.add("m12_pvalues", f"{_STATS} select sym, n, round(skew, 5) as skew, round(kurt, 5) as kurt, round(autocorr, 6) as autocorr, runs, median_runs, round({_t_two_sided('t', 'n')}, 5) as p, round(exp(-(n / 6.0 * (skew * skew + kurt * kurt / 4)) / 2), 6) as moments_p, round({_normal_two_sided('sqrt(lb)')}, 5) as ljung_p, round({_normal_two_sided('z')}, 5) as runs_p from k")(
+    lambda s, d: _rounded(rs.statistics(trades(s, d)), ["sym", "n", "runs", "median_runs"], {"skew": 5, "kurt": 5, "autocorr": 6, "p": 5, "moments_p": 6, "ljung_p": 5, "runs_p": 5})
 )
 
+# A rational approximation of the normal quantile (relative error 1e-9), for the check only.
+_Q = (
+    (-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00),
+    (-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02, 6.680131188771972e01, -1.328068155288572e01, 1.0),
+    (-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00, -2.549732539343734e00, 4.374664141464968e00, 2.938163982698783e00),
+    (7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00, 3.754408661907416e00, 1.0),
+)
+
+
+def _horner(cs, x: str) -> str:
+    out = str(cs[0])
+    for c in cs[1:]:
+        out = f"({out}) * {x} + {c}"
+    return f"({out})"
+
+
+def _normal_quantile(p: str) -> str:
+    tail = f"sqrt(-2 * ln(least({p}, 1 - {p})))"
+    mid = f"(({p}) - 0.5)"
+    return f"case when least({p}, 1 - {p}) < 0.02425 then sign(0.5 - {p}) * {_horner(_Q[2], tail)} / {_horner(_Q[3], tail)} else {mid} * {_horner(_Q[0], f'({mid} * {mid})')} / {_horner(_Q[1], f'({mid} * {mid})')} end"
+
+
+def _series(cs, x: str) -> str:
+    return " + ".join(f"{c} * pow({x}, {k})" for k, c in enumerate(cs))
+
+
+#: For series of 12 to 1,000 values, which are tested whole.
+_SHAPIRO = f"""with {_T}, v as (select sym, r, row_number() over (partition by sym order by r) as i, count(*) over (partition by sym) as n from tr),
+ms as (select *, {_normal_quantile('((i - 0.375) / (n + 0.25))')} as m from v),
+ks as (select sym, any_value(n) as n, sum(m * m) as ss, max(case when i = n then m end) as m1, max(case when i = n - 1 then m end) as m2, 1 / sqrt(any_value(n)) as u, avg(r) as mu, sum(r * r) - count(*) * avg(r) * avg(r) as spread from ms group by 1),
+ws as (select *, m1 / sqrt(ss) + {_series(stats._LARGEST, 'u')} as a1, m2 / sqrt(ss) + {_series(stats._SECOND, 'u')} as a2 from ks),
+p as (select *, (ss - 2 * m1 * m1 - 2 * m2 * m2) / (1 - 2 * a1 * a1 - 2 * a2 * a2) as phi from ws),
+sw as (select sym, any_value(p.n) as n, pow(sum(r * case when i = p.n then a1 when i = 1 then -a1 when i = p.n - 1 then a2 when i = 2 then -a2 else m / sqrt(phi) end), 2) / any_value(spread) as w from ms join p using (sym) group by 1),
+z as (select *, (ln(1 - w) - ({_series(stats._MANY_MEAN, 'ln(n)')})) / exp({_series(stats._MANY_LOG_SD, 'ln(n)')}) as z from sw)
+select sym, n, round(w, 6) as w, round(greatest(case when z > 0 then {_normal_two_sided('z')} / 2 else 1 - {_normal_two_sided('z')} / 2 end, 0), 4) as p from z"""
+
+
+@R.add("m12_normality", _SHAPIRO)
+def _(s, d):
+    x = rs.statistics(trades(s, d))
+    return x.select("sym", "n", F.round("normal_w", 6).alias("w"), F.round("normal_p", 4).alias("p"))
+
+
 _SH = lambda r, days: f"coalesce(case when count({r}) >= 5 and stddev_samp({r}) > 0 then avg({r}) / stddev_samp({r}) * sqrt(count({r}) / ({days}) * 365) end, 0)"
 _POINTS = """case when sharpe >= 2 then 40 when sharpe >= 1.5 then 35 when sharpe >= 1 then 25 when sharpe >= 0.5 then 15 when sharpe > 0 then 5 else 0 end
  + case when win_rate >= 0.55 then 15 when win_rate >= 0.52 then 10 when win_rate >= 0.5 then 5 else 0 end
