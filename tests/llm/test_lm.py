@@ -5,6 +5,7 @@ from math import log10
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from tidelake.llm import lm
@@ -100,3 +101,33 @@ def test_cases(spark, tmp_path):
 def test_packing():
     for a in (np.arange(5, dtype=np.uint64) << np.uint64(40), np.array([], np.uint32), np.array([3, 1], np.uint8), np.array([-1, 2**40])):
         assert (lm.unpack(lm.pack(a)) == a).all() and lm.unpack(lm.pack(a)).dtype == a.dtype
+
+
+def test_messages_stay_small_whatever_the_number_of_ranges():
+    """A block's keys take about as many bytes each in 2^6 ranges as in 2^12, and come back exactly."""
+    rng = np.random.default_rng(1)
+    keys = np.unique(rng.integers(0, 2**63, 1_200_000).astype(np.uint64) * np.uint64(2))
+    train = rng.geometric(0.7, len(keys)).astype(np.uint32)
+    tune = (rng.random(len(keys)) < 0.1).astype(np.uint32)
+    sizes = {}
+    for bits in (6, 9, 12):
+        part = keys >> np.uint64(64 - bits)
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(keys)]
+        frames = [lm.pack_counts(keys[i:j], train[i:j], tune[i:j]) for i, j in zip(cuts, cuts[1:], strict=False)]
+        sizes[bits] = sum(map(len, frames)) / len(keys)
+        back = [np.concatenate(x) for x in zip(*map(lm.unpack_counts, frames), strict=True)]
+        assert all((x == y).all() for x, y in zip(back, (keys, train, tune), strict=True))
+    assert max(sizes.values()) < 1.15 * min(sizes.values()) < 8
+    # ranges follow the keys, not the square of the blocks
+    assert lm.range_bits(0) == lm.range_bits(lm.RANGE_KEYS) == 4 and lm.range_bits(1000 * lm.RANGE_KEYS) == 10
+
+
+def test_a_failed_run_leaves_no_table(spark, monkeypatch):
+    def broken(bits):
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(lm, "_requests", broken)
+    docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    with pytest.raises(RuntimeError):
+        lm.score_texts(docs, F.lit(True), F.lit(False))
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("tidelake_")]

@@ -8,7 +8,8 @@ of all training texts.
 
 Texts are read once into blocks of encoded tokens. Each block asks for the
 counts of its distinct words and bigrams: keys go to the range of hashes that
-they belong to, sums come back. So a word that is in every text crosses the
+they belong to, sums come back. There are as many ranges as keep RANGE_KEYS keys in
+one task, so a message from a block to a range holds RANGE_KEYS / blocks keys. So a word that is in every text crosses the
 network once for each block, no count table is ever broadcast, and nothing
 but sums over frequency classes reaches the driver. Words and bigrams are known
 by 64-bit hashes.
@@ -24,8 +25,8 @@ from pyspark.sql import functions as F
 
 from . import ship
 
-#: Tokens of a block; the ranges of hashes for each block.
-BLOCK_TOKENS = 1_000_000
+#: Tokens of a block, and keys (of all blocks together) that a range of hashes should have: what a task holds decoded at once.
+BLOCK_TOKENS, RANGE_KEYS = 2_000_000, 8_000_000
 END = 0  # the end token's hash; no word has it
 BUCKETS = 40
 #: Frequencies are told apart to a part of an octave when weights are learned.
@@ -47,6 +48,25 @@ def unpack(b: bytes) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(kind.itemsize, n).T).view(kind).ravel()
 
 
+def pack_counts(keys: np.ndarray, train: np.ndarray, tune: np.ndarray) -> bytes:
+    """Sorted keys and their counts as one compressed frame: differences and counts by byte planes."""
+    delta = np.diff(keys, prepend=keys.dtype.type(0))
+    planes = b"".join(x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes() for x in (delta, train.astype("<u4"), tune.astype("<u4")))
+    return len(keys).to_bytes(4, "little") + pa.compress(planes, _CODEC, asbytes=True)
+
+
+def unpack_counts(b: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n = int.from_bytes(b[:4], "little")
+    raw = np.frombuffer(pa.decompress(b[4:], n * 16, _CODEC, asbytes=True), np.uint8)
+    part = lambda i, j, kind: np.ascontiguousarray(raw[i * n : j * n].reshape(j - i, n).T).view(kind).ravel()
+    return np.cumsum(part(0, 8, "<u8"), dtype=np.uint64), part(8, 12, "<u4"), part(12, 16, "<u4")
+
+
+def range_bits(keys: int) -> int:
+    """Bits of a hash that tell ranges apart, for so many keys of all blocks."""
+    return max(4, (max(0, keys - 1) // RANGE_KEYS).bit_length())
+
+
 def mix64(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """A 64-bit key of ordered pairs of 64-bit hashes."""
     with np.errstate(over="ignore"):
@@ -70,7 +90,7 @@ def _encode_blocks(batches):
     def row():
         hashes = np.fromiter((END if w is None else xxhash.xxh64_intdigest(w) or 1 for w in words), np.uint64, len(words))
         cols = [pack(hashes), pack(np.concatenate(toks)), pack(np.array(ids, np.int64)), pack(np.array(lens, np.int64)), pack(np.array(flags, np.uint8))]
-        return pa.RecordBatch.from_arrays([pa.array([part << 32 | made]), *(pa.array([c], pa.binary()) for c in cols)], ["block", "words", "tokens", "ids", "lens", "flags"])
+        return pa.RecordBatch.from_arrays([pa.array([part << 32 | made]), pa.array([len(words) + n], pa.int64()), *(pa.array([c], pa.binary()) for c in cols)], ["block", "keys", "words", "tokens", "ids", "lens", "flags"])
 
     for b in batches:
         for i, text, train, tune in zip(b.column("id").to_pylist(), b.column("text"), b.column("train").to_pylist(), b.column("tune").to_pylist(), strict=True):
@@ -132,23 +152,22 @@ def _requests(bits: int):
                     part = (keys >> np.uint64(64 - bits)).astype(np.int64)
                     cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]).tolist() + [len(keys)]
                     for i, j in zip(cuts, cuts[1:], strict=False):
-                        delta = np.diff(keys[i:j], prepend=keys.dtype.type(0))
-                        rows.append((kind << bits | int(part[i]), r["block"], pack(delta), pack(train[i:j]), pack(tune[i:j])))
+                        rows.append((kind << bits | int(part[i]), r["block"], pack_counts(keys[i:j], train[i:j], tune[i:j])))
                 cols = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), *(pa.array(c, pa.binary()) for c in cols[2:])], ["part", "block", "keys", "train", "tune"])
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary())], ["part", "block", "asked"])
 
     return run
 
 
 def _sum_part(table: pa.Table) -> pa.Table:
     """Counts of one range of hashes over all blocks, and each block's answer."""
-    keys = [np.cumsum(unpack(x.as_py()), dtype=np.uint64) for x in table.column("keys")]
-    train = np.concatenate([unpack(x.as_py()) for x in table.column("train")])
-    tune = np.concatenate([unpack(x.as_py()) for x in table.column("tune")])
-    every, at = np.unique(np.concatenate(keys), return_inverse=True)
-    total = np.bincount(at, train, len(every)).astype(np.uint64)
-    tuned = np.bincount(at, tune, len(every)).astype(np.uint64)
+    keys, train, tune = zip(*(unpack_counts(x.as_py()) for x in table.column("asked")), strict=True)
     cuts = np.cumsum([0, *map(len, keys)])
+    every, at = np.unique(np.concatenate(keys), return_inverse=True)
+    del keys
+    total = np.bincount(at, np.concatenate(train), len(every)).astype(np.uint64)
+    tuned = np.bincount(at, np.concatenate(tune), len(every)).astype(np.uint64)
+    del train, tune
     answer = [(pack(total[at[i:j]]), pack(tuned[at[i:j]])) for i, j in zip(cuts, cuts[1:], strict=False)]
     n = table.num_rows
     sums = [(int(total.sum()), int((total > 0).sum()), int((total - tuned).sum()), int((total > tuned).sum()))] + [(0, 0, 0, 0)] * (n - 1)
@@ -259,21 +278,23 @@ def score_texts(docs: DataFrame, train: Column, tune: Column, id_col: str = "doc
     kind = docs.schema[id_col].dataType.simpleString()
     flag = lambda c: F.coalesce(c, F.lit(False))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), flag(train).alias("train"), flag(tune).alias("tune"))
-    kept = ship.Bucketed(rows.mapInArrow(_encode_blocks, "block long, words binary, tokens binary, ids binary, lens binary, flags binary"), "lm-blocks", "block")
-    blocks = kept.rows
-    n_blocks = blocks.count()
-    bits = max(4, (2 * n_blocks).bit_length())
-    asked = blocks.select("block", "words", "tokens", "lens", "flags").mapInArrow(_requests(bits), "part long, block long, keys binary, train binary, tune binary")
-    summed = asked.groupBy("part").applyInArrow(_sum_part, "block long, part long, train binary, tune binary, n long, v long, n_rest long, v_rest long")
-    answers, p2 = ship.written(summed, "lm-answers")
-    del asked, summed
-    ship.free_shuffles(spark)
-    size = answers.where(F.col("part") < 1 << bits).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "v", "n_rest", "v_rest")]).first()
-    back = answers.select("block", "part", "train", "tune")
-    done = blocks.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(_answered(size.n_rest), "counts binary, tokens binary, ids binary, lens binary, events binary")
-    coded, _ = ship.written(done, "lm-coded")
-    kept.remove()
-    ship.removed(spark, p2)
+    kept = ship.Bucketed(rows.mapInArrow(_encode_blocks, "block long, keys long, words binary, tokens binary, ids binary, lens binary, flags binary"), "lm-blocks", "block", docs)
+    p2 = None
+    try:
+        blocks = kept.rows
+        bits = range_bits(blocks.agg(F.coalesce(F.sum("keys"), F.lit(0))).first()[0])
+        asked = blocks.select("block", "words", "tokens", "lens", "flags").mapInArrow(_requests(bits), "part long, block long, asked binary")
+        summed = asked.groupBy("part").applyInArrow(_sum_part, "block long, part long, train binary, tune binary, n long, v long, n_rest long, v_rest long")
+        answers, p2 = ship.written(summed, "lm-answers")
+        size = answers.where(F.col("part") < 1 << bits).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "v", "n_rest", "v_rest")]).first()
+        back = answers.select("block", "part", "train", "tune")
+        texts = blocks.select("block", "words", "tokens", "ids", "lens", "flags")
+        done = texts.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(_answered(size.n_rest), "counts binary, tokens binary, ids binary, lens binary, events binary")
+        coded, _ = ship.written(done, "lm-coded")
+    finally:  # nothing of a failed run stays in the catalog or the folder
+        kept.remove()
+        if p2:
+            ship.removed(spark, p2)
     classes = coded.select("events").mapInArrow(_tuning, "bucket long, q2 long, q1 long, n long")
     weights = learn_weights(classes.groupBy("bucket", "q2", "q1").agg(F.sum("n").alias("n")).toArrow(), size.v_rest)  # frequency classes: bounded by the rounding
     out = coded.select("counts", "tokens", "ids", "lens").mapInArrow(_scores(size.n, size.v, weights), "id long, n_tokens long, n_known long, base_score double, score double")

@@ -2,37 +2,27 @@
 
 from __future__ import annotations
 
-import gc
 import os
 import tempfile
 import uuid
-import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_PACKAGE = Path(__file__).resolve().parents[1]
-_SHIPPED: set[str] = set()
+from tidelake.functions.package import send
 
 _CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
+#: Bytes of input for each bucket of a table.
+BUCKET_BYTES = 128 << 20
 #: Largest file that may be broadcast: vocabularies and models, never rows.
 MAX_BROADCAST_BYTES = 64 << 20
 
 
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors once per application, so that Python workers can import it."""
-    sc = spark.sparkContext
-    if sc.applicationId in _SHIPPED:
-        return
-    fd, name = tempfile.mkstemp(prefix="tidelake_", suffix=".zip")
-    os.close(fd)
-    with zipfile.ZipFile(name, "w") as z:
-        for p in sorted(_PACKAGE.rglob("*.py")):
-            z.write(p, f"{_PACKAGE.name}/{p.relative_to(_PACKAGE)}")
-    sc.addPyFile(name)
-    _SHIPPED.add(sc.applicationId)
+    send(spark)
 
 
 def broadcast_file(spark: SparkSession, path: str):
@@ -88,13 +78,22 @@ def written(df: DataFrame, what: str) -> tuple[DataFrame, str]:
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
+def stored_bytes(df: DataFrame) -> int:
+    """Bytes of what a plan reads, as its statistics say; 0 where they say nothing."""
+    n = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return n if n < 1 << 60 else 0
+
+
 class Bucketed:
-    """Rows written as a table in a shared folder, bucketed by a key: groupings by the key find them in place, without a shuffle."""
+    """Rows written as a table in a shared folder, bucketed by a key: groupings by the key find them in place, without a shuffle.
 
-    def __init__(self, df: DataFrame, what: str, key: str):
+    There is a bucket for each BUCKET_BYTES of ``source``, and as many as shuffles have partitions at least.
+    """
+
+    def __init__(self, df: DataFrame, what: str, key: str, source: DataFrame):
         self.spark, self.path = df.sparkSession, shared_folder(df.sparkSession, what)
         self.name = f"tidelake_{uuid.uuid4().hex}"
-        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        n = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-stored_bytes(source) // BUCKET_BYTES))
         df.write.format("parquet").option("compression", "zstd").option("path", self.path).bucketBy(n, key).saveAsTable(self.name)
         fs, p = _file_system(self.spark, self.path)
         fs.deleteOnExit(p)
@@ -115,9 +114,3 @@ def removed(spark: SparkSession, path: str) -> None:
     fs, p = _file_system(spark, path)
     fs.delete(p, True)
     fs.cancelDeleteOnExit(p)
-
-
-def free_shuffles(spark: SparkSession) -> None:
-    """Let go of shuffle files whose frames are gone, rather than when the driver's heap happens to fill."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
