@@ -112,8 +112,8 @@ def ema(df: DataFrame, col: str, out: str, span: float | None = None, alpha: flo
     return scan(df, list(key), list(order), [col], {out: "double"}, ema_step(alpha or 2 / (span + 1), adjust))
 
 
-def non_overlapping(df: DataFrame, signal: str, out: str, holding: int = 6, key=("sym",), order=("ts",)) -> DataFrame:
-    """Greedy mask: a signal counts if the last one that counted is ``holding`` rows away at least."""
+def greedy_step(holding: int):
+    """0/1 of the signals that count: a signal counts if the last one that counted is ``holding`` rows away at least."""
 
     def step(state, s):
         at, free = state or (0, 0)
@@ -124,4 +124,9 @@ def non_overlapping(df: DataFrame, signal: str, out: str, holding: int = 6, key=
                 free = at + i + holding
         return (at + len(s), free), [keep]
 
-    return scan(df, list(key), list(order), [signal], {out: "long"}, step)
+    return step
+
+
+def non_overlapping(df: DataFrame, signal: str, out: str, holding: int = 6, key=("sym",), order=("ts",)) -> DataFrame:
+    """Greedy mask: a signal counts if the last one that counted is ``holding`` rows away at least."""
+    return scan(df, list(key), list(order), [signal], {out: "long"}, greedy_step(holding))

@@ -12,6 +12,7 @@ from tidelake.functions.sqlkit import P, div, lag, lead, over, roll, staged, zsc
 from tidelake.functions.windows import Series, clip, corr, flag, quintile, row_mean, row_sum
 from tidelake.operators import bars as B
 from tidelake.operators import features as ft
+from tidelake.operators import stretched as st
 
 from .base import DAILY, Registry, bars4h, daily, shown
 
@@ -100,6 +101,11 @@ R.add("w14_ema_recursive", recursive("c as e", f"r.e * {1 - 1 / 14} + n.c * {1 /
 R.add("w22_non_overlapping", recursive("(c > 60)::int as k, case when c > 60 then 7 else 1 end as nxt", "(n.c > 60 and n.i >= r.nxt)::int, case when n.c > 60 and n.i >= r.nxt then n.i + 6 else r.nxt end", "k::double", "keep"))(
     lambda s, d: shown(sc.non_overlapping(ft.apply(bars4h(s, d), {"sig": flag(F.col("c") > 60).cast("double")}), "sig", "keep", order=("t",)), "keep")
 )
+# the same over series that are cut into stretches, each a task
+R.add("w13_ema_stretches", R.sql["w13_ema_adjusted"])(lambda s, d: shown(st.ema(bars4h(s, d), "c", "ema", span=12), "ema"))
+R.add("w14_ema_stretches", R.sql["w14_ema_recursive"])(lambda s, d: shown(st.ema(bars4h(s, d), "c", "ema", alpha=1 / 14, adjust=False), "ema"))
+R.add("w15_cumulative_stretches", R.sql["w15_cumulative"])(lambda s, d: shown(st.cumulative(bars4h(s, d).withColumn("q", 1 + F.col("c") / 1e5), {"s": ("sum", "c"), "p": ("product", "q"), "m": ("max", "c")}), "s", "p", "m"))
+R.add("w22_non_overlapping_stretches", R.sql["w22_non_overlapping"])(lambda s, d: shown(st.non_overlapping(bars4h(s, d).withColumn("sig", flag(F.col("c") > 60).cast("double")), "sig", "keep"), "keep"))
 _r1 = f"{div('c', lag('c'))} - 1"
 _returns = staged({"r": _r1}, {"r": "r"}).split(" select sym, t, round")[0]
 R.add("w23_autocorrelation", f"{_returns} select sym, round(corr(r, p), 6) as ac from (select sym, r, {lag('r')} as p from s0) group by sym")(
@@ -179,6 +185,8 @@ _up, _down, _ra = "greatest(n.c - r.c, 0)", "greatest(r.c - n.c, 0)", 2 / 15
 R.add("f11_rsi", recursive("0.0::double as g, 0.0::double as s", f"r.g * {1 - _ra} + {_ra} * {_up}, r.s * {1 - _ra} + {_ra} * {_down}", "100 - 100 / (1 + g / (s + 1e-10))", "price_rsi_14, (100 - 100 / (1 + g / (s + 1e-10)) < 30)::int::double as price_rsi_14_oversold"))(
     lambda s, d: shown(ft.rsi(bars4h(s, d)), "price_rsi_14", "price_rsi_14_oversold")
 )
+R.add("f11_rsi_stretches", R.sql["f11_rsi"])(lambda s, d: shown(st.rsi(bars4h(s, d)), "price_rsi_14", "price_rsi_14_oversold"))
+R.add("f18_obv_stretches", R.sql["f18_obv"])(lambda s, d: shown(ft.apply(st.obv(bars4h(s, d)), {"price_obv_slope": S.diff("price_obv", 5)}), "price_obv", "price_obv_slope"))
 _k = {12: 1 - 2 / 13, 26: 1 - 2 / 27, 9: 1 - 2 / 10}
 _line = f"((r.n12 * {_k[12]} + n.c) / (r.d12 * {_k[12]} + 1) - (r.n26 * {_k[26]} + n.c) / (r.d26 * {_k[26]} + 1))"
 R.add("f13_macd", recursive("c as n12, 1.0::double as d12, c as n26, 1.0::double as d26, 0.0::double as line, 0.0::double as n9, 1.0::double as d9", f"r.n12 * {_k[12]} + n.c, r.d12 * {_k[12]} + 1, r.n26 * {_k[26]} + n.c, r.d26 * {_k[26]} + 1, {_line}, r.n9 * {_k[9]} + {_line}, r.d9 * {_k[9]} + 1", "line", "price_macd_line, round(n9 / d9, 6) as price_macd_signal, round(line - n9 / d9, 6) as price_macd_histogram"))(
