@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from . import ship
 
 #: Tokens of a block, and keys (of all blocks together) that a range of hashes should have: what a task holds decoded at once.
-BLOCK_TOKENS, RANGE_KEYS = 2_000_000, 8_000_000
+BLOCK_TOKENS, RANGE_KEYS = 1_500_000, 8_000_000
 END = 0  # the end token's hash; no word has it
 BUCKETS = 40
 #: Frequencies are told apart to a part of an octave when weights are learned.

@@ -4,7 +4,9 @@ A leaf holds the rank of the pair that begins at its position, with the
 position in its low bits, so the root is the leftmost pair of lowest rank. A
 merge takes the root's pair, links its live neighbours to one another, and
 updates three leaves and their ancestors: the pair's own, that of the symbol
-merged away, and that of the live neighbour to the left.
+merged away, and that of the live neighbour to the left. A node has FAN
+children, so a short pre-token's tree is one node and leaves that are near share
+their ancestors.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ from .token_counts import slices
 
 #: Low bits of a leaf that hold the position: pre-tokens of up to 2^40 bytes, ranks below 2^22.
 AT = 40
+#: Children of a node, as a power of two.
+FAN_BITS = 4
 NO_PAIR = 1 << 62
 #: Pre-tokens whose ids a worker remembers, and the longest (in characters) that is remembered.
 CACHE, CACHE_CHARS = 800_000, 64
@@ -56,52 +60,48 @@ class RankBPE:
         ranks = self.ranks
         if (whole := ranks.get(piece)) is not None:
             return [whole]
-        n, longest = len(piece), self.longest
-        size = 1 << (n - 1).bit_length()
+        n, longest, get = len(piece), self.longest, ranks.get
         pack = (lambda x: array("q", x)) if n >= PACKED else list
-        tree = pack([NO_PAIR]) * (2 * size)
-        get = ranks.get
+        leaves = pack([NO_PAIR]) * n
         for i in range(n - 1):
             rank = get(piece[i : i + 2])
             if rank is not None:
-                tree[size + i] = rank << AT | i
-        for k in range(size - 1, 0, -1):
-            a, b = tree[2 * k], tree[2 * k + 1]
-            tree[k] = a if a < b else b
+                leaves[i] = rank << AT | i
         after, before = pack(range(1, n + 2)), pack(range(-1, n))  # live neighbours; n ends the piece
-        low = (1 << AT) - 1
-
-        def put(i: int, leaf: int) -> None:
-            k = size + i
-            tree[k] = leaf
-            while k > 1:
-                other = tree[k ^ 1]
-                least = leaf if leaf < other else other
-                k >>= 1
-                if tree[k] == least:
-                    return  # nothing changes above
-                tree[k] = leaf = least
-
-        def pair(i: int, end: int) -> int:
-            """The leaf of the symbol at i if the pair that it begins ends at ``end``."""
-            rank = get(piece[i:end]) if end - i <= longest else None
-            return NO_PAIR if rank is None else rank << AT | i
-
-        while tree[1] < NO_PAIR:
-            i = tree[1] & low
+        fan, low = 1 << FAN_BITS, (1 << AT) - 1
+        levels = [leaves]
+        while len(levels[-1]) > fan:
+            levels.append(pack([min(levels[-1][k : k + fan]) for k in range(0, len(levels[-1]), fan)]))
+        top = levels[-1]
+        while (best := min(top)) < NO_PAIR:
+            i = best & low
             gone = after[i]
             right = after[gone]  # where the merged symbol ends
             after[i] = right
+            leaf = NO_PAIR
             if right < n:
                 before[right] = i
-                put(i, pair(i, after[right]))
-            else:
-                put(i, NO_PAIR)
-            if tree[size + gone] != NO_PAIR:
-                put(gone, NO_PAIR)
+                end = after[right]
+                if end - i <= longest and (rank := get(piece[i:end])) is not None:
+                    leaf = rank << AT | i
+            leaves[i] = leaf
+            leaves[gone] = NO_PAIR
             left = before[i]
             if left >= 0:
-                put(left, pair(left, right))
+                leaf = NO_PAIR
+                if right - left <= longest and (rank := get(piece[left:right])) is not None:
+                    leaf = rank << AT | left
+                leaves[left] = leaf
+            if top is not leaves:
+                nodes = {i >> FAN_BITS, gone >> FAN_BITS, max(left, 0) >> FAN_BITS}
+                for lower, upper in zip(levels, levels[1:], strict=False):
+                    changed = set()
+                    for k in nodes:
+                        least = min(lower[k << FAN_BITS : (k + 1) << FAN_BITS])
+                        if upper[k] != least:
+                            upper[k] = least
+                            changed.add(k >> FAN_BITS)
+                    nodes = changed  # above a node that stays as it is nothing changes
         ids, i = [], 0
         while i < n:
             ids.append(ranks[piece[i : after[i]]])
