@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from . import ship
 
 #: Tokens of a block, and keys (of all blocks together) that a range of hashes should have: what a task holds decoded at once.
-BLOCK_TOKENS, RANGE_KEYS = 1_500_000, 8_000_000
+BLOCK_TOKENS, RANGE_KEYS = 1_000_000, 8_000_000
 END = 0  # the end token's hash; no word has it
 BUCKETS = 40
 #: Frequencies are told apart to a part of an octave when weights are learned.
@@ -143,6 +143,11 @@ class _Block:
         return out
 
 
+def _release() -> None:
+    """Give back what Arrow's allocator keeps of freed buffers: workers live on from stage to stage."""
+    pa.default_memory_pool().release_unused()
+
+
 def _requests(bits: int):
     def run(batches):
         for b in batches:
@@ -155,6 +160,8 @@ def _requests(bits: int):
                         rows.append((kind << bits | int(part[i]), r["block"], pack_counts(keys[i:j], train[i:j], tune[i:j])))
                 cols = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary())], ["part", "block", "asked"])
+                del rows, cols
+                _release()
 
     return run
 
@@ -169,6 +176,8 @@ def _sum_part(table: pa.Table) -> pa.Table:
     tuned = np.bincount(at, np.concatenate(tune), len(every)).astype(np.uint64)
     del train, tune
     answer = [(pack(total[at[i:j]]), pack(tuned[at[i:j]])) for i, j in zip(cuts, cuts[1:], strict=False)]
+    del at
+    _release()
     n = table.num_rows
     sums = [(int(total.sum()), int((total > 0).sum()), int((total - tuned).sum()), int((total > tuned).sum()))] + [(0, 0, 0, 0)] * (n - 1)
     cols = {"block": table.column("block"), "part": table.column("part"), "train": pa.array([a[0] for a in answer], pa.binary()), "tune": pa.array([a[1] for a in answer], pa.binary())}
@@ -203,6 +212,7 @@ def _answered(n_rest: int):
             table = np.stack([x[first][order] for x in every])
             out.append((pack(table.ravel()), pack(place[at]), r["ids"], r["lens"], pack(events.ravel())))
         cols = list(zip(*out, strict=True)) if out else [[]] * 5
+        _release()
         return pa.table({k: pa.array(c, pa.binary()) for k, c in zip(("counts", "tokens", "ids", "lens", "events"), cols, strict=True)})
 
     return run

@@ -94,7 +94,7 @@ class Bucketed:
         self.spark, self.path = df.sparkSession, shared_folder(df.sparkSession, what)
         self.name = f"tidelake_{uuid.uuid4().hex}"
         n = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-stored_bytes(source) // BUCKET_BYTES))
-        df.write.format("parquet").option("compression", "zstd").option("path", self.path).bucketBy(n, key).saveAsTable(self.name)
+        df.write.format("parquet").option("compression", "zstd").option("parquet.block.size", 16 << 20).option("path", self.path).bucketBy(n, key).saveAsTable(self.name)
         fs, p = _file_system(self.spark, self.path)
         fs.deleteOnExit(p)
         self.rows = self.spark.table(self.name)
