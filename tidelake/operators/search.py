@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 from tidelake.functions import stats
 from tidelake.functions.gram import correlation_matrix
 from tidelake.functions.scan import scan
+from tidelake.sources.store import checkpointed
 from tidelake.functions.windows import Series, array_mean, array_std, corr, flag, sorted_quantile
 
+from . import bitmaps
 from . import metrics as m
 from .features import apply
 from .rowops import Condition, Rule, long_format
@@ -138,6 +140,29 @@ def pairs(df: DataFrame, columns: list[str], ret: str = "ret", holding: int = 6,
     return kept.groupBy("sym", "a", "b").agg(F.count("*").alias("support"), F.avg(flag(F.col(ret) > 0)).alias("win"), F.avg(ret).alias("mean")).where(F.col("support") >= min_trades)
 
 
+def pair_rules(df: DataFrame, columns: list[str], ret: str = "ret", holding: int = 6, min_trades: int = 30, min_win: float = 0.52, base: int = 20, most: int = 30, base_trades: int | None = None, base_win: float | None = None, pcts=PERCENTILES) -> DataFrame:
+    """Pairs of the conditions of the best rules of each series (``base`` rules, ``most`` conditions), with support, win rate, direction and confidence.
+
+    The pair's trades don't overlap; it is kept if it has ``min_trades`` and
+    wins, or loses, often enough: then it is a rule for the other side.
+    """
+    single = mine(df, columns, ret, holding, min_trades if base_trades is None else base_trades, min_win if base_win is None else base_win, pcts)
+    best = F.row_number().over(Window.partitionBy("sym").orderBy(F.desc("confidence"), F.desc("support"), "indicator", "op", "pct"))
+    conditions = single.select("sym", "indicator", "op", "pct", "threshold", best.cast("int").alias("k")).where(F.col("k") <= min(base, most))
+    bars = apply(df.select("sym", "t", ret, *columns), {"i": S.row()})
+    long = long_format(bars, ["sym", "i", ret], columns)
+    grid = conditions.groupBy("sym", "indicator").agg(F.collect_list(F.struct("k", "op", "threshold")).alias("rules"))  # at most ``base`` in a series
+    holds = F.filter("rules", lambda r: F.when(r.op == ">", F.col("value") > r.threshold).otherwise(F.col("value") < r.threshold))
+    hits = long.join(grid, ["sym", "indicator"]).select("sym", "i", F.col(ret).alias("ret"), "indicator", F.explode(F.transform(holds, lambda r: r.k)).alias("k"))
+    found = bitmaps.spaced_pairs(hits, holding).where(F.col("support") >= min_trades).withColumn("win", F.col("wins") / F.col("support"))
+    found = found.where((F.col("win") >= min_win) | (F.col("win") <= 1 - min_win))
+    name = F.concat("indicator", "op", F.col("pct").cast("string"))
+    named = lambda c: conditions.select("sym", F.col("k").alias(c), name.alias(f"{c}_name"))
+    out = found.join(named("a"), ["sym", "a"]).join(named("b"), ["sym", "b"])
+    up = F.col("win") >= 0.5
+    return out.select("sym", F.least("a_name", "b_name").alias("a"), F.greatest("a_name", "b_name").alias("b"), "support", "win", F.try_divide("total", "known").alias("mean"), F.when(up, 1).otherwise(-1).alias("direction"), F.when(up, F.col("win")).otherwise(1 - F.col("win")).alias("confidence"))
+
+
 def spaced(rows: DataFrame, key: list[str], holding: int) -> DataFrame:
     """Of rows that fire (bar number i) those that are ``holding`` bars apart at least, taken greedily."""
 
@@ -221,26 +246,19 @@ def tester(df: DataFrame, columns: list[str], ret: str = "ret", train: float = 0
 def combinations(df: DataFrame, columns: list[str], size: int = 2, ret: str = "ret", train: float = 0.6, cost: float = COST, unanimous: bool = True, **limits) -> DataFrame:
     """Every set of ``size`` indicators, direction and percentile pair: a trade where all (or more than half) agree.
 
-    Thresholds are those of the look-back within each part of the series. Sets
-    are formed from the indicators that fire on a bar, so a bar on which
-    nothing fires costs nothing; ``columns`` is a short list (the best single
-    indicators). The verdict doesn't flag a retention above one.
+    Thresholds are those of the look-back within each part of the series. Where
+    an indicator fires is a bit vector; sets are combined by ``bitmaps`` without a
+    row for each bar and set. The verdict doesn't flag a retention above one.
     """
-    long, days = _parts(df, columns, ret, train)
+    df = df.where(F.col(ret).isNotNull())
+    numbered = apply(df.select("sym", "t", ret, *columns), {"i": S.row()})
+    long, days = _parts(numbered, columns, ret, train)
     rows = recent(long, "value", "xs", Series(["sym", "oos", "indicator"], "t"))
     sides = [F.struct(F.lit(f"pct_{b}").alias("config"), rolling_percentile(F.col("value"), F.col("xs"), a / 100, b / 100).alias("side")) for a, b in PAIRS]
-    rows = rows.select("sym", "t", "oos", ret, "indicator", F.inline(F.filter(F.array(*sides), lambda x: x.side != 0)))
-    by_bar = rows.groupBy("sym", "t", "oos", "config", "side").agg(F.first(ret).alias(ret), F.sort_array(F.collect_set(F.struct("indicator"))).alias("names"))  # at most the given columns
-    if unanimous:
-        sets = F.transform(_choices(F.col("names"), size), lambda c: F.array_join(F.transform(c, lambda x: x.indicator), "+"))
-    else:
-        every = F.array(*[F.struct(F.lit(c).alias("indicator")) for c in sorted(columns)])
-        most = F.filter(_choices(every, size), lambda c: F.size(F.array_intersect(c, F.col("names"))) * 2 > size)
-        sets = F.transform(most, lambda c: F.array_join(F.transform(c, lambda x: x.indicator), "+"))
-    hits = by_bar.select("sym", "t", "oos", "config", "side", ret, F.explode(sets).alias("indicators"))
-    hits = hits.withColumn("direction", F.explode(F.array(F.lit(1), F.lit(-1))))
-    trades = hits.withColumn("r", F.col("side") * F.col("direction") * F.col(ret) - cost)
-    return verdicts(_figures(trades, ["sym", "indicators", "config", "direction"], days), too_good=False, **limits)
+    rows = rows.select("sym", "t", "oos", F.col(ret).alias("ret"), "indicator", F.inline(F.filter(F.array(*sides), lambda x: x.side != 0)))
+    hits = rows.join(numbered.select("sym", "t", "i"), ["sym", "t"])
+    figures = bitmaps.set_figures(bitmaps.set_sums(hits, columns, size, cost, unanimous), days)
+    return verdicts(figures, too_good=False, **limits)
 
 
 def search(df: DataFrame, columns: list[str], ret: str = "ret", top: int = 50, min_is_sharpe: float = MIN_IS_SHARPE, correlation: float = 0.8, **options) -> dict[str, DataFrame]:
@@ -252,18 +270,20 @@ def search(df: DataFrame, columns: list[str], ret: str = "ret", top: int = 50, m
     """
     best = lambda d: d.where(F.col("is_sharpe") >= min_is_sharpe)
     order = [F.desc("is_sharpe"), "sym", "indicators", "config", "direction"]
-    tested = {"singles": tester(df, columns, ret, **options).withColumnRenamed("indicator", "indicators")}
+    df = checkpointed(df)
+    tested = {"singles": checkpointed(tester(df, columns, ret, **options).withColumnRenamed("indicator", "indicators"))}
     names = list(dict.fromkeys(r.indicators for r in best(tested["singles"]).orderBy(*order).limit(min(20, top)).select("indicators", "is_sharpe").collect()))
     for phase, size, most in (("pairs", 2, 20), ("triples", 3, 15)):
         if len(names[:most]) >= size:
-            tested[phase] = combinations(df, names[:most], size, ret, **options)
+            tested[phase] = checkpointed(combinations(df, names[:most], size, ret, **options))
     out = {p: best(d).orderBy(*order).limit(top) for p, d in tested.items()}
     rows = []
     for p, d in tested.items():
         good = best(d)
         n = d.agg(F.count("*").alias("n"), F.count_if(F.col("is_sharpe") >= min_is_sharpe).alias("passed"), F.count_if((F.col("is_sharpe") >= min_is_sharpe) & (F.col("verdict") == "INSUFFICIENT_DATA")).alias("few")).first()
-        first = good.where("verdict = 'CREDIBLE'").groupBy("indicators").agg(F.max("oos_sharpe").alias("s")).orderBy(F.desc("s"), "indicators").limit(1000).collect()  # sets of the columns given
-        lead = list(dict.fromkeys(r.indicators.split("+")[0] for r in first))
+        lead_of = F.split("indicators", "[+]")[0]
+        first = good.where("verdict = 'CREDIBLE'").groupBy(lead_of.alias("lead")).agg(F.max(F.struct("oos_sharpe", "indicators")).oos_sharpe.alias("s")).orderBy(F.desc("s"), "lead").collect()  # one row for each of the columns given
+        lead = [r.lead for r in first]
         credible = len(correlated(df, lead, lead, correlation))
         chance = n.n * 0.05
         rows.append((p, n.n, n.passed, credible, n.few, chance, credible / chance if chance else 0.0))

@@ -9,6 +9,7 @@ from tidelake.functions.windows import Series, clip, flag, quintile
 
 from .bars import DAY, HOUR, asof, resample
 from .features import apply
+from .passage import touches
 
 S = Series("sym", "t")
 HORIZONS = (1, 3, 6, 12, 18, 42, 84)
@@ -47,34 +48,32 @@ def classes(df: DataFrame, k: int = 6, cost: float = COST, band: float = 0.005,
     return apply(df, {f"profitable_{k}h": profitable, f"direction_{k}h": direction(r, band), f"quintile_{k}h": F.when(r.isNotNull(), quintile(F.col("rk"), F.col("cnt")))})
 
 
-def _touch(stop: Column, take: Column, direction: int):
-    """What a bar does to a position: -1 stop, 1 take, 0 neither."""
-    if direction > 0:
-        return lambda x: F.when(x.l <= stop, -1).when(x.h >= take, 1).otherwise(0)
-    return lambda x: F.when(x.h >= stop, -1).when(x.l <= take, 1).otherwise(0)
-
-
 def exits(df: DataFrame, pairs: list[tuple[float, float]], horizons: list[int], direction: int = 1, tag: str = "") -> DataFrame:
     """First touch of stop-loss or take-profit (in percent) within a horizon.
 
-    The path ahead is gathered once for the longest horizon and read for every
-    pair. Within a bar the stop comes first. A path cut off by the end of the
-    data counts if it was touched, else it is unknown.
+    Each distinct stop and take is looked for once, up to the longest horizon
+    (``passage``); pairs and horizons are read from when they are touched.
+    Within a bar the stop comes first. A path cut off by the end of the data
+    counts if it was touched, else it is unknown.
     """
+    down, up = ("low", "high") if direction > 0 else ("high", "low")
+    stops = {f"_stop_{k}": (down, 1 - direction * sl / 100) for k, sl in enumerate(dict.fromkeys(sl for sl, _ in pairs))}
+    takes = {f"_take_{k}": (up, 1 + direction * tp / 100) for k, tp in enumerate(dict.fromkeys(tp for _, tp in pairs))}
+    of_stop = dict(zip(dict.fromkeys(sl for sl, _ in pairs), stops, strict=True))
+    of_take = dict(zip(dict.fromkeys(tp for _, tp in pairs), takes, strict=True))
     far = max(horizons)
-    df = apply(df, {"path": F.collect_list(F.struct("h", "l", "c")).over(S.ahead(far))})
+    found = touches(df, stops | takes, far, tuple(dict.fromkeys(horizons)))
     out = {}
     for sl, tp in pairs:
-        stop, take = F.col("c") * (1 - direction * sl / 100), F.col("c") * (1 + direction * tp / 100)
+        stop, take = F.col(of_stop[sl]), F.col(of_take[tp])
         for k in horizons:
-            kinds = F.transform(F.slice("path", 1, k), _touch(stop, take, direction))
-            at = F.transform(kinds, lambda x: (x != 0).cast("int"))
-            first = F.array_position(at, F.lit(1)).cast("int")
-            kind = F.when(first > 0, F.get(kinds, first - 1)).when(F.size("path") >= k, 0)
-            end = F.try_divide(F.get(F.col("path"), F.lit(k - 1)).c, F.col("c")) - 1
+            hit = (stop > 0) & (stop <= k) & ((take == 0) | (stop <= take))
+            won = (take > 0) & (take <= k) & ((stop == 0) | (take < stop))
+            whole = F.col("_ahead") >= k
             n = f"exit{tag}_sl{sl:g}_tp{tp:g}_{k}h"
-            out |= {f"{n}_type": kind, f"{n}_bars": F.when(first > 0, first).when(F.size("path") >= k, k), f"{n}_return": F.when(kind == -1, -sl / 100).when(kind == 1, tp / 100).when(kind == 0, direction * end)}
-    return apply(df, out).drop("path")
+            end = direction * (F.try_divide(f"_end_{k}", "c") - 1)
+            out |= {f"{n}_type": F.when(hit, -1).when(won, 1).when(whole, 0), f"{n}_bars": F.when(hit, stop).when(won, take).when(whole, k), f"{n}_return": F.when(hit, -sl / 100).when(won, tp / 100).when(whole, end)}
+    return found.select(*df.columns, *[v.alias(c) for c, v in out.items()])
 
 
 def vol_adjusted(df: DataFrame, hs=(6, 12)) -> DataFrame:

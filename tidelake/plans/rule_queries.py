@@ -82,9 +82,18 @@ R.add("r09_threshold_search", f"with recursive {BARS}, {_fired('c, v')}, {_GREED
     lambda s, d: rs.mine(_with_ret(s, d), ["c", "v"], min_trades=5, min_win=0.5).select("sym", "indicator", "op", "pct", "support", F.round("win", 6).alias("win"), F.round("threshold", 6).alias("threshold"))
 )
 _C2 = "c2 as (select a.sym, a.i, a.t, a.ret, a.indicator || a.op || a.pct as a, b.indicator || b.op || b.pct as b, row_number() over (partition by a.sym, a.indicator, a.op, a.pct, b.indicator, b.op, b.pct order by a.i) as j from f a join f b on a.sym = b.sym and a.i = b.i and a.hit and b.hit and a.indicator < b.indicator)"
-R.add("r10_pair_search", f"with recursive {BARS}, {_fired('c, v')}, {_C2}, k as (select sym, a, b, j, i, ret, true as keep, i + 6 as free from c2 where j = 1 union all select c2.sym, c2.a, c2.b, c2.j, c2.i, c2.ret, c2.i >= k.free, case when c2.i >= k.free then c2.i + 6 else k.free end from c2 join k on c2.sym = k.sym and c2.a = k.a and c2.b = k.b and c2.j = k.j + 1) select sym, a, b, count(*) as support, round(avg((ret > 0)::int), 6) as win from k where keep group by 1, 2, 3 having count(*) >= 3")(
+R.add("r10_all_pairs", f"with recursive {BARS}, {_fired('c, v')}, {_C2}, k as (select sym, a, b, j, i, ret, true as keep, i + 6 as free from c2 where j = 1 union all select c2.sym, c2.a, c2.b, c2.j, c2.i, c2.ret, c2.i >= k.free, case when c2.i >= k.free then c2.i + 6 else k.free end from c2 join k on c2.sym = k.sym and c2.a = k.a and c2.b = k.b and c2.j = k.j + 1) select sym, a, b, count(*) as support, round(avg((ret > 0)::int), 6) as win from k where keep group by 1, 2, 3 having count(*) >= 3")(
     lambda s, d: rs.pairs(_with_ret(s, d), ["c", "v"], min_trades=3).select("sym", "a", "b", "support", F.round("win", 6).alias("win"))
 )
+_BEST = f"""{_GREEDY}, m as (select sym, indicator, op, pct, count(*) as support, avg((ret > 0)::int) as win from k where keep group by 1, 2, 3, 4 having count(*) >= 5),
+bs as (select sym, indicator, op, pct, row_number() over (partition by sym order by greatest(win, 1 - win) desc, support desc, indicator, op, pct) as rk from m where win >= 0.5 or win <= 0.5),
+fb as (select f.* from f join bs using (sym, indicator, op, pct) where rk <= 20 and f.hit),
+c2 as (select a.sym, a.i, a.ret, a.indicator || a.op || a.pct as a, b.indicator || b.op || b.pct as b, row_number() over (partition by a.sym, a.indicator, a.op, a.pct, b.indicator, b.op, b.pct order by a.i) as j from fb a join fb b on a.sym = b.sym and a.i = b.i and a.indicator < b.indicator),
+k2 as (select sym, a, b, j, i, ret, true as keep, i + 6 as free from c2 where j = 1 union all select c2.sym, c2.a, c2.b, c2.j, c2.i, c2.ret, c2.i >= k2.free, case when c2.i >= k2.free then c2.i + 6 else k2.free end from c2 join k2 on c2.sym = k2.sym and c2.a = k2.a and c2.b = k2.b and c2.j = k2.j + 1),
+g2 as (select sym, a, b, count(*) as support, avg((ret > 0)::int) as win from k2 where keep group by 1, 2, 3 having count(*) >= 3)"""
+R.add("r10_pair_search", f"with recursive {BARS}, {_fired('c, v, o')}, {_BEST} select sym, a, b, support, round(win, 6) as win, case when win >= 0.5 then 1 else -1 end as direction, round(case when win >= 0.5 then win else 1 - win end, 6) as confidence from g2 where win >= 0.6 or win <= 0.4")(
+    lambda s, d: rs.pair_rules(_with_ret(s, d), ["c", "v", "o"], min_trades=3, min_win=0.6, base_trades=5, base_win=0.5).select("sym", "a", "b", "support", F.round("win", 6).alias("win"), "direction", F.round("confidence", 6).alias("confidence"))
+)
 R.add("r15_top_rules", f"with recursive {BARS}, {_fired('o, h, l, c, v')}, {_GREEDY}, g as (select sym, indicator, op, pct, count(*) as support, avg((ret > 0)::int) as win from k where keep group by 1, 2, 3, 4 having count(*) >= 10) select sym, indicator, op, pct, support, round(win, 6) as win, case when win >= 0.5 then 1 else -1 end as direction, round(case when win >= 0.5 then win else 1 - win end, 6) as confidence from g order by case when win >= 0.5 then win else 1 - win end desc, support desc, sym, indicator, op, pct limit 10")(
     lambda s, d: rs.ranked(rs.mine(_with_ret(s, d), ["o", "h", "l", "c", "v"], min_trades=10, min_win=0.5), 10).select("sym", "indicator", "op", "pct", "support", F.round("win", 6).alias("win"), "direction", F.round("confidence", 6).alias("confidence"))
 )

@@ -50,6 +50,26 @@ def _exits(direction: int):
 
 R.add("t04_exit_first_touch", _exit_sql(1))(_exits(1))
 R.add("t04_exit_first_touch_short", _exit_sql(-1))(_exits(-1))
+# the whole grid of stops, takes and horizons, one row each
+_SLS, _TPS, _FAR = (1.0, 2.0, 3.0), (1.5, 2.0, 3.0, 5.0), (4, 8, 24, 48, 168)
+_GRID = f"""with {BARS}, i as (select *, row_number() over ({P}) as i, count(*) over (partition by sym) as last from bars),
+ab as (select a.sym, a.t, a.c, b.i - a.i as d, b.h, b.l, b.c as bc from i a join i b on a.sym = b.sym and b.i between a.i + 1 and a.i + {max(_FAR)}),
+ss as (select sym, t, sl, min(d) as at from ab, (select unnest({list(_SLS)}::double[]) as sl) where l <= c * (1 - sl / 100) group by 1, 2, 3),
+tt as (select sym, t, tp, min(d) as at from ab, (select unnest({list(_TPS)}::double[]) as tp) where h >= c * (1 + tp / 100) group by 1, 2, 3),
+g as (select i.sym, i.t, i.i, i.last, i.c, sl, tp, k::int as k, ss.at as s, tt.at as w, e.bc from i cross join (select unnest({list(_SLS)}::double[]) as sl) x cross join (select unnest({list(_TPS)}::double[]) as tp) y cross join (select unnest({list(_FAR)}) as k) z
+  left join ss using (sym, t, sl) left join tt using (sym, t, tp) left join ab e on e.sym = i.sym and e.t = i.t and e.d = k),
+r as (select *, case when s <= k and (w is null or s <= w) then -1 when w <= k and (s is null or w < s) then 1 when i + k <= last then 0 end as kind from g)
+select sym, t, sl, tp, k, kind, case kind when -1 then s when 1 then w when 0 then k end::int as bars, round(case kind when -1 then -sl / 100 when 1 then tp / 100 when 0 then bc / nullif(c, 0) - 1 end, 6) as ret from r"""
+
+
+@R.add("t04_exit_grid", _GRID)
+def _(s, d):
+    out = tg.exits(bars4h(s, d), [(sl, tp) for sl in _SLS for tp in _TPS], list(_FAR))
+    name = lambda sl, tp, k: f"`exit_sl{sl:g}_tp{tp:g}_{k}h"
+    cell = lambda sl, tp, k: F.struct(F.lit(sl).alias("sl"), F.lit(tp).alias("tp"), F.lit(k).alias("k"), F.col(name(sl, tp, k) + "_type`").alias("kind"), F.col(name(sl, tp, k) + "_bars`").alias("bars"), F.round(name(sl, tp, k) + "_return`", 6).alias("ret"))
+    return out.select("sym", "t", F.inline(F.array(*[cell(sl, tp, k) for sl in _SLS for tp in _TPS for k in _FAR])))
+
+
 _va = {f"return_vol_adj_{k}h": f"({div(lead('c', k), 'c')} - 1) / ({roll('stddev_samp', 'br', 24)} + 1e-8)" for k in (6, 12)}
 R.add("t05_vol_adjusted", staged({"br": f"{div('c', lag('c'))} - 1"}, _va))(lambda s, d: shown(tg.vol_adjusted(bars4h(s, d)), *_va))
 _ah = lambda k: f"over ({P} rows between 1 following and {k} following)"
