@@ -74,8 +74,7 @@ SHAPES = {
     "r19_loss_clusters": (["confidence", "frequency", "impact", "loss_rate", "losses", "mean_loss", "n", "pattern", "sym"], lambda r: all(x["n"] >= 20 and x["loss_rate"] >= 0.55 for x in r)),
     "r24_search_summary": (["by_chance", "credible", "insufficient", "passed_is", "phase", "survival", "tested"], lambda r: all(x["tested"] >= x["passed_is"] >= x["insufficient"] for x in r) and "singles" in {x["phase"] for x in r}),
     "r27_critic": (None, lambda r: {x["verdict"] for x in r} <= {"CREDIBLE", "SUSPICIOUS", "DEBUNKED"} and len(r) == 25),
-    "s08_equity_png": (["png"], lambda r: bytes(r[0]["png"][:8]) == b"\x89PNG\r\n\x1a\n"),
-    "s20_synthetic_market": (None, lambda r: len(r) == 1000 and all(x["low"] <= min(x["open"], x["close"]) and x["high"] >= max(x["open"], x["close"]) for x in r)),
+    "s08_equity_png": (["png", "sym"], lambda r: len({x["sym"] for x in r}) == len(r) == 3 and all(bytes(x["png"][:8]) == b"\x89PNG\r\n\x1a\n" for x in r)),
 }
 
 

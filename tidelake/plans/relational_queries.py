@@ -10,7 +10,8 @@ from tidelake.functions.windows import Series, corr
 from tidelake.operators import bars as B
 from tidelake.operators import features as ft
 from tidelake.operators.rowops import Condition, Rule, avoid, by_position, fill_median, long_format, matching, numeric
-from tidelake.sources import feeds, macro
+from tidelake.sources import connectors as cn
+from tidelake.sources import feeds, macro, plot
 from tidelake.sources.orchestrator import Orchestrator
 from tidelake.sources.store import Store, shared_folder
 
@@ -72,12 +73,20 @@ def _(s, d):
     return st.load_json("supplier", "s_suppkey long, bal double")
 
 
-_KL = """with s as (select unnest(['BTC', 'ETH']) as symbol), h as (select symbol, case symbol when 'BTC' then %d else %d end as k from s),
-g as (select symbol, k, unnest(range(0, 864000, 14400)) as t from h)
-select symbol, count(*) as n, round(sum(100 + k %% 50 + 10 * ((t // 14400) %% 17) / 17.0 + 1), 6) as close, round(sum(6.0), 6) as sells, round(avg(0.4), 6) as ratio from g group by 1""" % (feeds.hash_of("BTC"), feeds.hash_of("ETH"))
-R.add("s11_klines_feed", _KL)(
-    lambda s, d: feeds.klines(s, symbols="BTC,ETH", start="0", end="864000", step="144000", fetcher="tidelake.sources.feeds:recorded", rate="1000").groupBy("symbol").agg(F.count("*").alias("n"), r6(F.sum("close"), "close"), r6(F.sum("taker_sell_volume"), "sells"), r6(F.avg("taker_buy_ratio"), "ratio"))
-)
+@R.add("s11_klines_feed", f"with {BARS} select sym, count(*) as n, round(sum(c), 4) as close, round(sum(v - tb), 4) as sells, round(avg(tb / nullif(v, 0)), 6) as ratio from bars group by 1")
+def _(s, d):
+    """Bars as pages of a feed, read page by page at a limited rate."""
+    folder = f"{shared_folder(s, 's11')}/pages"
+    bars = bars4h(s, d)
+    cn.register(s)
+    cn.write_pages(bars, folder, 5 * 86400)
+    t = bars.agg(F.min("t").alias("a"), F.max("t").alias("b")).first()
+    names = ",".join(r.sym for r in bars.select("sym").distinct().collect())  # one row for each symbol
+    pages = s.read.format("feed_pages").options(folder=folder, symbols=names, start=t.a, end=t.b + 1, step=5 * 86400, rate=1000).load()
+    k = feeds.kline_columns(cn.parsed(pages).withColumnsRenamed({"v": "volume", "tb": "taker_buy_volume"}))
+    return k.groupBy("sym").agg(F.count("*").alias("n"), F.round(F.sum("c"), 4).alias("close"), F.round(F.sum("taker_sell_volume"), 4).alias("sells"), F.round(F.avg("taker_buy_ratio"), 6).alias("ratio"))
+
+
 R.add("s12_order_book", f"with {BARS} select sym, t, round((v - tb) / nullif(v + tb, 0), 6) as imbalance, round(h - l, 6) as spread, round((h + l) / 2, 6) as mid_price from bars")(
     lambda s, d: shown(feeds.order_book(bars4h(s, d), "v", "tb", "l", "h"), "imbalance", "spread", "mid_price")
 )
@@ -150,11 +159,8 @@ def _(s, d):
 
 @R.add("s08_equity_png", None)
 def _(s, d):
-    from tidelake.sources import plot
-
-    rows = daily(s, d).where("sym = 'F'").orderBy("t").limit(5000).collect()  # a picture has so many points at most
-    body = plot.equity_curve([r.c for r in rows], [min(0.0, r.c / 150000 - 1) for r in rows])
-    return s.createDataFrame([(bytearray(body),)], "png binary")
+    """A picture for each series."""
+    return plot.pictures(daily(s, d), "c")
 
 
 R.add("s18_fear_greed", f"with {BARS} select sym, t, case when c < 25 then 'Extreme Fear' when c < 45 then 'Fear' when c <= 55 then 'Neutral' when c <= 75 then 'Greed' else 'Extreme Greed' end as fear_greed_class, c < 25 as fg_extreme_fear, c > 75 as fg_extreme_greed, c < 45 as fg_fear, c > 55 as fg_greed from bars")(
@@ -179,13 +185,6 @@ R.add("a05_max_pain", f"with {_OPT}, g as (select strike, sum(oi) as oi from i w
 )
 
 
-@R.add("s20_synthetic_market", None)
-def _(s, d):
-    from tidelake.sources.synthetic import market
-
-    return market(s, 500, 2)
-
-
 # projections and filters
 R.add("p01_prefix", f"with {BARS} select sym, t, o as px_o, c as px_c from bars")(lambda s, d: B.prefixed(bars4h(s, d).select("sym", "t", "o", "c"), "px_", ["sym", "t"]))
 R.add("p02_numeric_columns", "select p_partkey, p_size, p_retailprice from part")(lambda s, d: (t := table(s, d, "part")).select(*numeric(t)))

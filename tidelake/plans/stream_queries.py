@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidelake.functions.sqlkit import BARS, P
+from tidelake.sources import connectors as cn
 from tidelake.sources.store import shared_folder
-from tidelake.streaming import live
+from tidelake.streaming import live, scanner
 
 from . import report
 from .base import Registry, bars4h, table
@@ -68,6 +69,48 @@ def _(s, d):
     return out.select("sym", "n", live.message(F.col("sym"), F.col("mean") - 50, F.col("mean")).alias("said"))
 
 
+_SCAN = f"""with recursive {BARS.replace('bars as', 'every as', 1)}, bars as (select * from every where t + 14400 <= (select max(epoch_us(ts)) / 1e6 from events) - 3600),
+x as (select sym, t, c, v::bigint as n, case when count(c) over ({P} rows 11 preceding) = 12 then avg(c) over ({P} rows 11 preceding) end as mean, case when count(c) over ({P} rows 11 preceding) = 12 then stddev_samp(c) over ({P} rows 11 preceding) end as sd from bars),
+y as (select *, case when sd > 0 then (c - mean) / sd end as score from x), a as (select sym, t, row_number() over ({P}) as i from y where abs(score) >= 1.5),
+k as (select sym, t, i, true as keep, t as last from a where i = 1 union all select a.sym, a.t, a.i, a.t - k.last >= 28800, case when a.t - k.last >= 28800 then a.t else k.last end from a join k on a.sym = k.sym and a.i = k.i + 1)
+select y.sym, y.t, round(c, 6) as c, n, round(mean, 6) as mean, round(score, 6) as score, coalesce(keep, false) as alert from y left join k using (sym, t)"""
+
+
+@R.add("st6_scanner", _SCAN)
+def _(s, d):
+    """Bars, rolling scores and alerts with a cooldown, all from the state of one stream."""
+    at, conf = shared_folder(s, "st6"), "spark.sql.streaming.stateStore.providerClass"
+    events = table(s, d, "events")
+    events.write.parquet(f"{at}/in")
+    before = s.conf.get(conf)
+    s.conf.set(conf, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        live.run_once(scanner.scanned(live.event_stream(s, f"{at}/in", events.schema), back=12, cooldown=8 * 3600), f"{at}/out", f"{at}/state")
+    finally:
+        s.conf.set(conf, before)
+    out = s.read.parquet(f"{at}/out")
+    known = lambda c: F.when(~F.isnan(c), F.round(c, 6)).alias(c)
+    return out.select("sym", "t", F.round("c", 6).alias("c"), "n", known("mean"), known("score"), "alert")
+
+
+_SURE = f"with {BARS} select sym, t, round(c, 6) as c from bars where c >= 50"
+
+
+@R.add("s21_alert_sink", _SURE)
+def _(s, d):
+    """Confident bars of a paged stream, published by a sink in two steps; the second run goes on from the first one's offset."""
+    at = shared_folder(s, "s21")
+    cn.register(s)
+    bars = bars4h(s, d)
+    cn.write_pages(bars, f"{at}/pages", 86400)
+    t = bars.agg(F.min("t").alias("a"), F.max("t").alias("b")).first()
+    o = {"folder": f"{at}/pages", "symbols": ",".join(r.sym for r in bars.select("sym").distinct().collect()), "start": t.a, "step": 86400, "rate": 10_000}  # one row for each symbol
+    for end in ((t.a + t.b) // 2, t.b + 86400):
+        sure = cn.parsed(s.readStream.format("feed_pages").options(**o, end=end).load()).where("c >= 50").select("sym", "t", "c")
+        sure.writeStream.format("alert_sink").option("path", f"{at}/alerts").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    return cn.alerts(s, f"{at}/alerts", "sym string, t long, c double").select("sym", "t", F.round("c", 6).alias("c"))
+
+
 R.add("s21_alert_gate", _GATE)(lambda s, d: live.gated(bars4h(s, d), "c", 50.0, 8 * 3600))
 
 

@@ -1,4 +1,4 @@
-"""Line plots as PNG without a plotting library: for a driver-side picture of a short, aggregated series."""
+"""Line plots as PNG without a plotting library: a picture for each series, drawn in tasks from one row a pixel column."""
 
 from __future__ import annotations
 
@@ -6,6 +6,11 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from tidelake.functions.package import send
 
 WHITE, GREY, BLUE, RED = (255, 255, 255), (220, 220, 220), (31, 119, 180), (214, 39, 40)
 
@@ -43,3 +48,26 @@ def equity_curve(equity: list[float], drawdown: list[float] | None = None, width
         for c, k in enumerate(x):
             pixels[top : top + int(d[k] / worst * (height - top - 1)) + 1, c] = RED
     return encode(pixels)
+
+
+def pictures(df: DataFrame, equity: str, key: str = "sym", order: str = "t", width: int = 800, height: int = 400) -> DataFrame:
+    """``key``, png: each series' equity with its drawdown from the peak so far.
+
+    A series of any length is reduced to the last equity and the worst drawdown
+    of each pixel column before it is drawn.
+    """
+    send(df.sparkSession)
+    past = Window.partitionBy(key).orderBy(order)
+    n, place = F.count("*").over(Window.partitionBy(key)), F.row_number().over(past) - 1
+    peak = F.max(equity).over(past.rowsBetween(Window.unboundedPreceding, 0))
+    at = df.where(F.col(equity).isNotNull()).select(F.col(key), F.col(order), F.col(equity).cast("double").alias("e"), (F.try_divide(F.col(equity), peak) - 1).alias("d"), F.floor(place * width / F.greatest(n, F.lit(width))).alias("x"))
+    column = at.groupBy(key, "x").agg(F.max_by("e", order).alias("e"), F.min("d").alias("d"))
+    lines = column.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("x", "e", "d"))).alias("line"))  # a row for each pixel column
+    kind = df.schema[key].dataType.simpleString()
+
+    def run(batches):
+        for b in batches:
+            drawn = [equity_curve([p["e"] for p in line], [p["d"] for p in line], width, height) for line in b.column("line").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(key), pa.array(drawn, pa.binary())], [key, "png"])
+
+    return lines.mapInArrow(run, f"{key} {kind}, png binary")
