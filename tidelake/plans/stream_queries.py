@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidelake.functions.sqlkit import BARS, P
+from tidelake.operators import search as rs
 from tidelake.sources import connectors as cn
 from tidelake.sources.store import shared_folder
 from tidelake.streaming import live, scanner
 
 from . import report
 from .base import Registry, bars4h, table
-from .rule_queries import flagship, flagship_sql
+from .rule_queries import _GREEDY, _fired, _with_ret, flagship, flagship_sql
 
 R = Registry()
 _BARS = "select event_type as sym, (epoch_us(ts) // 14400000000) * 14400 as t, arg_min(value, (ts, event_id)) as o, max(value) as h, min(value) as l, arg_max(value, (ts, event_id)) as c, count(*)::double as v from events group by 1, 2"
@@ -114,13 +115,31 @@ def _(s, d):
 R.add("s21_alert_gate", _GATE)(lambda s, d: live.gated(bars4h(s, d), "c", 50.0, 8 * 3600))
 
 
-@R.add("s09_report", f"""{flagship_sql()}, rows_ as (select * from final) select 'rows' as kind, count(*) as n from rows_""")
+_TABLES = {"events": "ts", "orders": "o_orderdate", "customer": None, "lineitem": "l_shipdate"}
+_DATA = " union all ".join(f"select '{n}' as source, count(*)::bigint as rows, {f'(epoch_us(min({t})) // 1000000)::bigint' if t else 'null::bigint'} as start, {f'(epoch_us(max({t})) // 1000000)::bigint' if t else 'null::bigint'} as end_ from {n}" for n, t in _TABLES.items())
+_ENTRY = f"""g0 as (select sym, indicator, op, pct, count(*) as support, avg((ret > 0)::int) as win, any_value(threshold) as threshold from k where keep group by 1, 2, 3, 4 having count(*) >= 10),
+g as (select *, case when win >= 0.5 then win else 1 - win end as confidence from g0 where win >= 0.5 or win <= 0.5 order by confidence desc, support desc, sym, indicator, op, pct limit 50),
+er as (select sym, indicator || ' ' || op || ' ' || printf('%.4f', threshold) as rule, case when win >= 0.5 then 'LONG' else 'SHORT' end as direction, support, win, confidence from g)"""
+_LINES = f"""with recursive {BARS}, {_fired('c, v')}, {_GREEDY}, {_ENTRY}, dt as ({_DATA}),
+ls as (select 1 as part, row_number() over (order by source) as i, '  source: ' || source || ', rows: ' || rows || ', start: ' || coalesce(start::varchar, '') || ', end: ' || coalesce(end_::varchar, '') as line from dt
+union all select 2, row_number() over (order by confidence desc, support desc, sym, rule), '  sym: ' || sym || ', rule: ' || rule || ', direction: ' || direction || ', support: ' || support || ', win: ' || printf('%.4f', win) || ', confidence: ' || printf('%.4f', confidence) || ', verdict: UNKNOWN' from er)
+select part::int as part, i::int as i, line from ls"""
+
+
+@R.add("s09_report", _LINES)
 def _(s, d):
-    """How many rows each form of a report shows."""
-    data = {"signals": report.rows(flagship(s, d))}
-    forms = report.text("Signals", data), report.page("Signals", data), report.as_json("Signals", data)
-    found = {forms[0].count("sym: "), forms[1].count("<tr>") - 1, forms[2].count('"sym"')}
-    return s.createDataFrame([("rows", n) for n in found], "kind string, n long")
+    """Every line of the data and rule sections of a discovery report, as its text form shows them."""
+    tables = {n: (table(s, d, n), t) for n, t in _TABLES.items()}
+    mined = rs.mine(_with_ret(s, d), ["c", "v"], min_trades=10, min_win=0.5)
+    body, _, _ = report.discovery("Discovery", {"data": report.acquisition(tables), "rules": report.entry_rules(mined)})
+    out, part = [], 0
+    for line in body.split("\n"):
+        if line in ("data", "rules"):
+            part, i = part + 1, 0
+        elif line.startswith("  "):
+            i += 1
+            out.append((part, i, line))
+    return s.createDataFrame(out, "part int, i int, line string")
 
 
 @R.add("s09b_fields", "select 'exit_sl' || p_size || '_tp' || (p_size * 2) || '_' || (p_size % 24 + 1) || 'h' as rule, p_size::double as stop, p_size * 2.0::double as take, p_size % 24 + 1 as bars from part")
