@@ -131,3 +131,10 @@ def test_a_failed_run_leaves_no_table(spark, monkeypatch):
     with pytest.raises(RuntimeError):
         lm.score_texts(docs, F.lit(True), F.lit(False))
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("tidelake_")]
+
+
+def test_null_ids_and_flags(spark):
+    docs = spark.createDataFrame([(1, "a b a"), (None, "a c"), (None, None), (2, None)], "doc_id long, text string")
+    got = lm.score_texts(docs, F.col("doc_id") != 2, F.col("doc_id") == 99).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.n_tokens) for r in got) == [(False, 1, 4), (False, 2, 1), (True, 0, 1), (True, 0, 3)]
+    assert {r.train_tokens for r in got} == {4} and {r.n_known for r in got if r.n_tokens == 3} == {2}

@@ -106,9 +106,9 @@ def _encode_blocks(batches):
                             new += 1
                         at[k] = p
             at.append(0)
-            ids.append(i)
+            ids.append(0 if i is None else i)
             lens.append(len(at))
-            flags.append(train + 2 * (train and tune))
+            flags.append(train + 2 * (train and tune) + 4 * (i is None))
             toks.append(np.array(at, np.uint32))
             n += len(at)
             if n >= BLOCK_TOKENS:
@@ -210,10 +210,10 @@ def _answered(n_rest: int):
             place = np.empty(len(first), np.uint32)
             place[order] = np.arange(len(first), dtype=np.uint32)
             table = np.stack([x[first][order] for x in every])
-            out.append((pack(table.ravel()), pack(place[at]), r["ids"], r["lens"], pack(events.ravel())))
-        cols = list(zip(*out, strict=True)) if out else [[]] * 5
+            out.append((pack(table.ravel()), pack(place[at]), r["ids"], r["lens"], r["flags"], pack(events.ravel())))
+        cols = list(zip(*out, strict=True)) if out else [[]] * 6
         _release()
-        return pa.table({k: pa.array(c, pa.binary()) for k, c in zip(("counts", "tokens", "ids", "lens", "events"), cols, strict=True)})
+        return pa.table({k: pa.array(c, pa.binary()) for k, c in zip(("counts", "tokens", "ids", "lens", "flags", "events"), cols, strict=True)})
 
     return run
 
@@ -267,7 +267,8 @@ def _scores(n: int, v: int, weights: np.ndarray):
                 tok, lens = unpack(r["tokens"]), unpack(r["lens"])
                 first = np.cumsum(np.r_[0, lens[:-1]])
                 sums = [np.add.reduceat(x[tok], first) for x in ((one > 0).astype(np.int64), base, np.log10(p))]
-                yield pa.RecordBatch.from_arrays([pa.array(unpack(r["ids"])), pa.array(lens), *(pa.array(x) for x in sums)], ["id", "n_tokens", "n_known", "base_score", "score"])
+                ids = pa.array(unpack(r["ids"]), mask=(unpack(r["flags"]) & 4) > 0)
+                yield pa.RecordBatch.from_arrays([ids, pa.array(lens), *(pa.array(x) for x in sums)], ["id", "n_tokens", "n_known", "base_score", "score"])
 
     return run
 
@@ -278,8 +279,8 @@ def score_texts(docs: DataFrame, train: Column, tune: Column, id_col: str = "doc
     ``train`` tells which rows to learn from, ``tune`` which of those to hold
     out for the mixture weights. Tokens are words in lower case (A-Z) and one
     end for each text. base_score is that of single words with half a count
-    added. A null text is empty: one end token. Ids are integers, not null;
-    repeated rows are each counted and scored; an empty table gives an empty
+    added. A null text is empty: one end token. Ids are integers, a null one
+    stays null; repeated rows are each counted and scored; an empty table gives an empty
     result; other columns are not looked at. With nothing to learn from, every
     word has the uniform probability.
     """
@@ -299,7 +300,7 @@ def score_texts(docs: DataFrame, train: Column, tune: Column, id_col: str = "doc
         size = answers.where(F.col("part") < 1 << bits).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "v", "n_rest", "v_rest")]).first()
         back = answers.select("block", "part", "train", "tune")
         texts = blocks.select("block", "words", "tokens", "ids", "lens", "flags")
-        done = texts.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(_answered(size.n_rest), "counts binary, tokens binary, ids binary, lens binary, events binary")
+        done = texts.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(_answered(size.n_rest), "counts binary, tokens binary, ids binary, lens binary, flags binary, events binary")
         coded, _ = ship.written(done, "lm-coded")
     finally:  # nothing of a failed run stays in the catalog or the folder
         kept.remove()
@@ -307,5 +308,5 @@ def score_texts(docs: DataFrame, train: Column, tune: Column, id_col: str = "doc
             ship.removed(spark, p2)
     classes = coded.select("events").mapInArrow(_tuning, "bucket long, q2 long, q1 long, n long")
     weights = learn_weights(classes.groupBy("bucket", "q2", "q1").agg(F.sum("n").alias("n")).toArrow(), size.v_rest)  # frequency classes: bounded by the rounding
-    out = coded.select("counts", "tokens", "ids", "lens").mapInArrow(_scores(size.n, size.v, weights), "id long, n_tokens long, n_known long, base_score double, score double")
+    out = coded.select("counts", "tokens", "ids", "lens", "flags").mapInArrow(_scores(size.n, size.v, weights), "id long, n_tokens long, n_known long, base_score double, score double")
     return out.select(F.col("id").cast(kind).alias(id_col), "n_tokens", "n_known", F.lit(size.n).cast("long").alias("train_tokens"), "base_score", "score")
