@@ -89,3 +89,59 @@ def test_cases(spark):
     assert all((got[i].lang_pred, got[i].score) == ("und", 0.0) for i in (3, 4, 5, 7))
     assert identify(docs.limit(0), F.lit(True)).count() == 0
     assert {r.lang_pred for r in identify(docs, F.lit(False)).collect()} == {"und"}
+
+
+def plain_windows(text):
+    """The same windows by a loop: from the first byte that is no space, the longest piece of up to WINDOW bytes that ends before a space or at the end, else before a character."""
+    raw, out, i = text.lower().encode("utf-8", "replace"), [], 0
+    space = b"\t\n\v\f\r "
+    while i < len(raw):
+        if raw[i] in space:
+            i += 1
+            continue
+        ends = range(min(i + langid.WINDOW, len(raw)), i, -1)
+        end = next((e for e in ends if e == len(raw) or raw[e] in space), None) or next(e for e in ends if not 0x80 <= raw[e] < 0xC0)
+        out.append(raw[i:end])
+        i = end
+    return out
+
+
+def plain_probabilities(net, window):
+    """Every byte's labels by the gates' equations, one byte and one direction after another, in double precision."""
+    h, p = net.h, {k: v.astype(np.float64) for k, v in net.p.items()}
+    sig = lambda x: 1 / (1 + np.exp(-x))
+    states = {}
+    for d, order in (("f", range(len(window))), ("b", reversed(range(len(window))))):
+        s = np.zeros(h)
+        for t in order:
+            a, r = p[f"{d}x"][window[t]] + p[f"{d}b"], s @ p[f"{d}u"]
+            z, g = sig(a[:h] + r[:h]), sig(a[h : 2 * h] + r[h : 2 * h])
+            s = (1 - z) * np.tanh(a[2 * h :] + g * r[2 * h :]) + z * s
+            states[d, t] = s
+    total = 0
+    for t in range(len(window)):
+        y = np.exp(np.concatenate([states["f", t], states["b", t]]) @ p["o"] + p["ob"])
+        total = total + y / y.sum()
+    return total
+
+
+def test_predictions_by_a_plain_version(spark):
+    """From the weights that the query learns: windows, gates, pooling over all bytes and the choice, one document at a time."""
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    train_on = F.crc32(F.col("doc_id").cast("string")) % 3 != 1
+    langs, net = langid.train(langid.training_windows(docs, "lang", "text", "doc_id", train_on))
+    got = {r.doc_id: r for r in op6_language(spark, sf).collect()}
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).collect()
+    assert len(got) == len(rows)
+    some = sorted((r for r in rows if len(r.text) < 1500), key=lambda r: r.doc_id)[:60]
+    assert len(some) > 40
+    for r in some:
+        if not any(map(str.isalpha, r.text)):
+            assert (got[r.doc_id].lang_pred, got[r.doc_id].score) == ("und", 0.0)
+            continue
+        cut = plain_windows(r.text)
+        assert cut == langid.windows(r.text)
+        pooled = sum(plain_probabilities(net, w) for w in cut)
+        share = pooled / sum(map(len, cut))
+        assert abs(got[r.doc_id].score - share.max()) < 1e-3 and got[r.doc_id].lang_pred == langs[int(share.argmax())]
