@@ -125,17 +125,18 @@ def plain_probabilities(net, window):
     return total
 
 
-def test_predictions_by_a_plain_version(spark):
+def test_predictions_by_a_plain_version(spark, monkeypatch):
     """From the weights that the query learns: windows, gates, pooling over all bytes and the choice, one document at a time."""
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     train_on = F.crc32(F.col("doc_id").cast("string")) % 3 != 1
-    langs, net = langid.train(langid.training_windows(docs, "lang", "text", "doc_id", train_on))
+    langs, net = langid.train(langid.training_windows(docs, "lang", "text", "doc_id", train_on), steps=60)
+    monkeypatch.setattr(langid, "train", lambda sample: (langs, net))  # the query reads with the same weights
     got = {r.doc_id: r for r in op6_language(spark, sf).collect()}
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).collect()
     assert len(got) == len(rows)
-    some = sorted((r for r in rows if len(r.text) < 1500), key=lambda r: r.doc_id)[:60]
-    assert len(some) > 40
+    some = sorted((r for r in rows if len(r.text) < 800), key=lambda r: r.doc_id)[:30]
+    assert len(some) > 20
     for r in some:
         if not any(map(str.isalpha, r.text)):
             assert (got[r.doc_id].lang_pred, got[r.doc_id].score) == ("und", 0.0)
